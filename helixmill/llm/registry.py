@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from helixmill.llm import sharding
+from helixmill.llm import line_dedup, quality_rules, sharding
 
 QUERIES = {
     "op4_hilbert_sharding": sharding.op4_hilbert,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {**line_dedup.SQL}
