@@ -34,7 +34,8 @@ RULES = {
 ROUNDS, KEEP_AT, PRIOR = 12, 0.5, 0.85
 #: What is believed before any data of a rule's votes: P(vote | good), P(vote | bad) for votes bad (0) and good (1). It
 #: weighs as much as this part of the rows, so that rules which seldom speak keep their meaning.
-BELIEVED, WEIGHT = {0: (0.002, 0.3), 1: (0.85, 0.7)}, 0.1
+BELIEVED = {name: {0: (0.02, 0.2), 1: (0.85, 0.7)} for name in RULES} | {"symbols": {0: (0.001, 0.5), 1: (0.9, 0.5)}}
+WEIGHT = 0.5
 
 
 def repeat_words(words: Column, size: int = WINDOW) -> Column:
@@ -85,10 +86,10 @@ def log_odds(prior: float, rates: list[dict], names: list[str]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(math.log(prior / (1 - prior))))
 
 
-def fit_votes(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[float, list[dict]]:
+def fit_votes(voted: DataFrame, names: list[str], believed: dict[str, dict], rounds: int = ROUNDS) -> tuple[float, list[dict]]:
     """Prior and rates by EM; given the class, rules err independently."""
     patterns = stage(voted.groupBy(*names).agg(F.count("*").alias("n")), "votes")
-    prior, rates = PRIOR, [BELIEVED] * len(names)
+    prior, rates = PRIOR, [believed[v] for v in names]
     for _ in range(rounds):
         good = 1 / (1 + F.exp(-log_odds(prior, rates, names)))
         sums = [F.coalesce(F.sum(F.when(F.col(v) == vote, F.col("n") * w)), F.lit(0.0)) for v in names for vote in (0, 1) for w in (F.col("p"), 1 - F.col("p"))]
@@ -96,12 +97,12 @@ def fit_votes(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple
         if not row[1]:
             break
         of_good, all_rows, old, rates = row[0], row[1], rates, []
-        believed = WEIGHT * all_rows
-        prior = (of_good + believed * PRIOR) / (all_rows + believed)
+        extra = WEIGHT * all_rows
+        prior = (of_good + extra * PRIOR) / (all_rows + extra)
         for k in range(len(names)):
             rate = {}
             for vote in (0, 1):
-                g, b = ((row[2 + 4 * k + 2 * vote + j] + believed * BELIEVED[vote][j]) / (total + believed) for j, total in enumerate((of_good, all_rows - of_good)))
+                g, b = ((row[2 + 4 * k + 2 * vote + j] + extra * believed[names[k]][vote][j]) / (total + extra) for j, total in enumerate((of_good, all_rows - of_good)))
                 rate[vote] = (min(g, b), b) if vote == 0 else (g, min(g, b))  # no rule votes against itself
             rates.append(rate)
         if max(abs(x - y) for a, b in zip(old, rates, strict=True) for vote in a for x, y in zip(a[vote], b[vote], strict=True)) < 1e-3:
@@ -118,7 +119,7 @@ def judged(features: DataFrame, model: tuple[float, list[dict]]) -> DataFrame:
 
 
 def fit(features: DataFrame) -> tuple[float, list[dict]]:
-    return fit_votes(features.withColumns(votes()), list(votes()))
+    return fit_votes(features.withColumns(votes()), list(votes()), {f"_qv_{k}": v for k, v in BELIEVED.items()})
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

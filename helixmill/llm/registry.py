@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from helixmill.llm import line_dedup, quality_rules, sharding
+from helixmill.llm import decontaminate, line_dedup, quality_rules, sharding
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_hilbert_sharding": sharding.op4_hilbert,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {**line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {**decontaminate.SQL, **line_dedup.SQL}
