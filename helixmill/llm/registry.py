@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from helixmill.llm import decontaminate, line_dedup, quality_rules, sharding
+from helixmill.llm import decontaminate, line_dedup, quality_gam, quality_rules, sharding, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_hilbert_sharding": sharding.op4_hilbert,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_quality_gam": quality_gam.op8_quality_gam,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_warc": warc.op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {**decontaminate.SQL, **line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {**decontaminate.SQL, **line_dedup.SQL, **warc.SQL}
