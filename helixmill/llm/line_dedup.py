@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm._common import let, lower_ascii, partitions, row_key, table
+from helixmill.llm._common import let, lower_ascii, partitions, row_key, stage, table
 
 STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 SPACES = "\t\n\x0b\x0c\r "
@@ -47,7 +47,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     lines = docs.select("doc_id", row_key().alias("_lkey"), F.explode(line_keys(F.col("text"), min_chars)).alias("_l")).select("doc_id", "_lkey", F.col("_l.p").alias("p"), F.col("_l.h").alias("h"), F.col("_l.g").alias("g"))
     ranged = lines.repartitionByRange(partitions(spark), "h", "g", F.col("doc_id").desc_nulls_last()).sortWithinPartitions("h", "g", F.col("doc_id").desc_nulls_last(), "p")
     heads = ranged.groupBy("h", "g", "doc_id").agg(F.lit(1).alias("one")).groupBy("h", "g").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs).select("h", "g", "keeper")
-    dropped = lines.join(heads, ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # written, so that the join below has two plain shuffles and Spark can split the one with a hot line
+    dropped = lines.join(stage(heads, "heads"), ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return dropped.groupBy("_lkey").agg(drop_runs(F.sort_array(F.collect_set("p"))).alias("drop"))
 
 
