@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from helixmill.llm import decontaminate, line_dedup, quality_gam, quality_rules, sharding, warc
+from helixmill.llm import decontaminate, line_dedup, pii, quality_gam, quality_rules, sentencepiece_viterbi, sharding, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_hilbert_sharding": sharding.op4_hilbert,
+    "op5_pii": pii.op5_pii,
+    "op6_sentencepiece": sentencepiece_viterbi.op6_sentencepiece,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_quality_gam": quality_gam.op8_quality_gam,
     "op9_line_dedup": line_dedup.op9_line_dedup,
