@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from helixmill.llm import decontaminate, line_dedup, pii, quality_gam, quality_rules, sentencepiece_viterbi, sharding, substring_dedup, warc
+from helixmill.llm import decontaminate, jaccard_join, line_dedup, pii, quality_gam, quality_rules, sentencepiece_viterbi, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_hilbert_sharding": sharding.op4_hilbert,
     "op5_pii": pii.op5_pii,
     "op6_sentencepiece": sentencepiece_viterbi.op6_sentencepiece,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {**decontaminate.SQL, **substring_dedup.SQL, **line_dedup.SQL, **warc.SQL}
+ORACLE_SQL: dict[str, str] = {**decontaminate.SQL, **substring_dedup.SQL, **jaccard_join.SQL, **line_dedup.SQL, **warc.SQL}
