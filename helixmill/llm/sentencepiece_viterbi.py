@@ -31,8 +31,8 @@ from helixmill.llm._text import pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"  # stands for a space in the vocabulary file
-MEMO = 150_000
-MEMO_CHARS = 32
+MEMO = 200_000
+MEMO_CHARS = 64
 WORD = re.compile(" +[^ ]*")
 
 
@@ -44,6 +44,7 @@ class Vocabulary:
     unknown: float  # score of a character without piece
     spelled: list[bytes]  # by id
     longest: int
+    table: dict[str, tuple[float, int] | None]  # score and id by piece; None for what only begins one
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -63,12 +64,14 @@ def load(path: str = MODEL) -> Vocabulary:
             own = piece.replace(MARK, " ")
             ids[own], scores[own] = i, model.get_score(i)
             spelled.append(own.encode())
-    return Vocabulary(ids, scores, byte_ids, min(scores.values()) - 10, spelled, max(map(len, ids)))
+    table: dict[str, tuple[float, int] | None] = {p[:k]: None for p in ids for k in range(1, len(p))}
+    table.update({p: (scores[p], i) for p, i in ids.items()})
+    return Vocabulary(ids, scores, byte_ids, min(scores.values()) - 10, spelled, max(map(len, ids)), table)
 
 
 def stream(text: str, v: Vocabulary) -> Iterator[list[int]]:
     """Ids in runs, as they are committed. Equal scores: the longer piece, then the earlier path, wins."""
-    scores, longest = v.scores, v.longest
+    table, longest = v.table, v.longest
     best, back = {0: 0.0}, {}
     done, far = 0, 0  # committed up to here; furthest end of a piece that begins before the current place
 
@@ -99,12 +102,12 @@ def stream(text: str, v: Vocabulary) -> Iterator[list[int]]:
                 best = {p: s for p, s in best.items() if p >= at}
                 back = {p: b for p, b in back.items() if p > done}
         for end in range(at + 1, min(at + longest, len(text)) + 1):
-            score = scores.get(text[at:end])
-            if score is None:
-                if end > at + 1:
+            entry = table.get(text[at:end], False)
+            if not entry and end > at + 1:
+                if entry is None:
                     continue
-                score = v.unknown
-            total = here + score
+                break  # nothing longer begins like this
+            total = here + (entry[0] if entry else v.unknown)
             if end not in best or total > best[end]:
                 best[end], back[end] = total, at
             if end > far:
@@ -113,35 +116,149 @@ def stream(text: str, v: Vocabulary) -> Iterator[list[int]]:
         yield spell(trace(len(text)))
 
 
+class Trie:
+    """All pieces by their UTF-8 bytes: rows of next nodes for nodes that go on, a piece or -1 for every node."""
+
+    def __init__(self, v: Vocabulary):
+        following: list[dict[int, int]] = [{}]
+        piece = [-1]
+        for text, i in v.ids.items():
+            node = 0
+            for x in text.encode():
+                if x not in following[node]:
+                    following[node][x] = len(following)
+                    following.append({})
+                    piece.append(-1)
+                node = following[node][x]
+            piece[node] = i
+        self.piece, self.row = np.array(piece), np.zeros(len(piece), np.int64)
+        inner = [n for n, f in enumerate(following) if f]
+        self.row[inner] = np.arange(1, len(inner) + 1)
+        self.next = np.zeros((len(inner) + 1, 256), np.int32)  # row 0: a node that ends here; entry 0: no such node
+        for n in inner:
+            self.next[self.row[n], list(following[n])] = list(following[n].values())
+        self.scores = np.zeros(len(v.spelled))
+        for text, i in v.ids.items():
+            self.scores[i] = v.scores[text]
+        self.byte_ids = np.array(v.byte_ids)
+
+
+def encode_many(words: list[str], v: Vocabulary, trie: Trie) -> list[bytes]:
+    """Ids of many words that are no longer than a few windows. The search takes them in step, one place of all words at
+    a time, and every word is committed where it ends."""
+    raw = [w.encode() for w in words]
+    sizes = np.array([len(x) for x in raw], np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    stop, begin_of = np.repeat(ends, sizes), np.repeat(begins, sizes)
+    heads = np.flatnonzero((data & 0xC0) != 0x80)
+    width = np.diff(np.append(heads, len(data)))
+    # edges: pieces that begin at a character, and characters without a piece
+    at, node, span = heads, np.zeros(len(heads), np.int64), 0
+    starts, stops, found = [], [], []
+    alone = np.zeros(len(data), bool)
+    while len(at):
+        inside = at + span < stop[at]
+        at, node = at[inside], node[inside]
+        node = trie.next[trie.row[node], data[at + span]]
+        alive = node > 0
+        at, node, span = at[alive], node[alive], span + 1
+        i = trie.piece[node]
+        good = i >= 0
+        starts.append(at[good])
+        stops.append(at[good] + span)
+        found.append(i[good])
+        node = node.astype(np.int64)
+    edge_start, edge_stop, edge_id = np.concatenate(starts), np.concatenate(stops), np.concatenate(found)
+    after = np.zeros(len(data), np.int64)
+    after[heads] = heads + width
+    alone[edge_start[after[edge_start] == edge_stop]] = True
+    lost = heads[~alone[heads]]
+    edge_start, edge_stop, edge_id = np.concatenate([edge_start, lost]), np.concatenate([edge_stop, after[lost]]), np.concatenate([edge_id, np.full(len(lost), -1)])
+    score = np.where(edge_id >= 0, trie.scores[edge_id], v.unknown)
+    offset, size = edge_start - begin_of[edge_start], edge_stop - edge_start
+    group = offset * 256 + size
+    order = np.argsort(group, kind="stable")
+    edge_start, edge_stop, edge_id, score, group = (x[order] for x in (edge_start, edge_stop, edge_id, score, group))
+    shift = np.arange(len(words))  # each word has one place more than bytes
+    place = np.repeat(shift, sizes)
+    edge_from, edge_to = edge_start + place[edge_start], edge_stop + place[edge_start]
+    best = np.full(len(data) + len(words), -np.inf)
+    best[begins + shift] = 0
+    back = np.full(len(best), -1, np.int64)
+    bounds = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        total, to = best[edge_from[a:b]] + score[a:b], edge_to[a:b]
+        better = np.flatnonzero(total > best[to])
+        best[to[better]] = total[better]
+        back[to[better]] = a + better
+    path, here = [], (ends + shift)[sizes > 0]
+    first = (begins + shift)[sizes > 0]
+    while len(here):
+        edge = back[here]
+        path.append(edge)
+        here = edge_from[edge]
+        going = here > first
+        here, first = here[going], first[going]
+    path = np.concatenate(path) if path else np.zeros(0, np.int64)
+    path = path[np.argsort(edge_start[path])]
+    begin, n = edge_start[path], np.where(edge_id[path] >= 0, 1, edge_stop[path] - edge_start[path])
+    upto = np.cumsum(n)
+    ids = np.repeat(edge_id[path], n)
+    inner = np.arange(len(ids)) - np.repeat(upto - n, n)
+    ids = np.where(ids >= 0, ids, trie.byte_ids[data[np.minimum(np.repeat(begin, n) + inner, len(data) - 1)]]).astype(np.int32)
+    cuts = np.append(0, upto)[np.searchsorted(begin, np.append(begins, len(data)))] * 4
+    blob = ids.tobytes()
+    return [blob[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
 def encode_word(word: str, v: Vocabulary) -> bytes:
     return np.array([i for run in stream(word, v) for i in run], np.int32).tobytes()
 
 
 class Memo(dict):
-    """Ids of words met before; emptied when full."""
+    """Ids of words met before, in two generations: when the young one is full it grows old, and what was old and not
+    met since goes."""
 
     def __init__(self, v: Vocabulary):
         super().__init__()
-        self.v = v
+        self.v, self.old, self.trie = v, {}, Trie(v)
 
     def __missing__(self, word: str) -> bytes:
-        ids = encode_word(word, self.v)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = encode_word(word, self.v)
         if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = ids
+            self.keep(word, ids)
         return ids
 
+    def keep(self, word: str, ids: bytes) -> None:
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+
+    def learn(self, words: set[str]) -> None:
+        """Encode those not met yet, together."""
+        new = [w for w in words if w not in self and w not in self.old and len(w) <= MEMO_CHARS]
+        if new:
+            for w, ids in zip(new, encode_many(new, self.v, self.trie), strict=True):
+                self.keep(w, ids)
+
+
 
 def words_split_here(v: Vocabulary) -> bool:
     """Whether no piece has a space after another character: then a space that ends a word is always a boundary."""
     return not any(" " in p.lstrip(" ") for p in v.ids)
 
 
-def encode_text(text: str, memo: Memo, split: bool) -> bytes:
-    if not text:
-        return b""
-    return b"".join(map(memo.__getitem__, WORD.findall(" " + text))) if split else encode_word(" " + text, memo.v)
+def encode_texts(texts: list[str | None], memo: Memo, split: bool) -> list[bytes]:
+    if not split:
+        return [encode_word(" " + t, memo.v) if t else b"" for t in texts]
+    words = [WORD.findall(" " + t) if t else [] for t in texts]
+    memo.learn(set().union(*words))
+    return [b"".join(map(memo.__getitem__, w)) for w in words]
 
 
 class Decoder:
@@ -171,7 +288,7 @@ def encoder(shared, check: bool):
         memo, split, decoder = Memo(v), words_split_here(v), Decoder(v)
         for piece in pieces(batches, "text"):
             texts = piece.column("text").to_pylist()
-            found = [encode_text(t, memo, split) if t else b"" for t in texts]
+            found = encode_texts(texts, memo, split)
             counts = np.array([len(x) // 4 for x in found])
             ids = np.frombuffer(b"".join(found), np.int32)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.append([t is None for t in texts], False))
