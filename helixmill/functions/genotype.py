@@ -126,7 +126,7 @@ def compare_ref(expected: Column, observed: Column) -> Column:
 
 
 def allele_set(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(F.upper(text(c)), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.upper(text(c)), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def compare_alt(expected: Column, observed: Column) -> Column:

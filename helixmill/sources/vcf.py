@@ -40,7 +40,7 @@ def with_genotype(records: DataFrame) -> DataFrame:
 
 def explode_alleles(records: DataFrame) -> DataFrame:
     """One row for each ALT allele, counted from 1, with contig, position, dosage and end worked out."""
-    alts = F.filter(F.transform(F.split("alt", ","), F.trim), lambda x: x != "")
+    alts = F.filter(F.transform(F.split("alt", ","), lambda x: F.trim(x)), lambda x: x != "")
     rows = with_genotype(records).select("*", F.posexplode(alts).alias("_k", "allele"))
     out = rows.withColumns({"alt_index": F.col("_k") + 1, "start": F.col("pos").try_cast("bigint"), "contig": g.norm_chrom(F.col("chrom"))}).drop("_k")
     return out.withColumns({"dosage": g.dosage(F.col("gt"), F.col("alt_index")), "end": g.variant_end(F.col("start"), F.col("ref"), F.col("info"))})
