@@ -232,10 +232,10 @@ def judge_shard(shard: pa.RecordBatch, parts: list, wanted: Phrases, clean: bool
         for r, w in np.unique(np.stack([row, which], 1), axis=0).tolist():
             owned.update((r, i) for i in wanted.owners[w].tolist())
     before = shard.column("fm_spans")
-    if len(before.values):
+    if len(known := before.flatten()):
         of = np.repeat(np.arange(len(shard)), np.diff(before.offsets.to_numpy()))
-        begins.append(before.values.field("first").to_numpy() + first[of])
-        ends.append(before.values.field("end").to_numpy() + first[of])
+        begins.append(known.field("first").to_numpy() + first[of])
+        ends.append(known.field("end").to_numpy() + first[of])
     begin, end = merged(int(first[-1]), first, np.concatenate(begins), np.concatenate(ends))
     row = np.searchsorted(first, begin, "right") - 1
     names = [set(x) for x in shard.column("fm_items").to_pylist()]

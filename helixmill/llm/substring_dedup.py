@@ -104,7 +104,7 @@ def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keys = words.hashes(), piece.column("rlz_key").to_numpy()
         lists = piece.column("wanted")
         row = np.repeat(np.arange(len(piece)), np.diff(lists.offsets.to_numpy()))
-        at, n = lists.values.field("at").to_numpy(), lists.values.field("n").to_numpy()
+        at, n = (lists.flatten().field(c).to_numpy() for c in ("at", "n"))
         first = np.repeat(words.first[row] + at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         row = np.repeat(row, n)
         prints = range_hashes(hashes, first, first + WINDOW)
@@ -239,7 +239,7 @@ def remover(digest: bool):
             words = words_of(piece.column("text"), PLAIN)
             spans = piece.column("rlz_spans")
             row = np.repeat(np.arange(len(piece)), np.diff(spans.offsets.to_numpy()))
-            at, n = spans.values.field("at").to_numpy(), spans.values.field("n").to_numpy()
+            at, n = (spans.flatten().field(c).to_numpy() for c in ("at", "n"))  # flatten heeds that the piece is a slice
             begin = words.first[row] + at
             depth = np.bincount(begin, minlength=len(words.starts) + 1) - np.bincount(begin + n + WINDOW - 1, minlength=len(words.starts) + 1)
             gone = np.cumsum(depth)[: len(words.starts)] > 0
