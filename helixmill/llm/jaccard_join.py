@@ -6,9 +6,10 @@ enough overlap share a shingle among the first few of each (the prefix). Prefix
 and sorted, so a shingle of any frequency streams through several tasks. Pairs pass the length and the positional
 filter, are made distinct, and are verified once, where a suffix filter comes before the full intersection.
 
-Only groups are asked for, so not all pairs of a group of near copies are needed: first each entry is paired with the
-leaders of its run, which joins most near copies in a few links; then every remaining pair of entries whose classes are
-not yet in one group is tested, so that no link between groups is lost.
+Only groups are asked for, so not all pairs of a group of near copies are needed: first every entry is paired with its
+shingle's most central set, the one that shares the largest part of its own prefix, which is what copies were made of;
+then, where classes are not yet in one group, with a few sets drawn by hash; then every remaining pair of entries whose
+classes are still apart is tested, so that no link between groups is lost.
 
 Nulls and texts without words have empty sets and link with nothing. Rows that repeat a doc_id are documents of their
 own with that id; a null doc_id has no place in component_id (null if a group has no other). Longer texts than 2**24
@@ -32,8 +33,8 @@ SHINGLE, PERCENT = 4, 85
 SLOTS, CHUNKS = 1 << 18, 256
 SETS = "doc_id long, jac_key long, n long, f1 long, f2 long"
 ENTRIES = "token long, cid long, info long"
-STREAM = "kind int, token long, cid long, info long"
 MOST = (1 << 24) - 1
+DRAWS, DRAW_ROUNDS = 4, 2
 
 
 def prefix_length(n):
@@ -126,87 +127,32 @@ def entry_rows(shared):
                     continue
                 seen.add(mark)
                 n, p = len(own), prefix_length(len(own))
-                kin = int(mix(own ^ np.uint64(0x2545F4914F6CDD1D)).min() >> np.uint64(49))  # near copies mostly share it
                 out.append(own[:p])
                 cids.append(np.full(p, mark[0], np.int64))
-                infos.append((kin << 48 | min(n, MOST) << 24) + np.minimum(np.arange(p), MOST))
+                infos.append((min(n, MOST) << 24) + np.minimum(np.arange(p), MOST))
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(infos).astype(np.int64))], ["token", "cid", "info"])
 
     return run
 
 
-def size_of(info):
-    return (info >> 24) & MOST
-
-
-def place_of(info):
-    return info & MOST
-
-
-def may_link(a, b):
-    """Length and positional filter on two entries of a shingle."""
-    x, y = size_of(a), size_of(b)
-    fits = (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)) | (np.maximum(x, y) >= MOST)
-    return fits & ((1 + np.minimum(x - place_of(a) - 1, y - place_of(b) - 1) >= least_overlap(x, y)) | (np.maximum(x, y) >= MOST))
-
-
 def stream_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted entries: those of shingles in two sets or more go on (kind 0; at the borders of a task all), and each is
-    paired with the leader of its run of kin and each such leader with the shingle's (kind 1). Holds one row back."""
+    """Sorted entries: those of shingles that two sets have go on, repeated ones once. The next task may have more of
+    the first and last shingle here, so theirs always go on. Holds one row back."""
     token = cid = info = np.zeros(0, np.int64)
-    last_kept, lead, kin_lead, border = True, None, None, True
-
-    def told(kind: int, t, c, i) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.full(len(t), kind, np.int32)), pa.array(t), pa.array(c), pa.array(i)], ["kind", "token", "cid", "info"])
-
-    border_token = None
+    known, border = False, None  # whether the row held back follows one of its shingle; the first shingle
     for batch in batches:
         t, c, i = (np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate((token, cid, info)))
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        held = len(token)
         t, c, i = t[new], c[new], i[new]
-        if border_token is None:
-            border_token = t[0]
-        same = np.zeros(len(t), bool)
-        same[1:] = t[1:] == t[:-1]
-        if held:
-            same[0] = last_kept
-        else:
-            same[0] = False
-        follows = np.append(same[1:], False)
-        keep = (same | follows | (t == border_token))[:-1]
-        if keep.any():
-            yield told(0, t[:-1][keep], c[:-1][keep], i[:-1][keep])
-        # leaders
-        number = np.arange(len(t))
-        opens = ~same
-        kin = i >> 48
-        kin_opens = opens.copy()
-        kin_opens[1:] |= kin[1:] != kin[:-1]
-        if held:
-            kin_opens[0] = False
-        leads = np.maximum.accumulate(np.where(opens, number, -1))
-        kin_leads = np.maximum.accumulate(np.where(kin_opens, number, -1))
-        pick = lambda at, values, old: np.where(at >= 0, values[np.maximum(at, 0)], old if old is not None else 0)
-        lead_c, lead_i = pick(leads, c, lead and lead[0]), pick(leads, i, lead and lead[1])
-        kin_c, kin_i = pick(kin_leads, c, kin_lead and kin_lead[0]), pick(kin_leads, i, kin_lead and kin_lead[1])
-        to_c, to_i = np.where(kin_opens, lead_c, kin_c), np.where(kin_opens, lead_i, kin_i)
-        good = ~opens & (to_c != c) & may_link(to_i, i)
-        good[:held] = False  # the row held back was paired before
-        if good.any():
-            pairs = np.unique(np.stack([np.minimum(to_c, c)[good], np.maximum(to_c, c)[good]], 1), axis=0)
-            yield told(1, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
-        lead, kin_lead = (int(lead_c[-1]), int(lead_i[-1])), (int(kin_c[-1]), int(kin_i[-1]))
-        if opens[-1]:
-            lead = (int(c[-1]), int(i[-1]))
-        if kin_opens[-1]:
-            kin_lead = (int(c[-1]), int(i[-1]))
-        last_kept = bool(same[-1])
-        token, cid, info = t[-1:], c[-1:], i[-1:]
+        border = t[0] if border is None else border
+        same = np.append(known, t[1:] == t[:-1])
+        keep = (same[:-1] | same[1:]) | (t[:-1] == border)
+        yield pa.record_batch([pa.array(x[:-1][keep]) for x in (t, c, i)], ["token", "cid", "info"])
+        known, (token, cid, info) = bool(same[-1]), (x[-1:] for x in (t, c, i))
     if len(token):
-        yield told(0, token, cid, info)
+        yield pa.record_batch([pa.array(x) for x in (token, cid, info)], ["token", "cid", "info"])
 
 
 def suffix_allows(a: np.ndarray, b: np.ndarray, need: int) -> bool:
@@ -244,8 +190,7 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     classes = stage(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.min("jac_key").alias("key")), "classes")
     entries = rows.mapInArrow(entry_rows(levels), ENTRIES)
     order = ["token", "info", "cid"]
-    streamed = stage(entries.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(stream_entries, STREAM), "entries")
-    live = streamed.where("kind = 0").select("token", "cid", "info")
+    live = stage(entries.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(stream_entries, ENTRIES), "entries")
     wanted = classes.join(live.select(F.col("cid").alias("f1")).distinct(), "f1").select(F.col("f1").alias("cid"), "key")
     texts = rows.select("jac_key", "text").join(wanted.hint("shuffle_hash"), F.col("jac_key") == F.col("key"))
     texts = stage(texts.groupBy("cid", "key").agg(F.first("text").alias("text")).select("cid", "text"), "texts")
@@ -255,18 +200,39 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
         both = with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
         return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(verify(levels), "a long, b long"), "links")
 
-    near = checked(streamed.where("kind = 1").select(F.col("token").alias("a"), F.col("cid").alias("b")).distinct())
-    first = components(near)
-    grouped = stage(live.join(first, F.col("cid") == F.col("node"), "left").select("token", "cid", "info", F.coalesce("label", "cid").alias("g")), "grouped")
-    split = grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-    rest = stage(grouped.join(stage(split, "split"), "token"), "rest")
-    size, place = (lambda c: F.shiftright(c, 24).bitwiseAND(F.lit(MOST))), (lambda c: c.bitwiseAND(F.lit(MOST)))
-    a, b = rest.alias("a"), rest.alias("b")
-    x, y, p, q = size(F.col("a.info")), size(F.col("b.info")), place(F.col("a.info")), place(F.col("b.info"))
-    huge = F.greatest(x, y) >= MOST
-    fits = (100 * F.least(x, y) >= PERCENT * F.greatest(x, y)) & ((100 + PERCENT) * (1 + F.least(x - p - 1, y - q - 1)) >= PERCENT * (x + y)) | huge
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.g") != F.col("b.g")) & fits).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
-    groups = components(near.unionByName(checked(pairs)))
+    def fits(a: str, b: str):
+        """Length and positional filter on two entries of a shingle."""
+        x, y = (F.shiftright(c, 24).bitwiseAND(F.lit(MOST)) for c in (a, b))
+        p, q = (F.col(c).bitwiseAND(F.lit(MOST)) for c in (a, b))
+        huge = F.greatest(x, y) >= MOST
+        return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y)) & ((100 + PERCENT) * (1 + F.least(x - p - 1, y - q - 1)) >= PERCENT * (x + y)) | huge
+
+    def against(rows: DataFrame, draw, key: list[str]) -> DataFrame:
+        """Pairs of every entry with the entry of its shingle (and draw) that comes first by draw, if groups differ."""
+        lead = stage(rows.groupBy(*key).agg(F.max(F.struct(draw.alias("by"), F.col("cid").alias("to"), F.col("info").alias("to_info"), F.col("g").alias("to_g"))).alias("x")).select(*key, "x.to", "x.to_info", "x.to_g"), "leads")
+        apart = rows.join(lead, key).where((F.col("g") != F.col("to_g")) & fits("info", "to_info"))
+        return apart.select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")).distinct()
+
+    def regrouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """Entries of shingles that more than one group still has."""
+        named = rows.drop("g").join(components(links), F.col("cid") == F.col("node"), "left").select("token", "cid", "info", F.coalesce("label", "cid").alias("g"))
+        named = stage(named, "grouped")
+        split = named.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
+        return stage(named.join(stage(split, "split"), "token"), "apart")
+
+    sizes = live.groupBy("cid").agg(F.count("*").alias("c"), F.max(F.shiftright("info", 24)).alias("n"))
+    share = sizes.select("cid", F.expr(f"c * 1000000 div greatest(n - ({PERCENT} * n + 99) div 100 + 1, 1)").alias("share"))
+    central = live.join(stage(share, "share"), "cid").withColumn("g", F.col("cid"))
+    links = checked(against(central, F.col("share"), ["token"]))
+    rest = regrouped(live, links)
+    for k in range(DRAW_ROUNDS):
+        drawn = rest.withColumn("draw", F.pmod("token", F.lit(DRAWS)))
+        links = links.unionByName(checked(against(drawn, F.xxhash64("draw", "cid", F.lit(k)), ["token", "draw"])))
+        rest = regrouped(rest, links)
+    a, b = (rest.select("token", F.col("cid").alias(f"{x}"), F.col("info").alias(f"info_{x}"), F.col("g").alias(f"g_{x}")) for x in "ab")
+    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & fits("info_a", "info_b")).select("a", "b").distinct()
+    links = links.unionByName(checked(pairs))
+    groups = components(links)
     labelled = classes.join(groups, F.col("f1") == F.col("node"), "left").select("f1", "f2", "least", F.coalesce("label", "f1").alias("label"), F.col("label").isNull().alias("alone"))
     labelled = stage(labelled, "labelled")
     lowest = stage(labelled.where("NOT alone").groupBy("label").agg(F.min("least").alias("low")), "lowest")
