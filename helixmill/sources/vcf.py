@@ -22,7 +22,7 @@ def read_vcf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def parse_records(lines: DataFrame) -> DataFrame:
     """One row a data line with eight fields or more; format and sample may be empty."""
     parts = lines.where(~F.col("line").startswith("#")).withColumn("_f", F.split("line", "\t"))
-    picked = [F.col("_f")[k].alias(n) for k, n in enumerate(FIELDS)]
+    picked = [F.get("_f", F.lit(k)).alias(n) for k, n in enumerate(FIELDS)]
     return parts.where(F.size("_f") >= 8).select("upload_id", "line_no", *picked, g.text(F.get("_f", F.lit(8))).alias("format"), g.text(F.get("_f", F.lit(9))).alias("sample"))
 
 
