@@ -32,7 +32,8 @@ FIND = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 IP_PART = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: A token with a digit or at sign, with the tokens of digits that follow it.
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:[ ][(+]?[0-9][0-9().-]*+(?!\S))*+"
 LEFT_CHARS = 48
 LEAST_DIGITS, ROUNDS, CONFIDENT, LEAST_SEEDS = 6, 3, 0.8, 5
 SPAN = "struct<start:int,end:int,m:string>"
@@ -97,7 +98,7 @@ def found_in(docs: DataFrame) -> DataFrame:
 
 def looks_like(kind: Column, token: Column) -> Column:
     n = F.char_length(digits(token))
-    return F.when(kind == "email", F.contains(token, F.lit("@"))).when(kind == "ip", token.rlike(r"^[0-9]+([.:][0-9a-fA-F]+){3,}$")).when(kind == "card", token.rlike("^[0-9-]+$") & n.between(12, 19)).otherwise(token.rlike(r"^[+0-9().-]+$") & n.between(7, 15))
+    return F.when(kind == "email", F.contains(token, F.lit("@"))).when(kind == "ip", token.rlike(r"^[0-9]+([.:][0-9a-fA-F]+){3,}$")).when(kind == "card", token.rlike("^[0-9 -]+$") & n.between(12, 19)).otherwise(token.rlike(r"^[+0-9() .-]+$") & n.between(7, 15))
 
 
 def bootstrap(found: DataFrame) -> DataFrame:

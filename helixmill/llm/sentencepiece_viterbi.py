@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixmill.llm._common import table
 from helixmill.llm._text import pieces
@@ -306,9 +307,8 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFram
     """docs, text replaced by sp_ids; with check also sp_same: whether decoding gives the text back."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
     rows = docs.drop("sp_ids", "sp_same")
-    out = rows.drop("text").withColumn("sp_ids", F.array().cast("array<int>"))
-    out = out.withColumn("sp_same", F.lit(True)) if check else out
-    return rows.mapInArrow(encoder(shared, check), out.schema)
+    fields = [*rows.drop("text").schema.fields, T.StructField("sp_ids", T.ArrayType(T.IntegerType())), *[T.StructField("sp_same", T.BooleanType())] * check]
+    return rows.mapInArrow(encoder(shared, check), T.StructType(fields))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -324,8 +324,8 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             keep = [n for n in batch.schema.names if n not in ("sp_ids", "text")]
             yield pa.record_batch([*(batch.column(n) for n in keep), pa.array([None if x is None else t for x, t in zip(lists, texts, strict=True)], pa.string())], [*keep, "text"])
 
-    out = encoded.drop("sp_ids", "text").withColumn("text", F.lit("").cast("string"))
-    return encoded.mapInArrow(run, out.schema)
+    fields = [*encoded.drop("sp_ids", "text").schema.fields, T.StructField("text", T.StringType())]
+    return encoded.mapInArrow(run, T.StructType(fields))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
