@@ -214,7 +214,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     dealt = docs.repartition(n_parts, "rlz_key")
     occurrences = docs.mapInArrow(piece_rows, PIECES)
     shared = occurrences.groupBy("h").agg(F.count("*").alias("c"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("c > 1").select("h", (F.col("lo") == F.col("hi")).alias("alike"))
-    met = stage(occurrences.join(shared, "h"), "met")
+    met = stage(occurrences.join(stage(shared, "shared"), "h"), "met")  # written, so that Spark can split a hot anchor
     mixed = met.where("NOT alike")
     kinds = stage(mixed.groupBy("h", "fp").agg(F.count("*").alias("c"), F.min(F.struct("rlz_key", "at", "n")).alias("one")), "kinds")
     hot = stage(kinds.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("h"), "hot")
