@@ -41,7 +41,7 @@ def resolve_rsid(df: DataFrame, payload: str = "payload") -> DataFrame:
     exact = F.array_distinct(F.transform(F.filter("_ids", lambda x: exact_allele(x["allele_string"], F.col("ref"), F.col("alt"))), lambda x: x["id"]))
     out = out.withColumn("_exact", exact)
     own = F.array_contains("_exact", F.col("id"))
-    status = F.when(own, "vcf_id_confirmed_by_vep_exact_allele").when(F.size("_exact") == 1, "vep_colocated_exact_allele").when(F.size("_exact") > 1, "ambiguous").when(F.size("_ids") > 0, "vep_colocated_allele_mismatch").otherwise("unresolved_no_exact_rsid")
+    status = F.when(own, "vcf_id_confirmed_by_vep_exact_allele").when(F.size("_exact") == 1, "vep_colocated_exact_allele").when(F.size("_exact") > 1, "ambiguous_multiple_exact_rsids").when(F.size("_ids") > 0, "vep_colocated_allele_mismatch").otherwise("unresolved_no_exact_rsid")
     rsid = F.when(own, F.col("id")).when(F.size("_exact") == 1, F.element_at("_exact", 1)).otherwise("")
     return out.withColumns({"resolved_rsid": rsid, "rsid_status": status, "n_exact": F.size("_exact").cast("bigint"), "n_colocated": F.size("_ids").cast("bigint")}).drop("_ids", "_exact")
 

@@ -105,7 +105,7 @@ STRONG = "contains(technical_notes_en, 'gwas')"
 SQL = {
     "json_vep": f"WITH {RAWJ} SELECT line_no, target_gene, contig, pos, id, ref, alt, CASE line_no % 3 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'intron_variant' ELSE 'synonymous_variant' END AS vep_most_severe_consequence, CASE WHEN direct THEN 'direct_target_transcript' ELSE 'other_gene_only' END AS vep_status, CASE WHEN direct THEN target_gene WHEN mane THEN 'X' ELSE 'OTHER' END AS vep_gene, own_t AS vep_transcript, 'MODERATE' AS vep_impact, 'p.' || CAST(line_no % 99 AS VARCHAR) AS vep_hgvsp, CAST(line_no % 35 AS DOUBLE) AS vep_cadd_phred, 'intron_variant|missense_variant|splice_region_variant' AS vep_terms, 'OTHER|' || CASE WHEN direct THEN target_gene ELSE 'X' END AS vep_genes FROM jv",
     "win_transcript_pick": f"WITH {RAWJ} SELECT line_no, CASE WHEN direct THEN target_gene ELSE 'X' END AS vep_gene, own_t AS vep_transcript FROM jv",
-    "cls_rsid_resolution": "SELECT line_no, CASE WHEN line_no % 5 = 1 THEN 'rs' || CAST(line_no AS VARCHAR) WHEN line_no % 5 = 3 AND id IN ('rs' || CAST(line_no AS VARCHAR), 'rs' || CAST(line_no + 1 AS VARCHAR)) THEN id ELSE '' END AS resolved_rsid, CASE WHEN line_no % 5 IN (1, 3) AND (id = 'rs' || CAST(line_no AS VARCHAR) OR (line_no % 5 = 3 AND id = 'rs' || CAST(line_no + 1 AS VARCHAR))) THEN 'vcf_id_confirmed_by_vep_exact_allele' WHEN line_no % 5 = 1 THEN 'vep_colocated_exact_allele' WHEN line_no % 5 = 3 THEN 'ambiguous' WHEN line_no % 5 = 2 THEN 'vep_colocated_allele_mismatch' ELSE 'unresolved_no_exact_rsid' END AS rsid_status, CAST(CASE line_no % 5 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS n_exact, CAST(CASE line_no % 5 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS n_colocated FROM vep_payloads",
+    "cls_rsid_resolution": "SELECT line_no, CASE WHEN line_no % 5 = 1 THEN 'rs' || CAST(line_no AS VARCHAR) WHEN line_no % 5 = 3 AND id IN ('rs' || CAST(line_no AS VARCHAR), 'rs' || CAST(line_no + 1 AS VARCHAR)) THEN id ELSE '' END AS resolved_rsid, CASE WHEN line_no % 5 IN (1, 3) AND (id = 'rs' || CAST(line_no AS VARCHAR) OR (line_no % 5 = 3 AND id = 'rs' || CAST(line_no + 1 AS VARCHAR))) THEN 'vcf_id_confirmed_by_vep_exact_allele' WHEN line_no % 5 = 1 THEN 'vep_colocated_exact_allele' WHEN line_no % 5 = 3 THEN 'ambiguous_multiple_exact_rsids' WHEN line_no % 5 = 2 THEN 'vep_colocated_allele_mismatch' ELSE 'unresolved_no_exact_rsid' END AS rsid_status, CAST(CASE line_no % 5 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS n_exact, CAST(CASE line_no % 5 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS n_colocated FROM vep_payloads",
     "json_gwas": "SELECT rsid, CAST(2 AS BIGINT) AS n, CASE WHEN ann_seq % 5 = ann_seq % 3 THEN 't' || CAST(ann_seq % 5 AS VARCHAR) ELSE 't' || CAST(ann_seq % 5 AS VARCHAR) || '|t' || CAST(ann_seq % 3 AS VARCHAR) END AS traits, least(CAST(CAST(ann_seq % 9 + 1 AS VARCHAR) || 'e-' || CAST(ann_seq % 12 + 3 AS VARCHAR) AS DOUBLE), CAST(CAST(ann_seq % 7 + 1 AS VARCHAR) || 'e-' || CAST(ann_seq % 10 + 2 AS VARCHAR) AS DOUBLE)) <= 5e-8 AS strong FROM annotations",
     "json_clinvar": "SELECT rsid, CAST(ann_seq AS VARCHAR) AS ids, 'v' || CAST(ann_seq AS VARCHAR) AS titles, CASE WHEN ann_seq % 2 = 0 THEN 'Benign' ELSE 'Pathogenic' END AS classes, CASE WHEN ann_seq % 2 = 0 THEN '' ELSE 'criteria provided, single submitter' END AS review, 'c' || CAST(ann_seq % 6 AS VARCHAR) AS traits FROM annotations",
     "json_pgx": "SELECT rsid, CAST(1 AS BIGINT) AS n, CASE ann_seq % 3 WHEN 0 THEN '1A' WHEN 1 THEN '2B' ELSE '3' END AS levels, 'warfarin|drug' || CAST(ann_seq % 4 AS VARCHAR) AS chemicals FROM annotations WHERE ann_seq % 2 = 1",
