@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixmill.functions.genotype import let, text
 
@@ -171,7 +172,7 @@ def slug(c: Column) -> Column:
     return F.when(t == "", "unknown").otherwise(t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_text(values: pd.Series) -> pd.Series:
     """Plain ASCII: typographic forms replaced, then accents taken off; the one function that no built-in gives."""
     def plain(x: str | None) -> str:

@@ -65,6 +65,30 @@ def parse_pgx(df: DataFrame, payload: str = "payload") -> DataFrame:
     return out.select(*df.columns, F.size("_p").cast("bigint").alias("n"), t.unique_join(F.transform("_p", lambda x: x["levelOfEvidence"]["term"])).alias("levels"), t.unique_join(F.flatten(F.transform("_p", lambda x: F.transform(x["relatedChemicals"], lambda y: y["name"])))).alias("chemicals"))
 
 
+VARIATION = "struct<name:string,var_class:string,most_severe_consequence:string,MAF:double,phenotypes:array<struct<trait:string>>,populations:array<struct<population:string,allele:string,frequency:double>>,mappings:array<struct<seq_region_name:string,start:bigint,end:bigint,allele_string:string>>>"
+MYVARIANT = "struct<total:int,hits:array<struct<_id:string,_score:double,cadd:struct<phred:double>,clinvar:struct<rcv:array<struct<accession:string>>>>>>"
+
+
+def parse_variation(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Class, consequence, eight phenotypes, twelve populations and the places of a variation record."""
+    out = df.withColumn("_v", F.from_json(payload, VARIATION))
+    people = F.transform(F.slice("_v.populations", 1, 12), lambda x: F.concat(F.lit("pop="), x["population"], F.lit("; allele="), x["allele"], F.lit("; freq="), x["frequency"].cast("string")))
+    places = F.transform("_v.mappings", lambda x: F.concat(x["seq_region_name"], F.lit(":"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
+    return out.select(*[c for c in df.columns if c != payload], F.col("_v.var_class").alias("var_class"), F.col("_v.most_severe_consequence").alias("consequence"), F.col("_v.MAF").alias("maf"), t.unique_join(F.transform("_v.phenotypes", lambda x: x["trait"])).alias("phenotypes"), F.array_join(people, "|").alias("populations"), t.unique_join(places).alias("places"))
+
+
+def parse_myvariant(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Number of hits and the best one: id, score, CADD, first accession."""
+    out = df.withColumn("_m", F.from_json(payload, MYVARIANT)).withColumn("_h", F.get("_m.hits", F.lit(0)))
+    return out.select(*[c for c in df.columns if c != payload], F.coalesce("_m.total", F.lit(0)).alias("hits"), text(F.col("_h._id")).alias("best_id"), F.col("_h._score").alias("score"), F.col("_h.cadd.phred").alias("cadd"), text(F.get("_h.clinvar.rcv", F.lit(0))["accession"]).alias("accession"))
+
+
+def pick_transcript_legacy(transcripts: DataFrame) -> DataFrame:
+    """Per gene the first MANE transcript, else the first canonical, else the first listed."""
+    by = W.partitionBy("gene_id").orderBy(F.when(F.col("is_mane_select") == 1, 0).when(F.col("is_canonical") == 1, 1).otherwise(2), "transcript_id")
+    return transcripts.withColumn("_k", F.row_number().over(by)).where("_k = 1").drop("_k")
+
+
 def merge_cache(writes: DataFrame) -> DataFrame:
     """The latest write of each (assembly, variant, source)."""
     by = W.partitionBy("assembly", "variant_key", "source").orderBy(F.desc("fetched_at"), F.desc("event_id"))

@@ -35,8 +35,14 @@ def axis_rows(s, d):
     return rows.join(F.broadcast(e.map_axis(rows, view(s, d, "axis_patterns"))), "category")
 
 
-FLAGS = {n: t.as_bool(C(n)) for n in ("gene_or_locus_ambiguity_flag", "evidence_conflict_flag", "requires_professional_review")}
-PRIORITY = e.review_priority(C("final_confidence_level"), FLAGS["evidence_conflict_flag"], FLAGS["requires_professional_review"], FLAGS["gene_or_locus_ambiguity_flag"])
+def flag(name):
+    return t.as_bool(C(name))
+
+
+def priority():
+    return e.review_priority(C("final_confidence_level"), flag("evidence_conflict_flag"), flag("requires_professional_review"), flag("gene_or_locus_ambiguity_flag"))
+
+
 NOW = "2024-06-01 00:00:00"
 QUERIES = {
     "json_vep": lambda s, d: e.parse_vep(view(s, d, "vep_payloads")).drop("payload"),
@@ -69,11 +75,11 @@ QUERIES = {
     "agg_interpretation_totals": lambda s, d: view(s, d, "interp").agg(F.count("*").alias("n_rows"), F.count_distinct(F.lower("rsid")).alias("rsids"), F.count_distinct(F.upper("gene")).alias("genes"), *[F.count(F.when(C("final_confidence_level") == x, 1)).alias(x.lower()) for x in ("High", "Moderate", "Low", "Conflicting")]),
     "agg_repeated_rsids": lambda s, d: view(s, d, "interp").groupBy("rsid").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("gene")), "|").alias("genes"), (F.count_distinct("observed_genotype") == 1).alias("same_genotype")).where("n > 1"),
     "agg_multi_variant_genes": lambda s, d: view(s, d, "interp").groupBy("gene").agg(F.count_distinct("rsid").alias("n"), F.array_join(F.array_sort(F.collect_set("rsid")), "|").alias("rsids")).where("n > 1"),
-    "cls_review_priority": lambda s, d: view(s, d, "interp").select("row_id", PRIORITY.alias("priority")),
-    "cls_flag_lists": lambda s, d: view(s, d, "interp").select("row_id", FLAGS["evidence_conflict_flag"].alias("conflict"), FLAGS["requires_professional_review"].alias("review"), FLAGS["gene_or_locus_ambiguity_flag"].alias("ambiguity")).where("conflict OR review OR ambiguity"),
-    "win_top_findings": lambda s, d: view(s, d, "interp").select("row_id", "gene", "rsid", "final_confidence_level", PRIORITY.alias("p")).orderBy(F.when(C("p") == "high", 0).when(C("p") == "medium", 1).otherwise(2), F.when(C("final_confidence_level") == "High", 0).when(C("final_confidence_level") == "Moderate", 1).when(C("final_confidence_level") == "Conflicting", 2).otherwise(3), F.desc("gene"), F.desc("rsid"), "row_id").limit(20).where("NOT (p = 'low' AND final_confidence_level = 'Low')").select("row_id", "p"),
-    "cls_report_readiness": lambda s, d: axis_rows(s, d).agg(F.count(F.when(C("final_confidence_level") == "Conflicting", 1)).alias("conflicting"), F.count(F.when(C("axis_id") == "uncategorized_context", 1)).alias("unmapped"), F.count(F.when(FLAGS["gene_or_locus_ambiguity_flag"], 1)).alias("ambiguous")).withColumns({"clinical_ready": (C("conflicting") + C("unmapped") + C("ambiguous")) == 0}),
-    "agg_qa_warnings": lambda s, d: view(s, d, "interp").select(F.explode(F.split(F.concat_ws("|", F.when(FLAGS["evidence_conflict_flag"], "conflict"), F.when(FLAGS["requires_professional_review"], "review"), F.when(C("row_id") % 3 == 0, "third")), r"\|")).alias("warning")).where("warning <> ''").groupBy("warning").agg(F.count("*").alias("n")),
+    "cls_review_priority": lambda s, d: view(s, d, "interp").select("row_id", priority().alias("priority")),
+    "cls_flag_lists": lambda s, d: view(s, d, "interp").select("row_id", flag("evidence_conflict_flag").alias("conflict"), flag("requires_professional_review").alias("review"), flag("gene_or_locus_ambiguity_flag").alias("ambiguity")).where("conflict OR review OR ambiguity"),
+    "win_top_findings": lambda s, d: view(s, d, "interp").select("row_id", "gene", "rsid", "final_confidence_level", priority().alias("p")).orderBy(F.when(C("p") == "high", 0).when(C("p") == "medium", 1).otherwise(2), F.when(C("final_confidence_level") == "High", 0).when(C("final_confidence_level") == "Moderate", 1).when(C("final_confidence_level") == "Conflicting", 2).otherwise(3), F.desc("gene"), F.desc("rsid"), "row_id").limit(20).where("NOT (p = 'low' AND final_confidence_level = 'Low')").select("row_id", "p"),
+    "cls_report_readiness": lambda s, d: axis_rows(s, d).agg(F.count(F.when(C("final_confidence_level") == "Conflicting", 1)).alias("conflicting"), F.count(F.when(C("axis_id") == "uncategorized_context", 1)).alias("unmapped"), F.count(F.when(flag("gene_or_locus_ambiguity_flag"), 1)).alias("ambiguous")).withColumns({"clinical_ready": (C("conflicting") + C("unmapped") + C("ambiguous")) == 0}),
+    "agg_qa_warnings": lambda s, d: view(s, d, "interp").select(F.explode(F.split(F.concat_ws("|", F.when(flag("evidence_conflict_flag"), "conflict"), F.when(flag("requires_professional_review"), "review"), F.when(C("row_id") % 3 == 0, "third")), r"\|")).alias("warning")).where("warning <> ''").groupBy("warning").agg(F.count("*").alias("n")),
     "cls_association_raise": lambda s, d: view(s, d, "interp").select("row_id", F.when((C("final_confidence_level") == "Low") & t.any_of(C("technical_notes_en"), t.NONCODING) & t.gwas_strong(C("technical_notes_en")) & t.any_of(C("technical_notes_en"), t.BIOMARKERS), "Moderate").otherwise(C("final_confidence_level")).alias("confidence")),
     "cls_calibrated_scope": lambda s, d: view(s, d, "interp").select("row_id", F.when(C("final_confidence_level") == "Conflicting", "conflicting_review_needed").when((C("final_confidence_level") == "Low") & t.any_of(C("technical_notes_en"), t.NONCODING), "association_only").when(C("final_confidence_level") == "Low", "limited_evidence").when(F.contains("technical_notes_en", F.lit("pharmgkb")), "pharmacogenomic").otherwise("benign_contextual").alias("scope")),
     "cls_readiness": lambda s, d: scored(s, d).select("rsid", F.size(F.array_compact(F.array(F.when(C("vep_hgvsp") != "", "hgvsp"), F.when(t.as_float(C("vep_cadd_phred")) >= 10, "cadd"), F.when(C("clinvar_significance").isNotNull(), "clinvar"), F.when(t.as_int(C("gwas_association_count")) > 0, "gwas"), F.when(t.as_int(C("pharmgkb_clinical_annotation_count")) > 0, "pgx")))).alias("k")).select("rsid", F.when(C("k") >= 4, "high").when(C("k") >= 3, "moderate").otherwise("limited").alias("readiness")),

@@ -81,6 +81,27 @@ def indels(s, d):
     return q_match.alleles(s, d).where("length(ref) = 1 AND length(allele) = 2").select("upload_id", "line_no", "alt_index", "contig", "start", F.lit("A").alias("ref"), F.lit("AA").alias("alt"))
 
 
+def variation_payloads(s, d):
+    """Variation records made from the annotations."""
+    a = view(s, d, "annotations")
+    record = F.struct(C("rsid").alias("name"), F.lit("SNP").alias("var_class"), F.lit("intron_variant").alias("most_severe_consequence"), (C("ann_seq") % 50 / 100).alias("MAF"), F.array(F.struct(F.coalesce("clinvar_significance", F.lit("none")).alias("trait"))).alias("phenotypes"), F.array(F.struct(F.lit("AFR").alias("population"), F.lit("G").alias("allele"), F.lit(0.25).alias("frequency"))).alias("populations"), F.array(F.struct(F.lit("1").alias("seq_region_name"), C("ann_seq").alias("start"), C("ann_seq").alias("end"), F.lit("A/G").alias("allele_string"))).alias("mappings"))
+    return a.select("rsid", F.to_json(record).alias("payload"))
+
+
+def hit_payloads(s, d):
+    a = view(s, d, "annotations")
+    record = F.struct(F.lit(1).alias("total"), F.array(F.struct(C("rsid").alias("_id"), F.lit(1.5).alias("_score"), F.struct(C("cadd_phred").cast("double").alias("phred")).alias("cadd"), F.struct(F.array(F.struct(F.concat(F.lit("RCV"), C("ann_seq").cast("string")).alias("accession"))).alias("rcv")).alias("clinvar"))).alias("hits"))
+    return a.select("rsid", F.when(C("ann_seq") % 4 > 0, F.to_json(record)).otherwise('{"total":0,"hits":[]}').alias("payload"))
+
+
+def report_sections(s, d):
+    """Flattened report parts: axes, categories and repeated identifiers as (section, item, n, confidence)."""
+    axes = e.distribution(q_evidence.axis_rows(s, d), ["axis_id"]).select(F.lit("axis").alias("section"), C("axis_id").alias("item"), "rows", "suggested_confidence")
+    categories = e.distribution(view(s, d, "interp"), ["category"]).select(F.lit("category").alias("section"), C("category").alias("item"), "rows", "suggested_confidence")
+    ids = e.distribution(view(s, d, "interp"), ["rsid"]).where("rows > 1").select(F.lit("repeated").alias("section"), C("rsid").alias("item"), "rows", "suggested_confidence")
+    return axes.unionByName(categories).unionByName(ids)
+
+
 QUERIES = {
     "cls_calibrate": lambda s, d: i.calibrate(rules(s, d)).select("row_id", "calibrated", "note"),
     "cls_professional_review": lambda s, d: i.calibrate(rules(s, d)).select("row_id", i.professional_review(C("calibrated"), t.as_bool(C("gene_or_locus_ambiguity_flag"))).alias("review")),
@@ -101,6 +122,10 @@ QUERIES = {
     "win_first_mapping": lambda s, d: q_vcf.records(s, d).select("line_no", i.first_mapping(F.array(F.struct(F.lit("scaffold").alias("coord_system"), F.lit("x").alias("seq_region_name"), F.lit(1).cast("bigint").alias("start"), F.lit("A/C").alias("allele_string")), F.struct(F.when(C("line_no") % 2 == 0, "chromosome").otherwise("other").alias("coord_system"), C("chrom").alias("seq_region_name"), C("pos").try_cast("bigint").alias("start"), F.concat_ws("/", "ref", F.replace("alt", F.lit(","), F.lit("/"))).alias("allele_string")))).alias("m")).select("line_no", "m.*"),
     "fn_colocated_match": lambda s, d: q_vcf.records(s, d).select("line_no", i.colocated_match(F.when(C("line_no") % 3 == 0, "").otherwise("5"), C("chrom")).alias("same")),
     "fn_left_align": lambda s, d: i.left_align(indels(s, d), reference(s, d)),
+    "win_transcript_pick_legacy": lambda s, d: e.pick_transcript_legacy(view(s, d, "transcripts").withColumn("is_canonical", (C("transcript_id").endswith("_2")).cast("int"))).select("gene_id", "transcript_id"),
+    "json_ensembl_variation": lambda s, d: e.parse_variation(variation_payloads(s, d)),
+    "json_myvariant": lambda s, d: e.parse_myvariant(hit_payloads(s, d)),
+    "set_report_sections": report_sections,
     "src_vcf_text": lambda s, d: vcf.read_vcf(s, vcf_folder(s, d)).groupBy(F.substring("line", 1, 3).alias("head")).agg(F.count("*").alias("n")),
     "src_csv": lambda s, d: files.read_table(s, csv_folder(s, d)),
     "src_canon_sheet": lambda s, d: files.read_canon(s, csv_folder(s, d)),
@@ -123,6 +148,10 @@ q3 AS (SELECT *, weak AND NOT conf AND NOT (direct AND NOT contains(cls, 'benign
 q4 AS (SELECT *, CASE WHEN conf AND (path OR fun OR review LIKE '%expert panel') THEN 'conflict' WHEN cur = 'Conflicting' AND NOT conf THEN 'conflict_downgraded' WHEN low THEN 'low_weight' WHEN weak AND cur = 'High' THEN 'noncoding_cap' WHEN weak THEN 'noncoding_kept' WHEN cur = 'High' AND alt THEN 'alt_cap' WHEN cur = 'High' AND pm AND NOT fun THEN 'source_cap' ELSE 'kept' END AS note FROM q3),
 q5 AS (SELECT *, CASE note WHEN 'conflict' THEN 'Conflicting' WHEN 'low_weight' THEN 'Low' WHEN 'noncoding_kept' THEN cur WHEN 'kept' THEN cur ELSE 'Moderate' END AS calibrated FROM q4)"""
 SQL = {
+    "win_transcript_pick_legacy": "SELECT gene_id, transcript_id FROM transcripts QUALIFY row_number() OVER (PARTITION BY gene_id ORDER BY CASE WHEN is_mane_select = 1 THEN 0 WHEN transcript_id LIKE '%!_2' ESCAPE '!' THEN 1 ELSE 2 END, transcript_id) = 1",
+    "json_ensembl_variation": "SELECT rsid, 'SNP' AS var_class, 'intron_variant' AS consequence, ann_seq % 50 / 100.0 AS maf, CASE WHEN lower(clinvar_significance) IS NULL THEN '' ELSE clinvar_significance END AS phenotypes, 'pop=AFR; allele=G; freq=0.25' AS populations, '1:' || CAST(ann_seq AS VARCHAR) || '-' || CAST(ann_seq AS VARCHAR) AS places FROM annotations",
+    "json_myvariant": "SELECT rsid, CASE WHEN ann_seq % 4 > 0 THEN 1 ELSE 0 END AS hits, CASE WHEN ann_seq % 4 > 0 THEN rsid ELSE '' END AS best_id, CASE WHEN ann_seq % 4 > 0 THEN CAST(1.5 AS DOUBLE) END AS score, CASE WHEN ann_seq % 4 > 0 THEN CAST(cadd_phred AS DOUBLE) END AS cadd, CASE WHEN ann_seq % 4 > 0 THEN 'RCV' || CAST(ann_seq AS VARCHAR) ELSE '' END AS accession FROM annotations",
+    "set_report_sections": f"WITH {q_evidence.AX} SELECT 'axis' AS section, axis_id AS item, rows, suggested_confidence FROM ({q_evidence.dist('axis_id', 'ar')}) UNION ALL SELECT 'category', category, rows, suggested_confidence FROM ({q_evidence.dist('category')}) UNION ALL SELECT 'repeated', rsid, rows, suggested_confidence FROM ({q_evidence.dist('rsid')}) WHERE rows > 1",
     "cls_calibrate": f"WITH {CAL} SELECT row_id, calibrated, note FROM q5",
     "cls_professional_review": f"WITH {CAL} SELECT row_id, calibrated = 'Conflicting' OR conf OR path OR (drug AND calibrated IN ('High', 'Moderate', 'Conflicting')) OR (alt AND fun) OR (amb AND calibrated <> 'Low') AS review FROM q5",
     "cls_interpretation_output": f"WITH {CAL} SELECT row_id, calibrated, calibrated = 'Conflicting' AS conflict_flag, 'Calibration: ' || note AS note FROM q5",

@@ -10,49 +10,65 @@ from helixmill.plans.fixtures import view
 C = F.col
 
 
-def on(name, key, *extra, **columns):
-    return lambda s, d: view(s, d, name).select(*key, *extra, *[c.alias(n) for n, c in columns.items()])
+def on(name, key, columns):
+    """Query that adds columns to the key of a view. columns() names them once there is a session."""
+    return lambda s, d: view(s, d, name).select(*key, *[c.alias(n) for n, c in columns().items()])
 
 
 I, A, K = ("row_id",), ("rsid",), ("canon_row_id",)
 #: Test text made of fixture columns: spaces, line ends, null words, accents.
-RAW = F.when(C("row_id") % 5 == 0, "  NaN ").when(C("row_id") % 5 == 1, F.concat(F.lit(" a\n\t b  "), C("gene"))).when(C("row_id") % 5 == 2, F.concat(F.lit(" "), C("rsid"), F.lit(" "))).when(C("row_id") % 5 == 3, "<na>").otherwise("")
+def raw():
+    return F.when(C("row_id") % 5 == 0, "  NaN ").when(C("row_id") % 5 == 1, F.concat(F.lit(" a\n\t b  "), C("gene"))).when(C("row_id") % 5 == 2, F.concat(F.lit(" "), C("rsid"), F.lit(" "))).when(C("row_id") % 5 == 3, "<na>").otherwise("")
+
+
 RAW_SQL = "CASE row_id % 5 WHEN 0 THEN '  NaN ' WHEN 1 THEN ' a' || chr(10) || chr(9) || ' b  ' || gene WHEN 2 THEN chr(160) || rsid || chr(160) WHEN 3 THEN '<na>' ELSE '' END"
-NUM = F.when(C("row_id") % 4 == 0, "x").when(C("row_id") % 4 == 1, F.concat(F.lit(" "), C("row_id").cast("string"), F.lit(".75 "))).when(C("row_id") % 4 == 2, "-3").otherwise("1e2")
+def num():
+    return F.when(C("row_id") % 4 == 0, "x").when(C("row_id") % 4 == 1, F.concat(F.lit(" "), C("row_id").cast("string"), F.lit(".75 "))).when(C("row_id") % 4 == 2, "-3").otherwise("1e2")
+
+
 NUM_SQL = "CASE row_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN ' ' || CAST(row_id AS VARCHAR) || '.75 ' WHEN 2 THEN '-3' ELSE '1e2' END"
-BLOB = F.concat(C("technical_notes_en"), F.when(C("row_id") % 3 == 0, " multiple associations").when(C("row_id") % 3 == 1, " p-value: 2.0e-08").otherwise(" no gwas"))
+def blob():
+    return F.concat(C("technical_notes_en"), F.when(C("row_id") % 3 == 0, " multiple associations").when(C("row_id") % 3 == 1, " p-value: 2.0e-08").otherwise(" no gwas"))
+
+
 BLOB_SQL = "technical_notes_en || CASE row_id % 3 WHEN 0 THEN ' multiple associations' WHEN 1 THEN ' p-value: 2.0e-08' ELSE ' no gwas' END"
-SENTENCE = F.concat(F.left(F.regexp_replace("interpretation_one_sentence_en", "[^a-zA-Z. ]", ""), 150 + C("row_id").cast("int") % 300), F.when(C("row_id") % 3 == 0, "; then").when(C("row_id") % 3 == 1, " but so").otherwise(""))
+def sentence():
+    return F.concat(F.left(F.regexp_replace("interpretation_one_sentence_en", "[^a-zA-Z. ]", ""), 150 + C("row_id").cast("int") % 300), F.when(C("row_id") % 3 == 0, "; then").when(C("row_id") % 3 == 1, " but so").otherwise(""))
+
+
 SENTENCE_SQL = "left(regexp_replace(interpretation_one_sentence_en, '[^a-zA-Z. ]', '', 'g'), 150 + row_id % 300) || CASE row_id % 3 WHEN 0 THEN '; then' WHEN 1 THEN ' but so' ELSE '' END"
-PMAX = t.population_max(C("populations"))
+def pmax():
+    return t.population_max(C("populations"))
+
+
 
 QUERIES = {
-    "prj_clean_str": on("interp", I, a=t.clean_str(RAW), b=t.clean_str(RAW, "null_words"), c=t.clean_str(RAW, "collapse"), d=t.clean_str(RAW, "nbsp")),
-    "prj_first_present": on("interp", I, value=t.first_present(RAW, F.when(C("row_id") % 3 == 0, " none ").otherwise(C("gene")), C("rsid"))),
-    "prj_as_bool": on("interp", I, plain=t.as_bool(F.when(C("row_id") % 3 == 0, " YES ").when(C("row_id") % 3 == 1, "on").otherwise(C("evidence_conflict_flag"))), option=t.as_bool(F.when(C("row_id") % 3 == 1, "on").otherwise("0"), True)),
-    "prj_as_number": on("interp", I, f=t.as_float(NUM, 1.5), i=t.as_int(NUM, 7)),
-    "fn_unique_join": on("annotations", A, joined=t.unique_join(F.array("clinvar_significance", F.lit(" none"), "revel_score", "clinvar_significance", "cadd_phred"), 2, "; ")),
-    "fn_pipe_display": on("annotations", A, shown=t.pipe_display(C("populations"))),
-    "fn_population_max": on("annotations", A, pop=PMAX["pop"], allele=PMAX["allele"], freq=PMAX["freq"], n=PMAX["n"].cast("bigint")),
-    "fn_clinvar_class": on("annotations", A, cls=t.clinvar_class(C("clinvar_significance"))),
-    "fn_clinvar_strength": on("annotations", A, strength=t.clinvar_strength(C("clinvar_review_status"))),
-    "fn_clinvar_conflict": on("annotations", A, conflict=t.clinvar_conflict(C("clinvar_significance"), C("clinvar_review_status"))),
-    "fn_norm_gene_symbol": on("canon_rows", K, symbol=t.norm_gene_symbol(F.concat(F.lit(" g β-"), C("gene_id").cast("string"), F.lit("?x")))),
-    "fn_extract_gene": on("canon_rows", K, gene=t.extract_gene(F.when(C("gene_id") % 4 == 0, "rs12").when(C("gene_id") % 4 == 1, F.concat(F.lit("tp"), C("gene_id").cast("string"), F.lit("(x)"))).when(C("gene_id") % 4 == 2, "a/b").otherwise("*c1 d"))),
-    "fn_extract_category": on("canon_rows", K, category=t.extract_category(F.when(C("gene_id") % 4 == 0, C("module_name")).when(C("gene_id") % 4 == 1, "rs77").when(C("gene_id") % 4 == 2, "Sleep").otherwise("zzz"), C("module_id"), C("gene_id") % 2)),
-    "fn_slug": on("canon_rows", K, slug=t.slug(F.when(C("gene_id") % 9 == 0, "--").otherwise(C("module_name")))),
-    "fn_match_text": on("canon_rows", K, norm=t.match_text(C("module_name"))),
-    "fn_shorten_sentence": on("interp", I, short=t.shorten_sentence(SENTENCE)),
-    "fn_evidence_blob": on("interp", I, blob=t.lower_blob(C("technical_notes_en"), F.lit(None).cast("string"), F.lit(" "), C("zygosity"))),
-    "fn_gwas_signal": on("interp", I, support=t.gwas_support(BLOB), strong=t.gwas_strong(BLOB)),
-    "fn_biomarker_terms": on("interp", I, found=t.any_of(C("technical_notes_en"), t.BIOMARKERS)),
-    "fn_noncoding_terms": on("interp", I, marker=t.any_of(C("technical_notes_en"), t.NONCODING) & t.gwas_support(C("technical_notes_en"))),
-    "json_list_field": on("interp", I, n=F.size(t.json_list(F.when(C("row_id") % 3 == 0, F.concat(F.lit('["a","'), C("gene"), F.lit('"]'))).when(C("row_id") % 3 == 1, "[]").otherwise("{bad"))).cast("bigint")),
-    "prj_language_text": on("interp", I, en=C("technical_notes_en"), chosen=F.when(C("row_id") % 2 == 0, C("technical_notes_en")).otherwise(C("category"))),
-    "fn_compact_number": on("annotations", A, cadd=t.compact_number(C("cadd_phred")), p=t.compact_number(C("gwas_min_pvalue")), x=t.compact_number((C("ann_seq") / 7).cast("string"))),
-    "fn_compact_json": on("annotations", A, j=t.compact_json(F.struct("cadd_phred", "revel_score", "rsid"), 40)),
-    "fn_fingerprint": on("annotations", A, f=t.fingerprint(C("cadd_phred"), C("revel_score"))),
-    "fn_ascii_text": on("interp", I, plain=t.ascii_text(F.left("interpretation_one_sentence_en", F.lit(120)))),
+    "prj_clean_str": on("interp", I, lambda: dict(a=t.clean_str(raw()), b=t.clean_str(raw(), "null_words"), c=t.clean_str(raw(), "collapse"), d=t.clean_str(raw(), "nbsp"))),
+    "prj_first_present": on("interp", I, lambda: dict(value=t.first_present(raw(), F.when(C("row_id") % 3 == 0, " none ").otherwise(C("gene")), C("rsid")))),
+    "prj_as_bool": on("interp", I, lambda: dict(plain=t.as_bool(F.when(C("row_id") % 3 == 0, " YES ").when(C("row_id") % 3 == 1, "on").otherwise(C("evidence_conflict_flag"))), option=t.as_bool(F.when(C("row_id") % 3 == 1, "on").otherwise("0"), True))),
+    "prj_as_number": on("interp", I, lambda: dict(f=t.as_float(num(), 1.5), i=t.as_int(num(), 7))),
+    "fn_unique_join": on("annotations", A, lambda: dict(joined=t.unique_join(F.array("clinvar_significance", F.lit(" none"), "revel_score", "clinvar_significance", "cadd_phred"), 2, "; "))),
+    "fn_pipe_display": on("annotations", A, lambda: dict(shown=t.pipe_display(C("populations")))),
+    "fn_population_max": on("annotations", A, lambda: dict(pop=pmax()["pop"], allele=pmax()["allele"], freq=pmax()["freq"], n=pmax()["n"].cast("bigint"))),
+    "fn_clinvar_class": on("annotations", A, lambda: dict(cls=t.clinvar_class(C("clinvar_significance")))),
+    "fn_clinvar_strength": on("annotations", A, lambda: dict(strength=t.clinvar_strength(C("clinvar_review_status")))),
+    "fn_clinvar_conflict": on("annotations", A, lambda: dict(conflict=t.clinvar_conflict(C("clinvar_significance"), C("clinvar_review_status")))),
+    "fn_norm_gene_symbol": on("canon_rows", K, lambda: dict(symbol=t.norm_gene_symbol(F.concat(F.lit(" g β-"), C("gene_id").cast("string"), F.lit("?x"))))),
+    "fn_extract_gene": on("canon_rows", K, lambda: dict(gene=t.extract_gene(F.when(C("gene_id") % 4 == 0, "rs12").when(C("gene_id") % 4 == 1, F.concat(F.lit("tp"), C("gene_id").cast("string"), F.lit("(x)"))).when(C("gene_id") % 4 == 2, "a/b").otherwise("*c1 d")))),
+    "fn_extract_category": on("canon_rows", K, lambda: dict(category=t.extract_category(F.when(C("gene_id") % 4 == 0, C("module_name")).when(C("gene_id") % 4 == 1, "rs77").when(C("gene_id") % 4 == 2, "Sleep").otherwise("zzz"), C("module_id"), C("gene_id") % 2))),
+    "fn_slug": on("canon_rows", K, lambda: dict(slug=t.slug(F.when(C("gene_id") % 9 == 0, "--").otherwise(C("module_name"))))),
+    "fn_match_text": on("canon_rows", K, lambda: dict(norm=t.match_text(C("module_name")))),
+    "fn_shorten_sentence": on("interp", I, lambda: dict(short=t.shorten_sentence(sentence()))),
+    "fn_evidence_blob": on("interp", I, lambda: dict(blob=t.lower_blob(C("technical_notes_en"), F.lit(None).cast("string"), F.lit(" "), C("zygosity")))),
+    "fn_gwas_signal": on("interp", I, lambda: dict(support=t.gwas_support(blob()), strong=t.gwas_strong(blob()))),
+    "fn_biomarker_terms": on("interp", I, lambda: dict(found=t.any_of(C("technical_notes_en"), t.BIOMARKERS))),
+    "fn_noncoding_terms": on("interp", I, lambda: dict(marker=t.any_of(C("technical_notes_en"), t.NONCODING) & t.gwas_support(C("technical_notes_en")))),
+    "json_list_field": on("interp", I, lambda: dict(n=F.size(t.json_list(F.when(C("row_id") % 3 == 0, F.concat(F.lit('["a","'), C("gene"), F.lit('"]'))).when(C("row_id") % 3 == 1, "[]").otherwise("{bad"))).cast("bigint"))),
+    "prj_language_text": on("interp", I, lambda: dict(en=C("technical_notes_en"), chosen=F.when(C("row_id") % 2 == 0, C("technical_notes_en")).otherwise(C("category")))),
+    "fn_compact_number": on("annotations", A, lambda: dict(cadd=t.compact_number(C("cadd_phred")), p=t.compact_number(C("gwas_min_pvalue")), x=t.compact_number((C("ann_seq") / 7).cast("string")))),
+    "fn_compact_json": on("annotations", A, lambda: dict(j=t.compact_json(F.struct("cadd_phred", "revel_score", "rsid"), 40))),
+    "fn_fingerprint": on("annotations", A, lambda: dict(f=t.fingerprint(C("cadd_phred"), C("revel_score")))),
+    "fn_ascii_text": on("interp", I, lambda: dict(plain=t.ascii_text(F.left("interpretation_one_sentence_en", F.lit(120))))),
 }
 
 HINTS = "[" + ", ".join("'" + h + "'" for h in t.CATEGORY_HINTS) + "]"

@@ -28,9 +28,9 @@ def alleles(spark, d):
     return vcf.explode_alleles(records(spark, d))
 
 
-def on(source, **columns):
-    """Query that adds columns to the key of source's rows."""
-    return lambda spark, d: source(spark, d).select(*[c for c in (*KEY, "alt_index") if c in KEY or source is alleles], *[c.alias(n) for n, c in columns.items()])
+def on(source, columns):
+    """Query that adds columns to the key of source's rows. columns() names them once there is a session."""
+    return lambda spark, d: source(spark, d).select(*[c for c in (*KEY, "alt_index") if c in KEY or source is alleles], *[c.alias(n) for n, c in columns().items()])
 
 
 def header_lines(spark, d):
@@ -49,37 +49,37 @@ def uploads(spark, d):
 QUERIES = {
     "src_vcf_records": lambda s, d: records(s, d),
     "src_vcf_headers": lambda s, d: vcf.parse_headers(header_lines(s, d)),
-    "flt_supported_contig": on(records, contig=g.norm_chrom(C("chrom")), supported=g.is_supported_contig(C("chrom"))),
-    "flt_symbolic_alt": on(alleles, allele=C("allele"), symbolic=g.is_symbolic(C("allele"))),
+    "flt_supported_contig": on(records, lambda: dict(contig=g.norm_chrom(C("chrom")), supported=g.is_supported_contig(C("chrom")))),
+    "flt_symbolic_alt": on(alleles, lambda: dict(allele=C("allele"), symbolic=g.is_symbolic(C("allele")))),
     "flt_observed_alleles": lambda s, d: alleles(s, d).where("dosage > 0").select(*KEY, "alt_index", "allele", "dosage"),
-    "fn_norm_chrom": on(records, chrom=C("chrom"), norm=g.norm_chrom(C("chrom"))),
-    "fn_norm_chrom_legacy": on(records, chrom=C("chrom"), norm=g.norm_chrom_legacy(C("chrom"))),
-    "fn_extract_gt": on(called, gt=C("gt")),
-    "fn_split_gt": on(called, parts=F.array_join(g.split_gt(C("gt")), ","), n=F.size(g.split_gt(C("gt"))).cast("bigint")),
-    "fn_classify_gt": on(called, gt_class=g.classify_gt(C("gt"))),
-    "fn_zygosity": on(called, zygosity=g.zygosity(C("gt"))),
-    "fn_zygosity_alt": on(alleles, zygosity=g.zygosity_alt(C("gt"), C("dosage"))),
-    "fn_dosage": on(alleles, dosage=C("dosage").cast("bigint")),
-    "fn_gt_alleles": on(called, alleles=g.gt_alleles(C("gt"), C("ref"), C("alt"))),
-    "fn_explode_alleles": on(alleles, allele=C("allele"), start=C("start")),
-    "fn_variant_key": on(alleles, variant_key=g.variant_key(F.lit("GRCh38"), C("contig"), C("start"), C("ref"), C("allele"))),
-    "fn_parse_info": on(records, end=F.try_element_at(g.parse_info(C("info")), F.lit("END")), svtype=F.try_element_at(g.parse_info(C("info")), F.lit("SVTYPE")), db=F.try_element_at(g.parse_info(C("info")), F.lit("DB")), n=F.size(g.parse_info(C("info"))).cast("bigint")),
-    "fn_variant_interval": on(alleles, start=C("start"), end=C("end"), warning=g.interval_warning(C("info"), C("allele"))),
-    "fn_overlap": on(alleles, hit=g.overlaps(C("start"), C("end"), F.lit(1001), F.lit(150000))),
+    "fn_norm_chrom": on(records, lambda: dict(chrom=C("chrom"), norm=g.norm_chrom(C("chrom")))),
+    "fn_norm_chrom_legacy": on(records, lambda: dict(chrom=C("chrom"), norm=g.norm_chrom_legacy(C("chrom")))),
+    "fn_extract_gt": on(called, lambda: dict(gt=C("gt"))),
+    "fn_split_gt": on(called, lambda: dict(parts=F.array_join(g.split_gt(C("gt")), ","), n=F.size(g.split_gt(C("gt"))).cast("bigint"))),
+    "fn_classify_gt": on(called, lambda: dict(gt_class=g.classify_gt(C("gt")))),
+    "fn_zygosity": on(called, lambda: dict(zygosity=g.zygosity(C("gt")))),
+    "fn_zygosity_alt": on(alleles, lambda: dict(zygosity=g.zygosity_alt(C("gt"), C("dosage")))),
+    "fn_dosage": on(alleles, lambda: dict(dosage=C("dosage").cast("bigint"))),
+    "fn_gt_alleles": on(called, lambda: dict(alleles=g.gt_alleles(C("gt"), C("ref"), C("alt")))),
+    "fn_explode_alleles": on(alleles, lambda: dict(allele=C("allele"), start=C("start"))),
+    "fn_variant_key": on(alleles, lambda: dict(variant_key=g.variant_key(F.lit("GRCh38"), C("contig"), C("start"), C("ref"), C("allele")))),
+    "fn_parse_info": on(records, lambda: dict(end=F.try_element_at(g.parse_info(C("info")), F.lit("END")), svtype=F.try_element_at(g.parse_info(C("info")), F.lit("SVTYPE")), db=F.try_element_at(g.parse_info(C("info")), F.lit("DB")), n=F.size(g.parse_info(C("info"))).cast("bigint"))),
+    "fn_variant_interval": on(alleles, lambda: dict(start=C("start"), end=C("end"), warning=g.interval_warning(C("info"), C("allele")))),
+    "fn_overlap": on(alleles, lambda: dict(hit=g.overlaps(C("start"), C("end"), F.lit(1001), F.lit(150000)))),
     "fn_parse_orig": lambda s, d: alleles(s, d).withColumn("note", F.when(C("line_no") % 2 == 0, F.concat(F.lit("ORIG="), C("contig"), F.lit("|"), (C("start") - 1).cast("string"), F.lit("|"), C("ref"), F.lit("|"), C("allele"), F.when(C("line_no") % 4 == 0, F.concat(F.lit("|"), C("alt_index").cast("string"))).otherwise(""))).when(C("line_no") % 3 == 0, "ORIG=chr1|5").otherwise(C("info"))).select(*KEY, "alt_index", g.orig_part(C("note"), 0, C("contig")).alias("source_chrom"), g.orig_part(C("note"), 1, C("start").cast("string")).alias("source_pos"), g.orig_part(C("note"), 2, C("ref")).alias("source_ref"), g.orig_part(C("note"), 3, C("allele")).alias("source_alt"), g.orig_part(C("note"), 4, F.lit("1")).alias("source_index"), g.orig_part(C("note"), 4, F.lit("")).alias("source_index_plain")),
-    "fn_quality_flag": on(records, flag=g.quality_flag(C("filter"))),
-    "fn_is_snv": on(records, snv=g.is_snv(C("ref"), C("alt"))),
-    "fn_compare_ref": on(records, status=g.compare_ref(F.when(C("line_no") % 3 == 0, "").when(C("line_no") % 3 == 1, "a").otherwise("GA"), F.when(C("line_no") % 7 == 0, "").otherwise(C("ref")))),
-    "fn_compare_alt": on(records, status=g.compare_alt(F.when(C("line_no") % 4 == 0, "").when(C("line_no") % 4 == 1, "TC,G").when(C("line_no") % 4 == 2, "g, A").otherwise("T"), F.when(C("line_no") % 7 == 0, "").otherwise(C("alt")))),
-    "set_allele_compare": on(records, same=(F.size(F.array_except(g.allele_set(C("alt")), g.allele_set(F.lit("TC,G")))) == 0) & (F.size(F.array_except(g.allele_set(F.lit("TC,G")), g.allele_set(C("alt")))) == 0), shared=F.array_join(F.array_sort(F.array_intersect(g.allele_set(C("alt")), g.allele_set(F.lit("TC,G")))), ",")),
-    "fn_match_keys": on(records, key_pos=g.joined_key(":", C("chrom"), C("pos")), key_full=g.joined_key("|", C("chrom"), C("pos"), C("ref"), F.when(C("line_no") % 5 == 0, "").otherwise(C("alt")))),
-    "fn_rsids": on(records, rsids=F.array_join(g.extract_rsids(F.concat(C("id"), F.lit(" RS5, xrs7 rs12;"), C("id"))), ","), first=g.first_rsid(F.concat(C("id"), F.lit(" rs12"))), whole=g.normalize_rsid(F.upper("id"))),
+    "fn_quality_flag": on(records, lambda: dict(flag=g.quality_flag(C("filter")))),
+    "fn_is_snv": on(records, lambda: dict(snv=g.is_snv(C("ref"), C("alt")))),
+    "fn_compare_ref": on(records, lambda: dict(status=g.compare_ref(F.when(C("line_no") % 3 == 0, "").when(C("line_no") % 3 == 1, "a").otherwise("GA"), F.when(C("line_no") % 7 == 0, "").otherwise(C("ref"))))),
+    "fn_compare_alt": on(records, lambda: dict(status=g.compare_alt(F.when(C("line_no") % 4 == 0, "").when(C("line_no") % 4 == 1, "TC,G").when(C("line_no") % 4 == 2, "g, A").otherwise("T"), F.when(C("line_no") % 7 == 0, "").otherwise(C("alt"))))),
+    "set_allele_compare": on(records, lambda: dict(same=(F.size(F.array_except(g.allele_set(C("alt")), g.allele_set(F.lit("TC,G")))) == 0) & (F.size(F.array_except(g.allele_set(F.lit("TC,G")), g.allele_set(C("alt")))) == 0), shared=F.array_join(F.array_sort(F.array_intersect(g.allele_set(C("alt")), g.allele_set(F.lit("TC,G")))), ","))),
+    "fn_match_keys": on(records, lambda: dict(key_pos=g.joined_key(":", C("chrom"), C("pos")), key_full=g.joined_key("|", C("chrom"), C("pos"), C("ref"), F.when(C("line_no") % 5 == 0, "").otherwise(C("alt"))))),
+    "fn_rsids": on(records, lambda: dict(rsids=F.array_join(g.extract_rsids(F.concat(C("id"), F.lit(" RS5, xrs7 rs12;"), C("id"))), ","), first=g.first_rsid(F.concat(C("id"), F.lit(" rs12"))), whole=g.normalize_rsid(F.upper("id")))),
     "fn_allele_signature": lambda s, d: alleles(s, d).withColumn("sig", g.allele_signature(F.concat(F.lit("CA"), C("ref"), F.lit("T")), F.concat(F.lit("CA"), C("allele"), F.lit("GT")))).select(*KEY, "alt_index", C("sig.ref").alias("ref"), C("sig.alt").alias("alt"), C("sig.prefix").cast("bigint").alias("prefix")),
-    "fn_exact_allele": on(alleles, exact=g.exact_allele(F.lit("a/G|T,TA"), C("ref"), C("allele"))),
-    "fn_observed_alts": on(called, alts=g.observed_alts(g.gt_alleles(C("gt"), C("ref"), C("alt")), C("ref"))),
-    "fn_genotype_display": on(called, shown=g.genotype_display(g.gt_alleles(C("gt"), C("ref"), C("alt")))),
-    "fn_ref_alt_display": on(records, shown=g.ref_alt_display(F.when(C("line_no") % 2 == 0, C("ref")), C("alt"), F.when(C("line_no") % 3 == 0, F.lit("N")), F.lit("M"))),
-    "fn_variant_ref": on(alleles, ref=g.variant_ref(C("id"), C("contig"), C("start"), C("ref"), F.when(C("line_no") % 5 > 0, C("allele")), F.concat(F.lit("own"), C("line_no").cast("string")))),
+    "fn_exact_allele": on(alleles, lambda: dict(exact=g.exact_allele(F.lit("a/G|T,TA"), C("ref"), C("allele")))),
+    "fn_observed_alts": on(called, lambda: dict(alts=g.observed_alts(g.gt_alleles(C("gt"), C("ref"), C("alt")), C("ref")))),
+    "fn_genotype_display": on(called, lambda: dict(shown=g.genotype_display(g.gt_alleles(C("gt"), C("ref"), C("alt"))))),
+    "fn_ref_alt_display": on(records, lambda: dict(shown=g.ref_alt_display(F.when(C("line_no") % 2 == 0, C("ref")), C("alt"), F.when(C("line_no") % 3 == 0, F.lit("N")), F.lit("M")))),
+    "fn_variant_ref": on(alleles, lambda: dict(ref=g.variant_ref(C("id"), C("contig"), C("start"), C("ref"), F.when(C("line_no") % 5 > 0, C("allele")), F.concat(F.lit("own"), C("line_no").cast("string"))))),
     "agg_vcf_stats": lambda s, d: vcf.vcf_stats(lines(s, d)),
     "agg_top_contigs": lambda s, d: vcf.top_contigs(records(s, d)).select("upload_id", "chrom", "n", C("rank").cast("bigint").alias("rank")),
     "agg_contig_labels": lambda s, d: vcf.contig_labels(records(s, d)),

@@ -103,3 +103,12 @@ def test_empty_records(spark):
 
 def test_each_sql_names_a_query():
     assert set(registry.SQL) <= set(registry.QUERIES)
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr[-500:]
