@@ -213,26 +213,29 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
         apart = rows.join(lead, key).where((F.col("g") != F.col("to_g")) & fits("info", "to_info"))
         return apart.select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")).distinct()
 
-    def regrouped(rows: DataFrame, links: DataFrame) -> DataFrame:
-        """Entries of shingles that more than one group still has."""
-        named = rows.drop("g").join(components(links), F.col("cid") == F.col("node"), "left").select("token", "cid", "info", F.coalesce("label", "cid").alias("g"))
+    def regrouped(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The groups so far, and the entries of shingles that more than one group still has."""
+        groups = components(links)
+        named = rows.drop("g").join(groups, F.col("cid") == F.col("node"), "left").select("token", "cid", "info", F.coalesce("label", "cid").alias("g"))
         named = stage(named, "grouped")
         split = named.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-        return stage(named.join(stage(split, "split"), "token"), "apart")
+        return groups, stage(named.join(stage(split, "split"), "token"), "apart")
 
     sizes = live.groupBy("cid").agg(F.count("*").alias("c"), F.max(F.shiftright("info", 24)).alias("n"))
     share = sizes.select("cid", F.expr(f"c * 1000000 div greatest(n - ({PERCENT} * n + 99) div 100 + 1, 1)").alias("share"))
     central = live.join(stage(share, "share"), "cid").withColumn("g", F.col("cid"))
     links = checked(against(central, F.col("share"), ["token"]))
-    rest = regrouped(live, links)
+    groups, rest = regrouped(live, links)
     for k in range(DRAW_ROUNDS):
+        if rest.isEmpty():
+            break
         drawn = rest.withColumn("draw", F.pmod("token", F.lit(DRAWS)))
         links = links.unionByName(checked(against(drawn, F.xxhash64("draw", "cid", F.lit(k)), ["token", "draw"])))
-        rest = regrouped(rest, links)
-    a, b = (rest.select("token", F.col("cid").alias(f"{x}"), F.col("info").alias(f"info_{x}"), F.col("g").alias(f"g_{x}")) for x in "ab")
-    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & fits("info_a", "info_b")).select("a", "b").distinct()
-    links = links.unionByName(checked(pairs))
-    groups = components(links)
+        groups, rest = regrouped(rest, links)
+    if not rest.isEmpty():
+        a, b = (rest.select("token", F.col("cid").alias(f"{x}"), F.col("info").alias(f"info_{x}"), F.col("g").alias(f"g_{x}")) for x in "ab")
+        pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & fits("info_a", "info_b")).select("a", "b").distinct()
+        groups = components(links.unionByName(checked(pairs)))
     labelled = classes.join(groups, F.col("f1") == F.col("node"), "left").select("f1", "f2", "least", F.coalesce("label", "f1").alias("label"), F.col("label").isNull().alias("alone"))
     labelled = stage(labelled, "labelled")
     lowest = stage(labelled.where("NOT alone").groupBy("label").agg(F.min("least").alias("low")), "lowest")
