@@ -4,7 +4,7 @@ A document's set is its distinct word shingles. Equal sets are one class, so cop
 rare first, by the size class of their count in a sketch of fixed size over all documents, then by hash; two sets with
 enough overlap share a shingle among the first few of each (the prefix). Prefix entries are range-partitioned by shingle
 and sorted, so a shingle of any frequency streams through several tasks. Pairs pass the length and the positional
-filter, are made distinct, and are verified once, where a suffix filter comes before the full intersection.
+filter, are made distinct, pass a suffix filter on counts of their shingles by parts, and are verified once.
 
 Only groups are asked for, so not all pairs of a group of near copies are needed: first every entry is paired with its
 shingle's most central set, the one that shares the largest part of its own prefix, which is what copies were made of;
@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.llm._common import partitions, row_key, stage, table
-from helixmill.llm._text import LOWERED, gram_hashes, mix, pieces, range_hashes, words_of
+from helixmill.llm._text import LOWERED, gram_hashes, list_array, mix, pieces, range_hashes, words_of
 from helixmill.llm.graph import components
 
 SHINGLE, PERCENT = 4, 85
 SLOTS, CHUNKS = 1 << 18, 256
+#: Parts into which a set's shingles are counted by hash, for the suffix filter on pairs.
+PARTS = 64
 SETS = "doc_id long, jac_key long, n long, f1 long, f2 long"
+SHAPES = "cid long, n long, shape array<int>, text string"
 ENTRIES = "token long, cid long, info long"
 MOST = (1 << 24) - 1
 DRAWS, DRAW_ROUNDS = 4, 2
@@ -170,6 +173,18 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return int(np.count_nonzero(both[1:] == both[:-1])) >= need
 
 
+def shapes(shared):
+    """Texts with the size of their set and its counts by part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            sets = row_sets(piece.column("text"), shared.value)
+            counts = [np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for x in sets]
+            flat = np.concatenate(counts).astype(np.int32)
+            yield pa.record_batch([piece.column("cid"), pa.array([len(x) for x in sets], pa.int64()), list_array(pa.array(flat), np.full(len(sets), PARTS)), piece.column("text")], ["cid", "n", "shape", "text"])
+
+    return run
+
+
 def verify(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text_a", 1 << 20):
@@ -193,9 +208,18 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     live = stage(entries.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(stream_entries, ENTRIES), "entries")
     wanted = classes.join(live.select(F.col("cid").alias("f1")).distinct(), "f1").select(F.col("f1").alias("cid"), "key")
     texts = rows.select("jac_key", "text").join(wanted.hint("shuffle_hash"), F.col("jac_key") == F.col("key"))
-    texts = stage(texts.groupBy("cid", "key").agg(F.first("text").alias("text")).select("cid", "text"), "texts")
+    texts = texts.groupBy("cid", "key").agg(F.first("text").alias("text")).select("cid", "text")
+    texts = stage(texts.mapInArrow(shapes(levels), SHAPES), "texts")
+
+    def could_link(pairs: DataFrame) -> DataFrame:
+        """Suffix filter: no more shingles can be shared than both sets have in each part."""
+        a, b = (texts.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("shape").alias(f"shape_{x}")) for x in "ab")
+        both = pairs.join(a, "a").join(b, "b")
+        most = F.aggregate(F.zip_with("shape_a", "shape_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+        return both.where((100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
     def checked(pairs: DataFrame) -> DataFrame:
+        pairs = could_link(pairs)
         with_a = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
         return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(verify(levels), "a long, b long"), "links")
