@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm._common import partitions, row_key, stage, table
+from helixmill.llm._common import WORD_CLASS, partitions, row_key, stage, table
 from helixmill.llm._text import LOWERED, gram_hashes, list_array, mix, pieces, range_hashes, words_of
 from helixmill.llm.graph import components
 
@@ -196,7 +196,8 @@ def verify(shared):
 
 
 def similarity_groups(docs: DataFrame) -> DataFrame:
-    """One row a document (doc_id, jac_key, n: size of its set, component_id)."""
+    """One row a document (doc_id, jac_key, n: size of its set, component_id, jac_group: label of its group of linked
+    sets, whatever their ids; null where the set is empty)."""
     spark = docs.sparkSession
     n_parts = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("jac_key"), "text")
@@ -263,8 +264,8 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     labelled = classes.join(groups, F.col("f1") == F.col("node"), "left").select("f1", "f2", "least", F.coalesce("label", "f1").alias("label"), F.col("label").isNull().alias("alone"))
     labelled = stage(labelled, "labelled")
     lowest = stage(labelled.where("NOT alone").groupBy("label").agg(F.min("least").alias("low")), "lowest")
-    known = stage(labelled.join(lowest, "label", "left").select("f1", "f2", F.when(F.col("alone"), F.col("least")).otherwise(F.col("low")).alias("component")), "known")
-    return sets.join(known, ["f1", "f2"], "left").select("doc_id", "jac_key", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    known = stage(labelled.join(lowest, "label", "left").select("f1", "f2", F.when(F.col("alone"), F.col("least")).otherwise(F.col("low")).alias("component"), F.col("label").alias("jac_group")), "known")
+    return sets.join(known, ["f1", "f2"], "left").select("doc_id", "jac_key", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(F.col("n") > 0, F.col("jac_group")).alias("jac_group"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,10 +274,13 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: of each group the document with the smallest doc_id stays (one row of it)."""
-    keep = similarity_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).groupBy(F.col("doc_id").alias("_jid")).agg(F.min("jac_key").alias("_jkey"))
-    chosen = docs.withColumn("_jk", row_key()).join(stage(keep, "keep").hint("shuffle_hash"), F.col("_jk") == F.col("_jkey")).where(F.col("doc_id").eqNullSafe(F.col("_jid")))
-    return chosen.dropDuplicates(["_jk"]).select(*docs.columns)
+    """The pipeline's stage: of each group the document with the smallest doc_id stays (one row of it; a null id comes
+    last). Texts without words link with nothing, so all of their rows stay."""
+    keep = similarity_groups(docs).where("n > 0").groupBy("jac_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "jac_key")).alias("x"))
+    keep = stage(keep.select(F.col("x.doc_id").alias("_jid"), F.col("x.jac_key").alias("_jkey")), "keep")
+    wordy = F.coalesce(F.col("text").rlike(WORD_CLASS), F.lit(False))
+    chosen = docs.where(wordy).withColumn("_jk", row_key()).join(keep.hint("shuffle_hash"), F.col("_jk") == F.col("_jkey")).where(F.col("doc_id").eqNullSafe(F.col("_jid")))
+    return chosen.dropDuplicates(["_jk"]).select(*docs.columns).unionByName(docs.where(~wordy))
 
 
 SQL = {

@@ -158,6 +158,19 @@ def test_jaccard_groups(docs, rows, none):
     assert jaccard_join.similarity_groups(none).count() == 0
 
 
+def test_one_of_each_tells_texts_apart_not_ids(spark):
+    say = lambda k: " ".join(f"{k}x{i}" for i in range(40))
+    named, copied = say("named"), say("copied")
+    rows = [(None, say("a")), (None, say("b")), (7, say("c")), (7, say("d")), (8, copied), (9, copied), (None, copied), (3, named), (3, named + " more"), (None, None), (None, None), (4, " \t"), (5, "one")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+    got = jaccard_join.one_of_each(df).collect()
+    named_rows = [r for r in got if r.doc_id == 3]
+    assert len(named_rows) == 1 and named_rows[0].text in (named, named + " more")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    expected = [(None, say("a")), (None, say("b")), (7, say("c")), (7, say("d")), (8, copied), (None, None), (None, None), (4, " \t"), (5, "one")]
+    assert sorted(((r.doc_id, r.text) for r in got if r.doc_id != 3), key=key) == sorted(expected, key=key)
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.range(200).select((F.col("id") * 37 % 211).alias("a"), ((F.col("id") + 1) * 37 % 211).alias("b")).unionByName(spark.createDataFrame([(900, 901), (901, 900)], "a bigint, b bigint"))
     got = {r.node: r.label for r in graph.components(links).collect()}
