@@ -29,6 +29,7 @@ from helixmill.llm._common import WORD_CLASS, partitions, row_key, stage, table
 from helixmill.llm._text import LOWERED, gram_hashes, list_array, mix, pieces, range_hashes, words_of
 from helixmill.llm.graph import components
 
+#: The query's contract; other callers name their own words a shingle and percent.
 SHINGLE, PERCENT = 4, 85
 SLOTS, CHUNKS = 1 << 18, 256
 #: Parts into which a set's shingles are counted by hash, for the suffix filter on pairs.
@@ -40,38 +41,41 @@ MOST = (1 << 24) - 1
 DRAWS, DRAW_ROUNDS = 4, 2
 
 
-def prefix_length(n):
-    return n - (PERCENT * n + 99) // 100 + 1
+def prefix_length(n, percent: int):
+    return n - (percent * n + 99) // 100 + 1
 
 
-def least_overlap(x, y):
+def least_overlap(x, y, percent: int):
     """Shingles that sets of these sizes must share."""
-    return (PERCENT * (x + y) + 100 + PERCENT - 1) // (100 + PERCENT)
+    return (percent * (x + y) + 100 + percent - 1) // (100 + percent)
 
 
-def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles (repeats too), and where each row's begin."""
     words = words_of(column, LOWERED)
     hashes, counts = words.hashes(), words.counts()
-    grams = gram_hashes(hashes, SHINGLE)
-    n = np.where(counts >= SHINGLE, counts - SHINGLE + 1, counts > 0)
+    grams = gram_hashes(hashes, size)
+    n = np.where(counts >= size, counts - size + 1, counts > 0)
     first = np.concatenate([[0], np.cumsum(n)])
     row = np.repeat(np.arange(len(counts)), n)
     at = words.first[row] + np.arange(first[-1]) - first[row]
     out = np.zeros(first[-1], np.uint64)
-    long = counts[row] >= SHINGLE
+    long = counts[row] >= size
     out[long] = grams[at[long]]
-    short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
+    short = np.flatnonzero((counts > 0) & (counts < size))
     out[first[short]] = range_hashes(hashes, words.first[short], words.first[short + 1])
     return out, first
 
 
-def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SLOTS, np.int64)
-    for piece in pieces(batches, "text"):
-        counts += np.bincount((shingles(piece.column("text"))[0] & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-    parts = counts.reshape(CHUNKS, -1)
-    yield pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "counts"])
+def sketch(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for piece in pieces(batches, "text"):
+            counts += np.bincount((shingles(piece.column("text"), size)[0] & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        parts = counts.reshape(CHUNKS, -1)
+        yield pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "counts"])
+
+    return run
 
 
 def add_up(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -79,9 +83,9 @@ def add_up(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
+def rarity(docs: DataFrame, size: int) -> np.ndarray:
     """Size class of the count in each slot of the sketch: SLOTS bytes, whatever the number of documents."""
-    parts = docs.select("text").mapInArrow(sketch, "chunk int, counts binary").groupBy("chunk").applyInArrow(add_up, "chunk int, counts binary")
+    parts = docs.select("text").mapInArrow(sketch(size), "chunk int, counts binary").groupBy("chunk").applyInArrow(add_up, "chunk int, counts binary")
     levels = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint8)
     for chunk, counts in parts.collect():
         levels[chunk] = np.ceil(np.log2(np.frombuffer(counts, np.int64) + 1)).astype(np.uint8)
@@ -98,8 +102,8 @@ def distinct_sorted(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
-def row_sets(column: pa.Array, levels: np.ndarray) -> list[np.ndarray]:
-    grams, first = shingles(column)
+def row_sets(column: pa.Array, levels: np.ndarray, size: int) -> list[np.ndarray]:
+    grams, first = shingles(column, size)
     every = tokens(grams, levels)
     return [distinct_sorted(every[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
@@ -109,27 +113,27 @@ def prints(own: np.ndarray) -> tuple[int, int]:
     return int(one.sum(dtype=np.uint64).view(np.int64)), int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
 
 
-def set_rows(shared):
+def set_rows(shared, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            sets = row_sets(piece.column("text"), shared.value)
+            sets = row_sets(piece.column("text"), shared.value, size)
             marks = [prints(x) for x in sets]
             yield pa.record_batch([piece.column("doc_id"), piece.column("jac_key"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1))], ["doc_id", "jac_key", "n", "f1", "f2"])
 
     return run
 
 
-def entry_rows(shared):
+def entry_rows(shared, size: int, percent: int):
     """Prefix entries; a task that meets a set again does not repeat them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for piece in pieces(batches, "text"):
             out, cids, infos = [], [], []
-            for own in row_sets(piece.column("text"), shared.value):
+            for own in row_sets(piece.column("text"), shared.value, size):
                 if not len(own) or (mark := prints(own)) in seen:
                     continue
                 seen.add(mark)
-                n, p = len(own), prefix_length(len(own))
+                n, p = len(own), prefix_length(len(own), percent)
                 out.append(own[:p])
                 cids.append(np.full(p, mark[0], np.int64))
                 infos.append((min(n, MOST) << 24) + np.minimum(np.arange(p), MOST))
@@ -165,19 +169,19 @@ def suffix_allows(a: np.ndarray, b: np.ndarray, need: int) -> bool:
     return int(np.minimum(x, y).sum()) >= need
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    need = least_overlap(len(a), len(b))
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    need = least_overlap(len(a), len(b), percent)
     if min(len(a), len(b)) < need or not suffix_allows(a, b, need):
         return False
     both = np.sort(np.concatenate([a, b]))
     return int(np.count_nonzero(both[1:] == both[:-1])) >= need
 
 
-def shapes(shared):
+def shapes(shared, size: int):
     """Texts with the size of their set and its counts by part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            sets = row_sets(piece.column("text"), shared.value)
+            sets = row_sets(piece.column("text"), shared.value, size)
             counts = [np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for x in sets]
             flat = np.concatenate(counts).astype(np.int32)
             yield pa.record_batch([piece.column("cid"), pa.array([len(x) for x in sets], pa.int64()), list_array(pa.array(flat), np.full(len(sets), PARTS)), piece.column("text")], ["cid", "n", "shape", "text"])
@@ -185,52 +189,52 @@ def shapes(shared):
     return run
 
 
-def verify(shared):
+def verify(shared, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text_a", 1 << 20):
-            one, two = (row_sets(piece.column(c), shared.value) for c in ("text_a", "text_b"))
-            good = pa.array([linked(x, y) for x, y in zip(one, two, strict=True)], pa.bool_())
+            one, two = (row_sets(piece.column(c), shared.value, size) for c in ("text_a", "text_b"))
+            good = pa.array([linked(x, y, percent) for x, y in zip(one, two, strict=True)], pa.bool_())
             yield pa.record_batch([piece.column("a").filter(good), piece.column("b").filter(good)], ["a", "b"])
 
     return run
 
 
-def similarity_groups(docs: DataFrame) -> DataFrame:
+def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row a document (doc_id, jac_key, n: size of its set, component_id, jac_group: label of its group of linked
     sets, whatever their ids; null where the set is empty)."""
     spark = docs.sparkSession
     n_parts = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("jac_key"), "text")
-    levels = spark.sparkContext.broadcast(rarity(rows))
-    sets = stage(rows.mapInArrow(set_rows(levels), SETS), "sets")
+    levels = spark.sparkContext.broadcast(rarity(rows, shingle))
+    sets = stage(rows.mapInArrow(set_rows(levels, shingle), SETS), "sets")
     classes = stage(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.min("jac_key").alias("key")), "classes")
-    entries = rows.mapInArrow(entry_rows(levels), ENTRIES)
+    entries = rows.mapInArrow(entry_rows(levels, shingle, percent), ENTRIES)
     order = ["token", "info", "cid"]
     live = stage(entries.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(stream_entries, ENTRIES), "entries")
     wanted = classes.join(live.select(F.col("cid").alias("f1")).distinct(), "f1").select(F.col("f1").alias("cid"), "key")
     texts = rows.select("jac_key", "text").join(wanted.hint("shuffle_hash"), F.col("jac_key") == F.col("key"))
     texts = texts.groupBy("cid", "key").agg(F.first("text").alias("text")).select("cid", "text")
-    texts = stage(texts.mapInArrow(shapes(levels), SHAPES), "texts")
+    texts = stage(texts.mapInArrow(shapes(levels, shingle), SHAPES), "texts")
 
     def could_link(pairs: DataFrame) -> DataFrame:
         """Suffix filter: no more shingles can be shared than both sets have in each part."""
         a, b = (texts.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("shape").alias(f"shape_{x}")) for x in "ab")
         both = pairs.join(a, "a").join(b, "b")
         most = F.aggregate(F.zip_with("shape_a", "shape_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
-        return both.where((100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        return both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = could_link(pairs)
         with_a = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-        return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(verify(levels), "a long, b long"), "links")
+        return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(verify(levels, shingle, percent), "a long, b long"), "links")
 
     def fits(a: str, b: str):
         """Length and positional filter on two entries of a shingle."""
         x, y = (F.shiftright(c, 24).bitwiseAND(F.lit(MOST)) for c in (a, b))
         p, q = (F.col(c).bitwiseAND(F.lit(MOST)) for c in (a, b))
         huge = F.greatest(x, y) >= MOST
-        return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y)) & ((100 + PERCENT) * (1 + F.least(x - p - 1, y - q - 1)) >= PERCENT * (x + y)) | huge
+        return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * (1 + F.least(x - p - 1, y - q - 1)) >= percent * (x + y)) | huge
 
     def against(rows: DataFrame, draw, key: list[str]) -> DataFrame:
         """Pairs of every entry with the entry of its shingle (and draw) that comes first by draw, if groups differ."""
@@ -247,7 +251,7 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
         return groups, stage(named.join(stage(split, "split"), "token"), "apart")
 
     sizes = live.groupBy("cid").agg(F.count("*").alias("c"), F.max(F.shiftright("info", 24)).alias("n"))
-    share = sizes.select("cid", F.expr(f"c * 1000000 div greatest(n - ({PERCENT} * n + 99) div 100 + 1, 1)").alias("share"))
+    share = sizes.select("cid", F.expr(f"c * 1000000 div greatest(n - ({percent} * n + 99) div 100 + 1, 1)").alias("share"))
     central = live.join(stage(share, "share"), "cid").withColumn("g", F.col("cid"))
     links = checked(against(central, F.col("share"), ["token"]))
     groups, rest = regrouped(live, links)
@@ -273,10 +277,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pipeline's stage: of each group the document with the smallest doc_id stays (one row of it; a null id comes
     last). Texts without words link with nothing, so all of their rows stay."""
-    keep = similarity_groups(docs).where("n > 0").groupBy("jac_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "jac_key")).alias("x"))
+    keep = similarity_groups(docs, shingle, percent).where("n > 0").groupBy("jac_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "jac_key")).alias("x"))
     keep = stage(keep.select(F.col("x.doc_id").alias("_jid"), F.col("x.jac_key").alias("_jkey")), "keep")
     wordy = F.coalesce(F.col("text").rlike(WORD_CLASS), F.lit(False))
     chosen = docs.where(wordy).withColumn("_jk", row_key()).join(keep.hint("shuffle_hash"), F.col("_jk") == F.col("_jkey")).where(F.col("doc_id").eqNullSafe(F.col("_jid")))

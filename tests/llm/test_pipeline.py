@@ -21,3 +21,11 @@ def test_stages_in_order(spark):
         seen = n
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_viterbi.MODEL)
     assert all(library.decode(r.ids) == texts[r.doc_id] for r in docs.collect())
+
+
+def test_near_copies_from_four_fifths(spark):
+    words = [f"w{i}" for i in range(100)]
+    longer = [f"v{i}" for i in range(100)]
+    texts = [words, words + [f"x{i}" for i in range(20)], longer, longer + [f"y{i}" for i in range(26)]]  # 96 of 116 shingles shared, 96 of 122
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [0, 2, 3]
