@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written below spark.checkpoint.dir (on one machine without one, a temporary folder) and read again."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """CSV with a header, every column text; a byte order mark before the first name is dropped."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")

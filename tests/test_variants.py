@@ -125,6 +125,18 @@ def test_insertion_moves_left(spark):
     assert ("chr1", 1002 - 29, "C", "CC") in got  # as far as the window reaches, over a chunk's border
 
 
+def test_indels_move_through_long_repeats(spark):
+    from helixmill.operators.interpret import left_align
+
+    bases = "G" * 700 + "T" + "C" * 2500 + "A" + "GAT" * 500 + "G" * 298
+    reference = spark.createDataFrame([("chr1", k, bases[1000 * k : 1000 * k + 1000]) for k in range(5)] + [("chr3", 4, "A" * 1000)], "contig string, chunk_no bigint, sequence string")
+    at = bases.index("GATGAT") + 3 * 499  # the last unit, counted from 0
+    rows = [("chr1", 3200, "C", "CC"), ("chr1", 2100, "CC", "C"), ("chr1", at, "TGAT", "T"), ("chr1", at + 3, "T", "TGAT"), ("chr1", 300, "G", "GG"), ("chr1", 3200, "C", "TC"), ("chr3", 4500, "A", "AA"), ("chr1", 800, "A", "AA")]
+    got = sorted((r.contig, r.start, r.ref, r.alt) for r in left_align(spark.createDataFrame(rows, "contig string, start bigint, ref string, alt string"), reference).collect())
+    first = bases.index("GATGAT")
+    assert got == sorted([("chr1", 701, "T", "TC"), ("chr1", 701, "TC", "T"), ("chr1", first, "AGAT", "A"), ("chr1", first, "A", "AGAT"), ("chr1", 1, "G", "GG"), ("chr1", 3200, "C", "TC"), ("chr3", 4001, "A", "AA"), ("chr1", 800, "A", "AA")])
+
+
 def test_stream_equals_batch(spark):
     from helixmill.plans import q_more, q_vcf
 
