@@ -31,7 +31,7 @@ def parse_headers(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     columns = F.split(F.max(F.when(line.startswith("#CHROM"), line)), "\t")
     out = lines.groupBy("upload_id").agg(F.max(F.when(line.startswith("##fileformat="), F.substring(line, 14, 1000))).alias("fileformat"), F.count(F.when(line.startswith("##"), 1)).alias("n_metadata"), columns.alias("_c"))
-    return out.select("upload_id", g.text(F.col("fileformat")).alias("fileformat"), "n_metadata", F.coalesce(F.size("_c"), F.lit(0)).cast("bigint").alias("n_columns"), F.array_join(F.slice("_c", 10, 1000), ",").alias("samples"), F.greatest(F.size("_c") - 9, F.lit(0)).cast("bigint").alias("n_samples"))
+    return out.select("upload_id", g.text(F.col("fileformat")).alias("fileformat"), "n_metadata", F.coalesce(F.size("_c"), F.lit(0)).cast("bigint").alias("n_columns"), F.array_join(F.slice("_c", F.lit(10), F.greatest(F.size("_c"), F.lit(0))), ",").alias("samples"), F.greatest(F.size("_c") - 9, F.lit(0)).cast("bigint").alias("n_samples"))
 
 
 def with_genotype(records: DataFrame) -> DataFrame:

@@ -125,6 +125,15 @@ def test_insertion_moves_left(spark):
     assert ("chr1", 1002 - 29, "C", "CC") in got  # as far as the window reaches, over a chunk's border
 
 
+def test_headers_keep_every_sample(spark):
+    from helixmill.sources import vcf
+
+    names = [f"S{i}" for i in range(1500)]
+    lines = [("u", 1, "##fileformat=VCFv4.2"), ("u", 2, "\t".join(["#CHROM", *"BCDEFGHI", *names])), ("v", 1, "\t".join("#CHROM POS ID REF ALT QUAL FILTER INFO".split())), ("w", 1, "##x")]
+    got = {r.upload_id: r for r in vcf.parse_headers(spark.createDataFrame(lines, "upload_id string, line_no bigint, line string")).collect()}
+    assert got["u"].samples == ",".join(names) and got["u"].n_samples == 1500 and got["v"].samples == "" and got["w"].samples is None
+
+
 def test_indels_move_through_long_repeats(spark):
     from helixmill.operators.interpret import left_align
 
