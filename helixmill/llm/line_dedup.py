@@ -1,7 +1,7 @@
 """Line deduplication that ships bitmaps, not text.
 
-Line hashes are range-partitioned by (hash, document) and sorted within by document, newest first, and position; the
-stream of each hash then starts with its first occurrence, the document that keeps the line. A hash that fills several
+Line hashes are range-partitioned by (hash, document) and sorted within by document, newest first, and position. The
+document that keeps a line is the largest, by an aggregate that does not read that order. A hash that fills several
 ranges is summed up per range before the sums meet. What comes back per document is a compressed keep bitmap: the runs
 of dropped line numbers, none for the documents that keep every line.
 
