@@ -8,8 +8,12 @@ filter, are made distinct, pass a suffix filter on counts of their shingles by p
 
 Only groups are asked for, so not all pairs of a group of near copies are needed: first every entry is paired with its
 shingle's most central set, the one that shares the largest part of its own prefix, which is what copies were made of;
-then, where classes are not yet in one group, with a few sets drawn by hash; then every remaining pair of entries whose
-classes are still apart is tested, so that no link between groups is lost.
+then, where classes are not yet in one group, with sets drawn by hash; then every remaining pair of entries whose
+classes are still apart is tested, shingle by shingle and size class by size class, so that no link between groups is
+lost. A pair that was verified once is never verified again, whether it held or not.
+
+Texts stay where they are: the filters read prefix entries and counts, and only for pairs that pass them are the
+documents read once more, through a sieve of fixed size, and the shingles of the sets in question fetched.
 
 Nulls and texts without words have empty sets and link with nothing. Rows that repeat a doc_id are documents of their
 own with that id; a null doc_id has no place in component_id (null if a group has no other). Longer texts than 2**24
@@ -19,13 +23,14 @@ shingles are not told apart by size in the filters, only by verification. Column
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm._common import WORD_CLASS, partitions, row_key, stage, table
+from helixmill.llm._common import WORD_CLASS, discard, partitions, row_key, stage, table
 from helixmill.llm._text import LOWERED, gram_hashes, list_array, mix, pieces, range_hashes, words_of
 from helixmill.llm.graph import components
 
@@ -34,11 +39,13 @@ SHINGLE, PERCENT = 4, 85
 SLOTS, CHUNKS = 1 << 18, 256
 #: Parts into which a set's shingles are counted by hash, for the suffix filter on pairs.
 PARTS = 64
-SETS = "doc_id long, jac_key long, n long, f1 long, f2 long"
-SHAPES = "cid long, n long, shape array<int>, text string"
+#: Bits of the sieve through which documents are read again.
+SIEVE = 1 << 23
+SETS = "doc_id long, jac_key long, n long, f1 long, f2 long, shape array<int>"
+FETCHED = "jac_key long, tokens binary"
 ENTRIES = "token long, cid long, info long"
 MOST = (1 << 24) - 1
-DRAWS, DRAW_ROUNDS = 4, 2
+DRAW_ROUNDS = 2
 
 
 def prefix_length(n, percent: int):
@@ -118,7 +125,9 @@ def set_rows(shared, size: int):
         for piece in pieces(batches, "text"):
             sets = row_sets(piece.column("text"), shared.value, size)
             marks = [prints(x) for x in sets]
-            yield pa.record_batch([piece.column("doc_id"), piece.column("jac_key"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1))], ["doc_id", "jac_key", "n", "f1", "f2"])
+            counts = [np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for x in sets]
+            shapes = list_array(pa.array(np.concatenate(counts).astype(np.int32)), np.full(len(sets), PARTS))
+            yield pa.record_batch([piece.column("doc_id"), piece.column("jac_key"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)), shapes], ["doc_id", "jac_key", "n", "f1", "f2", "shape"])
 
     return run
 
@@ -177,28 +186,43 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return int(np.count_nonzero(both[1:] == both[:-1])) >= need
 
 
-def shapes(shared, size: int):
-    """Texts with the size of their set and its counts by part."""
+def sieve(keys: DataFrame) -> np.ndarray:
+    """SIEVE bits, whatever the number of keys, in which a key's bit is set; other keys may have theirs set too."""
+    at = F.pmod("key", F.lit(SIEVE)) + 1
+    rows = keys.select(F.bitmap_bucket_number(at).alias("chunk"), F.bitmap_bit_position(at).alias("bit")).groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros(SIEVE // 8, np.uint8)
+    for chunk, bits in rows:
+        out[(chunk - 1) * len(bits) : chunk * len(bits)] = np.frombuffer(bits, np.uint8)
+    return np.unpackbits(out, bitorder="little").astype(bool)
+
+
+def token_rows(levels, wanted, size: int):
+    """Shingles of the documents that the sieve lets through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
-            sets = row_sets(piece.column("text"), shared.value, size)
-            counts = [np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for x in sets]
-            flat = np.concatenate(counts).astype(np.int32)
-            yield pa.record_batch([piece.column("cid"), pa.array([len(x) for x in sets], pa.int64()), list_array(pa.array(flat), np.full(len(sets), PARTS)), piece.column("text")], ["cid", "n", "shape", "text"])
+        for batch in batches:
+            hit = wanted.value[batch.column("jac_key").to_numpy() % SIEVE]
+            for piece in pieces(iter([batch.filter(pa.array(hit))]), "text"):
+                sets = row_sets(piece.column("text"), levels.value, size)
+                yield pa.record_batch([piece.column("jac_key"), pa.array([x.tobytes() for x in sets], pa.binary())], ["jac_key", "tokens"])
 
     return run
 
 
-def verify(shared, size: int, percent: int):
+def verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text_a", 1 << 20):
-            one, two = (row_sets(piece.column(c), shared.value, size) for c in ("text_a", "text_b"))
+        for batch in batches:
+            one, two = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("tokens_a", "tokens_b"))
             good = pa.array([linked(x, y, percent) for x, y in zip(one, two, strict=True)], pa.bool_())
-            yield pa.record_batch([piece.column("a").filter(good), piece.column("b").filter(good)], ["a", "b"])
+            yield pa.record_batch([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
     return run
 
 
+def size_class(n, percent: int):
+    """Sets that may link are in one class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(101 / percent))).cast("int")
+
+
 def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row a document (doc_id, jac_key, n: size of its set, component_id, jac_group: label of its group of linked
     sets, whatever their ids; null where the set is empty)."""
@@ -207,64 +231,89 @@ def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("jac_key"), "text")
     levels = spark.sparkContext.broadcast(rarity(rows, shingle))
     sets = stage(rows.mapInArrow(set_rows(levels, shingle), SETS), "sets")
-    classes = stage(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.min("jac_key").alias("key")), "classes")
+    classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.min("jac_key").alias("key"), F.min(F.struct("n", "shape")).alias("s"))
+    classes = stage(classes.select("f1", "f2", "least", "key", "s.n", "s.shape"), "classes")
     entries = rows.mapInArrow(entry_rows(levels, shingle, percent), ENTRIES)
     order = ["token", "info", "cid"]
     live = stage(entries.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(stream_entries, ENTRIES), "entries")
-    wanted = classes.join(live.select(F.col("cid").alias("f1")).distinct(), "f1").select(F.col("f1").alias("cid"), "key")
-    texts = rows.select("jac_key", "text").join(wanted.hint("shuffle_hash"), F.col("jac_key") == F.col("key"))
-    texts = texts.groupBy("cid", "key").agg(F.first("text").alias("text")).select("cid", "text")
-    texts = stage(texts.mapInArrow(shapes(levels, shingle), SHAPES), "texts")
+    tested: list[DataFrame] = []  # pairs that were verified, by round
+    fetched: list[DataFrame] = []  # shingles of the sets in them
 
     def could_link(pairs: DataFrame) -> DataFrame:
         """Suffix filter: no more shingles can be shared than both sets have in each part."""
-        a, b = (texts.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("shape").alias(f"shape_{x}")) for x in "ab")
+        a, b = (classes.select(F.col("f1").alias(x), F.col("n").alias(f"n_{x}"), F.col("shape").alias(f"shape_{x}")) for x in "ab")
         both = pairs.join(a, "a").join(b, "b")
         most = F.aggregate(F.zip_with("shape_a", "shape_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
         return both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
+    def fetch(pairs: DataFrame) -> None:
+        """Shingles of the sets of these pairs, unless an earlier round fetched them."""
+        ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        for known in fetched:
+            ids = ids.join(known.select("cid"), "cid", "left_anti")
+        keys = stage(ids.join(classes.select(F.col("f1").alias("cid"), "key"), "cid"), "wanted")
+        through = spark.sparkContext.broadcast(sieve(keys))
+        found = rows.select("jac_key", "text").mapInArrow(token_rows(levels, through, shingle), FETCHED)
+        found = found.join(keys, F.col("jac_key") == F.col("key")).dropDuplicates(["cid"]).select("cid", "tokens")
+        fetched.append(stage(found, "fetched"))
+
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = could_link(pairs)
-        with_a = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-        both = with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-        return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(verify(levels, shingle, percent), "a long, b long"), "links")
+        """Those pairs (a, b) that link; of a pair in both directions one. Many b may be the same set."""
+        lo, hi = F.least("a", "b"), F.greatest("a", "b")
+        once = pairs.groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.min("a").alias("a"))
+        for old in tested:
+            once = once.join(old.select(lo.alias("lo"), hi.alias("hi")), ["lo", "hi"], "left_anti")
+        new = stage(could_link(once.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))), "pairs")
+        tested.append(new)
+        if new.isEmpty():
+            return new
+        fetch(new)
+        tokens = reduce(DataFrame.unionByName, fetched)
+        with_a = new.join(tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+        both = with_a.join(tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+        return stage(both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify(percent), "a long, b long"), "links")
+
+    size, place = (lambda c: F.shiftright(c, 24).bitwiseAND(F.lit(MOST))), (lambda c: F.col(c).bitwiseAND(F.lit(MOST)))
 
     def fits(a: str, b: str):
         """Length and positional filter on two entries of a shingle."""
-        x, y = (F.shiftright(c, 24).bitwiseAND(F.lit(MOST)) for c in (a, b))
-        p, q = (F.col(c).bitwiseAND(F.lit(MOST)) for c in (a, b))
+        x, y, p, q = size(a), size(b), place(a), place(b)
         huge = F.greatest(x, y) >= MOST
         return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * (1 + F.least(x - p - 1, y - q - 1)) >= percent * (x + y)) | huge
 
-    def against(rows: DataFrame, draw, key: list[str]) -> DataFrame:
-        """Pairs of every entry with the entry of its shingle (and draw) that comes first by draw, if groups differ."""
-        lead = stage(rows.groupBy(*key).agg(F.max(F.struct(draw.alias("by"), F.col("cid").alias("to"), F.col("info").alias("to_info"), F.col("g").alias("to_g"))).alias("x")).select(*key, "x.to", "x.to_info", "x.to_g"), "leads")
-        apart = rows.join(lead, key).where((F.col("g") != F.col("to_g")) & fits("info", "to_info"))
-        return apart.select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")).distinct()
+    def against(rows: DataFrame, draw) -> DataFrame:
+        """Pairs of every entry with the entry of its shingle that comes first by draw, if groups differ."""
+        lead = stage(rows.groupBy("token").agg(F.max(F.struct(draw.alias("by"), F.col("cid").alias("b"), F.col("info").alias("b_info"), F.col("g").alias("b_g"))).alias("x")).select("token", "x.b", "x.b_info", "x.b_g"), "leads")
+        return rows.join(lead, "token").where((F.col("g") != F.col("b_g")) & fits("info", "b_info")).select(F.col("cid").alias("a"), "b").distinct()
 
     def regrouped(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The groups so far, and the entries of shingles that more than one group still has."""
         groups = components(links)
         named = rows.drop("g").join(groups, F.col("cid") == F.col("node"), "left").select("token", "cid", "info", F.coalesce("label", "cid").alias("g"))
         named = stage(named, "grouped")
-        split = named.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-        return groups, stage(named.join(stage(split, "split"), "token"), "apart")
+        split = stage(named.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token"), "split")
+        rest = stage(named.join(split, "token"), "apart")
+        discard(named, split, rows)
+        return groups, rest
 
-    sizes = live.groupBy("cid").agg(F.count("*").alias("c"), F.max(F.shiftright("info", 24)).alias("n"))
+    sizes = live.groupBy("cid").agg(F.count("*").alias("c"), F.max(size("info")).alias("n"))
     share = sizes.select("cid", F.expr(f"c * 1000000 div greatest(n - ({percent} * n + 99) div 100 + 1, 1)").alias("share"))
     central = live.join(stage(share, "share"), "cid").withColumn("g", F.col("cid"))
-    links = checked(against(central, F.col("share"), ["token"]))
+    links = checked(against(central, F.col("share")))
     groups, rest = regrouped(live, links)
     for k in range(DRAW_ROUNDS):
         if rest.isEmpty():
             break
-        drawn = rest.withColumn("draw", F.pmod("token", F.lit(DRAWS)))
-        links = links.unionByName(checked(against(drawn, F.xxhash64("draw", "cid", F.lit(k)), ["token", "draw"])))
+        links = links.unionByName(checked(against(rest, F.xxhash64("token", "cid", F.lit(k)))))
         groups, rest = regrouped(rest, links)
     if not rest.isEmpty():
-        a, b = (rest.select("token", F.col("cid").alias(f"{x}"), F.col("info").alias(f"info_{x}"), F.col("g").alias(f"g_{x}")) for x in "ab")
-        pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & fits("info_a", "info_b")).select("a", "b").distinct()
+        near = rest.withColumn("band", size_class(size("info"), percent))
+        a = near.select("token", "band", F.col("cid").alias("a"), F.col("info").alias("info_a"), F.col("g").alias("g_a"))
+        b = near.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"), F.col("cid").alias("b"), F.col("info").alias("info_b"), F.col("g").alias("g_b"))
+        smaller = (size("info_a") < size("info_b")) | ((size("info_a") == size("info_b")) & (F.col("a") < F.col("b")))
+        pairs = a.join(b, ["token", "band"]).where(smaller & (F.col("g_a") != F.col("g_b")) & fits("info_a", "info_b")).select("a", "b").distinct()
         groups = components(links.unionByName(checked(pairs)))
+    discard(*fetched)
     labelled = classes.join(groups, F.col("f1") == F.col("node"), "left").select("f1", "f2", "least", F.coalesce("label", "f1").alias("label"), F.col("label").isNull().alias("alone"))
     labelled = stage(labelled, "labelled")
     lowest = stage(labelled.where("NOT alone").groupBy("label").agg(F.min("least").alias("low")), "lowest")

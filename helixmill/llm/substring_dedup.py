@@ -92,7 +92,7 @@ def spell_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = words.first[r]
             for w in wanted:
                 a, b = base + w["at"], base + w["at"] + w["n"] + WINDOW - 2
-                body = words.data[words.starts[a] : words.ends[b]].tobytes().split()
+                body = words.raw[words.starts[a] : words.ends[b]].tobytes().split()
                 out.append((w["h"], w["fp"], b" ".join(body)))
         yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["h", "fp", "body"])
 
@@ -248,7 +248,7 @@ def remover(digest: bool):
             for r, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
                 if lost[r]:
                     stay = np.flatnonzero(~gone[a:b]) + a
-                    kept.append(b" ".join([words.data[s:e].tobytes() for s, e in zip(words.starts[stay].tolist(), words.ends[stay].tolist(), strict=True)]))
+                    kept.append(b" ".join([words.raw[s:e].tobytes() for s, e in zip(words.starts[stay].tolist(), words.ends[stay].tolist(), strict=True)]))
                 else:
                     kept.append(b" ".join(words.raw[words.offsets[r] : words.offsets[r + 1]].tobytes().split()))
             keep = [c for c in piece.schema.names if c not in ("text", "rlz_spans", "rlz_key", "rlz_words", "rlz_removed", "rlz_kept")]
