@@ -7,17 +7,21 @@ A stretch of words can hold a window only if all its words occur in the benchmar
 window, so only such stretches enter the index: with everyday words in the benchmark that is most of the text.
 
 The benchmark is the stated query set. It is cut into blocks of at most BLOCK_BYTES of text, each broadcast on its own;
-a further block is one more pass over documents, within the same stage. Nothing is shuffled.
-
-Nulls and texts without words have no hits; items without words or without id are skipped; items with equal windows all
-count. Rows that repeat are judged each on its own. Columns that the operator adds start with ``fm_`` and replace
-input columns of those names. Very long documents form a shard of their own.
+a further block is one more pass over documents, and after PASSES of them what was found is written, so that neither
+the driver nor a task holds more blocks than that. Nothing is shuffled. When passages are cut out, documents that lost
+some are searched again by all blocks until nothing is found, as a cut can bring the halves of a window together.
+
+Nulls and texts without words have no hits; items without words are skipped; windows of items without id count as hits,
+but name no item; items with equal windows all count. Rows that repeat are judged each on its own. Columns that the
+operator adds start with ``fm_`` and replace input columns of those names. Very long documents form a shard of their
+own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixmill.llm._common import table
+from helixmill.llm._common import stage, table
 from helixmill.llm._text import ALNUM, Words, list_array, pieces, words_of
 
 WINDOW = 10
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, PASSES = 4 << 20, 4
 SHARD_BYTES, SHARD_SYMBOLS = 16 << 20, 1 << 20
 SAMPLE = 8
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -43,7 +47,7 @@ class Phrases:
     symbols: np.ndarray  # a row for each window, its words from the last to the first, then 0
     lengths: np.ndarray
     owners: list[np.ndarray]  # items of each window
-    items: list[str]
+    items: list[str | None]
 
 
 def phrases(ids: list, texts: list[str], window: int = WINDOW) -> Phrases | None:
@@ -63,13 +67,13 @@ def phrases(ids: list, texts: list[str], window: int = WINDOW) -> Phrases | None
         row[: len(key)] = key[::-1]
     sieve = np.zeros(1 << 18, bool)
     sieve[(vocabulary & np.uint64(len(sieve) - 1)).astype(np.int64)] = True
-    return Phrases(vocabulary, sieve, table_, (table_ > 0).sum(1), [np.array(sorted(x)) for x in owners.values()], [str(x) for x in ids])
+    return Phrases(vocabulary, sieve, table_, (table_ > 0).sum(1), [np.array(sorted(x)) for x in owners.values()], [None if x is None else str(x) for x in ids])
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Phrases]:
     """The query set in blocks; the driver holds one at a time."""
     ids, texts, size = [], [], 0
-    for row in benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(item_id, text).toLocalIterator():
+    for row in benchmark.where(F.col(text).isNotNull()).select(item_id, text).toLocalIterator():
         if texts and size + len(row[1]) * 2 > BLOCK_BYTES:
             if found := phrases(ids, texts):
                 yield found
@@ -240,7 +244,8 @@ def judge_shard(shard: pa.RecordBatch, parts: list, wanted: Phrases, clean: bool
     row = np.searchsorted(first, begin, "right") - 1
     names = [set(x) for x in shard.column("fm_items").to_pylist()]
     for r, i in owned:
-        names[r].add(wanted.items[i])
+        if wanted.items[i] is not None:
+            names[r].add(wanted.items[i])
     columns = {n: shard.column(n) for n in shard.schema.names}
     spans = pa.StructArray.from_arrays([pa.array((x - first[row]).astype(np.int32)) for x in (begin, end)], ["first", "end"])
     columns["fm_words"] = pa.array(counts.astype(np.int64))
@@ -251,6 +256,7 @@ def judge_shard(shard: pa.RecordBatch, parts: list, wanted: Phrases, clean: bool
         for r in np.unique(row).tolist():
             texts[r] = cut(texts[r], begin[row == r] - first[r], end[row == r] - first[r])
         columns["text"] = pa.array(texts, pa.string())
+        columns["fm_cut"] = pa.array(np.isin(np.arange(len(texts)), row) | shard.column("fm_cut").to_numpy(zero_copy_only=False))
     return pa.record_batch(columns)
 
 
@@ -304,12 +310,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id"
     """docs with fm_words (number), fm_spans (merged, in words) and fm_items (ids as text, sorted). With clean, text has
     lost the spans and fm_spans is empty where that happened."""
     spark = docs.sparkSession
-    out = docs.drop("fm_words", "fm_spans", "fm_items").withColumns({"fm_words": F.lit(0).cast("long"), "fm_spans": F.array().cast(SPANS), "fm_items": F.array().cast("array<string>")})
     none = phrases(["0"], ["0"])
     none.lengths = none.lengths + (1 << 30)  # an empty query set still counts words
-    for k, found in enumerate([*blocks(benchmark, item_id, text)] or [none]):
-        out = out.mapInArrow(searcher(spark.sparkContext.broadcast(found), clean), out.schema)
-    return out
+
+    def passed(rows: DataFrame) -> tuple[DataFrame, int]:
+        """rows after all blocks, and how many these were."""
+        held, n = [], 0
+        for n, found in enumerate(blocks(benchmark, item_id, text), 1):
+            if len(held) == PASSES:
+                rows = stage(rows, "passes")
+                for x in held:
+                    x.unpersist()
+                held = []
+            held.append(spark.sparkContext.broadcast(found))
+            rows = rows.mapInArrow(searcher(held[-1], clean), rows.schema)
+        return (rows, n) if n else (rows.mapInArrow(searcher(spark.sparkContext.broadcast(none), clean), rows.schema), 1)
+
+    added = {"fm_words": F.lit(0).cast("long"), "fm_spans": F.array().cast(SPANS), "fm_items": F.array().cast("array<string>")}
+    out, n = passed(docs.drop("fm_words", "fm_spans", "fm_items", "fm_cut").withColumns(added | ({"fm_cut": F.lit(False)} if clean else {})))
+    settled = []
+    while clean and n > 1:
+        out = stage(out, "cut")
+        settled.append(out.where("NOT fm_cut"))
+        if (rest := out.where("fm_cut")).isEmpty():
+            break
+        out, n = passed(rest.withColumn("fm_cut", F.lit(False)))
+    return reduce(DataFrame.unionByName, settled or [out]).drop("fm_cut")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,13 +356,13 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 SQL = {
     "op1_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 win AS (SELECT item_id, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS g, least(10, len(w)) AS n FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
 grams AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 hits AS (SELECT DISTINCT grams.doc_id, grams.i, grams.n, win.item_id FROM grams JOIN win ON grams.g = win.g AND grams.n = win.n),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id

@@ -27,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.llm._common import WORD_CLASS, discard, partitions, row_key, stage, table
@@ -41,11 +41,11 @@ SLOTS, CHUNKS = 1 << 18, 256
 PARTS = 64
 #: Bits of the sieve through which documents are read again.
 SIEVE = 1 << 23
-SETS = "doc_id long, jac_key long, n long, f1 long, f2 long, shape array<int>"
+SETS = "doc_id long, jac_key long, n long, f1 long, f2 long, shape array<tinyint>, scale int"
 FETCHED = "jac_key long, tokens binary"
 ENTRIES = "token long, cid long, info long"
 MOST = (1 << 24) - 1
-DRAW_ROUNDS = 2
+DRAW_ROUNDS = 1
 
 
 def prefix_length(n, percent: int):
@@ -125,9 +125,10 @@ def set_rows(shared, size: int):
         for piece in pieces(batches, "text"):
             sets = row_sets(piece.column("text"), shared.value, size)
             marks = [prints(x) for x in sets]
-            counts = [np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for x in sets]
-            shapes = list_array(pa.array(np.concatenate(counts).astype(np.int32)), np.full(len(sets), PARTS))
-            yield pa.record_batch([piece.column("doc_id"), piece.column("jac_key"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)), shapes], ["doc_id", "jac_key", "n", "f1", "f2", "shape"])
+            counts = np.stack([np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for x in sets])
+            scales = 1 << np.ceil(np.log2(np.maximum(counts.max(1) / 127, 1))).astype(np.int64)
+            shapes = list_array(pa.array(np.ceil(counts / scales[:, None]).astype(np.int8).reshape(-1)), np.full(len(sets), PARTS))
+            yield pa.record_batch([piece.column("doc_id"), piece.column("jac_key"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)), shapes, pa.array(scales.astype(np.int32))], ["doc_id", "jac_key", "n", "f1", "f2", "shape", "scale"])
 
     return run
 
@@ -218,11 +219,6 @@ def verify(percent: int):
     return run
 
 
-def size_class(n, percent: int):
-    """Sets that may link are in one class or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / float(np.log(101 / percent))).cast("int")
-
-
 def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row a document (doc_id, jac_key, n: size of its set, component_id, jac_group: label of its group of linked
     sets, whatever their ids; null where the set is empty)."""
@@ -231,20 +227,25 @@ def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("jac_key"), "text")
     levels = spark.sparkContext.broadcast(rarity(rows, shingle))
     sets = stage(rows.mapInArrow(set_rows(levels, shingle), SETS), "sets")
-    classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.min("jac_key").alias("key"), F.min(F.struct("n", "shape")).alias("s"))
-    classes = stage(classes.select("f1", "f2", "least", "key", "s.n", "s.shape"), "classes")
+    classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.min("jac_key").alias("key"), F.min(F.struct("n", "shape", "scale")).alias("s"))
+    classes = stage(classes.select("f1", "f2", "least", "key", "s.n", "s.shape", "s.scale"), "classes")
     entries = rows.mapInArrow(entry_rows(levels, shingle, percent), ENTRIES)
     order = ["token", "info", "cid"]
     live = stage(entries.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(stream_entries, ENTRIES), "entries")
     tested: list[DataFrame] = []  # pairs that were verified, by round
     fetched: list[DataFrame] = []  # shingles of the sets in them
 
+    def shaped(x: str) -> DataFrame:
+        return classes.select(F.col("f1").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "shape", "scale")])
+
+    def overlap_allows() -> Column:
+        each = F.zip_with("shape_a", "shape_b", lambda x, y: F.least(x * F.col("scale_a"), y * F.col("scale_b")))
+        most = F.aggregate(each, F.lit(0).cast("long"), lambda total, x: total + x)
+        return (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+
     def could_link(pairs: DataFrame) -> DataFrame:
         """Suffix filter: no more shingles can be shared than both sets have in each part."""
-        a, b = (classes.select(F.col("f1").alias(x), F.col("n").alias(f"n_{x}"), F.col("shape").alias(f"shape_{x}")) for x in "ab")
-        both = pairs.join(a, "a").join(b, "b")
-        most = F.aggregate(F.zip_with("shape_a", "shape_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
-        return both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        return pairs.join(shaped("a"), "a").join(shaped("b"), "b").where(overlap_allows()).select("a", "b")
 
     def fetch(pairs: DataFrame) -> None:
         """Shingles of the sets of these pairs, unless an earlier round fetched them."""
@@ -257,13 +258,14 @@ def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         found = found.join(keys, F.col("jac_key") == F.col("key")).dropDuplicates(["cid"]).select("cid", "tokens")
         fetched.append(stage(found, "fetched"))
 
-    def checked(pairs: DataFrame) -> DataFrame:
+    def checked(pairs: DataFrame, filtered: bool = False) -> DataFrame:
         """Those pairs (a, b) that link; of a pair in both directions one. Many b may be the same set."""
         lo, hi = F.least("a", "b"), F.greatest("a", "b")
         once = pairs.groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.min("a").alias("a"))
         for old in tested:
             once = once.join(old.select(lo.alias("lo"), hi.alias("hi")), ["lo", "hi"], "left_anti")
-        new = stage(could_link(once.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))), "pairs")
+        new = once.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+        new = stage(new if filtered else could_link(new), "pairs")
         tested.append(new)
         if new.isEmpty():
             return new
@@ -307,12 +309,14 @@ def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         links = links.unionByName(checked(against(rest, F.xxhash64("token", "cid", F.lit(k)))))
         groups, rest = regrouped(rest, links)
     if not rest.isEmpty():
-        near = rest.withColumn("band", size_class(size("info"), percent))
-        a = near.select("token", "band", F.col("cid").alias("a"), F.col("info").alias("info_a"), F.col("g").alias("g_a"))
-        b = near.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"), F.col("cid").alias("b"), F.col("info").alias("info_b"), F.col("g").alias("g_b"))
-        smaller = (size("info_a") < size("info_b")) | ((size("info_a") == size("info_b")) & (F.col("a") < F.col("b")))
-        pairs = a.join(b, ["token", "band"]).where(smaller & (F.col("g_a") != F.col("g_b")) & fits("info_a", "info_b")).select("a", "b").distinct()
-        groups = components(links.unionByName(checked(pairs)))
+        # the suffix filter is part of this join, which else would make all pairs of a family of texts not quite alike
+        a, b = (rest.select("token", F.col("cid").alias(x), F.col("info").alias(f"info_{x}"), F.col("g").alias(f"g_{x}")).join(shaped(x), x) for x in "ab")
+        band = lambda n: F.floor(F.log2(n)).cast("int")
+        a = a.withColumn("band", band(F.col("n_a")))
+        b = b.withColumn("band", F.explode(F.sequence(band(F.col("n_b") * (percent / 101)), band(F.col("n_b")))))
+        smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+        pairs = a.join(b, ["token", "band"]).where(smaller & (F.col("g_a") != F.col("g_b")) & fits("info_a", "info_b") & overlap_allows()).select("a", "b").distinct()
+        groups = components(links.unionByName(checked(pairs, filtered=True)))
     discard(*fetched)
     labelled = classes.join(groups, F.col("f1") == F.col("node"), "left").select("f1", "f2", "least", F.coalesce("label", "f1").alias("label"), F.col("label").isNull().alias("alone"))
     labelled = stage(labelled, "labelled")

@@ -1,24 +1,30 @@
 """Line deduplication that ships bitmaps, not text.
 
-Line hashes are range-partitioned by (hash, document) and sorted within by document, newest first, and position. The
-document that keeps a line is the largest, by an aggregate that does not read that order. A hash that fills several
-ranges is summed up per range before the sums meet. What comes back per document is a compressed keep bitmap: the runs
-of dropped line numbers, none for the documents that keep every line.
+Lines are hashed once. The hashes are range-partitioned, with a secondary sort by document, newest first, and position,
+and a window streams over each sorted run: it lets the first occurrence of every document through, of as many documents
+as are needed to call a line repeated. A hash is split by document into SPLITS ranges for that, so that a line of a
+third of all rows is no task of its own; the few rows that pass are ranged and sorted again, by hash alone, and the
+window's row number min_docs says that a line is repeated, its first row which document keeps it. What comes back per
+document is a keep bitmap compressed by run lengths: the runs of dropped line numbers, nothing for documents that keep
+every line. Texts are shuffled once, to meet their bitmaps.
 
 Only DataFrame functions. Nulls: a null text is one empty line; a null doc_id sorts lowest and counts as one document.
 Rows that repeat a doc_id count as one document; the largest doc_id keeps a line in all its rows. Ties of position
-cannot occur. An empty table gives an empty result; other columns pass through untouched.
+cannot occur. An empty table gives an empty result; other columns pass through untouched, whatever their names, but for
+``line_drop``, which the operator adds.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixmill.llm._common import let, lower_ascii, partitions, row_key, stage, table
+from helixmill.llm._common import discard, let, lower_ascii, partitions, row_key, stage, table
 
-STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 SPACES = "\t\n\x0b\x0c\r "
+#: Ranges into which one hash may be split, by document.
+SPLITS = 64
 
 
 def line_keys(text: Column, min_chars: int) -> Column:
@@ -31,25 +37,38 @@ def line_keys(text: Column, min_chars: int) -> Column:
 
 
 def drop_runs(positions: Column) -> Column:
-    """Sorted line numbers as runs (first, count)."""
-    def grow(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["first"] + F.try_element_at(acc, F.lit(-1))["n"] == p)
-        longer = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n"))))
-        return F.when(joined, longer).otherwise(F.concat(acc, F.array(F.struct(p.alias("first"), F.lit(1).alias("n")))))
+    """Sorted, distinct line numbers as runs (first, n)."""
+    def runs(s: Column) -> Column:
+        first = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1) != x - 1))
+        last = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1) != x + 1))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("n")))
 
-    return F.aggregate(positions, F.array().cast("array<struct<first:int,n:int>>"), grow)
+    return let(positions, runs)
+
+
+def first_occurrences(lines: DataFrame, ranges: list[str], most: int) -> DataFrame:
+    """Of each hash in its ranges the first line of every document, of the most newest documents at most, with the
+    newest document and a running number. The window reads the ranged partitions in their secondary order."""
+    order = [F.col("doc_id").desc_nulls_last(), F.col("p")]
+    ranged = lines.repartitionByRange(partitions(lines.sparkSession), *ranges).sortWithinPartitions(*ranges, *order)
+    by, by_document = W.partitionBy(*ranges).orderBy(*order), W.partitionBy(*ranges).orderBy(order[0])
+    seen = ranged.select("*", F.lag(F.struct("doc_id")).over(by).alias("before"), F.first("doc_id").over(by).alias("newest"))
+    seen = seen.withColumn("k", F.dense_rank().over(by_document))
+    return seen.where((F.col("k") <= most) & ~F.col("before").eqNullSafe(F.struct("doc_id"))).drop("before")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """One row (key, drop) for each document that loses lines: drop holds runs (first, n) of line numbers from 0."""
-    spark = docs.sparkSession
-    lines = docs.select("doc_id", row_key().alias("_lkey"), F.explode(line_keys(F.col("text"), min_chars)).alias("_l")).select("doc_id", "_lkey", F.col("_l.p").alias("p"), F.col("_l.h").alias("h"), F.col("_l.g").alias("g"))
-    ranged = lines.repartitionByRange(partitions(spark), "h", "g", F.col("doc_id").desc_nulls_last()).sortWithinPartitions("h", "g", F.col("doc_id").desc_nulls_last(), "p")
-    heads = ranged.groupBy("h", "g", "doc_id").agg(F.lit(1).alias("one")).groupBy("h", "g").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs).select("h", "g", "keeper")
+    lines = docs.select("doc_id", row_key().alias("key"), F.explode(line_keys(F.col("text"), min_chars)).alias("l"))
+    lines = stage(lines.select("doc_id", "key", "l.p", "l.h", "l.g"), "lines")
+    split = lines.select("h", "g", "doc_id", "p", F.pmod(F.xxhash64("doc_id"), F.lit(SPLITS)).alias("part"))
+    some = first_occurrences(split, ["h", "g", "part"], min_docs).select("h", "g", "doc_id", "p")
+    heads = first_occurrences(some, ["h", "g"], min_docs).where(F.col("k") == min_docs).select("h", "g", F.col("newest").alias("keeper"))
     # written, so that the join below has two plain shuffles and Spark can split the one with a hot line
     dropped = lines.join(stage(heads, "heads"), ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return dropped.groupBy("_lkey").agg(drop_runs(F.sort_array(F.collect_set("p"))).alias("drop"))
+    out = stage(dropped.groupBy("key").agg(drop_runs(F.sort_array(F.collect_set("p"))).alias("drop")), "bitmaps")
+    discard(lines)
+    return out
 
 
 def kept_text(text: Column, drop: Column) -> Column:
@@ -64,26 +83,26 @@ def kept_text(text: Column, drop: Column) -> Column:
 
 
 def with_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with _ldrop, the runs of lines to drop (null: none)."""
-    maps = keep_bitmaps(docs, min_chars, min_docs).withColumnRenamed("_lkey", "_lkey2").withColumnRenamed("drop", "_ldrop")
-    return docs.withColumn("_lkey", row_key()).join(maps.hint("shuffle_hash"), F.col("_lkey") == F.col("_lkey2"), "left").drop("_lkey", "_lkey2")
+    """docs with line_drop, the runs of lines to drop (null: none)."""
+    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("key").alias("map_key"), F.col("drop").alias("map_drop"))
+    packed = docs.drop("line_drop").select(F.struct("*").alias("line_row"), row_key().alias("line_key"))
+    return packed.join(maps.hint("shuffle_hash"), F.col("line_key") == F.col("map_key"), "left").select("line_row.*", F.col("map_drop").alias("line_drop"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_drops(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n_dropped = F.coalesce(F.aggregate("_ldrop", F.lit(0), lambda a, r: a + r["n"]), F.lit(0))
+    n_dropped = F.coalesce(F.aggregate("line_drop", F.lit(0), lambda a, r: a + r["n"]), F.lit(0))
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), F.sha2(kept_text(F.col("text"), F.col("_ldrop")), 256).alias("kept_sha256"))
+    return docs.select("doc_id", (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), F.sha2(kept_text(F.col("text"), F.col("line_drop")), 256).alias("kept_sha256"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: the same rows and columns with repeated lines gone from text, n_chars brought up to date."""
     columns = docs.columns
-    out = with_drops(docs)
-    text = F.when(F.col("_ldrop").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("_ldrop")))
-    out = out.withColumn("text", text)
+    same = F.col("line_drop").isNull()
+    out = with_drops(docs).withColumn("text", F.when(same, F.col("text")).otherwise(kept_text(F.col("text"), F.col("line_drop"))))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_ldrop").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*columns)
 
 

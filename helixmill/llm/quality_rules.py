@@ -5,8 +5,9 @@ kept by its posterior probability, not by passing all rules.
 Only DataFrame functions. What EM iterates over is the table of vote patterns, at most 3**rules rows however many
 documents there are; each iteration is one aggregation that returns one row of sums.
 
-Nulls and empty texts have no words and fail the base rules. Columns the operator adds start with ``_q`` until the
-caller selects them. An empty table gives an empty result (EM then keeps its starting values).
+Nulls and empty texts have no words and fail the base rules. ``with_features`` and ``judged`` add columns by plain names,
+which replace input columns of those names; ``keep_good`` packs its rows first, so that all columns come through. An
+empty table gives an empty result (EM then keeps its starting values).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm._common import SPACE_CLASS, let, stage, table
+from helixmill.llm._common import SPACE_CLASS, discard, let, stage, table
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -129,8 +130,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: documents that the rules reject go. Features are made twice, to fit and to judge, which
-    moves no text; a join of judgements with texts would move them all."""
+    moves no text; a join of judgements with texts would move them all. The filter reads a column that has no fixed
+    value, the partition, so that it stays above the features instead of repeating them for each use below."""
     features = with_features(docs.select("doc_id", "text")).drop("text")
-    model = fit(stage(features, "features"))
+    features = stage(features, "features")
+    model = fit(features)
+    discard(features)
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.col("text"))
-    return judged(with_features(packed), model).where("kept").select("_row.*")
+    made = with_features(packed).withColumn("_qpart", F.spark_partition_id())
+    return judged(made, model).where("kept AND _qpart >= 0").select("_row.*")

@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The text is read once from left to right. Only the best scores of the last few positions are kept, as many as the
-longest piece has characters, and ids are committed whenever all surviving paths run through one boundary: at once
-where no piece crosses a place, else when the paths that are still alive are found to share a boundary. Memory is
-bounded by the window, not by the text. A word between two such boundaries always gets the same ids, so words met
-before come from a bounded memo.
+A text is read from left to right in lanes. Where no piece can cross, as before a space for the usual vocabularies, all
+paths run through one boundary, so a new lane begins there. Many lanes are searched in step, one place of all lanes at a
+time. Of a lane only a window is held: REACH bytes and the longest piece beyond. When the window ends before the lane,
+the backpointer paths of all places that a path may still go on from, no further than the longest piece, are followed
+back to the last boundary they share; the ids up to there are committed and the search goes on from it. Only if they
+share none does the window grow. A lane always gets the same ids, so lanes met before come from a bounded memo.
 
 The vocabulary file is a parameter; the driver reads it and broadcasts its pieces and scores. The public model at hand
 was made for merges (BPE) but has a score for every piece; this search maximises their sum, as for a unigram model, so
@@ -32,8 +33,10 @@ from helixmill.llm._text import pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"  # stands for a space in the vocabulary file
-MEMO = 200_000
-MEMO_CHARS = 64
+#: Most lanes, and characters in them, of a generation of the memo.
+MEMO, MEMO_CHARS = 200_000, 8_000_000
+#: Bytes of a lane that are searched before its ids are committed as far as all paths agree.
+REACH = 4096
 WORD = re.compile(" +[^ ]*")
 
 
@@ -45,7 +48,6 @@ class Vocabulary:
     unknown: float  # score of a character without piece
     spelled: list[bytes]  # by id
     longest: int
-    table: dict[str, tuple[float, int] | None]  # score and id by piece; None for what only begins one
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -65,56 +67,7 @@ def load(path: str = MODEL) -> Vocabulary:
             own = piece.replace(MARK, " ")
             ids[own], scores[own] = i, model.get_score(i)
             spelled.append(own.encode())
-    table: dict[str, tuple[float, int] | None] = {p[:k]: None for p in ids for k in range(1, len(p))}
-    table.update({p: (scores[p], i) for p, i in ids.items()})
-    return Vocabulary(ids, scores, byte_ids, min(scores.values()) - 10, spelled, max(map(len, ids)), table)
-
-
-def stream(text: str, v: Vocabulary) -> Iterator[list[int]]:
-    """Ids in runs, as they are committed. Equal scores: the longer piece, then the earlier path, wins."""
-    table, longest = v.table, v.longest
-    best, back = {0: 0.0}, {}
-    done, far = 0, 0  # committed up to here; furthest end of a piece that begins before the current place
-
-    def trace(place: int) -> list[int]:
-        cuts = [place]
-        while cuts[-1] > done:
-            cuts.append(back[cuts[-1]])
-        return cuts[::-1]
-
-    def spell(cuts: list[int]) -> list[int]:
-        out: list[int] = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            piece = text[a:b]
-            out.extend([v.ids[piece]] if piece in v.ids else [v.byte_ids[x] for x in piece.encode()])
-        return out
-
-    for at in range(len(text)):
-        here = best[at]
-        if at and far <= at:  # no piece crosses: every path runs through this place
-            yield spell(trace(at))
-            done, best, back = at, {at: here}, {}
-        elif at - done >= 2 * longest:  # else look for a boundary that all living paths share
-            living = [set(trace(p)) for p in best if p >= at]
-            shared = max(set.intersection(*living))
-            if shared > done:
-                yield spell(trace(shared))
-                done = shared
-                best = {p: s for p, s in best.items() if p >= at}
-                back = {p: b for p, b in back.items() if p > done}
-        for end in range(at + 1, min(at + longest, len(text)) + 1):
-            entry = table.get(text[at:end], False)
-            if not entry and end > at + 1:
-                if entry is None:
-                    continue
-                break  # nothing longer begins like this
-            total = here + (entry[0] if entry else v.unknown)
-            if end not in best or total > best[end]:
-                best[end], back[end] = total, at
-            if end > far:
-                far = end
-    if text:
-        yield spell(trace(len(text)))
+    return Vocabulary(ids, scores, byte_ids, min(scores.values()) - 10, spelled, max(map(len, ids)))
 
 
 class Trie:
@@ -141,28 +94,29 @@ class Trie:
         self.scores = np.zeros(len(v.spelled))
         for text, i in v.ids.items():
             self.scores[i] = v.scores[text]
-        self.byte_ids = np.array(v.byte_ids)
+        self.byte_ids, self.unknown = np.array(v.byte_ids), v.unknown
+        self.deep = max([4, *(len(x.encode()) for x in v.ids)])  # bytes of the longest piece, or character
 
 
-def encode_many(words: list[str], v: Vocabulary, trie: Trie) -> list[bytes]:
-    """Ids of many words that are no longer than a few windows. The search takes them in step, one place of all words at
-    a time, and every word is committed where it ends."""
-    raw = [w.encode() for w in words]
-    sizes = np.array([len(x) for x in raw], np.int64)
+def step(lanes: list[bytes], limits: np.ndarray, trie: Trie) -> tuple[list[bytes], list[int]]:
+    """Search the lanes in step, pieces that begin before each one's limit. A lane that ends there is committed whole,
+    another one up to the last boundary that all its living paths share. Ids, and how many bytes they stand for."""
+    sizes = np.array([len(x) for x in lanes], np.int64)
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    data = np.frombuffer(b"".join(raw), np.uint8)
+    data = np.frombuffer(b"".join(lanes), np.uint8)
     stop, begin_of = np.repeat(ends, sizes), np.repeat(begins, sizes)
     heads = np.flatnonzero((data & 0xC0) != 0x80)
     width = np.diff(np.append(heads, len(data)))
+    before_limit = heads - begin_of[heads] < np.repeat(limits, sizes)[heads]
+    heads, width = heads[before_limit], width[before_limit]
     # edges: pieces that begin at a character, and characters without a piece
     at, node, span = heads, np.zeros(len(heads), np.int64), 0
     starts, stops, found = [], [], []
-    alone = np.zeros(len(data), bool)
     while len(at):
         inside = at + span < stop[at]
         at, node = at[inside], node[inside]
-        node = trie.next[trie.row[node], data[at + span]]
+        node = trie.next[trie.row[node], data[at + span]].astype(np.int64)
         alive = node > 0
         at, node, span = at[alive], node[alive], span + 1
         i = trie.piece[node]
@@ -170,83 +124,89 @@ def encode_many(words: list[str], v: Vocabulary, trie: Trie) -> list[bytes]:
         starts.append(at[good])
         stops.append(at[good] + span)
         found.append(i[good])
-        node = node.astype(np.int64)
     edge_start, edge_stop, edge_id = np.concatenate(starts), np.concatenate(stops), np.concatenate(found)
-    after = np.zeros(len(data), np.int64)
+    alone, after = np.zeros(len(data), bool), np.zeros(len(data), np.int64)
     after[heads] = heads + width
     alone[edge_start[after[edge_start] == edge_stop]] = True
     lost = heads[~alone[heads]]
     edge_start, edge_stop, edge_id = np.concatenate([edge_start, lost]), np.concatenate([edge_stop, after[lost]]), np.concatenate([edge_id, np.full(len(lost), -1)])
-    score = np.where(edge_id >= 0, trie.scores[edge_id], v.unknown)
-    offset, size = edge_start - begin_of[edge_start], edge_stop - edge_start
-    group = offset * 256 + size
-    order = np.argsort(group, kind="stable")
-    edge_start, edge_stop, edge_id, score, group = (x[order] for x in (edge_start, edge_stop, edge_id, score, group))
-    shift = np.arange(len(words))  # each word has one place more than bytes
-    place = np.repeat(shift, sizes)
-    edge_from, edge_to = edge_start + place[edge_start], edge_stop + place[edge_start]
-    best = np.full(len(data) + len(words), -np.inf)
-    best[begins + shift] = 0
+    offset = edge_start - begin_of[edge_start]
+    order = np.argsort(offset, kind="stable")
+    edge_start, edge_stop, edge_id, offset = (x[order] for x in (edge_start, edge_stop, edge_id, offset))
+    score = np.where(edge_id >= 0, trie.scores[edge_id], trie.unknown)
+    shift = np.arange(len(lanes))  # each lane has one place more than bytes
+    edge_from, edge_to = (x + np.repeat(shift, sizes)[edge_start] for x in (edge_start, edge_stop))
+    best = np.full(len(data) + len(lanes), -np.inf)
+    first = begins + shift
+    best[first] = 0
     back = np.full(len(best), -1, np.int64)
-    bounds = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+    bounds = np.append(np.flatnonzero(np.append(True, offset[1:] != offset[:-1])), len(offset))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):  # edges that begin together never end together
         total, to = best[edge_from[a:b]] + score[a:b], edge_to[a:b]
-        better = np.flatnonzero(total > best[to])
+        better = np.flatnonzero(total > best[to])  # of equal paths the one with the longer last piece stays
         best[to[better]] = total[better]
         back[to[better]] = a + better
-    path, here = [], (ends + shift)[sizes > 0]
-    first = (begins + shift)[sizes > 0]
+    upto = sizes.copy()
+    for k in np.flatnonzero(limits < sizes).tolist():
+        living = {p for p in range(first[k] + limits[k], first[k] + sizes[k] + 1) if best[p] > -np.inf}
+        while len(living) > 1:
+            last = max(living)
+            living.remove(last)
+            living.add(int(edge_from[back[last]]))
+        upto[k] = living.pop() - first[k]
+    path, here, low = [], (first + upto)[upto > 0], first[upto > 0]
     while len(here):
         edge = back[here]
         path.append(edge)
         here = edge_from[edge]
-        going = here > first
-        here, first = here[going], first[going]
+        going = here > low
+        here, low = here[going], low[going]
     path = np.concatenate(path) if path else np.zeros(0, np.int64)
     path = path[np.argsort(edge_start[path])]
     begin, n = edge_start[path], np.where(edge_id[path] >= 0, 1, edge_stop[path] - edge_start[path])
-    upto = np.cumsum(n)
+    total_ids = np.cumsum(n)
     ids = np.repeat(edge_id[path], n)
-    inner = np.arange(len(ids)) - np.repeat(upto - n, n)
+    inner = np.arange(len(ids)) - np.repeat(total_ids - n, n)
     ids = np.where(ids >= 0, ids, trie.byte_ids[data[np.minimum(np.repeat(begin, n) + inner, len(data) - 1)]]).astype(np.int32)
-    cuts = np.append(0, upto)[np.searchsorted(begin, np.append(begins, len(data)))] * 4
+    cuts = (np.append(0, total_ids)[np.searchsorted(begin, np.append(begins, len(data)))] * 4).tolist()
     blob = ids.tobytes()
-    return [blob[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return [blob[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], upto.tolist()
 
 
-def encode_word(word: str, v: Vocabulary) -> bytes:
-    return np.array([i for run in stream(word, v) for i in run], np.int32).tobytes()
+def encode_lanes(lanes: list[str], trie: Trie, reach: int = REACH) -> list[bytes]:
+    """Ids of each lane."""
+    raw = [x.encode() for x in lanes]
+    out: list[list[bytes]] = [[] for _ in raw]
+    done, window, live = [0] * len(raw), [reach] * len(raw), [k for k, x in enumerate(raw) if x]
+    while live:
+        parts = [raw[k][done[k] : done[k] + window[k] + trie.deep] for k in live]
+        limits = np.array([window[k] if done[k] + window[k] + trie.deep < len(raw[k]) else len(p) for k, p in zip(live, parts, strict=True)])
+        for k, ids, n in zip(live, *step(parts, limits, trie), strict=True):
+            out[k].append(ids)
+            done[k] += n
+            window[k] = reach if n else 2 * window[k]
+        live = [k for k in live if done[k] < len(raw[k])]
+    return [b"".join(x) for x in out]
 
 
-class Memo(dict):
-    """Ids of words met before, in two generations: when the young one is full it grows old, and what was old and not
-    met since goes."""
+class Memo:
+    """Ids of lanes met before, in two generations: when the young one is full it grows old, and what was old and not met
+    since goes."""
 
     def __init__(self, v: Vocabulary):
-        super().__init__()
-        self.v, self.old, self.trie = v, {}, Trie(v)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = encode_word(word, self.v)
-        if len(word) <= MEMO_CHARS:
-            self.keep(word, ids)
-        return ids
-
-    def keep(self, word: str, ids: bytes) -> None:
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-
-    def learn(self, words: set[str]) -> None:
-        """Encode those not met yet, together."""
-        new = [w for w in words if w not in self and w not in self.old and len(w) <= MEMO_CHARS]
-        if new:
-            for w, ids in zip(new, encode_many(new, self.v, self.trie), strict=True):
-                self.keep(w, ids)
+        self.trie, self.young, self.old, self.chars = Trie(v), {}, {}, 0
 
+    def lookup(self, lanes: set[str]) -> dict[str, bytes]:
+        """Ids by lane; those not met yet are searched together."""
+        found = {w: self.young[w] for w in lanes if w in self.young}
+        new = {w: self.old[w] for w in lanes if w not in found and w in self.old}
+        unmet = [w for w in lanes if w not in found and w not in new]
+        new.update(zip(unmet, encode_lanes(unmet, self.trie), strict=True))
+        self.young.update(new)
+        self.chars += sum(map(len, new))
+        if len(self.young) >= MEMO or self.chars >= MEMO_CHARS:
+            self.young, self.old, self.chars = {}, self.young, 0
+        return found | new
 
 
 def words_split_here(v: Vocabulary) -> bool:
@@ -255,11 +215,9 @@ def words_split_here(v: Vocabulary) -> bool:
 
 
 def encode_texts(texts: list[str | None], memo: Memo, split: bool) -> list[bytes]:
-    if not split:
-        return [encode_word(" " + t, memo.v) if t else b"" for t in texts]
-    words = [WORD.findall(" " + t) if t else [] for t in texts]
-    memo.learn(set().union(*words))
-    return [b"".join(map(memo.__getitem__, w)) for w in words]
+    lanes = [(WORD.findall(" " + t) if split else [" " + t]) if t else [] for t in texts]
+    known = memo.lookup(set().union(*lanes))
+    return [b"".join(map(known.__getitem__, x)) for x in lanes]
 
 
 class Decoder:

@@ -5,8 +5,9 @@ of its files prune reads on any of them.
 Only DataFrame functions. The texts themselves never move unless the caller passes them along.
 
 Nulls: a null dimension is in the lowest bin; a null text counts no bytes and has checksum 0. Equal rows keep one
-place each. An empty table gives an empty result. Columns that the operator adds start with ``_h`` until the end, so
-clashing names in the input survive.
+place each. An empty table gives an empty result. ``curve``, ``shard`` and ``slot`` are added and replace input columns
+of those names; all others come through (helpers start with ``_h``). Equal texts (a group) follow each other where
+their dimensions are in equal bins; a group is not held together beyond that, as the order and the equal shards decide.
 """
 
 from __future__ import annotations
@@ -54,22 +55,34 @@ def hilbert_index(bins: list[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step)["h"]
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """The column as a number in its own order; strings by their first seven bytes."""
-    c = F.col(name)
-    if isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType)):
-        c = F.conv(F.rpad(F.substring(F.hex(c), 1, 14), 14, "0"), 16, 10)
-    return c.cast("double")
+def places_before(parts: DataFrame, *sums: str) -> DataFrame:
+    """parts: one row a range partition (_hpart) with sums; each sum over the partitions before, and over all."""
+    before = W.orderBy("_hpart").rowsBetween(W.unboundedPreceding, -1)
+    return parts.select("_hpart", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in sums], *[F.sum(c).over(W.partitionBy()).alias(f"{c}_all") for c in sums])
+
+
+def string_bounds(df: DataFrame, name: str, bins: int) -> list[str]:
+    """Whole values, bins - 1 at most, that part the rows into bins of about equal counts: from the counts of all
+    different values, in their order."""
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("_hn"))
+    dealt = stage(counts.repartitionByRange(partitions(df.sparkSession), "v").withColumn("_hpart", F.spark_partition_id()), "values")
+    offsets = places_before(dealt.groupBy("_hpart").agg(F.sum("_hn").alias("_hn")), "_hn")
+    upto = F.sum("_hn").over(W.partitionBy("_hpart").orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + F.col("_hn0")
+    placed = dealt.join(F.broadcast(offsets), "_hpart").select("v", F.floor((upto - 1) * bins / F.col("_hn_all")).alias("bin"))
+    return [r.v for r in placed.groupBy("bin").agg(F.max("v").alias("v")).orderBy("bin").collect()][:-1]
 
 
 def quantise(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
     """For each dimension its bin of about equal row counts; the bounds, 2**bits - 1 a dimension, come from all rows."""
     steps = [(i + 1) / (1 << bits) for i in range((1 << bits) - 1)]
-    row = df.agg(*[F.percentile_approx(as_number(df, d), steps, 10_000).alias(f"_h{i}") for i, d in enumerate(dims)]).first()
+    strings = [d for d in dims if isinstance(df.schema[d].dataType, T.StringType)]
+    numbers = [d for d in dims if d not in strings]
+    row = df.agg(*[F.percentile_approx(F.col(d).cast("double"), steps, 10_000).alias(f"_h{d}") for d in numbers]).first() if numbers else {}
+    bounds = {d: row[f"_h{d}"] or [] for d in numbers} | {d: string_bounds(df, d, 1 << bits) for d in strings}
     bins = []
-    for i, d in enumerate(dims):
-        bounds = sorted(set(row[i] or []))
-        bins.append(reduce(lambda a, b: a + b, [F.coalesce((as_number(df, d) > b).cast("int"), F.lit(0)) for b in bounds], F.lit(0)))
+    for d in dims:
+        value = F.col(d) if d in strings else F.col(d).cast("double")
+        bins.append(reduce(lambda a, b: a + b, [F.coalesce((value > b).cast("int"), F.lit(0)) for b in sorted(set(bounds[d]))], F.lit(0)))
     return bins
 
 
@@ -83,22 +96,21 @@ def hilbert_shards(df: DataFrame, dims: list[str], ties: list[str], shards: int,
     weight = F.col(size).cast("long") if law == "bytes" else F.lit(1).cast("long")
     dealt = stage(curved.repartitionByRange(partitions(spark), *order).withColumn("_hpart", F.spark_partition_id()).withColumn("_hweight", weight), "hilbert")
     parts = dealt.groupBy("_hpart").agg(F.count("*").alias("_hn"), F.sum("_hweight").alias("_hsum"))
-    before = W.orderBy("_hpart").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
-    offsets = parts.select("_hpart", F.coalesce(F.sum("_hn").over(before), F.lit(0)).alias("_hn0"), F.coalesce(F.sum("_hsum").over(before), F.lit(0)).alias("_hsum0"), F.sum("_hn").over(W.partitionBy()).alias("_hrows"), F.sum("_hsum").over(W.partitionBy()).alias("_hall"))
+    offsets = places_before(parts, "_hn", "_hsum")
     inside = W.partitionBy("_hpart").orderBy(*order)
     placed = dealt.join(F.broadcast(offsets), "_hpart").withColumn("_hrank", F.row_number().over(inside) - 1 + F.col("_hn0"))
     if law == "rows":
-        q, more = F.expr("_hrows div %d" % shards), F.col("_hrows") % shards
+        q, more = F.expr("_hn_all div %d" % shards), F.col("_hn_all") % shards
         cut = more * (q + 1)
         shard = F.when(F.col("_hrank") < cut, F.expr("_hrank") / (q + 1)).otherwise(more + (F.col("_hrank") - cut) / q).cast("int")
         first = F.col("shard") * q + F.least(F.col("shard").cast("long"), more)
         out = placed.withColumn("shard", shard).withColumn("slot", (F.col("_hrank") - first).cast("long"))
     else:
         upto = F.sum("_hweight").over(inside.rowsBetween(W.unboundedPreceding, 0)) + F.col("_hsum0")
-        out = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor((upto - F.col("_hweight") / 2) * shards / F.greatest(F.col("_hall"), F.lit(1)))).cast("int"))
+        out = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor((upto - F.col("_hweight") / 2) * shards / F.greatest(F.col("_hsum_all"), F.lit(1)))).cast("int"))
         firsts = out.groupBy("shard").agg(F.min("_hrank").alias("_hfirst"))  # one row a shard
         out = out.join(F.broadcast(firsts), "shard").withColumn("slot", (F.col("_hrank") - F.col("_hfirst")).cast("long"))
-    return out.withColumnRenamed("_hcurve", "curve").drop("_hpart", "_hweight", "_hn0", "_hsum0", "_hrows", "_hall", "_hrank", "_hfirst")
+    return out.drop("curve").withColumnRenamed("_hcurve", "curve").drop("_hpart", "_hweight", "_hn0", "_hsum0", "_hn_all", "_hsum_all", "_hrank", "_hfirst")
 
 
 def write_shards(sharded: DataFrame, path: str, order: list[str]) -> None:

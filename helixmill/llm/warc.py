@@ -7,9 +7,10 @@ become revisit records without payload. Archives lie in the folder of spark.chec
 pyarrow.fs, under names that no two attempts share; only files that a finished task reported are ever read, so lost
 executors and repeated tasks leave nothing but unread files behind.
 
-Nulls: a null html is an empty payload; a null page_id sorts last and is written as "null". Of rows that repeat a
-page_id and payload one is the response, the others revisit it. Memory: one record at a time, in pieces of 1 MB of the
-archive. An empty table gives an empty result.
+Nulls: a null html is an empty payload; a null page_id sorts last and is written as "null". White space in a URL, which a
+header cannot hold, is left out. Of rows that repeat a page_id and payload one is the response, the others revisit it.
+Only page_id, url and html are read, so other columns cannot clash. Memory: one record at a time, inflated in pieces of
+1 MB. Every archive is a task of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm._common import partitions, shared_dir, stage, table
+from helixmill.llm._common import shared_dir, stage, table
 
 FILE_BYTES = 64 << 20
 CHUNK = 1 << 20
@@ -51,12 +52,13 @@ class Stream:
         self.source, self.inflate, self.held = source, zlib.decompressobj(GZIP), bytearray()
 
     def more(self) -> bool:
-        raw = self.inflate.unused_data or self.source.read(CHUNK)
+        """At most CHUNK bytes more, however small they were when packed."""
+        raw = self.inflate.unconsumed_tail or self.inflate.unused_data or self.source.read(CHUNK)
         if not raw:
             return False
         if self.inflate.eof:
             self.inflate = zlib.decompressobj(GZIP)
-        self.held += self.inflate.decompress(raw)
+        self.held += self.inflate.decompress(raw, CHUNK)
         return True
 
     def take(self, n: int) -> bytes:
@@ -181,19 +183,26 @@ def revisits(records: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     """Records whose payload the record of a smaller page holds: file, record, and that page."""
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page"), F.col("file").alias("first_file"), F.col("record").alias("first_record"))
     sized = records.where(F.col("payload_bytes") >= least)
-    firsts = sized.groupBy("digest").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").select("digest", "f.*")
+    # written, so that the join has two plain shuffles and Spark can split the one with a payload of very many pages
+    firsts = stage(sized.groupBy("digest").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").select("digest", "f.*"), "firsts")
     return sized.join(firsts, "digest").where(~((F.col("file") == F.col("first_file")) & (F.col("record") == F.col("first_record")))).select("file", "record", "page")
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """A row of files for each task: dealt in turn, as hashes of few names would meet in few tasks and small partitions
+    be put together."""
+    return files.repartition(max(1, files.count()))
+
+
 def normalise(records: DataFrame, again: DataFrame, source: str, target: str) -> DataFrame:
     """Rewritten archives with sidecars; one row for each. A file's list is as bounded as the file."""
     found = again.groupBy("file").agg(F.collect_list(F.struct("record", "page")).alias("x"))
     plan = records.select("file").distinct().join(found, "file", "left").select("file", F.coalesce(F.col("x.record"), F.array().cast("array<int>")).alias("r"), F.coalesce(F.col("x.page"), F.array().cast("array<long>")).alias("p"))
-    return stage(plan.repartition(partitions(records.sparkSession), "file").mapInArrow(normaliser(source, target), INDEX), "index")
+    return stage(dealt(stage(plan, "plan")).mapInArrow(normaliser(source, target), INDEX), "index")
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    return index.select("file").repartition(partitions(index.sparkSession), "file").mapInArrow(reader(folder), READ)
+    return dealt(index.select("file")).mapInArrow(reader(folder), READ)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,8 +71,8 @@ def test_decontamination(spark, docs, rows, none):
     wanted = defaultdict(set)
     for i, t in items:
         w = words(t)
-        for k in range(max(len(w) - 10, 0) + 1 if w and i is not None else 0):
-            wanted[tuple(w[k : k + 10])].add(str(i))
+        for k in range(max(len(w) - 10, 0) + 1 if w else 0):
+            wanted[tuple(w[k : k + 10])] |= set() if i is None else {str(i)}
     expected = []
     for d, t, *_ in rows:
         w, hit, own = words(t), set(), set()
@@ -96,8 +96,18 @@ def test_decontamination(spark, docs, rows, none):
 def test_benchmark_in_blocks(spark, docs, rows, monkeypatch):
     bench = spark.createDataFrame([(k, rows[k][1]) for k in range(5, 25)], "item_id bigint, text string")
     whole = sorted(map(str, decontaminate.contaminated(docs, bench).drop("text").collect()))
+    cut = sorted(map(str, decontaminate.remove_leaks(docs, bench).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
     assert sorted(map(str, decontaminate.contaminated(docs, bench).drop("text").collect())) == whole
+    assert len(cut) == len(rows) and decontaminate.contaminated(decontaminate.remove_leaks(docs, bench), bench).where(F.size("fm_spans") > 0).count() == 0
+
+
+def test_cut_that_joins_a_window_of_an_earlier_block(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)
+    first, second = "a b c d e f g h i j", "k l m n o p q r s t"
+    bench = spark.createDataFrame([(1, first), (2, second), (3, "x y")], "item_id bigint, text string").coalesce(1)
+    docs = spark.createDataFrame([(1, f"so a b c d e {second} f g h i j it is"), (2, "x x y y z"), (3, None)], "doc_id bigint, text string")
+    assert {r.doc_id: (r.text or "").split() for r in decontaminate.remove_leaks(docs, bench).collect()} == {1: ["so", "it", "is"], 2: ["z"], 3: []}
 
 
 def test_fm_index_against_search():
@@ -192,6 +202,24 @@ def test_sharding(docs, rows, none, law):
     assert sharding.hilbert_shards(none, ["source", "n_chars"], ["doc_id"], 3).count() == 0
 
 
+def test_strings_with_a_long_common_start_have_bins_of_their_own(spark):
+    df = spark.range(800).select("id", F.concat(F.lit("https://one.host/"), F.lpad((F.col("id") * 37 % 100).cast("string"), 3, "0")).alias("v"), F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise("same").alias("w"))
+    bins = sharding.quantise(df, ["v", "w"], 3)
+    rows = df.select("v", bins[0].alias("b"), bins[1].alias("c")).collect()
+    assert {r.c for r in rows} == {0} and {r.b for r in rows} == set(range(8))
+    assert all((x.v <= y.v) or x.b >= y.b for x in rows[:90] for y in rows[:90])
+
+
+def test_shards_prune_by_every_dimension(spark, tmp_path):
+    df = spark.range(20_000).select(F.col("id"), F.pmod(F.xxhash64("id"), F.lit(100)).cast("int").alias("x"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100)).cast("int").alias("y"))
+    out = sharding.hilbert_shards(df, ["x", "y"], ["id"], 16)
+    sharding.write_shards(out, f"file://{tmp_path}/s", ["slot"])
+    assert spark.read.parquet(f"file://{tmp_path}/s").count() == 20_000
+    boxes = out.groupBy("shard").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).collect()
+    for low, high in (("x0", "x1"), ("y0", "y1")):
+        assert sum(r[low] <= 30 and r[high] >= 20 for r in boxes) <= 8  # a tenth of either dimension reads half the shards at most
+
+
 def test_curve_neighbours_touch():
     for n, bits in ((2, 3), (3, 2)):
         steps, seen = sharding.curve_steps(n), {}
@@ -249,7 +277,11 @@ def test_sentencepiece(spark, docs, rows, none):
         if len(t) < 600:
             assert out[d].sp_ids == (brute_viterbi(" " + t, v) if t else [])
     odd = "▁ a▁b\U0001f600" + "no-space" * 30
-    assert [i for run in sentencepiece_viterbi.stream(odd, v) for i in run] == brute_viterbi(odd, v)
+    trie, rng = sentencepiece_viterbi.Trie(v), random.Random(7)
+    longer = "".join(rng.choice(["ab", "the", "ing", "é", "日本", "x", "\U0001f600", "er", "\0", "a" * 30]) for _ in range(300))
+    for reach in (1, 5, 64, 4096):  # committed bit by bit, the same ids
+        for lane in (odd, longer, "a" * 700, "\U0001f600" * 40):
+            assert np.frombuffer(sentencepiece_viterbi.encode_lanes([lane, "b", "", lane[::-1]], trie, reach)[0], np.int32).tolist() == brute_viterbi(lane, v)
     back = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(spark.createDataFrame([(1, odd), (2, None), (3, "")], "doc_id bigint, text string")))
     assert {r.doc_id: r.text for r in back.collect()} == {1: odd, 2: None, 3: ""}
     assert sentencepiece_viterbi.encode(none).count() == 0
@@ -302,10 +334,34 @@ def test_line_dedup(docs, rows, none):
         ls = (t or "").split("\n")
         stay = [x for x in ls if not (len(key(x)) >= 40 and len(keys[key(x)]) >= 5 and d != max(keys[key(x)]))]
         expected.append((d, len(ls) - len(stay), "\n".join(stay)))
-    dropped = F.coalesce(F.aggregate("_ldrop", F.lit(0), lambda a, r: a + r["n"]), F.lit(0))
-    out = line_dedup.with_drops(docs).select("doc_id", dropped.alias("n"), line_dedup.kept_text(F.col("text"), F.col("_ldrop")).alias("kept"))
+    dropped = F.coalesce(F.aggregate("line_drop", F.lit(0), lambda a, r: a + r["n"]), F.lit(0))
+    out = line_dedup.with_drops(docs).select("doc_id", dropped.alias("n"), line_dedup.kept_text(F.col("text"), F.col("line_drop")).alias("kept"))
     assert sorted(map(tuple, out.collect())) == sorted(expected) and any(e[1] for e in expected)
     assert line_dedup.dedup_lines(docs).columns == docs.columns and line_dedup.dedup_lines(none).count() == 0
+    clash = docs.select("*", *[F.lit(7).alias(c) for c in ("key", "line_key", "map_key", "line_row", "h", "p", "k")])
+    got = line_dedup.dedup_lines(clash)
+    assert got.columns == clash.columns and got.where(" OR ".join(f"{c} <> 7" for c in clash.columns[5:])).count() == 0
+    assert sorted((r.doc_id, r.text) for r in got.where("text IS NOT NULL").collect()) == sorted((d, t) for (d, _, t), r in zip(expected, rows, strict=True) if r[1] is not None)
+
+
+def test_first_occurrences_stream_over_a_secondary_sort(spark):
+    lines = spark.range(2000).select((F.col("id") % 7).alias("h"), F.xxhash64(F.col("id") % 7).alias("g"), F.expr("nullif(id % 11, 3)").alias("doc_id"), F.col("id").alias("p"))
+    out = line_dedup.first_occurrences(lines, ["h", "g"], 4)
+    plan = out._jdf.queryExecution().executedPlan().toString().lower()
+    assert plan.index("window") < plan.index("sort [h") < plan.index("rangepartitioning(h") and plan.count("exchange") == 1 and "aggregate" not in plan
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r.h].append((r.k, r.doc_id, r.newest, r.p))
+    ids = [10, 9, 8, 7]
+    assert all([x[1] for x in sorted(v)] == ids and {x[2] for x in v} == {10} for v in got.values()) and len(got) == 7
+    assert all(p == min(i for i in range(2000) if i % 7 == h and i % 11 == d) for h, v in got.items() for _, d, _, p in v)
+
+
+def test_runs_of_many_lines(spark):
+    at = spark.range(300_000).where("id % 3 < 2").agg(F.sort_array(F.collect_list(F.col("id").cast("int"))).alias("p"))
+    runs = at.select(line_dedup.drop_runs(F.col("p")).alias("r")).first().r
+    assert len(runs) == 100_000 and runs[5] == (15, 2)
+    assert at.select(line_dedup.drop_runs(F.array().cast("array<int>")).alias("r")).first().r == []
 
 
 def test_warc(spark, monkeypatch):
