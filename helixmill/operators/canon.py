@@ -15,49 +15,71 @@ def transcript_tier(mane: Column, clinical: Column, canonical: Column, biotype:
     return F.when(mane == 1, "mane_select").when(clinical == 1, "mane_plus_clinical").when(canonical == 1, "ensembl_canonical").when(biotype == "protein_coding", "protein_coding").when(biotype == "retained_intron", "retained_intron_low_priority").otherwise("noncoding_relevant")
 
 
+def tag_transcripts(transcripts: DataFrame, overlap: DataFrame, mane: DataFrame) -> DataFrame:
+    """transcripts (transcript_id, gene_id, biotype, is_canonical) with the tags of their overlap metadata (transcript_id,
+    tags as a list, overlap_biotype, overlap_canonical) and the gene's MANE transcripts (gene_id, mane_id, with or
+    without version): three flags, the biotype, own before overlap, and the tier. What is missing on one side is taken
+    from the other; every transcript stays."""
+    ids = mane.groupBy("gene_id").agg(F.collect_set(F.substring_index("mane_id", ".", 1)).alias("_mane"))
+    tagged = lambda tag: F.coalesce(F.array_contains("tags", tag), F.lit(False))
+    listed = F.coalesce(F.array_contains("_mane", F.col("transcript_id")), F.lit(False))
+    rows = transcripts.join(overlap, "transcript_id", "left").join(ids, "gene_id", "left")
+    flags = {"is_mane_select": tagged("MANE_Select") | listed, "is_mane_plus_clinical": tagged("MANE_Plus_Clinical"), "is_ensembl_canonical": (F.coalesce("is_canonical", F.lit(0)) == 1) | (F.coalesce("overlap_canonical", F.lit(0)) == 1)}
+    rows = rows.withColumns({n: c.cast("int") for n, c in flags.items()} | {"biotype": F.coalesce(F.nullif(text(F.col("biotype")), F.lit("")), text(F.col("overlap_biotype")))})
+    primary = F.greatest(*flags)
+    return rows.withColumns({"is_primary": primary, "inclusion_tier": transcript_tier(*[F.col(c) for c in flags], F.col("biotype"))}).drop("_mane", "tags", "overlap_biotype", "overlap_canonical")
+
+
 def number_exons(exons: DataFrame) -> DataFrame:
     """Exons with real ends, numbered along the chromosome."""
     by = W.partitionBy("transcript_id").orderBy("e_start", "e_end")
     return exons.where("e_start > 0 AND e_end > 0").withColumn("number", F.row_number().over(by))
 
 
+def _feature(kind: str | Column, number: Column, start: Column, end: Column) -> Column:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.struct(kind.alias("feature_type"), number.alias("feature_number"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
+
+
+def _splice_features(following: Column) -> Column:
+    """Donor, acceptor and two boundary windows between an exon and the start of the following one."""
+    forward = F.col("strand") >= 0
+    donor, acceptor = F.when(forward, F.col("e_end")).otherwise(following), F.when(forward, following).otherwise(F.col("e_end"))
+    label = F.concat_ws("->", F.col("number").cast("string"), (F.col("number") + 1).cast("string"))
+    window = lambda kind, at: _feature(kind, label, F.greatest(F.lit(1), at - 2), at + 2)
+    return F.array(window("splice_donor_window", donor), window("splice_acceptor_window", acceptor), window("splice_boundary_window", donor), window("splice_boundary_window", acceptor))
+
+
 def splice_windows(exons: DataFrame) -> DataFrame:
     """exons: numbered, with strand. Donor, acceptor and two boundary windows for each neighbouring pair."""
     by = W.partitionBy("transcript_id").orderBy("number")
-    pairs = exons.withColumns({"_next": F.lead("e_start").over(by), "_label": F.concat_ws("->", F.col("number").cast("string"), F.lead("number").over(by).cast("string"))}).where(F.col("_next").isNotNull())
-    forward = F.col("strand") >= 0
-    donor, acceptor = F.when(forward, F.col("e_end")).otherwise(F.col("_next")), F.when(forward, F.col("_next")).otherwise(F.col("e_end"))
-    window = lambda kind, at: F.struct(F.lit(kind).alias("feature_type"), F.greatest(F.lit(1), at - 2).cast("bigint").alias("start"), (at + 2).cast("bigint").alias("end"))
-    rows = pairs.withColumn("_w", F.explode(F.array(window("splice_donor_window", donor), window("splice_acceptor_window", acceptor), window("splice_boundary_window", donor), window("splice_boundary_window", acceptor))))
-    return rows.select("gene_id", "transcript_id", F.col("_w.feature_type"), F.col("_label").alias("feature_number"), F.col("_w.start"), F.col("_w.end"))
+    pairs = exons.withColumn("_next", F.lead("e_start").over(by)).where(F.col("_next").isNotNull())
+    return pairs.select("gene_id", "transcript_id", F.inline(_splice_features(F.col("_next"))))
 
 
 def build_features(transcripts: DataFrame, exons: DataFrame, clip_to_exon: bool = False) -> DataFrame:
-    """Typed features of every transcript. The part of an exon before or after the coding range runs, as in the
-    source tables, up to the coding range itself unless it is clipped to the exon."""
-    columns = ("gene_id", "transcript_id", "feature_type", "feature_number", "start", "end")
-    bodies = transcripts.select("gene_id", "transcript_id", F.lit("transcript_body").alias("feature_type"), F.lit("").alias("feature_number"), F.col("t_start").cast("bigint").alias("start"), F.col("t_end").cast("bigint").alias("end"))
-    numbered = number_exons(exons).join(transcripts.select("transcript_id", "strand", "cds_start", "cds_end"), "transcript_id")
-    n = F.col("number").cast("string")
-    plain = numbered.select("gene_id", "transcript_id", F.lit("exon_interval").alias("feature_type"), n.alias("feature_number"), F.col("e_start").cast("bigint").alias("start"), F.col("e_end").cast("bigint").alias("end"))
+    """Typed features of every transcript, all of an exon's from one row. The part of an exon before or after the coding
+    range runs, as in the source tables, up to the coding range itself unless it is clipped to the exon."""
+    bodies = transcripts.select("gene_id", "transcript_id", F.inline(F.array(_feature("transcript_body", F.lit(""), F.col("t_start"), F.col("t_end")))))
+    by = W.partitionBy("transcript_id").orderBy("number")
+    coding = F.col("cds_start").isNotNull() & F.col("cds_end").isNotNull()
     low, high = F.least("cds_start", "cds_end"), F.greatest("cds_start", "cds_end")
-    coding = numbered.where("cds_start IS NOT NULL AND cds_end IS NOT NULL").withColumns({"_a": F.greatest("e_start", low), "_b": F.least("e_end", high)})
-    seen = F.max((F.col("_a") <= F.col("_b")).cast("int")).over(W.partitionBy("transcript_id").orderBy("number").rowsBetween(W.unboundedPreceding, 0)) == 1
-    coding = coding.withColumn("_seen", seen)
-    cds = coding.where("_a <= _b").select("gene_id", "transcript_id", F.lit("cds_interval").alias("feature_type"), n.alias("feature_number"), F.col("_a").cast("bigint").alias("start"), F.col("_b").cast("bigint").alias("end"))
+    rows = number_exons(exons).join(transcripts.select("transcript_id", "strand", "cds_start", "cds_end"), "transcript_id")
+    rows = rows.withColumns({"_a": F.greatest("e_start", low), "_b": F.least("e_end", high)}).withColumn("_in", coding & (F.col("_a") <= F.col("_b")))
+    rows = rows.withColumns({"_seen": F.max(F.col("_in").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)) == 1, "_next": F.lead("e_start").over(by)})
+    n = F.col("number").cast("string")
     part = lambda a, b: F.struct(a.cast("bigint").alias("start"), b.cast("bigint").alias("end"))
     before, after = part(F.col("e_start"), F.col("_a") - 1), part(F.col("_b") + 1, F.col("e_end"))
     if clip_to_exon:
         before, after = part(F.col("e_start"), F.least("e_end", F.col("_a") - 1)), part(F.greatest("e_start", F.col("_b") + 1), F.col("e_end"))
-    both = F.array_compact(F.array(F.when(F.col("e_start") < F.col("_a"), before), F.when(F.col("_b") < F.col("e_end"), after)))
+    both = F.array(F.when(F.col("e_start") < F.col("_a"), before), F.when(F.col("_b") < F.col("e_end"), after))
     parts = F.when(F.col("_seen"), both).otherwise(F.array(part(F.col("e_start"), F.col("e_end"))))
-    utr = coding.withColumn("_u", F.explode(parts)).where("_u.start <= _u.end")
-    five = F.when(F.col("strand") >= 0, F.col("_u.end") < F.col("cds_start")).otherwise(F.col("_u.end") >= F.col("cds_start"))
-    utr = utr.select("gene_id", "transcript_id", F.when(five, "utr_5_interval").otherwise("utr_3_interval").alias("feature_type"), n.alias("feature_number"), F.col("_u.start").alias("start"), F.col("_u.end").alias("end"))
-    out = bodies
-    for more in (plain, cds, utr, splice_windows(numbered)):
-        out = out.unionByName(more.select(*columns))
-    return out
+    parts = F.filter(F.when(coding, F.array_compact(parts)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda u: u["start"] <= u["end"])
+    five = lambda u: F.when(F.col("strand") >= 0, u["end"] < F.col("cds_start")).otherwise(u["end"] >= F.col("cds_start"))
+    utr = F.transform(parts, lambda u: _feature(F.when(five(u), "utr_5_interval").otherwise("utr_3_interval"), n, u["start"], u["end"]))
+    single = F.array_compact(F.array(_feature("exon_interval", n, F.col("e_start"), F.col("e_end")), F.when(F.col("_in"), _feature("cds_interval", n, F.col("_a"), F.col("_b")))))
+    splice = F.when(F.col("_next").isNotNull(), _splice_features(F.col("_next"))).otherwise(F.slice(single, 1, 0))
+    return bodies.unionByName(rows.select("gene_id", "transcript_id", F.inline(F.concat(single, utr, splice))))
 
 
 def feature_unions(features: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -68,12 +90,14 @@ def feature_unions(features: DataFrame, transcripts: DataFrame) -> DataFrame:
         F.when((kind == "exon_interval") & mane, "mane_exon_union"), F.when((kind == "exon_interval") & (bio == "protein_coding"), "protein_coding_exon_union"), F.when((kind == "exon_interval") & (bio != "protein_coding"), "noncoding_exon_union"),
         F.when((kind == "cds_interval") & mane, "mane_cds_union"), F.when((kind == "cds_interval") & (bio == "protein_coding"), "protein_coding_cds_union"),
         F.when(kind.startswith("utr_"), "utr_union"), F.when(kind.startswith("splice_"), "splice_window_union")))
-    known = transcripts.select("transcript_id", "biotype", "is_mane_select", transcript_tier(F.col("is_mane_select"), F.lit(0), F.lit(0), F.col("biotype")).alias("tier"))
+    flag = lambda c: F.col(c) if c in transcripts.columns else F.lit(0)
+    tier = transcript_tier(F.col("is_mane_select"), flag("is_mane_plus_clinical"), flag("is_ensembl_canonical"), F.col("biotype"))
+    known = transcripts.select("transcript_id", "biotype", "is_mane_select", tier.alias("tier"))
     return features.join(known, "transcript_id").withColumn("merged_feature_type", F.explode(types))
 
 
-def merged_features(features: DataFrame, transcripts: DataFrame) -> DataFrame:
-    typed = feature_unions(features, transcripts)
+def merged_features(typed: DataFrame) -> DataFrame:
+    """Unions of features with their types (feature_unions), which are read twice and so best written first."""
     figures = typed.groupBy("gene_id", "merged_feature_type").agg(F.count("*").alias("source_feature_count"), F.count_distinct("transcript_id").alias("source_transcript_count"), F.array_join(F.array_sort(F.collect_set("tier")), " | ").alias("transcript_set_scope"))
     return merge_intervals(typed, ["gene_id", "merged_feature_type"]).join(figures, ["gene_id", "merged_feature_type"])
 
@@ -127,10 +151,11 @@ def resolve_symbols(symbols: DataFrame, approved: DataFrame, alias: DataFrame, p
     return out.select("symbol", gene.alias("gene_id"), how.alias("how"), F.when(n > 1, "multiple_candidates").when(n == 0, "not_found").otherwise("resolved").alias("status"), resolution_status(n, how).alias("resolution"))
 
 
-def export_envelope_index(genes: DataFrame) -> DataFrame:
-    """Per chromosome its genes by start, end, symbol; rows without place are left out."""
+def export_envelope_index(genes: DataFrame, block: int = 1_000_000) -> DataFrame:
+    """Per chromosome and block of bases the genes that begin there by start, end, symbol; rows without place are left
+    out. A block bounds a row of the index, however many genes a chromosome has."""
     kept = genes.where((text(F.col("chrom")) != "") & F.col("g_start").isNotNull() & F.col("g_end").isNotNull())
-    return kept.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("g_start", "g_end", F.col("approved_symbol").alias("symbol"), "gene_id", "strand"))).alias("genes"))
+    return kept.groupBy("chrom", F.expr(f"g_start div {block}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("g_start", "g_end", F.col("approved_symbol").alias("symbol"), "gene_id", "strand"))).alias("genes"))
 
 
 def export_feature_index(merged: DataFrame) -> DataFrame:
@@ -150,12 +175,17 @@ def rsid_master(long: DataFrame) -> DataFrame:
 
 
 def flag_duplicate_rsids(canon: DataFrame) -> DataFrame:
+    """n_same: rows with the same first identifier. The many rows without one are counted apart, as a window over them
+    would be one task."""
     from helixmill.functions.genotype import first_rsid
 
     first = canon.withColumn("first_rsid", first_rsid(F.col("rsids")))
-    n = F.count("*").over(W.partitionBy("first_rsid"))
-    twice = (F.col("source_group") == "df_ok") & (F.col("first_rsid") != "") & (n > 1)
-    return first.withColumns({"n_same": n, "source_group": F.when(twice, "rsids_repetidos").otherwise(F.col("source_group")), "reason": F.when(twice, "duplicate_rsid").otherwise(F.col("reason"))})
+    n = first.groupBy("first_rsid").agg(F.count("*").alias("n_same"))
+    named = first.where("first_rsid <> ''").join(n, "first_rsid")
+    none = first.where("first_rsid = ''").join(F.broadcast(n.where("first_rsid = ''")), "first_rsid")
+    both = named.unionByName(none).select(*canon.columns, "first_rsid", "n_same")
+    twice = (F.col("source_group") == "df_ok") & (F.col("first_rsid") != "") & (F.col("n_same") > 1)
+    return both.withColumns({"source_group": F.when(twice, "rsids_repetidos").otherwise(F.col("source_group")), "reason": F.when(twice, "duplicate_rsid").otherwise(F.col("reason"))})
 
 
 def exact_duplicates(canon: DataFrame) -> DataFrame:

@@ -2,44 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BIN = 10_000
 MOST_BINS = 64
+FAR = -1
 
 
-def _binned(df: DataFrame, start: str, end: str, side: str) -> tuple[DataFrame, DataFrame]:
-    """Rows once for each bin they touch, and the rows too long for that."""
+def _bins(df: DataFrame, start: str, end: str, side: str, everywhere: bool) -> DataFrame:
+    """Rows once for each bin they touch. Those of MOST_BINS bins or more stand in the bin FAR instead, and others, if
+    everywhere is set, there too."""
     marked = df.withColumns({f"_{side}0": F.expr(f"{start} div {BIN}"), f"_{side}1": F.expr(f"{end} div {BIN}")})
-    short = F.col(f"_{side}1") - F.col(f"_{side}0") < MOST_BINS
-    return marked.where(short).withColumn("_bin", F.explode(F.sequence(f"_{side}0", f"_{side}1"))), marked.where(~short).drop(f"_{side}1")
+    near = F.sequence(f"_{side}0", f"_{side}1")
+    far = F.array(F.lit(FAR).cast("bigint"))
+    return marked.withColumn("_bin", F.explode(F.when(_long(side), far).otherwise(F.concat(near, far) if everywhere else near)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], spans: tuple[str, str, str, str], how: str = "inner") -> DataFrame:
+def _long(side: str) -> Column:
+    return F.col(f"_{side}1") - F.col(f"_{side}0") >= MOST_BINS
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], spans: tuple[str, str, str, str]) -> DataFrame:
     """Pairs of equal keys whose closed intervals meet; spans names start and end of left, then right. Both sides are
-    dealt by bins and a pair counts in the first bin that both touch, so no pair comes twice. Spans of more than
-    MOST_BINS bins are joined by keys alone. how: inner, or left_semi (each left row once)."""
+    dealt by bins and a pair counts in the first bin that both touch, so no pair comes twice. Pairs with a span of
+    MOST_BINS bins or more meet in a bin of their own. right should be the smaller side: all of it stands there, but left
+    only where right has such spans, which a small job looks up first. Either side is worked out once."""
     ls, le, rs, re_ = spans
-    if how == "left_semi":
-        marked = left.withColumn("_row", F.monotonically_increasing_id())
-        merged = merge_intervals(right, keys, rs, re_)  # then few pairs are left of any row
-        return overlap_join(marked, merged, keys, spans).dropDuplicates(["_row"]).select(*left.columns)
+    far = not right.where(F.expr(f"{re_} div {BIN} - {rs} div {BIN} >= {MOST_BINS}")).isEmpty()
     meets = (F.col(ls) <= F.col(re_)) & (F.col(le) >= F.col(rs))
-    lshort, llong = _binned(left, ls, le, "l")
-    rshort, rlong = _binned(right, rs, re_, "r")
-    drop = ("_bin", "_l0", "_l1", "_r0", "_r1")
-    pairs = lshort.join(rshort, [*keys, "_bin"]).where(meets & (F.col("_bin") == F.greatest("_l0", "_r0"))).drop(*drop)
-    long_left = llong.join(right, keys).where(meets).drop(*drop)
-    long_right = lshort.where(F.col("_bin") == F.col("_l0")).join(rlong, keys).where(meets).drop(*drop)
-    return pairs.unionByName(long_left).unionByName(long_right)
+    here = F.when(F.col("_bin") == FAR, _long("l") | _long("r")).otherwise(F.col("_bin") == F.greatest("_l0", "_r0"))
+    both = _bins(left, ls, le, "l", far).join(_bins(right, rs, re_, "r", True), [*keys, "_bin"])
+    return both.where(meets & here).drop("_bin", "_l0", "_l1", "_r0", "_r1")
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Unions of overlapping or adjacent closed intervals by keys; reversed ends are put right."""
+    """Unions of overlapping or adjacent closed intervals by keys; reversed ends are put right. Equal intervals are peers
+    in the running sum, so their order cannot matter."""
     plain = df.select(*keys, F.least(start, end).alias(start), F.greatest(start, end).alias(end))
     by = W.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
-    islands = plain.withColumn("_new", F.when(before.isNull() | (F.col(start) > before + 1), 1).otherwise(0)).withColumn("_i", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    islands = plain.withColumn("_new", F.when(before.isNull() | (F.col(start) > before + 1), 1).otherwise(0)).withColumn("_i", F.sum("_new").over(by.rangeBetween(W.unboundedPreceding, W.currentRow)))
     return islands.groupBy(*keys, "_i").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_i")

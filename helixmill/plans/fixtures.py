@@ -42,14 +42,17 @@ SELECT upload_id, line_no,
               CAST(pos AS STRING), id, ref, alt, '.', filter_vcf, info, 'DP:GT', '10:' || gt) END AS line
 FROM fx_line""",
     "vcf_headers": r"""
-SELECT upload_id, line_no, line FROM (VALUES
- ('u0', 1, '##fileformat=VCFv4.2'), ('u0', 2, '##reference=GRCh38'), ('u0', 3, '##contig=<ID=chr1,length=248956422>'),
- ('u1', 1, '##fileformat=VCFv4.1'), ('u1', 2, '##reference=file:///hg19.fa'),
- ('u2', 1, '##fileformat=VCFv4.2'), ('u2', 2, '##contig=<ID=1,length=248956422>'), ('u2', 3, '##contig=<ID=2,length=242193529>'),
- ('u3', 1, '##source=none')) AS h(upload_id, line_no, line)
+SELECT 'u' || CAST(s_suppkey % 4 AS STRING) AS upload_id, s_suppkey * 3 AS line_no,
+       CASE WHEN s_suppkey < 4 AND s_suppkey > 0 THEN '##fileformat=VCFv4.' || CAST(s_nationkey % 3 AS STRING)
+            WHEN s_suppkey % 7 = 3 AND s_suppkey % 4 = 1 THEN '##reference=file:///' || CASE WHEN s_nationkey % 2 = 0 THEN 'hg19' ELSE 'b37' END || '.fa'
+            WHEN s_suppkey % 7 = 3 AND s_suppkey % 4 = 2 THEN '##contig=<ID=' || CASE WHEN s_nationkey % 2 = 0 THEN 'chr1' ELSE '1' END || ',length=248956422>'
+            WHEN s_suppkey % 7 = 3 AND s_suppkey % 4 = 0 THEN '##reference=GRCh38'
+            ELSE '##source=' || s_name END AS line
+FROM supplier
 UNION ALL
-SELECT u, 9, concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', 'S_' || u)
-FROM (VALUES ('u0'), ('u1'), ('u2'), ('u3')) AS x(u)""",
+SELECT h.upload_id, (SELECT max(s_suppkey) FROM supplier) * 3 + 1,
+       concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', h.samples)
+FROM (SELECT 'u' || CAST(s_suppkey % 4 AS STRING) AS upload_id, min(s_name) || chr(9) || max(s_name) AS samples FROM supplier WHERE s_suppkey % 4 < 3 GROUP BY 1) h""",
     "genes": r"""
 SELECT p_partkey AS gene_id, 'G' || CAST(p_partkey AS STRING) AS approved_symbol,
        'chr' || CASE WHEN p_partkey % 25 < 22 THEN CAST(p_partkey % 25 + 1 AS STRING)
@@ -71,6 +74,12 @@ SELECT tr.gene_id, tr.transcript_id, e.n AS exon_number,
        tr.t_start + e.n * tr.p_size * 3 - tr.p_size * 2 AS e_start,
        tr.t_start + e.n * tr.p_size * 3 AS e_end
 FROM transcripts tr CROSS JOIN (VALUES (1), (2), (3)) AS e(n)""",
+    "overlap_meta": r"""
+SELECT transcript_id, CASE WHEN is_mane_select = 1 AND gene_id % 3 > 0 THEN 'basic|MANE_Select' WHEN gene_id % 5 = 1 THEN 'basic|MANE_Plus_Clinical' ELSE 'basic' END AS tags,
+       CASE WHEN gene_id % 2 = 0 THEN biotype END AS overlap_biotype, CASE WHEN t_start % 4 = 1 THEN 1 ELSE 0 END AS overlap_canonical
+FROM transcripts WHERE p_size > 5""",
+    "gene_mane": r"""
+SELECT gene_id, transcript_id || CASE WHEN gene_id % 2 = 0 THEN '.2' ELSE '' END AS mane_id FROM transcripts WHERE is_mane_select = 1 AND gene_id % 3 = 0""",
     "canon_rows": r"""
 SELECT 'canon-row-' || CAST(k.l_partkey AS STRING) || '-' || CAST(k.l_suppkey AS STRING) AS canon_row_id,
        k.l_partkey AS gene_id, 'M' || CAST(k.l_suppkey % 12 AS STRING) AS module_id,
@@ -107,8 +116,8 @@ SELECT f.line_no AS row_id, 'G' || CAST(f.l_partkey - f.l_partkey % 3 AS STRING)
        d.text AS interpretation_one_sentence_en
 FROM fx_line f
 JOIN (SELECT module_name, row_number() OVER (ORDER BY module_name) AS mn FROM (SELECT DISTINCT module_name FROM canon_rows) q) c ON c.mn = f.l_suppkey % 6 + 1
-JOIN documents d ON d.doc_id = f.line_no % 200
-WHERE f.l_linenumber <= 2""",
+JOIN (SELECT count(*) AS n FROM documents) nd ON TRUE
+JOIN documents d ON d.doc_id = f.line_no % nd.n""",
     "vep_payloads": r"""
 SELECT line_no, 'G' || CAST(l_partkey AS STRING) AS target_gene, contig, pos, id, ref, alt,
   '{"input":"' || CAST(line_no AS STRING) || '","most_severe_consequence":"' || CASE line_no % 3 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'intron_variant' ELSE 'synonymous_variant' END
@@ -121,7 +130,7 @@ SELECT line_no, 'G' || CAST(l_partkey AS STRING) AS target_gene, contig, pos, id
   || CASE WHEN line_no % 4 = 0 THEN 'X' ELSE 'G' || CAST(l_partkey AS STRING) END || '","transcript_id":"T' || CAST(l_partkey AS STRING) || '_1"'
   || CASE WHEN line_no % 2 = 0 THEN ',"mane_select":"NM_' || CAST(l_partkey AS STRING) || '.1"' ELSE '' END
   || ',"impact":"MODERATE","biotype":"protein_coding","hgvsp":"p.' || CAST(line_no % 99 AS STRING) || '","cadd_phred":' || CAST(line_no % 35 AS STRING) || ',"consequence_terms":["missense_variant","splice_region_variant"]}]}' AS payload
-FROM fx_line WHERE l_linenumber <= 3 AND alt NOT LIKE '%,%' AND alt NOT LIKE '<%'""",
+FROM fx_line WHERE alt NOT LIKE '%,%' AND alt NOT LIKE '<%'""",
     "gwas_payloads": r"""
 SELECT rsid, '{"_embedded":{"associations":[{"pvalue":' || CAST(ann_seq % 9 + 1 AS STRING) || 'e-' || CAST(ann_seq % 12 + 3 AS STRING)
   || ',"efoTraits":[{"trait":"t' || CAST(ann_seq % 5 AS STRING) || '"}]},{"pvalueMantissa":' || CAST(ann_seq % 7 + 1 AS STRING) || ',"pvalueExponent":-' || CAST(ann_seq % 10 + 2 AS STRING)

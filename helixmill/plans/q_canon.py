@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixmill.operators import canon as c
+from helixmill.operators import canon_tables
 from helixmill.operators.intervals import merge_intervals
 from helixmill.plans.fixtures import view
+from helixmill.sources import files
 
 C = F.col
 
@@ -24,7 +26,7 @@ def features(s, d):
 
 
 def merged(s, d):
-    return c.merged_features(features(s, d), transcripts(s, d))
+    return c.merged_features(files.staged(c.feature_unions(features(s, d), transcripts(s, d))))
 
 
 def with_strand(s, d):
@@ -52,6 +54,28 @@ def metadata(s, d):
     return one.crossJoin(dup)
 
 
+def tagged(s, d):
+    k = C("gene_id")
+    own = transcripts(s, d).select("transcript_id", "gene_id", F.when(k % 3 != 1, C("biotype")).alias("biotype"), F.when(k % 7 == 0, 1).alias("is_canonical"))
+    return c.tag_transcripts(own, view(s, d, "overlap_meta").withColumn("tags", F.split("tags", r"\|")), view(s, d, "gene_mane"))
+
+
+def written(df):
+    """df written as a sink does and read back."""
+    return files.staged(df)
+
+
+def tables(s, d):
+    """All canon tables, written and read back. Genes whose number ends in 7 are not known."""
+    path = files.shared_dir(s)
+    known = view(s, d, "genes").where("gene_id % 10 <> 7")
+    f = files.staged(features(s, d))
+    union = c.merged_features(files.staged(c.feature_unions(f, transcripts(s, d))))
+    mine = lambda df: df.join(known.select("gene_id"), "gene_id", "left_semi").join(view(s, d, "canon_rows").select("gene_id"), "gene_id", "left_semi")
+    canon_tables.write_canon(canon_tables.canon_tables("v1", "GRCh38", view(s, d, "canon_rows"), known, transcripts(s, d), mine(f), mine(union)), path)
+    return canon_tables.read_canon_tables(s, path)
+
+
 QUERIES = {
     "win_exon_number": lambda s, d: c.number_exons(exons(s, d)).select("transcript_id", "e_start", "e_end", C("number").cast("bigint").alias("number")),
     "win_splice_windows": lambda s, d: c.splice_windows(with_strand(s, d)),
@@ -60,8 +84,8 @@ QUERIES = {
     "agg_merge_intervals": lambda s, d: merge_intervals(features(s, d).where("feature_type <> 'transcript_body'"), ["gene_id"]),
     "agg_merged_features": merged,
     "agg_gene_master": lambda s, d: c.gene_master(view(s, d, "genes"), view(s, d, "canon_rows"), transcripts(s, d), merged(s, d)),
-    "snk_interval_index": lambda s, d: c.export_envelope_index(view(s, d, "genes")).select("chrom", F.size("genes").cast("bigint").alias("n"), F.array_join(F.transform("genes", lambda g: g["symbol"]), ",").alias("symbols")),
-    "snk_feature_index": lambda s, d: c.export_feature_index(merged(s, d)),
+    "snk_interval_index": lambda s, d: written(c.export_envelope_index(view(s, d, "genes"))).select("chrom", "block", F.size("genes").cast("bigint").alias("n"), F.array_join(F.transform("genes", lambda g: g["symbol"]), ",").alias("symbols")),
+    "snk_feature_index": lambda s, d: written(c.export_feature_index(merged(s, d))).select("gene_id", F.explode("features").alias("merged_feature_type", "v")).select("gene_id", "merged_feature_type", F.array_join(F.transform("v", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("intervals")),
     "cls_canon_structure": structured,
     "agg_rsid_long": lambda s, d: c.rsid_long(structured(s, d)),
     "agg_rsid_master": lambda s, d: c.rsid_master(c.rsid_long(structured(s, d))),
@@ -69,14 +93,14 @@ QUERIES = {
     "agg_exact_duplicates": lambda s, d: c.exact_duplicates(structured(s, d)),
     "agg_canon_metadata": metadata,
     "cls_canon_status": lambda s, d: metadata(s, d).select(c.canon_status(C("n_rows"), C("with_rsid"), C("manual"), C("repeated"), F.lit(4)).alias("status"), c.canon_status(C("n_rows"), F.lit(0), C("manual"), C("repeated"), F.lit(4)).alias("no_ids"), c.canon_status(C("n_rows"), C("with_rsid"), F.lit(0), F.lit(0), F.lit(4)).alias("clean")),
-    "cls_canon_warnings": lambda s, d: c.canon_warnings(view(s, d, "canon_rows"), transcripts(s, d), view(s, d, "genes").where("gene_id % 11 <> 0")),
+    "cls_canon_warnings": lambda s, d: c.canon_warnings(view(s, d, "canon_rows"), transcripts(s, d), view(s, d, "genes").withColumn("approved_symbol", F.when(C("gene_id") % 11 > 0, C("approved_symbol")))),
     "join_symbol_cascade": lambda s, d: c.resolve_symbols(symbols(s, d), view(s, d, "symbols_approved"), view(s, d, "symbols_alias"), view(s, d, "symbols_prev")).select("symbol", "gene_id", "status"),
     "cls_resolution_status": lambda s, d: c.resolve_symbols(symbols(s, d), view(s, d, "symbols_approved"), view(s, d, "symbols_alias"), view(s, d, "symbols_prev")).select("symbol", "resolution"),
     "agg_resolution_counts": lambda s, d: c.resolve_symbols(symbols(s, d), view(s, d, "symbols_approved"), view(s, d, "symbols_alias"), view(s, d, "symbols_prev")).groupBy("resolution").agg(F.count("*").alias("n")),
     "prj_preview": lambda s, d: structured(s, d).orderBy("row_id").limit(200).select("row_id", "gene", "rsids"),
-    "snk_canon_tables": lambda s, d: view(s, d, "canon_rows").join(view(s, d, "genes").select("gene_id", "approved_symbol"), "gene_id"),
-    "join_transcript_tags": lambda s, d: transcripts(s, d).join(transcripts(s, d).where("is_mane_select = 1").groupBy("gene_id").agg(F.collect_set("transcript_id").alias("mane_ids")), "gene_id", "left").select("transcript_id", F.coalesce(F.array_contains("mane_ids", C("transcript_id")), F.lit(False)).alias("is_mane"), "biotype"),
-    "cls_module_rows": lambda s, d: view(s, d, "canon_rows").select("canon_row_id", F.when(C("gene_id").isNotNull(), "active_gene_row").otherwise("non_gene_module").alias("row_kind"), (F.lower("module_status") == "draft").alias("is_draft")),
+    "snk_canon_tables": lambda s, d: canon_tables.key_report(tables(s, d)),
+    "join_transcript_tags": tagged,
+    "cls_module_rows": lambda s, d: view(s, d, "canon_rows").select("canon_row_id", F.when(C("gene_id").isNotNull(), "active_gene_row").otherwise("non_gene_module").alias("row_kind"), (F.lower("module_status") == "draft").alias("is_draft"), "module_id", "tier", "evidence_tier"),
 }
 
 NUMBERED = "ex AS (SELECT e.gene_id, e.transcript_id, e.e_start, e.e_end, row_number() OVER (PARTITION BY e.transcript_id ORDER BY e_start, e_end) AS number, t.strand, t.cds_start, t.cds_end FROM exons e JOIN transcripts t ON e.transcript_id = t.transcript_id WHERE e_start > 0 AND e_end > 0)"
@@ -94,7 +118,7 @@ ft AS (SELECT gene_id, transcript_id, 'transcript_body' AS feature_type, '' AS f
 
 def union_of(source, keys):
     return f"""m1 AS (SELECT *, max("end") OVER (PARTITION BY {keys} ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM {source}),
-m2 AS (SELECT *, sum(CASE WHEN prev IS NULL OR start > prev + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS i FROM m1),
+m2 AS (SELECT *, sum(CASE WHEN prev IS NULL OR start > prev + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY start, "end" RANGE UNBOUNDED PRECEDING) AS i FROM m1),
 mm AS (SELECT {keys}, min(start) AS start, max("end") AS "end" FROM m2 GROUP BY {keys}, i)"""
 
 
@@ -132,7 +156,20 @@ SQL = {
     "agg_gene_master": f"""WITH {UNIONS}, r AS (SELECT gene_id, array_to_string(list_sort(list(DISTINCT module_id)), ' | ') AS module_ids, array_to_string(list_sort(list(DISTINCT module_name)), ' | ') AS module_names, array_to_string(list_sort(list(canon_row_id)), ' | ') AS row_ids, count(*) AS n_rows, count(*) FILTER (WHERE module_status = 'Draft') AS n_draft FROM canon_rows GROUP BY gene_id),
  t AS (SELECT gene_id, count(*) AS n_transcripts, max(is_mane_select) AS has_mane FROM transcripts GROUP BY gene_id), m AS (SELECT gene_id, count(*) AS n_merged FROM mf GROUP BY gene_id)
  SELECT g.gene_id, g.approved_symbol, module_ids, module_names, row_ids, n_rows, n_draft, coalesce(n_transcripts, 0) AS n_transcripts, coalesce(has_mane, 0) AS has_mane, coalesce(n_merged, 0) AS n_merged FROM genes g JOIN r ON g.gene_id = r.gene_id LEFT JOIN t ON g.gene_id = t.gene_id LEFT JOIN m ON g.gene_id = m.gene_id""",
-    "snk_interval_index": "SELECT chrom, count(*) AS n, string_agg(approved_symbol, ',' ORDER BY g_start, g_end, approved_symbol) AS symbols FROM genes GROUP BY chrom",
+    "snk_interval_index": "SELECT chrom, g_start // 1000000 AS block, count(*) AS n, string_agg(approved_symbol, ',' ORDER BY g_start, g_end, approved_symbol) AS symbols FROM genes GROUP BY chrom, g_start // 1000000",
+    "snk_feature_index": f"""WITH {UNIONS} SELECT gene_id, merged_feature_type, string_agg(start || '-' || "end", ',' ORDER BY start, "end") AS intervals FROM mf GROUP BY gene_id, merged_feature_type""",
+    "cls_module_rows": "SELECT canon_row_id, CASE WHEN gene_id IS NULL THEN 'non_gene_module' ELSE 'active_gene_row' END AS row_kind, lower(module_status) = 'draft' AS is_draft, module_id, tier, evidence_tier FROM canon_rows",
+    "join_transcript_tags": """WITH x AS (SELECT t.transcript_id, t.gene_id, CASE WHEN t.gene_id % 3 <> 1 THEN t.biotype ELSE coalesce(o.overlap_biotype, '') END AS biotype, CASE WHEN t.gene_id % 7 = 0 THEN 1 END AS is_canonical,
+ contains(coalesce(o.tags, ''), 'MANE_Select') OR t.transcript_id IN (SELECT split_part(mane_id, '.', 1) FROM gene_mane) AS s, contains(coalesce(o.tags, ''), 'MANE_Plus_Clinical') AS p, t.gene_id % 7 = 0 OR coalesce(o.overlap_canonical, 0) = 1 AS k FROM transcripts t LEFT JOIN overlap_meta o ON t.transcript_id = o.transcript_id)
+ SELECT transcript_id, gene_id, biotype, is_canonical, CAST(s AS INTEGER) AS is_mane_select, CAST(p AS INTEGER) AS is_mane_plus_clinical, CAST(k AS INTEGER) AS is_ensembl_canonical, CAST(s OR p OR k AS INTEGER) AS is_primary,
+ CASE WHEN s THEN 'mane_select' WHEN p THEN 'mane_plus_clinical' WHEN k THEN 'ensembl_canonical' WHEN biotype = 'protein_coding' THEN 'protein_coding' WHEN biotype = 'retained_intron' THEN 'retained_intron_low_priority' ELSE 'noncoding_relevant' END AS inclusion_tier FROM x""",
+    "snk_canon_tables": f"""WITH {UNIONS}, cg AS (SELECT DISTINCT gene_id FROM canon_rows), og AS (SELECT g.* FROM genes g SEMI JOIN cg ON g.gene_id = cg.gene_id WHERE g.gene_id % 10 <> 7), tt AS (SELECT t.* FROM transcripts t SEMI JOIN og ON t.gene_id = og.gene_id), fi AS (SELECT ft.* FROM ft SEMI JOIN og ON ft.gene_id = og.gene_id), mi AS (SELECT mf.* FROM mf SEMI JOIN og ON mf.gene_id = og.gene_id),
+ w AS (SELECT gene_id, unnest(list_filter([CASE WHEN gene_id % 10 = 7 THEN 'unresolved' END, CASE WHEN coalesce(mane, 0) = 0 THEN 'no_mane_select' END, CASE WHEN coalesce(coding, 0) = 0 THEN 'no_protein_coding' END], lambda x: x IS NOT NULL)) AS warning FROM (SELECT cg.gene_id, max(is_mane_select) AS mane, count(*) FILTER (WHERE biotype = 'protein_coding') AS coding FROM cg LEFT JOIN transcripts t ON cg.gene_id = t.gene_id GROUP BY cg.gene_id)),
+ gm AS (SELECT gene_id, canon_row_id FROM canon_rows c SEMI JOIN og ON c.gene_id = og.gene_id),
+ r(table_name, n, keys, orphans) AS (SELECT 'canon_versions', 1, 1, 0 UNION ALL SELECT 'canon_rows', count(*), count(DISTINCT canon_row_id), 0 FROM canon_rows UNION ALL SELECT 'genes', count(*), count(DISTINCT gene_id), 0 FROM og UNION ALL SELECT 'gene_modules', count(*), count(DISTINCT (gene_id, canon_row_id)), 0 FROM gm
+ UNION ALL SELECT 'gene_envelopes', count(*), count(DISTINCT gene_id), 0 FROM og UNION ALL SELECT 'transcripts', count(*), count(DISTINCT transcript_id), 0 FROM tt UNION ALL SELECT 'feature_intervals', count(*), count(DISTINCT (transcript_id, feature_type, feature_number, start, "end")), 0 FROM fi
+ UNION ALL SELECT 'merged_feature_intervals', count(*), count(DISTINCT (gene_id, merged_feature_type, start)), 0 FROM mi UNION ALL SELECT 'local_priority_rules', 8, 8, 0 UNION ALL SELECT 'preprocessing_warnings', count(*), count(DISTINCT (gene_id, warning)), count(*) FILTER (WHERE warning <> 'unresolved' AND gene_id % 10 = 7) FROM w)
+ SELECT table_name, CAST(n AS BIGINT) AS n, CAST(keys AS BIGINT) AS keys, CAST(orphans AS BIGINT) AS orphans FROM r""",
     "cls_canon_structure": f"WITH {SHEET} SELECT row_id, category, gene, rsids, effect, source_group, reason FROM cs2",
     "agg_rsid_long": f"WITH {LONG} SELECT * FROM lo",
     "agg_rsid_master": f"WITH {LONG} SELECT rsid, count(*) AS n_source_rows, array_to_string(list_sort(list(row_id)), ',') AS source_rows, array_to_string(list_sort(list(DISTINCT source_group)), ' | ') AS source_tables, coalesce(array_to_string(list_sort(list(DISTINCT category) FILTER (WHERE category <> '')), ' | '), '') AS categories, coalesce(array_to_string(list_sort(list(DISTINCT gene) FILTER (WHERE gene <> '')), ' | '), '') AS genes FROM lo GROUP BY rsid",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from helixmill.functions import text as t
 from helixmill.operators import evidence as e
 from helixmill.plans.fixtures import view
+from helixmill.sources import files
 
 C = F.col
 
@@ -43,6 +44,13 @@ def priority():
     return e.review_priority(C("final_confidence_level"), flag("evidence_conflict_flag"), flag("requires_professional_review"), flag("gene_or_locus_ambiguity_flag"))
 
 
+def jsonl(s, df):
+    """df written as lines of JSON, read back as text."""
+    path = files.shared_dir(s)
+    files.write_jsonl(df, path)
+    return s.read.text(path).select(C("value").alias("line"))
+
+
 NOW = "2024-06-01 00:00:00"
 QUERIES = {
     "json_vep": lambda s, d: e.parse_vep(view(s, d, "vep_payloads")).drop("payload"),
@@ -64,7 +72,7 @@ QUERIES = {
     "agg_group_payload": lambda s, d: e.group_payloads(scored(s, d), GROUP).select("grp", "size", "bin_120", "bin_100", "bin_80", "bin_low", C("max_score").cast("bigint").alias("max_score")),
     "agg_grouping_summary": lambda s, d: e.group_payloads(scored(s, d), GROUP).agg(F.count("*").alias("groups"), F.max("size").alias("largest"), F.count(F.when(C("size") == 1, 1)).alias("singletons"), F.count(F.when(C("size") > 25, 1)).alias("large"), F.sum("size").alias("n_rows")),
     "win_largest_groups": lambda s, d: e.group_payloads(scored(s, d), GROUP).orderBy(F.desc("size"), "grp").limit(10).select("grp", "size"),
-    "snk_jsonl": lambda s, d: e.group_payloads(scored(s, d), GROUP).select(F.to_json(F.struct("grp", "size", "max_score")).alias("line")),
+    "snk_jsonl": lambda s, d: jsonl(s, e.group_payloads(scored(s, d), GROUP).select("grp", "size", C("max_score").cast("bigint").alias("max_score"))),
     "agg_duplicate_confidence": lambda s, d: e.duplicate_confidence(view(s, d, "interp")),
     "join_category_axis": lambda s, d: e.map_axis(view(s, d, "interp"), view(s, d, "axis_patterns")),
     "agg_axis_groups": lambda s, d: e.distribution(axis_rows(s, d), ["axis_id"]),
@@ -109,6 +117,7 @@ ax AS (SELECT category, coalesce(arg_min(axis_id, axis_order), 'uncategorized_co
 ar AS (SELECT interp.*, ax.axis_id FROM interp JOIN ax ON interp.category = ax.category)"""
 STRONG = "contains(technical_notes_en, 'gwas')"
 SQL = {
+    "snk_jsonl": f"""WITH {SC} SELECT '{{"grp":' || grp || ',"size":' || size || ',"max_score":' || CAST(max_score AS BIGINT) || '}}' AS line FROM gp""",
     "json_vep": f"WITH {RAWJ} SELECT line_no, target_gene, contig, pos, id, ref, alt, CASE line_no % 3 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'intron_variant' ELSE 'synonymous_variant' END AS vep_most_severe_consequence, CASE WHEN direct THEN 'direct_target_transcript' ELSE 'other_gene_only' END AS vep_status, CASE WHEN direct THEN target_gene WHEN mane THEN 'X' ELSE 'OTHER' END AS vep_gene, own_t AS vep_transcript, 'MODERATE' AS vep_impact, 'p.' || CAST(line_no % 99 AS VARCHAR) AS vep_hgvsp, CAST(line_no % 35 AS DOUBLE) AS vep_cadd_phred, 'intron_variant|missense_variant|splice_region_variant' AS vep_terms, 'OTHER|' || CASE WHEN direct THEN target_gene ELSE 'X' END AS vep_genes FROM jv",
     "win_transcript_pick": f"WITH {RAWJ} SELECT line_no, CASE WHEN direct THEN target_gene ELSE 'X' END AS vep_gene, own_t AS vep_transcript FROM jv",
     "cls_rsid_resolution": "SELECT line_no, CASE WHEN line_no % 5 = 1 THEN 'rs' || CAST(line_no AS VARCHAR) WHEN line_no % 5 = 3 AND id IN ('rs' || CAST(line_no AS VARCHAR), 'rs' || CAST(line_no + 1 AS VARCHAR)) THEN id ELSE '' END AS resolved_rsid, CASE WHEN line_no % 5 IN (1, 3) AND (id = 'rs' || CAST(line_no AS VARCHAR) OR (line_no % 5 = 3 AND id = 'rs' || CAST(line_no + 1 AS VARCHAR))) THEN 'vcf_id_confirmed_by_vep_exact_allele' WHEN line_no % 5 = 1 THEN 'vep_colocated_exact_allele' WHEN line_no % 5 = 3 THEN 'ambiguous_multiple_exact_rsids' WHEN line_no % 5 = 2 THEN 'vep_colocated_allele_mismatch' ELSE 'unresolved_no_exact_rsid' END AS rsid_status, CAST(CASE line_no % 5 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS n_exact, CAST(CASE line_no % 5 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS n_colocated FROM vep_payloads",

@@ -9,7 +9,7 @@ from helixmill.functions import genotype as g
 from helixmill.operators import match as m
 from helixmill.plans import q_canon, q_vcf
 from helixmill.plans.fixtures import view
-from helixmill.sources import vcf
+from helixmill.sources import files, vcf
 
 C = F.col
 KEYS = ["upload_id", "line_no", "alt_index"]
@@ -24,7 +24,8 @@ def envelopes(s, d):
 
 
 def classified(s, d):
-    return m.classify_features(envelopes(s, d), q_canon.merged(s, d), KEYS)
+    """Envelope matches and unions are read twice, so both are written first."""
+    return m.classify_features(files.staged(envelopes(s, d)), files.staged(q_canon.merged(s, d)), KEYS)
 
 
 def modules(s, d):
@@ -41,14 +42,15 @@ def flagship(s, d):
 
 
 def ready(s, d):
-    """Identifiers with coordinates and expected alleles, from the annotated records."""
+    """Identifiers with coordinates and expected alleles, from the annotated records; every third sits elsewhere."""
     r = q_vcf.records(s, d).where("id <> '.'")
-    return r.select(C("id").alias("rsid"), "chrom", "pos", F.when(C("line_no") % 5 == 0, "").otherwise(C("ref")).alias("exp_ref"), F.when(C("line_no") % 7 == 0, "").when(C("line_no") % 7 == 1, "G").otherwise(C("alt")).alias("exp_alt"), C("line_no").alias("seq")).where("seq % 2 = 0")
+    return r.select(C("id").alias("rsid"), "chrom", F.when(C("line_no") % 3 == 0, F.concat("pos", F.lit("9"))).otherwise(C("pos")).alias("pos"), F.when(C("line_no") % 5 == 0, "").otherwise(C("ref")).alias("exp_ref"), F.when(C("line_no") % 7 == 0, "").when(C("line_no") % 7 == 1, "G").otherwise(C("alt")).alias("exp_alt"), C("line_no").alias("seq"))
 
 
 def canon_ids(s, d):
+    """Every record's identifier; every seventh has one that is not known."""
     r = q_vcf.records(s, d)
-    return r.where("line_no % 3 > 0").select(C("line_no").alias("row_id"), F.when(C("id") == ".", "").otherwise(C("id")).alias("rsid"), F.when(C("line_no") % 4 == 0, "revision_manual").otherwise("df_ok").alias("source_group"))
+    return r.select(C("line_no").alias("row_id"), F.when(C("id") == ".", "").when(C("line_no") % 7 == 3, F.concat("id", F.lit("0"))).otherwise(C("id")).alias("rsid"), F.when(C("line_no") % 4 == 0, "revision_manual").otherwise("df_ok").alias("source_group"))
 
 
 def consolidated(s, d):
@@ -56,7 +58,16 @@ def consolidated(s, d):
 
 
 def regions(s, d):
-    return view(s, d, "genes").where("gene_id % 4 = 0").select(C("chrom").alias("contig"), C("g_start").alias("start"), C("g_end").alias("end"))
+    """Target regions: the plus strand's genes."""
+    return view(s, d, "genes").where("strand > 0").select(C("chrom").alias("contig"), C("g_start").alias("start"), C("g_end").alias("end"))
+
+
+def annotation_folder(s, d):
+    """Module rows written by what annotation they need, and read back."""
+    path = files.shared_dir(s)
+    part = F.when(C("background_only") == "true", "background").when(C("annotation_needed") == "true", "annotation_needed").otherwise("annotation_optional")
+    files.write_by_status(modules(s, d).withColumn("part", part), path, "part")
+    return s.read.parquet(path)
 
 
 def gate_counts(s, d):
@@ -72,19 +83,19 @@ QUERIES = {
     "join_gene_modules": lambda s, d: modules(s, d).select(*KEYS, "gene_id", "canon_row_id", "module_id", "tier"),
     "cls_triage": lambda s, d: triaged(s, d).select(*KEYS, "canon_row_id", "triage_decision", "triage_reason"),
     "agg_triage_summary": lambda s, d: m.triage_summary(triaged(s, d)),
-    "set_triage_split": lambda s, d: triaged(s, d).where("triage_decision = 'include_ai'").select(*KEYS, "canon_row_id", F.lit("include").alias("side")).unionByName(triaged(s, d).where("triage_decision <> 'include_ai'").select(*KEYS, "canon_row_id", F.lit("exclude").alias("side"))).groupBy("side").agg(F.count("*").alias("n")),
-    "snk_annotation_partitions": lambda s, d: modules(s, d).select(F.when(C("background_only") == "true", "background").when(C("annotation_needed") == "true", "annotation_needed").otherwise("annotation_optional").alias("part")).groupBy("part").agg(F.count("*").alias("n")),
+    "set_triage_split": lambda s, d: (lambda t: t.where("triage_decision = 'include_ai'").select(*KEYS, "canon_row_id", F.lit("include").alias("side")).unionByName(t.where("triage_decision <> 'include_ai'").select(*KEYS, "canon_row_id", F.lit("exclude").alias("side"))))(files.staged(triaged(s, d))),
+    "snk_annotation_partitions": lambda s, d: annotation_folder(s, d).select(*KEYS, "canon_row_id", "part"),
     "agg_match_summary": lambda s, d: modules(s, d).agg(F.count_distinct(*[C(k) for k in KEYS]).alias("candidates"), F.count("*").alias("n_rows"), F.count_distinct("gene_id").alias("genes"), F.count(F.when(C("background_only") == "true", 1)).alias("background"), F.count(F.when(C("annotation_needed") == "true", 1)).alias("needed"), F.count(F.when(C("annotation_needed") == "optional", 1)).alias("optional")),
     "cls_review_v2": lambda s, d: m.review_v2(modules(s, d)).select(*KEYS, "canon_row_id", "review_status", "notes", "sentence"),
     "flt_minimal_rows": lambda s, d: m.review_v2(modules(s, d)).where("review_status <> 'background_only'").select(*KEYS, "canon_row_id"),
     "agg_physical_variants": lambda s, d: m.physical_variants(modules(s, d), ["line_no", "gene_id", "canon_row_id"]).select("upload_id", "variant_key", "line_no", "canon_row_id", "module_row_count"),
-    "flt_observed_rows": lambda s, d: modules(s, d).where((C("gt") != "") & (C("variant_key") != "")).agg(F.count("*").alias("n")),
+    "flt_observed_rows": lambda s, d: modules(s, d).where((C("gt") != "") & (C("variant_key") != "")).select(*KEYS, "canon_row_id"),
     "win_sequence_ids": lambda s, d: envelopes(s, d).withColumn("k", F.row_number().over(W.partitionBy("upload_id").orderBy("line_no", "alt_index", "gene_id"))).select(*KEYS, "gene_id", F.concat(F.lit("variant-gene-"), F.lpad(C("k").cast("string"), 6, "0")).alias("variant_gene_id")),
-    "ord_consolidated": lambda s, d: modules(s, d).orderBy("contig", "start", "approved_symbol", "module_id", *KEYS, "canon_row_id").select(*KEYS, "canon_row_id", "contig", "start").limit(500),
+    "ord_consolidated": lambda s, d: modules(s, d).orderBy("contig", "start", "approved_symbol", "module_id", *KEYS, "canon_row_id").select(*KEYS, "canon_row_id", "contig", "start"),
     "ord_limit_rows": lambda s, d: modules(s, d).orderBy(*KEYS, "canon_row_id").select(*KEYS, "canon_row_id").limit(100),
     "win_first_wins": lambda s, d: m.first_by(q_vcf.records(s, d).where("id <> '.'"), ["chrom", "pos"], ["line_no"]).select("chrom", "pos", "line_no"),
     "win_duplicate_count": lambda s, d: alleles(s, d).withColumn("k", F.row_number().over(W.partitionBy("upload_id", "variant_key").orderBy("line_no", "alt_index"))).groupBy("upload_id").agg(F.count(F.when(C("k") > 1, 1)).alias("n")),
-    "join_target_scan": lambda s, d: m.scan_targets(q_vcf.records(s, d), ready(s, d).where("seq % 4 = 0")).select("upload_id", "line_no"),
+    "join_target_scan": lambda s, d: m.scan_targets(q_vcf.records(s, d), ready(s, d)).select("upload_id", "line_no"),
     "join_canon_consolidated": lambda s, d: consolidated(s, d).select("row_id", "rsid", "line_no", "has_place", "has_vcf", "has_genotype", "ref_status", "alt_status", "match_status"),
     "cls_match_status": lambda s, d: consolidated(s, d).select("row_id", "match_status"),
     "agg_status_counts": lambda s, d: consolidated(s, d).groupBy("match_status", "source_group").agg(F.count("*").alias("n")),
@@ -97,14 +108,14 @@ QUERIES = {
     "set_excluded_audit": lambda s, d: m.excluded_audit(q_vcf.records(s, d)),
     "set_target_regions": lambda s, d: m.target_regions(regions(s, d), vcf.contig_labels(q_vcf.records(s, d))),
     "fn_membership_basis": lambda s, d: alleles(s, d).withColumn("src", C("start") - C("line_no") % 900).join(F.broadcast(regions(s, d).where("contig = 'chr5'").agg(F.min("start").alias("lo"), F.max("end").alias("hi")))).select(*KEYS, F.when(C("src").between(C("lo"), C("hi")) & C("start").between(C("lo"), C("hi")), "source_and_current").when(C("src").between(C("lo"), C("hi")), "source").when(C("start").between(C("lo"), C("hi")), "current").otherwise("none").alias("basis")),
-    "join_normalized_source": lambda s, d: envelopes(s, d).select(*KEYS, "gene_id", "variant_key", "start").join(alleles(s, d).where("line_no % 3 = 0").groupBy("variant_key").agg(F.min("start").alias("n_start"), F.min("filter").alias("n_filter")), "variant_key", "left").select(*KEYS, "gene_id", F.coalesce(F.nullif(C("n_filter"), F.lit("")), F.lit("own")).alias("source_filter"), F.coalesce("n_start", "start").alias("source_start"), C("n_start").isNotNull().alias("matched")),
-    "join_source_allele": lambda s, d: alleles(s, d).where("line_no % 2 = 0").select(*KEYS, "contig", "start", "ref", "allele").join(alleles(s, d).where("line_no % 4 = 0").select("contig", "start", "ref", "allele", "alt_index", C("line_no").alias("source_line")), ["contig", "start", "ref", "allele", "alt_index"], "left").select("upload_id", "line_no", "alt_index", "source_line", F.when(C("source_line").isNull(), "normalized_fallback").otherwise("source").alias("origin")),
+    "join_normalized_source": lambda s, d: envelopes(s, d).select(*KEYS, "gene_id", "variant_key", "start").join(alleles(s, d).where("filter = 'PASS'").groupBy("variant_key").agg(F.min("start").alias("n_start"), F.min("filter").alias("n_filter")), "variant_key", "left").select(*KEYS, "gene_id", F.coalesce(F.nullif(C("n_filter"), F.lit("")), F.lit("own")).alias("source_filter"), F.coalesce("n_start", "start").alias("source_start"), C("n_start").isNotNull().alias("matched")),
+    "join_source_allele": lambda s, d: alleles(s, d).select(*KEYS, "contig", "start", "ref", "allele").join(alleles(s, d).where("filter = 'PASS'").select("contig", "start", "ref", "allele", "alt_index", C("line_no").alias("source_line")), ["contig", "start", "ref", "allele", "alt_index"], "left").select("upload_id", "line_no", "alt_index", "source_line", F.when(C("source_line").isNull(), "normalized_fallback").otherwise("source").alias("origin")),
     "cls_gate_block": lambda s, d: triaged(s, d).agg(F.count(F.when(C("triage_decision") == "include_ai", 1)).alias("included")).select("included", (C("included") == 0).alias("blocked")),
     "cls_deliverable": lambda s, d: m.review_v2(modules(s, d)).select(C("module_name").alias("category"), C("approved_symbol").alias("gene"), C("id").alias("rsid"), g.ref_alt_display(C("ref"), C("allele"), F.lit(None), F.lit(None)).alias("ref_alt"), "review_status", "notes", *KEYS, "canon_row_id"),
     "src_interval_index": lambda s, d: q_canon.c.export_envelope_index(view(s, d, "genes")).select("chrom", F.to_json("genes").alias("j")).select("chrom", F.inline(F.from_json("j", "array<struct<g_start:bigint,g_end:bigint,symbol:string,gene_id:bigint>>"))),
 }
 
-ALS = q_vcf.ALL + f""", ob AS (SELECT upload_id, line_no, alt_index, id, contig, start, "end", ref, allele, dosage, gt, filter, {q_vcf.KEYED} AS variant_key FROM al WHERE dosage > 0 AND contig IN {q_vcf.OK} AND NOT {q_vcf.SYM})"""
+ALS = q_vcf.ALL + f""", ob AS MATERIALIZED (SELECT upload_id, line_no, alt_index, id, contig, start, "end", ref, allele, dosage, gt, filter, {q_vcf.KEYED} AS variant_key FROM al WHERE dosage > 0 AND contig IN {q_vcf.OK} AND NOT {q_vcf.SYM})"""
 ENV = ALS + """, en AS (SELECT ob.*, g.gene_id, g.approved_symbol FROM ob JOIN genes g ON g.chrom = ob.contig AND ob.start <= g.g_end AND ob."end" >= g.g_start)"""
 RANKS = ", ".join(f"({k}, '" + "', '".join(r) + "')" for k, r in enumerate(m.REGIONS))
 CLS = ENV + ", " + q_canon.UNIONS + f""", rk(rank, {', '.join(m.REGION_COLUMNS)}) AS (VALUES {RANKS}),
@@ -115,9 +126,9 @@ STRONG = "local_region_class = 'utr_overlap' AND module_status = 'Approved' AND
 TRI = MOD + f""", tr AS (SELECT *, CASE WHEN annotation_needed = 'true' THEN 'include_ai' WHEN background_only = 'true' THEN 'exclude_background' WHEN module_status = 'Draft' THEN 'exclude_draft_optional' WHEN local_region_class = 'noncoding_exon_overlap' THEN 'exclude_optional_noncoding' WHEN {STRONG} THEN 'include_ai' WHEN annotation_needed = 'optional' AND local_region_class = 'utr_overlap' THEN 'exclude_utr_weak' ELSE 'exclude_optional_noncoding' END AS triage_decision,
  CASE WHEN annotation_needed = 'true' THEN 'Included for AI: strong region class ' || local_region_class || '.' WHEN background_only = 'true' THEN 'Excluded from AI: background-only ' || local_region_class || '.' WHEN module_status = 'Draft' THEN 'Excluded from AI: Draft optional ' || local_region_class || '.' WHEN local_region_class = 'noncoding_exon_overlap' THEN 'Excluded from AI: optional noncoding exon overlap.' WHEN {STRONG} THEN 'Included for AI: strong UTR in Approved Tier 1/2 module with Medium/High evidence.' ELSE 'Excluded from AI: UTR did not meet Approved Tier 1/2 and Medium/High evidence gate.' END AS triage_reason FROM mo)"""
 K = "upload_id, line_no, alt_index"
-REG = """re AS (SELECT chrom AS contig, g_start AS start, g_end AS "end" FROM genes WHERE gene_id % 4 = 0)"""
-RDY = "rd AS (SELECT id AS rsid, chrom, pos, CASE WHEN line_no % 5 = 0 THEN '' ELSE ref END AS exp_ref, CASE line_no % 7 WHEN 0 THEN '' WHEN 1 THEN 'G' ELSE alt END AS exp_alt, line_no AS seq FROM rec WHERE id <> '.' AND line_no % 2 = 0)"
-CON = q_vcf.CALL + ", " + RDY + f""", ci AS (SELECT line_no AS row_id, CASE WHEN id = '.' THEN '' ELSE id END AS rsid, CASE WHEN line_no % 4 = 0 THEN 'revision_manual' ELSE 'df_ok' END AS source_group FROM rec WHERE line_no % 3 > 0),
+REG = """re AS (SELECT chrom AS contig, g_start AS start, g_end AS "end" FROM genes WHERE strand > 0)"""
+RDY = "rd AS MATERIALIZED (SELECT id AS rsid, chrom, CASE WHEN line_no % 3 = 0 THEN pos || '9' ELSE pos END AS pos, CASE WHEN line_no % 5 = 0 THEN '' ELSE ref END AS exp_ref, CASE line_no % 7 WHEN 0 THEN '' WHEN 1 THEN 'G' ELSE alt END AS exp_alt, line_no AS seq FROM rec WHERE id <> '.')"
+CON = q_vcf.CALL + ", " + RDY + f""", ci AS (SELECT line_no AS row_id, CASE WHEN id = '.' THEN '' WHEN line_no % 7 = 3 THEN id || '0' ELSE id END AS rsid, CASE WHEN line_no % 4 = 0 THEN 'revision_manual' ELSE 'df_ok' END AS source_group FROM rec),
 r1 AS (SELECT * FROM rd QUALIFY row_number() OVER (PARTITION BY rsid ORDER BY seq) = 1), v1 AS (SELECT * FROM call QUALIFY row_number() OVER (PARTITION BY chrom, pos ORDER BY line_no) = 1),
 c1 AS (SELECT ci.*, r1.chrom, r1.pos, exp_ref, exp_alt, v1.ref AS vcf_ref, v1.alt AS vcf_alt, v1.gt, v1.p, v1.line_no, r1.pos IS NOT NULL AS has_place, v1.line_no IS NOT NULL AS has_vcf, coalesce(v1.gt, '') <> '' AS has_genotype FROM ci LEFT JOIN r1 ON ci.rsid = r1.rsid LEFT JOIN v1 ON r1.chrom = v1.chrom AND r1.pos = v1.pos),
 c2 AS (SELECT *, CASE WHEN coalesce(exp_ref, '') = '' THEN 'missing_expected_ref' WHEN coalesce(vcf_ref, '') = '' THEN 'missing_vcf_ref' WHEN exp_ref = vcf_ref THEN 'ref_match' ELSE 'ref_mismatch' END AS ref_status, {q_vcf.alt_status("coalesce(exp_alt, '')", "coalesce(vcf_alt, '')")} AS alt_status, CASE WHEN gt IS NULL OR {q_vcf.PART} THEN 'unknown' WHEN len(p) <> 2 THEN 'non_diploid_or_complex' WHEN p[1] = p[2] THEN 'homozygous' ELSE 'heterozygous' END AS zygosity FROM c1),
@@ -127,25 +138,25 @@ REVIEW = "CASE WHEN background_only = 'true' THEN 'background_only' WHEN annotat
 NOTES = "concat_ws(' ', CASE WHEN lower(module_status) = 'draft' THEN 'Draft module included with explicit flag.' END, 'Matched via ' || overlap_feature_types || '.', CASE WHEN background_only = 'true' THEN 'Kept for audit but classified as background-only.' END)"
 SQL = {
     "join_gene_envelope": f'WITH {ENV} SELECT {K}, gene_id, start, "end" FROM en',
-    "join_region_prefilter": f'WITH {ALS}, {REG} SELECT {K}, start FROM ob WHERE EXISTS (SELECT 1 FROM re WHERE re.contig = ob.contig AND ob.start BETWEEN re.start - 500 AND re."end" + 500)',
+    "join_region_prefilter": f'WITH {ALS}, {REG} SELECT DISTINCT {K}, ob.start FROM ob JOIN (SELECT *, unnest(range((start - 500) // 10000, ("end" + 500) // 10000 + 1)) AS bin FROM re) re ON re.contig = ob.contig AND ob.start // 10000 = re.bin AND ob.start BETWEEN re.start - 500 AND re."end" + 500',
     "join_feature_class": f"WITH {CLS} SELECT {K}, gene_id, {', '.join(m.REGION_COLUMNS)} FROM cl",
     "cls_local_region": f"WITH {CLS} SELECT local_region_class, count(*) AS n, count(DISTINCT gene_id) AS genes FROM cl GROUP BY local_region_class",
     "join_gene_modules": f"WITH {MOD} SELECT {K}, gene_id, canon_row_id, module_id, tier FROM mo",
     "cls_triage": f"WITH {TRI} SELECT {K}, canon_row_id, triage_decision, triage_reason FROM tr",
     "agg_triage_summary": f"WITH {TRI} SELECT dimension, value, count(*) AS n, count(*) FILTER (WHERE triage_decision = 'include_ai') AS included FROM (" + " UNION ALL ".join(f"SELECT '{x}' AS dimension, {x} AS value, triage_decision FROM tr" for x in ("triage_decision", "local_region_class", "module_status", "tier", "evidence_tier")) + ") GROUP BY dimension, value",
-    "set_triage_split": f"WITH {TRI} SELECT CASE WHEN triage_decision = 'include_ai' THEN 'include' ELSE 'exclude' END AS side, count(*) AS n FROM tr GROUP BY 1",
-    "snk_annotation_partitions": f"WITH {MOD} SELECT CASE WHEN background_only = 'true' THEN 'background' WHEN annotation_needed = 'true' THEN 'annotation_needed' ELSE 'annotation_optional' END AS part, count(*) AS n FROM mo GROUP BY 1",
+    "set_triage_split": f"WITH {TRI} SELECT {K}, canon_row_id, CASE WHEN triage_decision = 'include_ai' THEN 'include' ELSE 'exclude' END AS side FROM tr",
+    "snk_annotation_partitions": f"WITH {MOD} SELECT {K}, canon_row_id, CASE WHEN background_only = 'true' THEN 'background' WHEN annotation_needed = 'true' THEN 'annotation_needed' ELSE 'annotation_optional' END AS part FROM mo",
     "agg_match_summary": f"WITH {MOD} SELECT count(DISTINCT ({K})) AS candidates, count(*) AS n_rows, count(DISTINCT gene_id) AS genes, count(*) FILTER (WHERE background_only = 'true') AS background, count(*) FILTER (WHERE annotation_needed = 'true') AS needed, count(*) FILTER (WHERE annotation_needed = 'optional') AS optional FROM mo",
     "cls_review_v2": f"WITH {MOD} SELECT {K}, canon_row_id, {REVIEW} AS review_status, {NOTES} AS notes, 'Observed variant in ' || approved_symbol || '; local classification is ' || local_region_class || CASE WHEN background_only = 'true' THEN ' and currently background-only.' ELSE ' and may require downstream annotation.' END AS sentence FROM mo",
     "flt_minimal_rows": f"WITH {MOD} SELECT {K}, canon_row_id FROM mo WHERE background_only <> 'true'",
     "agg_physical_variants": f"WITH {MOD} SELECT upload_id, variant_key, line_no, canon_row_id, module_row_count FROM (SELECT *, count(*) OVER (PARTITION BY upload_id, variant_key) AS module_row_count, row_number() OVER (PARTITION BY upload_id, variant_key ORDER BY line_no, gene_id, canon_row_id) AS k FROM mo) WHERE k = 1",
-    "flt_observed_rows": f"WITH {MOD} SELECT count(*) AS n FROM mo",
+    "flt_observed_rows": f"WITH {MOD} SELECT {K}, canon_row_id FROM mo",
     "win_sequence_ids": f"WITH {ENV} SELECT {K}, gene_id, 'variant-gene-' || lpad(CAST(row_number() OVER (PARTITION BY upload_id ORDER BY line_no, alt_index, gene_id) AS VARCHAR), 6, '0') AS variant_gene_id FROM en",
-    "ord_consolidated": f"WITH {MOD} SELECT {K}, canon_row_id, contig, start FROM mo ORDER BY contig, start, approved_symbol, module_id, {K}, canon_row_id LIMIT 500",
+    "ord_consolidated": f"WITH {MOD} SELECT {K}, canon_row_id, contig, start FROM mo ORDER BY contig, start, approved_symbol, module_id, {K}, canon_row_id",
     "ord_limit_rows": f"WITH {MOD} SELECT {K}, canon_row_id FROM mo ORDER BY {K}, canon_row_id LIMIT 100",
     "win_first_wins": f"WITH {q_vcf.REC} SELECT chrom, pos, min(line_no) AS line_no FROM rec WHERE id <> '.' GROUP BY chrom, pos",
     "win_duplicate_count": f"WITH {ALS} SELECT upload_id, count(*) - count(DISTINCT variant_key) AS n FROM ob GROUP BY upload_id",
-    "join_target_scan": f"WITH {q_vcf.REC}, {RDY} SELECT upload_id, line_no FROM rec WHERE (chrom, pos) IN (SELECT chrom, pos FROM rd WHERE seq % 4 = 0)",
+    "join_target_scan": f"WITH {q_vcf.REC}, {RDY} SELECT upload_id, line_no FROM rec SEMI JOIN rd ON rec.chrom = rd.chrom AND rec.pos = rd.pos",
     "join_canon_consolidated": f"WITH {CON} SELECT row_id, rsid, line_no, has_place, has_vcf, has_genotype, ref_status, alt_status, match_status FROM co",
     "cls_match_status": f"WITH {CON} SELECT row_id, match_status FROM co",
     "agg_status_counts": f"WITH {CON} SELECT match_status, source_group, count(*) AS n FROM co GROUP BY ALL",
@@ -158,8 +169,8 @@ SQL = {
     "set_excluded_audit": f"WITH {q_vcf.ALL} SELECT {K}, contig, allele, CASE WHEN contig NOT IN {q_vcf.OK} THEN 'unsupported_contig' ELSE 'symbolic_or_unsupported_alt' END AS reason FROM al WHERE dosage > 0 AND (contig NOT IN {q_vcf.OK} OR {q_vcf.SYM})",
     "set_target_regions": f"WITH {q_vcf.REC}, {REG}, lb AS (SELECT upload_id, contig, arg_min(chrom, line_no) AS label FROM (SELECT *, {q_vcf.norm('chrom')} AS contig FROM rec WHERE regexp_full_match(chrom, '[A-Za-z0-9_.-]+')) WHERE contig IN {q_vcf.OK} GROUP BY upload_id, contig) SELECT lb.upload_id, lb.label, lb.contig, re.start, re.\"end\" FROM re JOIN lb ON re.contig = lb.contig",
     "fn_membership_basis": f"WITH {ALS}, {REG}, b AS (SELECT min(start) AS lo, max(\"end\") AS hi FROM re WHERE contig = 'chr5'), x AS (SELECT ob.*, start - line_no % 900 AS src, lo, hi FROM ob CROSS JOIN b) SELECT {K}, CASE WHEN src BETWEEN lo AND hi AND start BETWEEN lo AND hi THEN 'source_and_current' WHEN src BETWEEN lo AND hi THEN 'source' WHEN start BETWEEN lo AND hi THEN 'current' ELSE 'none' END AS basis FROM x",
-    "join_normalized_source": f"WITH {ENV}, n AS (SELECT variant_key, min(start) AS n_start, min(filter) AS n_filter FROM ob WHERE line_no % 3 = 0 GROUP BY variant_key) SELECT {K}, gene_id, coalesce(nullif(n_filter, ''), 'own') AS source_filter, coalesce(n_start, start) AS source_start, n_start IS NOT NULL AS matched FROM en LEFT JOIN n ON en.variant_key = n.variant_key",
-    "join_source_allele": f"WITH {ALS}, q AS (SELECT * FROM ob WHERE line_no % 4 = 0) SELECT ob.upload_id, ob.line_no, ob.alt_index, q.line_no AS source_line, CASE WHEN q.line_no IS NULL THEN 'normalized_fallback' ELSE 'source' END AS origin FROM ob LEFT JOIN q ON ob.contig = q.contig AND ob.start = q.start AND ob.ref = q.ref AND ob.allele = q.allele AND ob.alt_index = q.alt_index WHERE ob.line_no % 2 = 0",
+    "join_normalized_source": f"WITH {ENV}, n AS (SELECT variant_key, min(start) AS n_start, min(filter) AS n_filter FROM ob WHERE filter = 'PASS' GROUP BY variant_key) SELECT {K}, gene_id, coalesce(nullif(n_filter, ''), 'own') AS source_filter, coalesce(n_start, start) AS source_start, n_start IS NOT NULL AS matched FROM en LEFT JOIN n ON en.variant_key = n.variant_key",
+    "join_source_allele": f"WITH {ALS}, q AS MATERIALIZED (SELECT * FROM ob WHERE filter = 'PASS') SELECT ob.upload_id, ob.line_no, ob.alt_index, q.line_no AS source_line, CASE WHEN q.line_no IS NULL THEN 'normalized_fallback' ELSE 'source' END AS origin FROM ob LEFT JOIN q ON ob.contig = q.contig AND ob.start = q.start AND ob.ref = q.ref AND ob.allele = q.allele AND ob.alt_index = q.alt_index",
     "cls_gate_block": f"WITH {TRI} SELECT count(*) FILTER (WHERE triage_decision = 'include_ai') AS included, count(*) FILTER (WHERE triage_decision = 'include_ai') = 0 AS blocked FROM tr",
     "cls_deliverable": f"WITH {MOD} SELECT module_name AS category, approved_symbol AS gene, id AS rsid, ref || '/' || allele AS ref_alt, {REVIEW} AS review_status, {NOTES} AS notes, {K}, canon_row_id FROM mo",
     "src_interval_index": "SELECT chrom, g_start, g_end, approved_symbol AS symbol, gene_id FROM genes",

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from helixmill.functions import text as t
@@ -19,12 +16,7 @@ C = F.col
 
 
 def folder(s):
-    """A fresh path below the shared folder; on one machine without one, below a temporary folder."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        s.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return files.shared_dir(s)
 
 
 def rules(s, d):
@@ -34,9 +26,14 @@ def rules(s, d):
     return rows.withColumns(i.signals(C("cls"), F.lit(""), F.lit(""), C("review"), C("consequence"), F.lit(""), C("gwas")))
 
 
+FILE_LINES = 20_000
+
+
 def vcf_folder(s, d):
+    """Uploads as folders of text files, each of FILE_LINES lines at most."""
     path = folder(s)
-    view(s, d, "vcf_lines").select(C("upload_id").alias("upload"), C("line").alias("value")).repartition("upload").write.partitionBy("upload").text(path)
+    lines = view(s, d, "vcf_lines").select(C("upload_id").alias("upload"), F.expr(f"line_no div {FILE_LINES}").alias("part"), "line_no", C("line").alias("value"))
+    lines.repartition("upload", "part").sortWithinPartitions("upload", "part", "line_no").drop("line_no").write.partitionBy("upload", "part").text(path)
     return path
 
 
@@ -46,9 +43,15 @@ def csv_folder(s, d):
     return path
 
 
+def sheet_folder(s, d):
+    path = folder(s)
+    view(s, d, "canon_rows").select("canon_row_id", F.concat(F.lit("  G"), C("gene_id").cast("string"), F.lit(" ")), F.replace("module_name", F.lit(" "), F.lit("  ")), "tier").write.csv(path)
+    return path
+
+
 def jsonl_folder(s, d):
     path = folder(s)
-    files.write_jsonl(e.group_payloads(q_evidence.scored(s, d), q_evidence.GROUP), path)
+    files.write_jsonl(e.group_payloads(q_evidence.scored(s, d), q_evidence.GROUP).select("grp", "size", C("max_score").cast("bigint").alias("max_score")), path)
     return path
 
 
@@ -116,8 +119,8 @@ QUERIES = {
     "cls_normalized_interp": lambda s, d: view(s, d, "interp").withColumns({"k_gene": F.upper("gene"), "k_rsid": F.lower("rsid"), "k_gt": F.upper("observed_genotype"), "k_zyg": F.lower("zygosity"), "k_alt": F.upper("ref_alt")}).join(e.duplicate_confidence(view(s, d, "interp")), ["k_gene", "k_rsid", "k_gt", "k_zyg", "k_alt"]).select("row_id", F.coalesce("confidence", "final_confidence_level").alias("final"), (C("confidence") != C("final_confidence_level")).alias("adjusted")),
     "prj_payload_fields": lambda s, d: view(s, d, "interp").select("row_id", "gene", "rsid", "observed_genotype", "zygosity", C("final_confidence_level").alias("preliminary_confidence_from_input")),
     "prj_compact_variant": lambda s, d: view(s, d, "interp").select("row_id", "gene", "rsid", t.as_bool(C("evidence_conflict_flag")).alias("conflict"), t.as_bool(C("requires_professional_review")).alias("review")),
-    "join_interpretation_errors": lambda s, d: (lambda rows, good: rows.join(good, "row_id").select("row_id", F.lit("interpreted").alias("state")).unionByName(rows.join(good, "row_id", "left_anti").select("row_id", F.lit("failed").alias("state"))))(view(s, d, "interp").select("row_id"), view(s, d, "interp").where("row_id % 10 > 0").select("row_id")),
-    "agg_group_result_summary": lambda s, d: e.group_payloads(q_evidence.scored(s, d), q_evidence.GROUP).agg(F.count(F.when(C("grp") % 9 > 0, 1)).alias("interpreted"), F.count(F.when(C("grp") % 9 == 0, 1)).alias("errors")).select("interpreted", "errors", F.when(C("interpreted") == 0, "invalid").when(C("errors") > 0, "warning").otherwise("valid").alias("status")),
+    "join_interpretation_errors": lambda s, d: (lambda rows, good: rows.join(good, "row_id").select("row_id", F.lit("interpreted").alias("state")).unionByName(rows.join(good, "row_id", "left_anti").select("row_id", F.lit("failed").alias("state"))))(view(s, d, "interp").select("row_id"), view(s, d, "interp").where("evidence_conflict_flag = 'false' AND trim(interpretation_one_sentence_en) <> ''").select("row_id")),
+    "agg_group_result_summary": lambda s, d: e.group_payloads(q_evidence.scored(s, d), q_evidence.GROUP).agg(F.count(F.when(C("max_score") >= 100, 1)).alias("interpreted"), F.count(F.when(C("max_score") < 100, 1)).alias("errors")).select("interpreted", "errors", F.when(C("interpreted") == 0, "invalid").when(C("errors") > 0, "warning").otherwise("valid").alias("status")),
     "join_axis_conformance": lambda s, d: i.conform_axes(view(s, d, "interp").select(F.when(C("row_id") % 3 == 0, "sleep_circadian").otherwise("zzz").alias("axis_id"), F.when(C("row_id") % 3 == 1, "IMMUNE").otherwise("other").alias("axis_name"), C("row_id").alias("seq")), view(s, d, "axis_patterns").select("axis_id", C("pattern").alias("axis_name"), "axis_order")),
     "win_first_mapping": lambda s, d: q_vcf.records(s, d).select("line_no", i.first_mapping(F.array(F.struct(F.lit("scaffold").alias("coord_system"), F.lit("x").alias("seq_region_name"), F.lit(1).cast("bigint").alias("start"), F.lit("A/C").alias("allele_string")), F.struct(F.when(C("line_no") % 2 == 0, "chromosome").otherwise("other").alias("coord_system"), C("chrom").alias("seq_region_name"), C("pos").try_cast("bigint").alias("start"), F.concat_ws("/", "ref", F.replace("alt", F.lit(","), F.lit("/"))).alias("allele_string")))).alias("m")).select("line_no", "m.*"),
     "fn_colocated_match": lambda s, d: q_vcf.records(s, d).select("line_no", i.colocated_match(F.when(C("line_no") % 3 == 0, "").otherwise("5"), C("chrom")).alias("same")),
@@ -126,12 +129,12 @@ QUERIES = {
     "json_ensembl_variation": lambda s, d: e.parse_variation(variation_payloads(s, d)),
     "json_myvariant": lambda s, d: e.parse_myvariant(hit_payloads(s, d)),
     "set_report_sections": report_sections,
-    "src_vcf_text": lambda s, d: vcf.read_vcf(s, vcf_folder(s, d)).groupBy(F.substring("line", 1, 3).alias("head")).agg(F.count("*").alias("n")),
+    "src_vcf_text": lambda s, d: vcf.read_vcf(s, vcf_folder(s, d)).groupBy(F.regexp_extract("upload_id", "upload=([^/]+)/part=([^/]+)", 1).alias("upload_id"), F.regexp_extract("upload_id", "upload=([^/]+)/part=([^/]+)", 2).cast("bigint").alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("characters"), F.min_by("line", "line_no").alias("first_line"), F.max_by("line", "line_no").alias("last_line")),
     "src_csv": lambda s, d: files.read_table(s, csv_folder(s, d)),
-    "src_canon_sheet": lambda s, d: files.read_canon(s, csv_folder(s, d)),
+    "src_canon_sheet": lambda s, d: files.read_canon(s, sheet_folder(s, d)),
     "src_json_payload": lambda s, d: files.read_payloads(s, jsonl_folder(s, d), "grp bigint, size bigint, max_score bigint"),
-    "src_file_profile": lambda s, d: files.file_profile(s, f"{vcf_folder(s, d)}/*/*").select("length", "is_gzip", "format", "errors", "warnings"),
-    "src_file_sha256": lambda s, d: files.file_checksums(s, f"{vcf_folder(s, d)}/*/*").select("length", "sha256"),
+    "src_file_profile": lambda s, d: files.file_profile(s, f"{vcf_folder(s, d)}/*/*/*").select("length", "is_gzip", "format", "errors", "warnings"),
+    "src_file_sha256": lambda s, d: files.file_checksums(s, f"{vcf_folder(s, d)}/*/*/*").select("length", "sha256"),
     "snk_csv_ordered": lambda s, d: files.read_table(s, csv_folder(s, d)).select("canon_row_id", "tier"),
     "snk_status_partitions": lambda s, d: status_folder(s, d).groupBy("match_status").agg(F.count("*").alias("n")),
     "str_upload_ingest": lambda s, d: streams.drain(streamed(s, d).select("upload_id", "chrom", "pos", "ref", "alt"), folder(s)),
@@ -147,11 +150,20 @@ q2 AS (SELECT *, cons IN ('intron_variant', 'upstream_gene_variant') AND NOT pat
 q3 AS (SELECT *, weak AND NOT conf AND NOT (direct AND NOT contains(cls, 'benign')) AND (gwas OR NOT direct) AS low FROM q2),
 q4 AS (SELECT *, CASE WHEN conf AND (path OR fun OR review LIKE '%expert panel') THEN 'conflict' WHEN cur = 'Conflicting' AND NOT conf THEN 'conflict_downgraded' WHEN low THEN 'low_weight' WHEN weak AND cur = 'High' THEN 'noncoding_cap' WHEN weak THEN 'noncoding_kept' WHEN cur = 'High' AND alt THEN 'alt_cap' WHEN cur = 'High' AND pm AND NOT fun THEN 'source_cap' ELSE 'kept' END AS note FROM q3),
 q5 AS (SELECT *, CASE note WHEN 'conflict' THEN 'Conflicting' WHEN 'low_weight' THEN 'Low' WHEN 'noncoding_kept' THEN cur WHEN 'kept' THEN cur ELSE 'Moderate' END AS calibrated FROM q4)"""
+PARTS = f"SELECT upload_id, line_no // {FILE_LINES} AS part, line_no, line FROM vcf_lines"
 SQL = {
+    "src_vcf_text": f"SELECT upload_id, part, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS characters, arg_min(line, line_no) AS first_line, arg_max(line, line_no) AS last_line FROM ({PARTS}) GROUP BY upload_id, part",
+    "src_csv": "SELECT canon_row_id, CAST(gene_id AS VARCHAR) AS gene_id, module_name, tier FROM canon_rows",
+    "src_canon_sheet": "SELECT canon_row_id AS _c0, 'G' || CAST(gene_id AS VARCHAR) AS _c1, module_name AS _c2, tier AS _c3 FROM canon_rows",
+    "src_json_payload": f"WITH {q_evidence.SC} SELECT grp, size, CAST(max_score AS BIGINT) AS max_score FROM gp",
+    "src_file_profile": f"SELECT CAST(sum(strlen(line) + 1) AS BIGINT) AS length, FALSE AS is_gzip, 'vcf' AS format, '' AS errors, 'unknown_extension' AS warnings FROM ({PARTS}) GROUP BY upload_id, part",
+    "src_file_sha256": f"SELECT CAST(sum(strlen(line) + 1) AS BIGINT) AS length, sha256(string_agg(line || chr(10), '' ORDER BY line_no)) AS sha256 FROM ({PARTS}) GROUP BY upload_id, part",
+    "agg_group_result_summary": f"WITH {q_evidence.SC} SELECT interpreted, errors, CASE WHEN interpreted = 0 THEN 'invalid' WHEN errors > 0 THEN 'warning' ELSE 'valid' END AS status FROM (SELECT count(*) FILTER (WHERE max_score >= 100) AS interpreted, count(*) FILTER (WHERE max_score < 100) AS errors FROM gp)",
     "win_transcript_pick_legacy": "SELECT gene_id, transcript_id FROM transcripts QUALIFY row_number() OVER (PARTITION BY gene_id ORDER BY CASE WHEN is_mane_select = 1 THEN 0 WHEN transcript_id LIKE '%!_2' ESCAPE '!' THEN 1 ELSE 2 END, transcript_id) = 1",
     "json_ensembl_variation": "SELECT rsid, 'SNP' AS var_class, 'intron_variant' AS consequence, ann_seq % 50 / 100.0 AS maf, CASE WHEN lower(clinvar_significance) IS NULL THEN '' ELSE clinvar_significance END AS phenotypes, 'pop=AFR; allele=G; freq=0.25' AS populations, '1:' || CAST(ann_seq AS VARCHAR) || '-' || CAST(ann_seq AS VARCHAR) AS places FROM annotations",
     "json_myvariant": "SELECT rsid, CASE WHEN ann_seq % 4 > 0 THEN 1 ELSE 0 END AS hits, CASE WHEN ann_seq % 4 > 0 THEN rsid ELSE '' END AS best_id, CASE WHEN ann_seq % 4 > 0 THEN CAST(1.5 AS DOUBLE) END AS score, CASE WHEN ann_seq % 4 > 0 THEN CAST(cadd_phred AS DOUBLE) END AS cadd, CASE WHEN ann_seq % 4 > 0 THEN 'RCV' || CAST(ann_seq AS VARCHAR) ELSE '' END AS accession FROM annotations",
     "set_report_sections": f"WITH {q_evidence.AX} SELECT 'axis' AS section, axis_id AS item, rows, suggested_confidence FROM ({q_evidence.dist('axis_id', 'ar')}) UNION ALL SELECT 'category', category, rows, suggested_confidence FROM ({q_evidence.dist('category')}) UNION ALL SELECT 'repeated', rsid, rows, suggested_confidence FROM ({q_evidence.dist('rsid')}) WHERE rows > 1",
+    "cls_normalized_interp": f"WITH dc AS ({q_evidence.SQL['agg_duplicate_confidence']}) SELECT row_id, coalesce(dc.confidence, final_confidence_level) AS final, dc.confidence <> final_confidence_level AS adjusted FROM interp JOIN dc ON upper(gene) = k_gene AND lower(rsid) = k_rsid AND upper(observed_genotype) = k_gt AND lower(zygosity) = k_zyg AND upper(ref_alt) = k_alt",
     "cls_calibrate": f"WITH {CAL} SELECT row_id, calibrated, note FROM q5",
     "cls_professional_review": f"WITH {CAL} SELECT row_id, calibrated = 'Conflicting' OR conf OR path OR (drug AND calibrated IN ('High', 'Moderate', 'Conflicting')) OR (alt AND fun) OR (amb AND calibrated <> 'Low') AS review FROM q5",
     "cls_interpretation_output": f"WITH {CAL} SELECT row_id, calibrated, calibrated = 'Conflicting' AS conflict_flag, 'Calibration: ' || note AS note FROM q5",
@@ -164,7 +176,7 @@ SQL = {
     "cls_placeholder_interp": "SELECT row_id, 'Placeholder interpretation for ' || gene || ' ' || rsid || '.' AS sentence, 'Low' AS confidence, TRUE AS requires_review FROM interp",
     "prj_payload_fields": "SELECT row_id, gene, rsid, observed_genotype, zygosity, final_confidence_level AS preliminary_confidence_from_input FROM interp",
     "prj_compact_variant": "SELECT row_id, gene, rsid, evidence_conflict_flag = 'true' AS conflict, requires_professional_review = 'true' AS review FROM interp",
-    "join_interpretation_errors": "SELECT row_id, CASE WHEN row_id % 10 > 0 THEN 'interpreted' ELSE 'failed' END AS state FROM interp",
+    "join_interpretation_errors": "SELECT row_id, CASE WHEN evidence_conflict_flag = 'false' AND trim(interpretation_one_sentence_en) <> '' THEN 'interpreted' ELSE 'failed' END AS state FROM interp",
     "join_axis_conformance": "SELECT CASE row_id % 3 WHEN 0 THEN 'sleep_circadian' ELSE 'immune_inflammatory' END AS axis, min(row_id) AS seq, CASE row_id % 3 WHEN 0 THEN 6 ELSE 2 END AS axis_order FROM interp WHERE row_id % 3 < 2 GROUP BY ALL",
     "win_first_mapping": f"WITH {q_vcf.REC} SELECT line_no, CASE WHEN line_no % 2 = 0 THEN chrom ELSE 'x' END AS chrom, CASE WHEN line_no % 2 = 0 THEN TRY_CAST(pos AS BIGINT) ELSE 1 END AS pos, CASE WHEN line_no % 2 = 0 THEN ref ELSE 'A' END AS ref, CASE WHEN line_no % 2 = 0 THEN alt ELSE 'C' END AS alt FROM rec",
     "fn_colocated_match": f"WITH {q_vcf.REC} SELECT line_no, line_no % 3 = 0 OR {q_vcf.norm('chrom')} = 'chr5' AS same FROM rec",

@@ -85,7 +85,26 @@ def nullword(c):
 
 
 HEADS = "coalesce(" + ", ".join(f"CASE WHEN contains(s, '{x}') AND len(regexp_extract_all(split_part(s, '{x}', 1), '\\w+')) BETWEEN 18 AND 42 THEN CASE WHEN right(trim(split_part(s, '{x}', 1)), 1) IN ('.', '!', '?') THEN trim(split_part(s, '{x}', 1)) ELSE trim(split_part(s, '{x}', 1)) || '.' END END" for x in t.SEPARATORS["en"]) + ")"
+FORMS = "trim(left(interpretation_one_sentence_en, 120), ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
+for _a, _b in t.ASCII_FORMS.items():
+    FORMS = f"replace({FORMS}, '{_a.replace(chr(39), chr(39) * 2)}', '{_b.replace(chr(39), chr(39) * 2)}')"
+
+
+def six_digits(c):
+    x, n = f"TRY_CAST(trim(coalesce({c}, '')) AS DOUBLE)", f"greatest(0, 5 - floor(log10(abs(TRY_CAST({c} AS DOUBLE)))))"
+    fixed = f"regexp_replace(regexp_replace(printf('%.10f', round_even({x} * pow(10, {n}), 0) / pow(10, {n})), '0+$', ''), '[.]$', '')"
+    return f"CASE WHEN {x} IS NULL THEN trim(coalesce({c}, '')) WHEN {x} = 0 THEN '0' WHEN abs({x}) < 0.001 OR abs({x}) >= 1e5 THEN printf('%.3e', {x}) ELSE {fixed} END"
+
+
+def as_json(*names):
+    return "'{' || concat_ws(',', " + ", ".join(f"""'"{n}":"' || {n} || '"'""" for n in names) + ") || '}'"
+
+
 SQL = {
+    "fn_ascii_text": f"SELECT row_id, regexp_replace(strip_accents({FORMS}), '[^\\x00-\\x7F]', '', 'g') AS plain FROM interp",
+    "fn_compact_number": f"SELECT rsid, {six_digits('cadd_phred')} AS cadd, {six_digits('gwas_min_pvalue')} AS p, {six_digits('CAST(ann_seq / 7 AS VARCHAR)')} AS x FROM annotations",
+    "fn_compact_json": f"SELECT rsid, CASE WHEN length(j) > 40 THEN left(j, 40) || '...[truncated]' ELSE j END AS j FROM (SELECT rsid, {as_json('cadd_phred', 'revel_score', 'rsid')} AS j FROM annotations)",
+    "fn_fingerprint": f"SELECT rsid, sha256({as_json('cadd_phred', 'revel_score')}) AS f FROM annotations",
     "prj_clean_str": f"SELECT row_id, trim(r) AS a, {nullword('r')} AS b, trim(regexp_replace(r, '\\s+', ' ', 'g')) AS c, trim(replace(r, chr(160), ' ')) AS d FROM (SELECT row_id, {RAW_SQL} AS r FROM interp)",
     "prj_first_present": f"SELECT row_id, coalesce(nullif({nullword('r')}, ''), CASE WHEN row_id % 3 = 0 THEN NULL ELSE gene END, rsid) AS value FROM (SELECT row_id, gene, rsid, {RAW_SQL} AS r FROM interp)",
     "prj_as_bool": sql("interp", "row_id", "CASE row_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE evidence_conflict_flag = 'true' END AS plain, row_id % 3 = 1 AS option"),

@@ -39,7 +39,7 @@ def header_lines(spark, d):
 
 def all_lines(spark, d):
     """Header lines before data lines."""
-    return header_lines(spark, d).withColumn("line_no", (C("line_no") - 100).cast("bigint")).unionByName(lines(spark, d))
+    return header_lines(spark, d).withColumn("line_no", C("line_no") - F.lit(1 << 40)).unionByName(lines(spark, d))
 
 
 def uploads(spark, d):
@@ -131,12 +131,14 @@ def alt_status(e, o):
     return f"CASE WHEN len({e}) = 0 THEN 'missing_expected_alt' WHEN len({o}) = 0 THEN 'missing_vcf_alt' WHEN len({e}) = len({o}) AND len(list_intersect({e}, {o})) = len({e}) THEN 'alt_exact_match' WHEN len(list_intersect({e}, {o})) > 0 THEN 'alt_partial_overlap' ELSE 'alt_mismatch' END"
 
 
+ASSEMBLY = """WITH h AS (SELECT upload_id, lower(line) AS l FROM vcf_headers),
+ a AS (SELECT upload_id, CASE WHEN bool_or(l LIKE '##reference%' AND regexp_matches(l, 'grch38|hg38|b38')) THEN 'GRCh38' WHEN bool_or(l LIKE '##reference%' AND regexp_matches(l, 'grch37|hg19|b37')) THEN 'GRCh37' WHEN bool_or(regexp_matches(l, '^##contig=.*id=(chr)?1,.*length=248956422')) THEN 'GRCh38' WHEN bool_or(regexp_matches(l, '^##contig=.*id=(chr)?1,.*length=249250621')) THEN 'GRCh37' ELSE 'unknown' END AS assembly FROM h GROUP BY upload_id)"""
 NOTE = "CASE WHEN line_no % 2 = 0 THEN contig || '|' || CAST(start - 1 AS VARCHAR) || '|' || ref || '|' || allele || CASE WHEN line_no % 4 = 0 THEN '|' || CAST(alt_index AS VARCHAR) ELSE '' END WHEN line_no % 3 = 0 THEN 'chr1|5' ELSE '' END"
 SQL = {
     "src_vcf_records": f"WITH {REC} SELECT * FROM rec",
     "src_vcf_headers": """SELECT upload_id, coalesce(max(CASE WHEN line LIKE '##fileformat=%' THEN substr(line, 14) END), '') AS fileformat, count(*) FILTER (WHERE line LIKE '##%') AS n_metadata,
  CAST(coalesce(max(CASE WHEN line LIKE '#CHROM%' THEN len(string_split(line, chr(9))) END), 0) AS BIGINT) AS n_columns, max(CASE WHEN line LIKE '#CHROM%' THEN array_to_string(string_split(line, chr(9))[10:], ',') END) AS samples,
- CAST(max(CASE WHEN line LIKE '#CHROM%' THEN len(string_split(line, chr(9))) - 9 END) AS BIGINT) AS n_samples FROM vcf_headers GROUP BY upload_id""",
+ CAST(coalesce(max(CASE WHEN line LIKE '#CHROM%' THEN len(string_split(line, chr(9))) - 9 END), 0) AS BIGINT) AS n_samples FROM vcf_headers GROUP BY upload_id""",
     "flt_supported_contig": rec(f"{norm('chrom')} AS contig, {norm('chrom')} IN {OK} AS supported"),
     "flt_symbolic_alt": al(f"allele, {SYM} AS symbolic"),
     "flt_observed_alleles": al("allele, CAST(dosage AS INTEGER) AS dosage", "WHERE dosage > 0"),
@@ -179,11 +181,11 @@ SQL = {
  count(*) FILTER (WHERE {SNV}) AS snv, count(*) FILTER (WHERE NOT {SNV}) AS non_snv, """ + ", ".join(f"count(*) FILTER (WHERE k = '{k}') AS gt_{k}" for k in vcf.GT_CLASSES) + ", coalesce(max(m.malformed), 0) AS malformed FROM c LEFT JOIN m ON c.upload_id = m.upload_id GROUP BY c.upload_id",
     "agg_top_contigs": f"WITH {REC} SELECT * FROM (SELECT upload_id, chrom, n, row_number() OVER (PARTITION BY upload_id ORDER BY n DESC, f) AS rank FROM (SELECT upload_id, chrom, count(*) AS n, min(line_no) AS f FROM rec GROUP BY upload_id, chrom)) WHERE rank <= 15",
     "agg_contig_labels": f"WITH {REC} SELECT upload_id, contig, arg_min(chrom, line_no) AS label FROM (SELECT *, {norm('chrom')} AS contig FROM rec WHERE regexp_full_match(chrom, '[A-Za-z0-9_.-]+')) WHERE contig IN {OK} GROUP BY upload_id, contig",
-    "cls_assembly": """WITH h AS (SELECT upload_id, lower(line) AS l FROM vcf_headers)
- SELECT upload_id, CASE WHEN bool_or(l LIKE '##reference%' AND regexp_matches(l, 'grch38|hg38|b38')) THEN 'GRCh38' WHEN bool_or(l LIKE '##reference%' AND regexp_matches(l, 'grch37|hg19|b37')) THEN 'GRCh37' WHEN bool_or(regexp_matches(l, '^##contig=.*id=(chr)?1,.*length=248956422')) THEN 'GRCh38' WHEN bool_or(regexp_matches(l, '^##contig=.*id=(chr)?1,.*length=249250621')) THEN 'GRCh37' ELSE 'unknown' END AS assembly FROM h GROUP BY upload_id""",
-    "join_assembly_gate": """SELECT * FROM (VALUES ('u0', 'GRCh38', 'GRCh38', 'ok'), ('u1', 'GRCh37', 'GRCh37', 'canon_mismatch'), ('u2', 'GRCh38', 'GRCh37', 'selection_conflict'), ('u3', 'unknown', '', 'confirmation_required')) AS t(upload_id, assembly, selected, gate)""",
+    "cls_assembly": f"{ASSEMBLY} SELECT * FROM a",
+    "join_assembly_gate": f"""{ASSEMBLY}, u AS (SELECT *, CASE upload_id WHEN 'u3' THEN '' WHEN 'u2' THEN 'GRCh37' ELSE assembly END AS selected FROM a)
+ SELECT *, CASE WHEN assembly <> 'unknown' AND selected <> '' AND assembly <> selected THEN 'selection_conflict' WHEN assembly = 'unknown' AND selected = '' THEN 'confirmation_required' WHEN CASE WHEN assembly <> 'unknown' THEN assembly ELSE selected END <> 'GRCh38' THEN 'canon_mismatch' ELSE 'ok' END AS gate FROM u""",
     "cls_integrity": """WITH f AS (SELECT upload_id, line_no, string_split(line, chr(9)) AS f, row_number() OVER (PARTITION BY upload_id ORDER BY line_no) AS k FROM vcf_lines),
  e AS (SELECT upload_id, bool_or(TRY_CAST(f[2] AS BIGINT) IS NULL OR TRY_CAST(f[2] AS BIGINT) <= 0) AS p, bool_or(len(f) < 8) AS s, bool_or(coalesce(f[1], '') = '' OR coalesce(f[4], '') = '' OR coalesce(f[5], '') = '') AS m FROM f WHERE k <= 20 GROUP BY upload_id),
- h AS (SELECT upload_id, bool_or(line LIKE '##fileformat=%') AS ff FROM vcf_headers GROUP BY upload_id)
- SELECT h.upload_id, concat_ws('|', CASE WHEN p THEN 'bad_pos' END, CASE WHEN m THEN 'empty_field' END, CASE WHEN s THEN 'short_row' END) AS errors, CASE WHEN ff THEN '' ELSE 'missing_fileformat' END AS warnings, CASE WHEN p OR m OR s THEN 'invalid' WHEN NOT ff THEN 'warning' ELSE 'valid' END AS status FROM h LEFT JOIN e ON h.upload_id = e.upload_id""",
+ h AS (SELECT upload_id, bool_or(line LIKE '##fileformat=%') AS ff, bool_or(line LIKE '#CHROM%') AS hc FROM vcf_headers GROUP BY upload_id)
+ SELECT h.upload_id, concat_ws('|', CASE WHEN NOT hc THEN 'missing_chrom_header' END, CASE WHEN p THEN 'bad_pos' END, CASE WHEN m THEN 'empty_field' END, CASE WHEN s THEN 'short_row' END) AS errors, concat_ws('|', CASE WHEN NOT ff THEN 'missing_fileformat' END, CASE WHEN hc THEN 'several_samples' END) AS warnings, CASE WHEN p OR m OR s OR NOT hc THEN 'invalid' WHEN NOT ff OR hc THEN 'warning' ELSE 'valid' END AS status FROM h LEFT JOIN e ON h.upload_id = e.upload_id""",
 }

@@ -2,26 +2,51 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a file that are held at once.
+PIECE = 1 << 20
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh path below spark.checkpoint.dir, which driver and executors share. Only where all of them are one process
+    on one machine may the session name none; then a temporary folder takes its place."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
 
 def staged(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir (on one machine without one, a temporary folder) and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """df written to the shared folder and read again: what several jobs or branches read is worked out once."""
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def table_encoding(spark: SparkSession, path: str | list[str]) -> str:
+    """UTF-8 if every line is, else windows-1252 unless a byte is one of its five gaps, else ISO-8859-1."""
+    raw = F.hex(F.col("value").cast("binary"))
+    odd = spark.read.text(path).agg(F.max((~F.is_valid_utf8("value")).cast("int")).alias("broken"), F.max(raw.rlike("^(..)*(81|8D|8F|90|9D)").cast("int")).alias("gap")).first()
+    return "UTF-8" if not odd.broken else "ISO-8859-1" if odd.gap else "windows-1252"
 
-def read_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """CSV with a header, every column text; a byte order mark before the first name is dropped."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+
+def read_table(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
+    """CSV with a header, every column text; a byte order mark before the first name is dropped. Without encoding, the
+    one that the bytes allow."""
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding or table_encoding(spark, path))
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
 def read_canon(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
@@ -34,10 +59,45 @@ def read_payloads(spark: SparkSession, path: str | list[str], schema: str) -> Da
     return spark.read.schema(schema).json(path)
 
 
+def _opened(path: str):
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    return store.open_input_stream(at, compression=None)
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first two bytes of each file."""
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            with _opened(path) as source:
+                found.append(source.read(2))
+        yield batch.append_column("head", pa.array(found, pa.binary()))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each file, read in pieces."""
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            digest = hashlib.sha256()
+            with _opened(path) as source:
+                while piece := source.read(PIECE):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield batch.append_column("sha256", pa.array(found))
+
+
+def listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path and length of files; their content is not read."""
+    return spark.read.format("binaryFile").load(paths).select("path", "length")
+
+
 def file_profile(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Per file its size, whether it is gzip by content and by name, and messages."""
-    files = spark.read.format("binaryFile").load(paths)
-    magic, named = F.hex(F.substring("content", 1, 2)) == "1F8B", F.col("path").endswith(".gz")
+    files = listed(spark, paths).mapInArrow(_heads, "path string, length long, head binary")
+    magic, named = F.hex("head") == "1F8B", F.col("path").endswith(".gz")
     known = F.col("path").rlike(r"\.(vcf|vcf\.gz)$")
     errors = F.array_compact(F.array(F.when(F.col("length") == 0, F.lit("empty_file")), F.when(named & ~magic & (F.col("length") > 0), F.lit("gzip_magic_missing"))))
     warnings = F.array_compact(F.array(F.when(magic & ~named, F.lit("gzip_without_extension")), F.when(~known, F.lit("unknown_extension"))))
@@ -45,8 +105,8 @@ def file_profile(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def file_checksums(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """SHA-256 of each file (of less than 2 GB)."""
-    return spark.read.format("binaryFile").load(paths).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """SHA-256 of each file, of any size."""
+    return listed(spark, paths).mapInArrow(_digests, "path string, length long, sha256 string")
 
 
 def write_table(df: DataFrame, path: str, fields: list[str], gzip: bool = False) -> None:
