@@ -8,9 +8,9 @@ filter, are made distinct, pass a suffix filter on counts of their shingles by p
 
 Only groups are asked for, so not all pairs of a group of near copies are needed: first every entry is paired with its
 shingle's most central set, the one that shares the largest part of its own prefix, which is what copies were made of;
-then, where classes are not yet in one group, with sets drawn by hash; then every remaining pair of entries whose
-classes are still apart is tested, shingle by shingle and size class by size class, so that no link between groups is
-lost. A pair that was verified once is never verified again, whether it held or not.
+then, where classes are not yet in one group, with sets drawn by hash; such a set has then met all entries of its shingle
+and leaves it. Then every remaining pair of entries whose classes are still apart is tested, shingle by shingle and size
+class by size class, so that no link between groups is lost. A pair that was verified once is never verified again, whether it held or not.
 
 Texts stay where they are: the filters read prefix entries and counts, and only for pairs that pass them are the
 documents read once more, through a sieve of fixed size, and the shingles of the sets in question fetched.
@@ -283,15 +283,22 @@ def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         huge = F.greatest(x, y) >= MOST
         return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * (1 + F.least(x - p - 1, y - q - 1)) >= percent * (x + y)) | huge
 
-    def against(rows: DataFrame, draw) -> DataFrame:
-        """Pairs of every entry with the entry of its shingle that comes first by draw, if groups differ."""
-        lead = stage(rows.groupBy("token").agg(F.max(F.struct(draw.alias("by"), F.col("cid").alias("b"), F.col("info").alias("b_info"), F.col("g").alias("b_g"))).alias("x")).select("token", "x.b", "x.b_info", "x.b_g"), "leads")
-        return rows.join(lead, "token").where((F.col("g") != F.col("b_g")) & fits("info", "b_info")).select(F.col("cid").alias("a"), "b").distinct()
+    def met(rows: DataFrame, draw) -> DataFrame:
+        """Every entry with the entry of its shingle that comes first by draw (the lead, as b), and how many the shingle
+        has. A lead meets all others of its shingle, so it need not stay in it."""
+        first = F.max(F.struct(draw.alias("by"), F.col("cid").alias("b"), F.col("info").alias("b_info"), F.col("g").alias("b_g")))
+        leads = stage(rows.groupBy("token").agg(first.alias("x"), F.count("*").alias("k")).where("k > 1").select("token", "x.b", "x.b_info", "x.b_g", "k"), "leads")
+        out = stage(rows.join(leads, "token").where("cid <> b"), "met")
+        discard(leads)
+        return out
+
+    def with_leads(rows: DataFrame) -> DataFrame:
+        return checked(rows.where((F.col("g") != F.col("b_g")) & fits("info", "b_info")).select(F.col("cid").alias("a"), "b").distinct())
 
     def regrouped(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The groups so far, and the entries of shingles that more than one group still has."""
+        """The groups so far, and the entries of shingles that more than one group still has without their leads."""
         groups = components(links)
-        named = rows.drop("g").join(groups, F.col("cid") == F.col("node"), "left").select("token", "cid", "info", F.coalesce("label", "cid").alias("g"))
+        named = rows.where("k > 2").join(groups, F.col("cid") == F.col("node"), "left").select("token", "cid", "info", F.coalesce("label", "cid").alias("g"))
         named = stage(named, "grouped")
         split = stage(named.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token"), "split")
         rest = stage(named.join(split, "token"), "apart")
@@ -299,15 +306,20 @@ def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         return groups, rest
 
     sizes = live.groupBy("cid").agg(F.count("*").alias("c"), F.max(size("info")).alias("n"))
-    share = sizes.select("cid", F.expr(f"c * 1000000 div greatest(n - ({percent} * n + 99) div 100 + 1, 1)").alias("share"))
-    central = live.join(stage(share, "share"), "cid").withColumn("g", F.col("cid"))
-    links = checked(against(central, F.col("share")))
-    groups, rest = regrouped(live, links)
+    share = stage(sizes.select("cid", F.expr(f"c * 1000000 div greatest(n - ({percent} * n + 99) div 100 + 1, 1)").alias("share")), "share")
+    central = stage(live.join(share, "cid").select("token", "cid", "info", F.col("cid").alias("g"), "share"), "central")
+    discard(live, share)
+    entered = met(central, F.col("share")).drop("share")
+    discard(central)
+    links = with_leads(entered)
+    groups, rest = regrouped(entered, links)
     for k in range(DRAW_ROUNDS):
         if rest.isEmpty():
             break
-        links = links.unionByName(checked(against(rest, F.xxhash64("token", "cid", F.lit(k)))))
-        groups, rest = regrouped(rest, links)
+        entered = met(rest, F.xxhash64("token", "cid", F.lit(k)))
+        discard(rest)
+        links = links.unionByName(with_leads(entered))
+        groups, rest = regrouped(entered, links)
     if not rest.isEmpty():
         # the suffix filter is part of this join, which else would make all pairs of a family of texts not quite alike
         a, b = (rest.select("token", F.col("cid").alias(x), F.col("info").alias(f"info_{x}"), F.col("g").alias(f"g_{x}")).join(shaped(x), x) for x in "ab")

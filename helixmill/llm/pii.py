@@ -75,20 +75,21 @@ def located(text: Column, pattern: str, keep, more=None) -> Column:
     fields = lambda a, x: [(a["at"] + x["g"]).alias("start"), (a["at"] + x["g"] + x["n"]).alias("end"), x["m"].alias("m")]
     kind = SPAN if more is None else SPAN[:-1] + ",beside:array<string>>"
     def walk(matches: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        beside = F.zip_with(gaps, F.slice(gaps, 2, F.size(gaps)), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-        both = F.zip_with(matches, F.slice(beside, 1, F.size(matches)), lambda m, g: F.struct(m.alias("m"), F.char_length(g["x"]).alias("g"), F.char_length(m).alias("n"), *([more(g["x"], g["y"]).alias("beside")] if more else [])))
+        def told(gaps: Column) -> Column:
+            beside = F.zip_with(gaps, F.slice(gaps, 2, F.size(gaps)), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+            return F.zip_with(matches, F.slice(beside, 1, F.size(matches)), lambda m, g: F.struct(m.alias("m"), F.char_length(g["x"]).alias("g"), F.char_length(m).alias("n"), *([more(g["x"], g["y"]).alias("beside")] if more else [])))
         def step(a: Column, x: Column) -> Column:
             own = F.struct(*fields(a, x), *([x["beside"].alias("beside")] if more else []))
             return F.struct((a["at"] + x["g"] + x["n"]).alias("at"), F.when(keep(x["m"]), F.concat(a["out"], F.array(own))).otherwise(a["out"]).alias("out"))
         none = F.array().cast(f"array<{kind}>")
         # places are sums over the matches before; by chunks, as a list that grows by one is copied each time
-        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / CHUNK).cast("int")), lambda c: F.slice(both, c * CHUNK + 1, F.lit(CHUNK)))
+        def cut(both: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / CHUNK).cast("int")), lambda c: F.slice(both, c * CHUNK + 1, F.lit(CHUNK)))
         def placed(parts: Column) -> Column:
             length = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x["g"] + x["n"])
             begins = F.aggregate(F.transform(parts, length), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
             return F.flatten(F.zip_with(parts, begins, lambda part, at: F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])))
-        return F.when(F.size(matches) == 0, none).otherwise(let(chunks, placed))
+        return F.when(F.size(matches) == 0, none).otherwise(let(let(let(F.split(text, pattern, -1), told), cut), placed))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walk)
 
