@@ -32,11 +32,12 @@ RULES = {
     "capitals": (lambda f: 10 * f("n_caps") < f("word_chars"), lambda f: 2 * f("n_caps") > f("word_chars")),
     "variety": (lambda f: 2 * f("n_distinct") > f("n_words"), lambda f: 3 * f("n_distinct") < f("n_words")),
 }
-ROUNDS, KEEP_AT, PRIOR = 12, 0.5, 0.85
+KEEP_AT, PRIOR, SETTLED = 0.5, 0.85, 1e-3
 #: What is believed before any data of a rule's votes: P(vote | good), P(vote | bad) for votes bad (0) and good (1). It
-#: weighs as much as this part of the rows, so that rules which seldom speak keep their meaning.
+#: weighs as much as this part of the rows: rules that speak of the same thing err together, and with less belief the
+#: hidden class becomes what most of these share instead of quality.
 BELIEVED = {name: {0: (0.02, 0.2), 1: (0.85, 0.7)} for name in RULES} | {"symbols": {0: (0.001, 0.5), 1: (0.9, 0.5)}}
-WEIGHT = 0.5
+WEIGHT = 0.1
 
 
 def repeat_words(words: Column, size: int = WINDOW) -> Column:
@@ -87,11 +88,13 @@ def log_odds(prior: float, rates: list[dict], names: list[str]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(math.log(prior / (1 - prior))))
 
 
-def fit_votes(voted: DataFrame, names: list[str], believed: dict[str, dict], rounds: int = ROUNDS) -> tuple[float, list[dict]]:
-    """Prior and rates by EM; given the class, rules err independently."""
+def fit_votes(voted: DataFrame, names: list[str], believed: dict[str, dict]) -> tuple[float, list[dict]]:
+    """Prior and rates by EM, until none moves by SETTLED; given the class, rules err independently. A rule may turn out
+    to vote against itself."""
     patterns = stage(voted.groupBy(*names).agg(F.count("*").alias("n")), "votes")
     prior, rates = PRIOR, [believed[v] for v in names]
-    for _ in range(rounds):
+    moved = 1.0
+    while moved >= SETTLED:
         good = 1 / (1 + F.exp(-log_odds(prior, rates, names)))
         sums = [F.coalesce(F.sum(F.when(F.col(v) == vote, F.col("n") * w)), F.lit(0.0)) for v in names for vote in (0, 1) for w in (F.col("p"), 1 - F.col("p"))]
         row = patterns.withColumn("p", good).agg(F.sum(F.col("n") * F.col("p")), F.sum("n"), *sums).first()
@@ -99,15 +102,14 @@ def fit_votes(voted: DataFrame, names: list[str], believed: dict[str, dict], rou
             break
         of_good, all_rows, old, rates = row[0], row[1], rates, []
         extra = WEIGHT * all_rows
-        prior = (of_good + extra * PRIOR) / (all_rows + extra)
+        before, prior = prior, (of_good + extra * PRIOR) / (all_rows + extra)
         for k in range(len(names)):
             rate = {}
             for vote in (0, 1):
                 g, b = ((row[2 + 4 * k + 2 * vote + j] + extra * believed[names[k]][vote][j]) / (total + extra) for j, total in enumerate((of_good, all_rows - of_good)))
-                rate[vote] = (min(g, b), b) if vote == 0 else (g, min(g, b))  # no rule votes against itself
+                rate[vote] = (g, b)
             rates.append(rate)
-        if max(abs(x - y) for a, b in zip(old, rates, strict=True) for vote in a for x, y in zip(a[vote], b[vote], strict=True)) < 1e-3:
-            break
+        moved = max([abs(prior - before), *(abs(x - y) for a, b in zip(old, rates, strict=True) for vote in a for x, y in zip(a[vote], b[vote], strict=True))])
     return prior, rates
 
 
