@@ -9,8 +9,9 @@ a repeated window hide from greedy factors.
 
 Stages: anchors are counted (pre-aggregated); those met once end there. Pieces met word for word elsewhere are spans at
 once, however many copies there are. Only one representative of each different piece goes, with its words, into a
-block. An anchor with more than HOT different pieces is dealt again by whole windows, so no task meets an unbounded
-group. Documents are shuffled once and that exchange serves both joins with them.
+block. The windows of an anchor with more than HOT different pieces are dealt again, by their smallest 8-gram in another
+order, and what is still too much by the whole window, so no task meets an unbounded group; every dealing goes through
+the same counting, indexing and parsing. Documents are shuffled once and that exchange serves the joins with them.
 
 A document is known by a 64-bit hash of (doc_id, text); rows that repeat both lose the same words, and as each repeats
 the other, all their windows. Null texts and texts of fewer words lose nothing. Ties cannot occur; empty tables give
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.llm._common import partitions, row_key, stage, table
-from helixmill.llm._text import PLAIN, Words, gram_hashes, list_array, mix, pieces, range_hashes, words_of
+from helixmill.llm._text import PLAIN, Words, combine, gram_hashes, list_array, mix, pieces, range_hashes, words_of
 
 WINDOW, ANCHOR = 35, 8
 HOT = 4000
@@ -36,6 +38,8 @@ BLOCK_WORDS = 1 << 19
 PIECES = "h long, fp long, rlz_key long, at int, n int"
 TEXTS = "h long, fp long, body binary"
 FOUND = "h long, fp long, first array<int>, many array<int>"
+#: How windows are dealt: by their smallest 8-gram, by the smallest in another order, by all of their words.
+DEALINGS = 3
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -47,18 +51,22 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def cut_pieces(words: Words) -> tuple[np.ndarray, ...]:
+def cut_pieces(words: Words, dealing: int = 0, under: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Row, anchor, fingerprint, first window (word in the row) and number of windows of each piece. Where an 8-gram
-    comes again within a window, as in periodic text, one piece could hold equal windows: there each window is one."""
+    comes again within a window, as in periodic text, one piece could hold equal windows: there each window is one.
+    under: for each window its anchor in the dealing before; 0 for windows that stay out."""
     hashes = words.hashes()
     if len(hashes) < WINDOW:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     grams, reach = gram_hashes(hashes, ANCHOR), WINDOW - ANCHOR + 1
-    anchors = sliding_min(grams, reach)
+    orders = (lambda: sliding_min(grams, reach), lambda: sliding_min(mix(grams ^ np.uint64(dealing)), reach), lambda: gram_hashes(hashes, WINDOW))
+    anchors = orders[dealing]()
     rows = words.rows()
     whole = rows[: len(anchors)] == rows[WINDOW - 1 :]
+    if under is not None:
+        anchors, whole = combine(anchors, under[: len(anchors)]), whole & (under[: len(anchors)] != 0)
     opens = np.ones(len(anchors), bool)
-    opens[1:] = (anchors[1:] != anchors[:-1]) | (rows[1 : len(anchors)] != rows[: len(anchors) - 1])
+    opens[1:] = (anchors[1:] != anchors[:-1]) | (rows[1 : len(anchors)] != rows[: len(anchors) - 1]) | ~whole[:-1]
     begin = np.flatnonzero(opens & whole)
     upto = np.cumsum(np.append(opens | ~whole, True))  # a run ends at the next opening or where windows stop
     edges = np.flatnonzero(np.append(opens | ~whole, True))
@@ -71,7 +79,7 @@ def cut_pieces(words: Words) -> tuple[np.ndarray, ...]:
     n = np.where(single, end - begin, 1)
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     begin, end = np.repeat(begin, n) + inside, np.where(np.repeat(single, n), np.repeat(begin, n) + inside + 1, np.repeat(end, n))
-    prints = range_hashes(hashes, begin, end + WINDOW - 1)
+    prints = range_hashes(mix(hashes), begin, end + WINDOW - 1)
     row = rows[begin]
     return row, anchors[begin].view(np.int64), prints.view(np.int64), begin - words.first[row], end - begin
 
@@ -97,19 +105,21 @@ def spell_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["h", "fp", "body"])
 
 
-def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with hot pieces: each of their windows as a piece of its own, known by its whole content."""
-    for piece in pieces(batches, "text"):
-        words = words_of(piece.column("text"), PLAIN)
-        hashes, keys = words.hashes(), piece.column("rlz_key").to_numpy()
-        lists = piece.column("wanted")
-        row = np.repeat(np.arange(len(piece)), np.diff(lists.offsets.to_numpy()))
-        at, n = (lists.flatten().field(c).to_numpy() for c in ("at", "n"))
-        first = np.repeat(words.first[row] + at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row = np.repeat(row, n)
-        prints = range_hashes(hashes, first, first + WINDOW)
-        twin = range_hashes(mix(hashes), first, first + WINDOW)
-        yield pa.record_batch([pa.array(twin.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(keys[row]), pa.array((first - words.first[row]).astype(np.int32)), pa.array(np.ones(len(first), np.int32))], ["h", "fp", "rlz_key", "at", "n"])
+def dealt_again(dealing: int):
+    """Documents with pieces of hot anchors: the windows of these, cut into pieces of the next dealing."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            words = words_of(piece.column("text"), PLAIN)
+            lists = piece.column("wanted")
+            row = np.repeat(np.arange(len(piece)), np.diff(lists.offsets.to_numpy()))
+            h, at, n = (lists.flatten().field(c).to_numpy() for c in ("h", "at", "n"))
+            under = np.zeros(len(words.starts), np.uint64)
+            under[np.repeat(words.first[row] + at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = np.repeat(h.astype(np.int64).view(np.uint64) | np.uint64(1), n)
+            row, anchor, prints, at, n = cut_pieces(words, dealing, under)
+            keys = piece.column("rlz_key").to_numpy()[row]
+            yield pa.record_batch([pa.array(anchor), pa.array(prints), pa.array(keys), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "fp", "rlz_key", "at", "n"])
+
+    return run
 
 
 class ReferenceBlock:
@@ -209,28 +219,30 @@ def parse_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs(rlz_key, text) -> rlz_key, at, n: windows at .. at + n - 1 of the document also start elsewhere."""
-    spark = docs.sparkSession
-    n_parts = partitions(spark)
+    n_parts = partitions(docs.sparkSession)
     dealt = docs.repartition(n_parts, "rlz_key")
-    occurrences = docs.mapInArrow(piece_rows, PIECES)
-    shared = occurrences.groupBy("h").agg(F.count("*").alias("c"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("c > 1").select("h", (F.col("lo") == F.col("hi")).alias("alike"))
-    met = stage(occurrences.join(stage(shared, "shared"), "h"), "met")  # written, so that Spark can split a hot anchor
-    mixed = met.where("NOT alike")
-    kinds = stage(mixed.groupBy("h", "fp").agg(F.count("*").alias("c"), F.min(F.struct("rlz_key", "at", "n")).alias("one")), "kinds")
-    hot = stage(kinds.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("h"), "hot")
-    # one representative of each different piece is spelled out and parsed
-    wanted = kinds.join(hot, "h", "left_anti").select(F.col("one.rlz_key").alias("k"), F.struct("h", "fp", "one.at", "one.n").alias("w")).groupBy("k").agg(F.collect_list("w").alias("wanted"))
-    bodies = dealt.join(wanted.hint("shuffle_hash"), F.col("rlz_key") == F.col("k")).select("text", "wanted").mapInArrow(spell_pieces, TEXTS)
-    bodies = bodies.groupBy("h", "fp").agg(F.first("body").alias("body"))  # rows that repeat a document spell it twice
-    parsed = stage(bodies.repartition(n_parts, "h").sortWithinPartitions("h").mapInArrow(parse_blocks, FOUND), "parsed")
-    partly = mixed.join(parsed, ["h", "fp"]).select("rlz_key", F.explode(F.zip_with("first", "many", lambda a, b: F.struct((F.col("at") + a).alias("at"), b.alias("n")))).alias("s")).select("rlz_key", "s.at", "s.n")
-    wholly = met.where("alike").select("rlz_key", "at", "n")
-    copied = mixed.join(stage(kinds.where("c > 1").select("h", "fp"), "copied"), ["h", "fp"]).select("rlz_key", "at", "n")
-    # anchors with very many different pieces: by whole windows
-    lists = mixed.join(hot, "h").groupBy(F.col("rlz_key").alias("k")).agg(F.collect_list(F.struct("at", "n")).alias("wanted"))
-    windows = stage(dealt.join(lists.hint("shuffle_hash"), F.col("rlz_key") == F.col("k")).select("rlz_key", "text", "wanted").mapInArrow(window_rows, PIECES), "windows")
-    twice = stage(windows.groupBy("h", "fp").agg(F.count("*").alias("c")).where("c > 1").select("h", "fp"), "twice")
-    return wholly.unionByName(partly).unionByName(copied).unionByName(windows.join(twice, ["h", "fp"]).select("rlz_key", "at", "n"))
+    occurrences, found = docs.mapInArrow(piece_rows, PIECES), []
+    for dealing in range(DEALINGS):
+        shared = occurrences.groupBy("h").agg(F.count("*").alias("c"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("c > 1").select("h", (F.col("lo") == F.col("hi")).alias("alike"))
+        met = stage(occurrences.join(stage(shared, "shared"), "h"), "met")  # written, so that Spark can split a hot anchor
+        mixed = met.where("NOT alike")
+        kinds = stage(mixed.groupBy("h", "fp").agg(F.count("*").alias("c"), F.min(F.struct("rlz_key", "at", "n")).alias("one")), "kinds")
+        hot = stage(kinds.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("h"), "hot")
+        # one representative of each different piece is spelled out and parsed
+        wanted = kinds.join(hot, "h", "left_anti").select(F.col("one.rlz_key").alias("k"), F.struct("h", "fp", "one.at", "one.n").alias("w")).groupBy("k").agg(F.collect_list("w").alias("wanted"))
+        bodies = dealt.join(wanted.hint("shuffle_hash"), F.col("rlz_key") == F.col("k")).select("text", "wanted").mapInArrow(spell_pieces, TEXTS)
+        bodies = bodies.groupBy("h", "fp").agg(F.first("body").alias("body"))  # rows that repeat a document spell it twice
+        parsed = stage(bodies.repartition(n_parts, "h").sortWithinPartitions("h").mapInArrow(parse_blocks, FOUND), "parsed")
+        inner = F.explode(F.zip_with("first", "many", lambda a, b: F.struct((F.col("at") + a).alias("at"), b.alias("n"))))
+        found.append(mixed.join(parsed, ["h", "fp"]).select("rlz_key", inner.alias("s")).select("rlz_key", "s.at", "s.n"))
+        found.append(met.where("alike").select("rlz_key", "at", "n"))
+        found.append(mixed.join(stage(kinds.where("c > 1").select("h", "fp"), "copied"), ["h", "fp"]).select("rlz_key", "at", "n"))
+        if dealing == DEALINGS - 1 or hot.isEmpty():
+            break
+        lists = mixed.join(hot, "h").groupBy(F.col("rlz_key").alias("k")).agg(F.collect_list(F.struct("h", "at", "n")).alias("wanted"))
+        again = dealt.join(lists.hint("shuffle_hash"), F.col("rlz_key") == F.col("k")).select("rlz_key", "text", "wanted")
+        occurrences = stage(again.mapInArrow(dealt_again(dealing + 1), PIECES), "again")
+    return reduce(DataFrame.unionByName, found)
 
 
 def remover(digest: bool):
