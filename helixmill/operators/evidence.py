@@ -12,9 +12,9 @@ from helixmill.functions import text as t
 from helixmill.functions.genotype import exact_allele, text
 
 VEP = "struct<input:string,most_severe_consequence:string,colocated_variants:array<struct<id:string,allele_string:string,start:bigint,end:bigint>>,transcript_consequences:array<struct<gene_symbol:string,transcript_id:string,canonical:int,mane_select:string,mane_plus_clinical:string,impact:string,biotype:string,hgvsp:string,cadd_phred:double,consequence_terms:array<string>>>>"
-GWAS = "struct<_embedded:struct<associations:array<struct<pvalue:double,pvalueMantissa:double,pvalueExponent:int,efoTraits:array<struct<trait:string>>>>>>"
-CLINVAR = "struct<result:struct<items:array<struct<uid:string,title:string,clinical_significance:string,germline_classification:struct<description:string,review_status:string>,trait_set:array<struct<trait_name:string>>>>>>"
-PGX = "struct<data:array<struct<name:string,levelOfEvidence:struct<term:string>,relatedChemicals:array<struct<name:string>>>>>"
+GWAS = "struct<_embedded:struct<associations:array<struct<pvalue:double,pvalueMantissa:double,pvalueExponent:int,efoTraits:array<struct<trait:string>>,loci:array<struct<authorReportedGenes:array<struct<geneName:string>>>>,betaNum:double,betaDirection:string,orPerCopyNum:double>>>>"
+CLINVAR = "struct<result:struct<items:array<struct<uid:string,title:string,accession:string,record_type:string,review_status:string,clinical_significance:string,germline_classification:struct<description:string,review_status:string>,trait_set:array<struct<trait_name:string>>>>>>"
+PGX = "struct<data:array<struct<name:string,allelePhenotypes:array<struct<allele:string,phenotype:string>>,levelOfEvidence:struct<term:string>,relatedChemicals:array<struct<name:string>>>>>"
 
 
 def pick_transcript(transcripts: Column, gene: Column | None = None) -> Column:
@@ -46,27 +46,70 @@ def resolve_rsid(df: DataFrame, payload: str = "payload") -> DataFrame:
     return out.withColumns({"resolved_rsid": rsid, "rsid_status": status, "n_exact": F.size("_exact").cast("bigint"), "n_colocated": F.size("_ids").cast("bigint")}).drop("_ids", "_exact")
 
 
+PGX_NOTES = "struct<data:array<struct<alleleGenotype:string,sentence:string,score:double,relatedChemicals:array<struct<name:string>>,literature:struct<crossReferences:array<struct<resource:string,resourceId:string>>>>>>"
+
+
+def rows_of(payload: Column, schema: str, *path: str, most: int) -> Column:
+    """The first most entries of a list inside a JSON text; no list gives an empty one."""
+    found = F.from_json(payload, schema)
+    for name in path:
+        found = found[name]
+    none = F.from_json(F.lit("".join(f'{{"{name}":' for name in path) + "[]" + "}" * len(path)), schema)
+    for name in path:
+        none = none[name]
+    return F.coalesce(F.slice(found, 1, most), none)
+
+
+def told(**parts: Column) -> Column:
+    """name=value of the parts that have one, a semicolon between."""
+    return F.concat_ws("; ", *[F.when(text(value) != "", F.concat(F.lit(f"{name}="), value)) for name, value in parts.items()])
+
+
+def names_in(rows: Column, field: str) -> Column:
+    return F.coalesce(F.transform(rows, lambda x: x[field]), F.array().cast("array<string>"))
+
+
 def parse_gwas(df: DataFrame, payload: str = "payload") -> DataFrame:
-    rows = F.slice(F.coalesce(F.from_json(payload, GWAS)["_embedded"]["associations"], F.array().cast("array<struct<pvalue:double,pvalueMantissa:double,pvalueExponent:int,efoTraits:array<struct<trait:string>>>>")), 1, 20)
-    out = df.withColumn("_g", rows)
-    p = F.transform("_g", lambda x: F.coalesce(x["pvalue"], x["pvalueMantissa"] * F.pow(F.lit(10.0), x["pvalueExponent"])))
-    traits = F.flatten(F.transform("_g", lambda x: F.transform(x["efoTraits"], lambda y: y["trait"])))
-    return out.select(*df.columns, F.size("_g").cast("bigint").alias("n"), F.array_min(p).alias("min_p"), t.unique_join(traits, 12).alias("traits"))
+    """The first 20 associations: number, lowest p, traits, reported genes, and the eight first as text."""
+    out = df.withColumn("_g", rows_of(F.col(payload), GWAS, "_embedded", "associations", most=20))
+    p = lambda x: F.coalesce(x["pvalue"], x["pvalueMantissa"] * F.pow(F.lit(10.0), x["pvalueExponent"]))
+    traits = lambda x: names_in(x["efoTraits"], "trait")
+    genes = lambda x: F.flatten(F.transform(F.coalesce(x["loci"], F.array().cast("array<struct<authorReportedGenes:array<struct<geneName:string>>>>")), lambda y: names_in(y["authorReportedGenes"], "geneName")))
+    number = lambda x: t.compact_number(x.cast("string"))
+    effect = lambda x: F.when(x["betaNum"].isNotNull(), F.concat_ws(" ", F.concat(F.lit("beta="), number(x["betaNum"])), F.nullif(text(x["betaDirection"]), F.lit("")))).when(x["orPerCopyNum"].isNotNull(), F.concat(F.lit("OR="), number(x["orPerCopyNum"])))
+    line = lambda x: F.concat_ws("; ", F.nullif(told(trait=t.unique_join(traits(x), 3, ","), p=number(p(x))), F.lit("")), effect(x), F.nullif(told(genes=t.unique_join(genes(x), 4, ",")), F.lit("")))
+    return out.select(*df.columns, F.size("_g").cast("bigint").alias("n"), F.array_min(F.transform("_g", p)).alias("min_p"), t.unique_join(F.flatten(F.transform("_g", traits)), 12).alias("traits"), t.unique_join(F.flatten(F.transform("_g", genes)), 12).alias("genes"), t.unique_join(F.transform("_g", line), 8, " || ").alias("top_associations"))
 
 
 def parse_clinvar(df: DataFrame, payload: str = "payload") -> DataFrame:
     out = df.withColumn("_c", F.from_json(payload, CLINVAR)["result"]["items"])
-    classes = F.transform("_c", lambda x: F.coalesce(x["germline_classification"]["description"], x["clinical_significance"]))
-    return out.select(*df.columns, t.unique_join(F.transform("_c", lambda x: x["uid"])).alias("ids"), t.unique_join(F.transform("_c", lambda x: x["title"]), 3).alias("titles"), t.unique_join(classes).alias("classes"), t.unique_join(F.transform("_c", lambda x: x["germline_classification"]["review_status"])).alias("review"), t.unique_join(F.flatten(F.transform("_c", lambda x: F.transform(x["trait_set"], lambda y: y["trait_name"])))).alias("traits"))
-
-
-def parse_pgx(df: DataFrame, payload: str = "payload") -> DataFrame:
-    out = df.withColumn("_p", F.slice(F.from_json(payload, PGX)["data"], 1, 12))
-    return out.select(*df.columns, F.size("_p").cast("bigint").alias("n"), t.unique_join(F.transform("_p", lambda x: x["levelOfEvidence"]["term"])).alias("levels"), t.unique_join(F.flatten(F.transform("_p", lambda x: F.transform(x["relatedChemicals"], lambda y: y["name"])))).alias("chemicals"))
+    each = lambda f: F.transform("_c", f)
+    own = lambda x, old, new: F.coalesce(F.nullif(text(x[old]), F.lit("")), x["germline_classification"][new])
+    columns = {
+        "ids": t.unique_join(each(lambda x: x["uid"])), "titles": t.unique_join(each(lambda x: x["title"]), 3), "accessions": t.unique_join(each(lambda x: x["accession"]), 3, " | "),
+        "classes": t.unique_join(each(lambda x: own(x, "clinical_significance", "description"))), "review": t.unique_join(each(lambda x: own(x, "review_status", "review_status"))),
+        "record_types": t.unique_join(each(lambda x: x["record_type"]), 5, " | "), "traits": t.unique_join(F.flatten(each(lambda x: names_in(x["trait_set"], "trait_name")))),
+    }
+    return out.select(*df.columns, *[c.alias(n) for n, c in columns.items()])
+
+
+def parse_pgx(df: DataFrame, payload: str = "payload", notes: str | None = None) -> DataFrame:
+    """Clinical annotations (the first 12): levels, chemicals, phenotypes of alleles. With notes, the payload of variant
+    annotations (the first 15): chemicals, sentences, literature."""
+    out = df.withColumn("_p", rows_of(F.col(payload), PGX, "data", most=12))
+    said = F.flatten(F.transform("_p", lambda x: F.transform(F.coalesce(x["allelePhenotypes"], F.array().cast("array<struct<allele:string,phenotype:string>>")), lambda y: F.concat(text(y["allele"]), F.lit(": "), F.left(text(y["phenotype"]), F.lit(220))))))
+    columns = {"n": F.size("_p").cast("bigint"), "levels": t.unique_join(F.transform("_p", lambda x: x["levelOfEvidence"]["term"])), "chemicals": t.unique_join(F.flatten(F.transform("_p", lambda x: names_in(x["relatedChemicals"], "name")))), "phenotypes": t.unique_join(said, 8, " || ")}
+    if notes:
+        out = out.withColumn("_n", rows_of(F.col(notes), PGX_NOTES, "data", most=15))
+        chemicals = lambda x: names_in(x["relatedChemicals"], "name")
+        line = lambda x: told(genotype=x["alleleGenotype"], chemicals=t.unique_join(chemicals(x), 3, ","), sentence=F.left(x["sentence"], F.lit(240)), score=t.compact_number(x["score"].cast("string")))
+        papers = lambda x: F.transform(F.filter(F.coalesce(x["literature"]["crossReferences"], F.array().cast("array<struct<resource:string,resourceId:string>>")), lambda y: y["resource"] == "PubMed"), lambda y: y["resourceId"])
+        columns |= {"n_notes": F.size("_n").cast("bigint"), "note_chemicals": t.unique_join(F.flatten(F.transform("_n", chemicals)), 15, " | "), "notes_summary": t.unique_join(F.transform("_n", line), 10, " || "), "pmids": t.unique_join(F.flatten(F.transform("_n", papers)), 12, " | ")}
+    return out.select(*df.columns, *[c.alias(n) for n, c in columns.items()])
 
 
 VARIATION = "struct<name:string,var_class:string,most_severe_consequence:string,MAF:double,phenotypes:array<struct<trait:string>>,populations:array<struct<population:string,allele:string,frequency:double>>,mappings:array<struct<seq_region_name:string,start:bigint,end:bigint,allele_string:string>>>"
-MYVARIANT = "struct<total:int,hits:array<struct<_id:string,_score:double,cadd:struct<phred:double>,clinvar:struct<rcv:array<struct<accession:string>>>>>>"
+MYVARIANT = "struct<total:int,hits:array<struct<_id:string,_score:double,cadd:struct<phred:double>,dbsnp:struct<gene:struct<symbol:string>>,dbnsfp:struct<genename:string>,clinvar:struct<rcv:array<struct<accession:string,clinical_significance:string,review_status:string>>>>>>"
 
 
 def parse_variation(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -80,7 +123,7 @@ def parse_variation(df: DataFrame, payload: str = "payload") -> DataFrame:
 def parse_myvariant(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Number of hits and the best one: id, score, CADD, first accession."""
     out = df.withColumn("_m", F.from_json(payload, MYVARIANT)).withColumn("_h", F.get("_m.hits", F.lit(0)))
-    return out.select(*[c for c in df.columns if c != payload], F.coalesce("_m.total", F.lit(0)).alias("hits"), text(F.col("_h._id")).alias("best_id"), F.col("_h._score").alias("score"), F.col("_h.cadd.phred").alias("cadd"), text(F.get("_h.clinvar.rcv", F.lit(0))["accession"]).alias("accession"))
+    return out.select(*[c for c in df.columns if c != payload], F.coalesce("_m.total", F.lit(0)).alias("hits"), text(F.col("_h._id")).alias("best_id"), F.col("_h._score").alias("score"), F.col("_h.cadd.phred").alias("cadd"), text(F.get("_h.clinvar.rcv", F.lit(0))["accession"]).alias("accession"), text(F.get("_h.clinvar.rcv", F.lit(0))["clinical_significance"]).alias("significance"), text(F.get("_h.clinvar.rcv", F.lit(0))["review_status"]).alias("review"), text(F.col("_h.dbsnp.gene.symbol")).alias("dbsnp_gene"), text(F.col("_h.dbnsfp.genename")).alias("dbnsfp_gene"))
 
 
 def pick_transcript_legacy(transcripts: DataFrame) -> DataFrame:

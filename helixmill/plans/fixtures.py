@@ -134,15 +134,16 @@ FROM fx_line WHERE alt NOT LIKE '%,%' AND alt NOT LIKE '<%'""",
     "gwas_payloads": r"""
 SELECT rsid, '{"_embedded":{"associations":[{"pvalue":' || CAST(ann_seq % 9 + 1 AS STRING) || 'e-' || CAST(ann_seq % 12 + 3 AS STRING)
   || ',"efoTraits":[{"trait":"t' || CAST(ann_seq % 5 AS STRING) || '"}]},{"pvalueMantissa":' || CAST(ann_seq % 7 + 1 AS STRING) || ',"pvalueExponent":-' || CAST(ann_seq % 10 + 2 AS STRING)
-  || ',"efoTraits":[{"trait":"t' || CAST(ann_seq % 3 AS STRING) || '"}]}]}}' AS payload
+  || ',"efoTraits":[{"trait":"t' || CAST(ann_seq % 3 AS STRING) || '"}],"loci":[{"authorReportedGenes":[{"geneName":"H' || CAST(ann_seq % 4 AS STRING) || '"},{"geneName":"H9"}]}]' || CASE WHEN ann_seq % 2 = 0 THEN ',"betaNum":0.25,"betaDirection":"increase"' ELSE ',"orPerCopyNum":1.5' END || '}]}}' AS payload
 FROM annotations""",
     "clinvar_payloads": r"""
 SELECT rsid, '{"result":{"items":[{"uid":"' || CAST(ann_seq AS STRING) || '",' || CASE WHEN ann_seq % 2 = 0 THEN '"clinical_significance":"Benign"' ELSE '"germline_classification":{"description":"Pathogenic","review_status":"criteria provided, single submitter"}' END
-  || ',"title":"v' || CAST(ann_seq AS STRING) || '","trait_set":[{"trait_name":"c' || CAST(ann_seq % 6 AS STRING) || '"}]}]}}' AS payload
+  || ',"accession":"RCV' || CAST(ann_seq AS STRING) || '","record_type":"' || CASE WHEN ann_seq % 3 = 0 THEN 'germline' ELSE '' END || '","title":"v' || CAST(ann_seq AS STRING) || '","trait_set":[{"trait_name":"c' || CAST(ann_seq % 6 AS STRING) || '"}]}]}}' AS payload
 FROM annotations""",
     "pgx_payloads": r"""
 SELECT rsid, '{"data":[{"name":"n' || CAST(ann_seq AS STRING) || '","levelOfEvidence":{"term":"' || CASE ann_seq % 3 WHEN 0 THEN '1A' WHEN 1 THEN '2B' ELSE '3' END
-  || '"},"relatedChemicals":[{"name":"warfarin"},{"name":"drug' || CAST(ann_seq % 4 AS STRING) || '"}]}]}' AS payload
+  || '"},"relatedChemicals":[{"name":"warfarin"},{"name":"drug' || CAST(ann_seq % 4 AS STRING) || '"}],"allelePhenotypes":[{"allele":"A","phenotype":"' || repeat('p', CAST(ann_seq % 300 AS INT)) || '"}]}]}' AS payload,
+  '{"data":[{"alleleGenotype":"AG","sentence":"' || repeat('s', CAST(ann_seq % 300 AS INT)) || '","relatedChemicals":[{"name":"drug' || CAST(ann_seq % 4 AS STRING) || '"}],"literature":{"crossReferences":[{"resource":"PubMed","resourceId":"' || CAST(ann_seq AS STRING) || '"},{"resource":"DOI","resourceId":"x"}]}}]}' AS notes
 FROM annotations WHERE ann_seq % 2 = 1""",
     "cache_writes": r"""
 SELECT 'GRCh38' AS assembly, 'v' || CAST(user_id AS STRING) AS variant_key, event_type AS source, 'f' || CAST(event_id % 3 AS STRING) AS fingerprint,

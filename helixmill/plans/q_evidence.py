@@ -56,9 +56,9 @@ QUERIES = {
     "json_vep": lambda s, d: e.parse_vep(view(s, d, "vep_payloads")).drop("payload"),
     "win_transcript_pick": lambda s, d: e.parse_vep(view(s, d, "vep_payloads")).select("line_no", "vep_gene", "vep_transcript"),
     "cls_rsid_resolution": lambda s, d: e.resolve_rsid(view(s, d, "vep_payloads")).select("line_no", "resolved_rsid", "rsid_status", "n_exact", "n_colocated"),
-    "json_gwas": lambda s, d: e.parse_gwas(view(s, d, "gwas_payloads")).select("rsid", "n", "traits", (C("min_p") <= 5e-8).alias("strong")),
+    "json_gwas": lambda s, d: e.parse_gwas(view(s, d, "gwas_payloads")).select("rsid", "n", "traits", (C("min_p") <= 5e-8).alias("strong"), "genes", F.regexp_replace("top_associations", "p=[^; ]*", "p").alias("associations")),
     "json_clinvar": lambda s, d: e.parse_clinvar(view(s, d, "clinvar_payloads")).drop("payload"),
-    "json_pgx": lambda s, d: e.parse_pgx(view(s, d, "pgx_payloads")).drop("payload"),
+    "json_pgx": lambda s, d: e.parse_pgx(view(s, d, "pgx_payloads"), notes="notes").drop("payload", "notes"),
     "win_cache_latest": lambda s, d: e.merge_cache(view(s, d, "cache_writes")).select("variant_key", "source", "event_id", "status"),
     "join_cache_miss": lambda s, d: e.cache_misses(view(s, d, "cache_writes").select("assembly", "variant_key", "source", "fingerprint").distinct(), e.merge_cache(view(s, d, "cache_writes")), NOW).drop("assembly"),
     "agg_source_metrics": lambda s, d: view(s, d, "cache_writes").groupBy("source").agg(F.count("*").alias("completed"), F.count(F.when(C("status") == "source_error", 1)).alias("errors"), F.count(F.when(C("status") == "not_found", 1)).alias("not_found"), F.count(F.when(C("fingerprint") == "f0", 1)).alias("cache_hits")),
@@ -121,9 +121,9 @@ SQL = {
     "json_vep": f"WITH {RAWJ} SELECT line_no, target_gene, contig, pos, id, ref, alt, CASE line_no % 3 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'intron_variant' ELSE 'synonymous_variant' END AS vep_most_severe_consequence, CASE WHEN direct THEN 'direct_target_transcript' ELSE 'other_gene_only' END AS vep_status, CASE WHEN direct THEN target_gene WHEN mane THEN 'X' ELSE 'OTHER' END AS vep_gene, own_t AS vep_transcript, 'MODERATE' AS vep_impact, 'p.' || CAST(line_no % 99 AS VARCHAR) AS vep_hgvsp, CAST(line_no % 35 AS DOUBLE) AS vep_cadd_phred, 'intron_variant|missense_variant|splice_region_variant' AS vep_terms, 'OTHER|' || CASE WHEN direct THEN target_gene ELSE 'X' END AS vep_genes FROM jv",
     "win_transcript_pick": f"WITH {RAWJ} SELECT line_no, CASE WHEN direct THEN target_gene ELSE 'X' END AS vep_gene, own_t AS vep_transcript FROM jv",
     "cls_rsid_resolution": "SELECT line_no, CASE WHEN line_no % 5 = 1 THEN 'rs' || CAST(line_no AS VARCHAR) WHEN line_no % 5 = 3 AND id IN ('rs' || CAST(line_no AS VARCHAR), 'rs' || CAST(line_no + 1 AS VARCHAR)) THEN id ELSE '' END AS resolved_rsid, CASE WHEN line_no % 5 IN (1, 3) AND (id = 'rs' || CAST(line_no AS VARCHAR) OR (line_no % 5 = 3 AND id = 'rs' || CAST(line_no + 1 AS VARCHAR))) THEN 'vcf_id_confirmed_by_vep_exact_allele' WHEN line_no % 5 = 1 THEN 'vep_colocated_exact_allele' WHEN line_no % 5 = 3 THEN 'ambiguous_multiple_exact_rsids' WHEN line_no % 5 = 2 THEN 'vep_colocated_allele_mismatch' ELSE 'unresolved_no_exact_rsid' END AS rsid_status, CAST(CASE line_no % 5 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS n_exact, CAST(CASE line_no % 5 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS n_colocated FROM vep_payloads",
-    "json_gwas": "SELECT rsid, CAST(2 AS BIGINT) AS n, CASE WHEN ann_seq % 5 = ann_seq % 3 THEN 't' || CAST(ann_seq % 5 AS VARCHAR) ELSE 't' || CAST(ann_seq % 5 AS VARCHAR) || '|t' || CAST(ann_seq % 3 AS VARCHAR) END AS traits, least(CAST(CAST(ann_seq % 9 + 1 AS VARCHAR) || 'e-' || CAST(ann_seq % 12 + 3 AS VARCHAR) AS DOUBLE), CAST(CAST(ann_seq % 7 + 1 AS VARCHAR) || 'e-' || CAST(ann_seq % 10 + 2 AS VARCHAR) AS DOUBLE)) <= 5e-8 AS strong FROM annotations",
-    "json_clinvar": "SELECT rsid, CAST(ann_seq AS VARCHAR) AS ids, 'v' || CAST(ann_seq AS VARCHAR) AS titles, CASE WHEN ann_seq % 2 = 0 THEN 'Benign' ELSE 'Pathogenic' END AS classes, CASE WHEN ann_seq % 2 = 0 THEN '' ELSE 'criteria provided, single submitter' END AS review, 'c' || CAST(ann_seq % 6 AS VARCHAR) AS traits FROM annotations",
-    "json_pgx": "SELECT rsid, CAST(1 AS BIGINT) AS n, CASE ann_seq % 3 WHEN 0 THEN '1A' WHEN 1 THEN '2B' ELSE '3' END AS levels, 'warfarin|drug' || CAST(ann_seq % 4 AS VARCHAR) AS chemicals FROM annotations WHERE ann_seq % 2 = 1",
+    "json_gwas": "SELECT rsid, CAST(2 AS BIGINT) AS n, CASE WHEN ann_seq % 5 = ann_seq % 3 THEN 't' || CAST(ann_seq % 5 AS VARCHAR) ELSE 't' || CAST(ann_seq % 5 AS VARCHAR) || '|t' || CAST(ann_seq % 3 AS VARCHAR) END AS traits, least(CAST(CAST(ann_seq % 9 + 1 AS VARCHAR) || 'e-' || CAST(ann_seq % 12 + 3 AS VARCHAR) AS DOUBLE), CAST(CAST(ann_seq % 7 + 1 AS VARCHAR) || 'e-' || CAST(ann_seq % 10 + 2 AS VARCHAR) AS DOUBLE)) <= 5e-8 AS strong, CASE WHEN rsid IS NOT NULL THEN 'H' || CAST(ann_seq % 4 AS VARCHAR) || '|H9' END AS genes, 'trait=t' || CAST(ann_seq % 5 AS VARCHAR) || '; p || trait=t' || CAST(ann_seq % 3 AS VARCHAR) || '; p; ' || CASE WHEN ann_seq % 2 = 0 THEN 'beta=0.25 increase' ELSE 'OR=1.5' END || '; genes=H' || CAST(ann_seq % 4 AS VARCHAR) || ',H9' AS associations FROM annotations",
+    "json_clinvar": "SELECT rsid, CAST(ann_seq AS VARCHAR) AS ids, 'v' || CAST(ann_seq AS VARCHAR) AS titles, CASE WHEN ann_seq % 2 = 0 THEN 'Benign' ELSE 'Pathogenic' END AS classes, CASE WHEN ann_seq % 2 = 0 THEN '' ELSE 'criteria provided, single submitter' END AS review, 'c' || CAST(ann_seq % 6 AS VARCHAR) AS traits, 'RCV' || CAST(ann_seq AS VARCHAR) AS accessions, CASE WHEN ann_seq % 3 = 0 THEN 'germline' ELSE '' END AS record_types FROM annotations",
+    "json_pgx": "SELECT rsid, CAST(1 AS BIGINT) AS n, CASE ann_seq % 3 WHEN 0 THEN '1A' WHEN 1 THEN '2B' ELSE '3' END AS levels, 'warfarin|drug' || CAST(ann_seq % 4 AS VARCHAR) AS chemicals, trim('A: ' || left(repeat('p', ann_seq % 300), 220)) AS phenotypes, CAST(1 AS BIGINT) AS n_notes, 'drug' || CAST(ann_seq % 4 AS VARCHAR) AS note_chemicals, 'genotype=AG; chemicals=drug' || CAST(ann_seq % 4 AS VARCHAR) || CASE WHEN ann_seq % 300 > 0 THEN '; sentence=' || left(repeat('s', ann_seq % 300), 240) ELSE '' END AS notes_summary, CAST(ann_seq AS VARCHAR) AS pmids FROM annotations WHERE ann_seq % 2 = 1",
     "win_cache_latest": "SELECT variant_key, source, event_id, status FROM cache_writes QUALIFY row_number() OVER (PARTITION BY assembly, variant_key, source ORDER BY fetched_at DESC, event_id DESC) = 1",
     "join_cache_miss": f"WITH l AS (SELECT * FROM cache_writes QUALIFY row_number() OVER (PARTITION BY assembly, variant_key, source ORDER BY fetched_at DESC, event_id DESC) = 1) SELECT DISTINCT variant_key, source, fingerprint FROM cache_writes c WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.variant_key = c.variant_key AND l.source = c.source AND l.fingerprint = c.fingerprint AND l.fetched_at + INTERVAL 14 DAY > TIMESTAMP '{NOW}')",
     "agg_source_metrics": "SELECT source, count(*) AS completed, count(*) FILTER (WHERE status = 'source_error') AS errors, count(*) FILTER (WHERE status = 'not_found') AS not_found, count(*) FILTER (WHERE fingerprint = 'f0') AS cache_hits FROM cache_writes GROUP BY source",

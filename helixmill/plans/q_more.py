@@ -67,7 +67,9 @@ def cached_stream(s, d):
     writes = s.readStream.schema(view(s, d, "cache_writes").schema).option("maxFilesPerTrigger", 2).parquet(source)
     query = writes.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(streams.cache_writer(path)).start()
     query.awaitTermination()
-    return s.read.parquet(f"{path}/v{query.lastProgress['batchId']}").select("variant_key", "source", "event_id", "status")
+    compacted = folder(s)
+    streams.compact_cache(s, path, compacted)
+    return streams.read_cache(s, compacted).select("variant_key", "source", "event_id", "status")
 
 
 def streamed(s, d):
@@ -93,7 +95,7 @@ def variation_payloads(s, d):
 
 def hit_payloads(s, d):
     a = view(s, d, "annotations")
-    record = F.struct(F.lit(1).alias("total"), F.array(F.struct(C("rsid").alias("_id"), F.lit(1.5).alias("_score"), F.struct(C("cadd_phred").cast("double").alias("phred")).alias("cadd"), F.struct(F.array(F.struct(F.concat(F.lit("RCV"), C("ann_seq").cast("string")).alias("accession"))).alias("rcv")).alias("clinvar"))).alias("hits"))
+    record = F.struct(F.lit(1).alias("total"), F.array(F.struct(C("rsid").alias("_id"), F.lit(1.5).alias("_score"), F.struct(C("cadd_phred").cast("double").alias("phred")).alias("cadd"), F.struct(F.struct(F.lit("HBB").alias("symbol")).alias("gene")).alias("dbsnp"), F.struct(F.concat(F.lit("G"), (C("ann_seq") % 7).cast("string")).alias("genename")).alias("dbnsfp"), F.struct(F.array(F.struct(F.concat(F.lit("RCV"), C("ann_seq").cast("string")).alias("accession"), C("clinvar_significance").alias("clinical_significance"), C("clinvar_review_status").alias("review_status"))).alias("rcv")).alias("clinvar"))).alias("hits"))
     return a.select("rsid", F.when(C("ann_seq") % 4 > 0, F.to_json(record)).otherwise('{"total":0,"hits":[]}').alias("payload"))
 
 
@@ -161,7 +163,7 @@ SQL = {
     "agg_group_result_summary": f"WITH {q_evidence.SC} SELECT interpreted, errors, CASE WHEN interpreted = 0 THEN 'invalid' WHEN errors > 0 THEN 'warning' ELSE 'valid' END AS status FROM (SELECT count(*) FILTER (WHERE max_score >= 100) AS interpreted, count(*) FILTER (WHERE max_score < 100) AS errors FROM gp)",
     "win_transcript_pick_legacy": "SELECT gene_id, transcript_id FROM transcripts QUALIFY row_number() OVER (PARTITION BY gene_id ORDER BY CASE WHEN is_mane_select = 1 THEN 0 WHEN transcript_id LIKE '%!_2' ESCAPE '!' THEN 1 ELSE 2 END, transcript_id) = 1",
     "json_ensembl_variation": "SELECT rsid, 'SNP' AS var_class, 'intron_variant' AS consequence, ann_seq % 50 / 100.0 AS maf, CASE WHEN lower(clinvar_significance) IS NULL THEN '' ELSE clinvar_significance END AS phenotypes, 'pop=AFR; allele=G; freq=0.25' AS populations, '1:' || CAST(ann_seq AS VARCHAR) || '-' || CAST(ann_seq AS VARCHAR) AS places FROM annotations",
-    "json_myvariant": "SELECT rsid, CASE WHEN ann_seq % 4 > 0 THEN 1 ELSE 0 END AS hits, CASE WHEN ann_seq % 4 > 0 THEN rsid ELSE '' END AS best_id, CASE WHEN ann_seq % 4 > 0 THEN CAST(1.5 AS DOUBLE) END AS score, CASE WHEN ann_seq % 4 > 0 THEN CAST(cadd_phred AS DOUBLE) END AS cadd, CASE WHEN ann_seq % 4 > 0 THEN 'RCV' || CAST(ann_seq AS VARCHAR) ELSE '' END AS accession FROM annotations",
+    "json_myvariant": "SELECT rsid, CASE WHEN ann_seq % 4 > 0 THEN 1 ELSE 0 END AS hits, CASE WHEN ann_seq % 4 > 0 THEN rsid ELSE '' END AS best_id, CASE WHEN ann_seq % 4 > 0 THEN CAST(1.5 AS DOUBLE) END AS score, CASE WHEN ann_seq % 4 > 0 THEN CAST(cadd_phred AS DOUBLE) END AS cadd, CASE WHEN ann_seq % 4 > 0 THEN 'RCV' || CAST(ann_seq AS VARCHAR) ELSE '' END AS accession, CASE WHEN ann_seq % 4 > 0 THEN coalesce(clinvar_significance, '') ELSE '' END AS significance, CASE WHEN ann_seq % 4 > 0 THEN coalesce(clinvar_review_status, '') ELSE '' END AS review, CASE WHEN ann_seq % 4 > 0 THEN 'HBB' ELSE '' END AS dbsnp_gene, CASE WHEN ann_seq % 4 > 0 THEN 'G' || CAST(ann_seq % 7 AS VARCHAR) ELSE '' END AS dbnsfp_gene FROM annotations",
     "set_report_sections": f"WITH {q_evidence.AX} SELECT 'axis' AS section, axis_id AS item, rows, suggested_confidence FROM ({q_evidence.dist('axis_id', 'ar')}) UNION ALL SELECT 'category', category, rows, suggested_confidence FROM ({q_evidence.dist('category')}) UNION ALL SELECT 'repeated', rsid, rows, suggested_confidence FROM ({q_evidence.dist('rsid')}) WHERE rows > 1",
     "cls_normalized_interp": f"WITH dc AS ({q_evidence.SQL['agg_duplicate_confidence']}) SELECT row_id, coalesce(dc.confidence, final_confidence_level) AS final, dc.confidence <> final_confidence_level AS adjusted FROM interp JOIN dc ON upper(gene) = k_gene AND lower(rsid) = k_rsid AND upper(observed_genotype) = k_gt AND lower(zygosity) = k_zyg AND upper(ref_alt) = k_alt",
     "cls_calibrate": f"WITH {CAL} SELECT row_id, calibrated, note FROM q5",

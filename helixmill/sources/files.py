@@ -44,9 +44,14 @@ def table_encoding(spark: SparkSession, path: str | list[str]) -> str:
 
 def read_table(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
     """CSV with a header, every column text; a byte order mark before the first name is dropped. Without encoding, the
-    one that the bytes allow."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding or table_encoding(spark, path))
-    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    one that the bytes allow. The reader has no windows-1252, which is ISO-8859-1 with letters for most control codes."""
+    encoding = encoding or table_encoding(spark, path)
+    windows = encoding == "windows-1252"
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="ISO-8859-1" if windows else encoding)
+    codes = [k for k in range(0x80, 0xA0) if bytes([k]).decode("cp1252", "ignore")] if windows else []
+    plain, letters = "".join(map(chr, codes)), bytes(codes).decode("cp1252")
+    names = [c.lstrip("\ufeff").translate(str.maketrans(plain, letters)) for c in df.columns]
+    return df.select(*[F.translate(F.col(f"`{c}`"), plain, letters).alias(n) if codes else F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)])
 
 
 def read_canon(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:

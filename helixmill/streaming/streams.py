@@ -32,15 +32,24 @@ def stream_progress(records: DataFrame) -> DataFrame:
 
 
 def cache_writer(path: str):
-    """For foreachBatch: merge a batch of cache writes into versions below path; the newest is the cache."""
+    """For foreachBatch: append a batch's writes, its own latest only, below path. A batch that runs again replaces its
+    part; the cache is what read_cache makes of all parts, and compact_cache shortens them."""
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{epoch - 1}") if epoch else None
-        evidence.merge_cache(old.unionByName(batch) if old is not None else batch).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        evidence.merge_cache(batch).write.mode("overwrite").parquet(f"{path}/part={epoch}")
 
     return write
 
 
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The latest write of each (assembly, variant, source) over all parts."""
+    return evidence.merge_cache(spark.read.parquet(path).drop("part"))
+
+
+def compact_cache(spark: SparkSession, path: str, to: str) -> None:
+    """The cache as one part of a new folder, now and then; readers and the writer then go on there."""
+    read_cache(spark, path).write.parquet(f"{to}/part=-1")
+
+
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and read what it wrote (complete mode: its last state)."""
     spark = stream.sparkSession

@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import genotype as g
 from helixmill.functions import text as t
-from helixmill.operators import canon, match
+from helixmill.operators import canon, interpret, match
 from helixmill.operators.intervals import merge_intervals, overlap_join
 from helixmill.plans import q_match, registry
-from helixmill.sources import vcf
+from helixmill.sources import files, vcf
+from helixmill.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 LINE = "upload_id string, line_no bigint, line string"
@@ -152,3 +153,70 @@ def test_stream_equals_batch(spark):
     batch = q_vcf.records(spark, SF).groupBy("upload_id").agg(F.count("*").alias("n")).collect()
     stream = q_more.QUERIES["str_running_counts"](spark, SF).select("upload_id", "n").collect()
     assert sorted(map(tuple, batch)) == sorted(map(tuple, stream))
+
+
+def test_header_keeps_all_samples_and_a_mapping_all_alleles(spark):
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *[f"s{k}" for k in range(1500)]])
+    rows = spark.createDataFrame([("u", 1, "##fileformat=" + "V" * 1200), ("u", 2, head)], "upload_id string, line_no bigint, line string")
+    got = vcf.parse_headers(rows).first()
+    assert got.n_samples == 1500 and got.samples.endswith(",s1499") and len(got.fileformat) == 1200
+    alleles = "A/" + "/".join("C" * k for k in range(1, 151))
+    m = spark.range(1).select(interpret.first_mapping(F.array(F.struct(F.lit("chromosome").alias("coord_system"), F.lit("1").alias("seq_region_name"), F.lit(5).cast("bigint").alias("start"), F.lit(alleles).alias("allele_string")))).alias("m")).first().m
+    assert m.ref == "A" and len(m.alt.split(",")) == 150
+
+
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "same.vcf").write_text("".join(f"{i}\tx\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = vcf.read_vcf(spark, [f"file://{tmp_path}/0", f"file://{tmp_path}/1"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({r.upload_id for r in rows}) == 2 and len({(r.upload_id, r.line_no) for r in rows}) == 40_000
+    for u in {r.upload_id for r in rows}:
+        mine = [int(r.line.split("\t")[0]) for r in sorted((r for r in rows if r.upload_id == u), key=lambda r: r.line_no)]
+        assert mine == list(range(20_000))
+
+
+def test_tables_in_other_encodings(spark, tmp_path):
+    for name, raw in {"UTF-8": "﻿a,b\né,1\n".encode(), "windows-1252": "a,b\né“,1\n".encode("cp1252"), "ISO-8859-1": b"a,b\n\xe9\x81,1\n"}.items():
+        path = tmp_path / f"{name}.csv"
+        path.write_bytes(raw)
+        assert files.table_encoding(spark, f"file://{path}") == name
+        df = files.read_table(spark, f"file://{path}")
+        assert df.columns == ["a", "b"] and df.first().a[0] == "é"
+
+
+def test_file_heads_and_digests(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    bodies = {"a.vcf": b"x" * 3_000_000, "b.vcf.gz": gzip.compress(b"y"), "c.vcf.gz": b"plain", "d.txt": b""}
+    for n, b in bodies.items():
+        (tmp_path / n).write_bytes(b)
+    profile = {r.path.rsplit("/", 1)[1]: r for r in files.file_profile(spark, f"file://{tmp_path}/*").collect()}
+    assert [profile[n].is_gzip for n in sorted(bodies)] == [False, True, False, False] and profile["c.vcf.gz"].errors == "gzip_magic_missing" and profile["d.txt"].errors == "empty_file"
+    sums = {r.path.rsplit("/", 1)[1]: r.sha256 for r in files.file_checksums(spark, f"file://{tmp_path}/*").collect()}
+    assert sums == {n: hashlib.sha256(b).hexdigest() for n, b in bodies.items()}
+
+
+def test_transcript_tags_fall_back_to_the_overlap_metadata(spark):
+    own = spark.createDataFrame([("T1", 1, None, None), ("T2", 1, "protein_coding", 1), ("T3", 2, "", None), ("T4", 3, "retained_intron", None)], "transcript_id string, gene_id bigint, biotype string, is_canonical int")
+    meta = spark.createDataFrame([("T1", ["MANE_Plus_Clinical"], "lncRNA", 0), ("T3", None, "protein_coding", 1)], "transcript_id string, tags array<string>, overlap_biotype string, overlap_canonical int")
+    mane = spark.createDataFrame([(3, "T4.7"), (3, None)], "gene_id bigint, mane_id string")
+    got = {r.transcript_id: (r.biotype, r.inclusion_tier, r.is_primary) for r in canon.tag_transcripts(own, meta, mane).collect()}
+    assert got == {"T1": ("lncRNA", "mane_plus_clinical", 1), "T2": ("protein_coding", "ensembl_canonical", 1), "T3": ("protein_coding", "ensembl_canonical", 1), "T4": ("retained_intron", "mane_select", 1)}
+
+
+def test_cache_parts_give_the_latest_write(spark, tmp_path):
+    schema = "assembly string, variant_key string, source string, fingerprint string, status string, fetched_at timestamp, event_id bigint"
+    rows = [("a", f"v{k % 3}", "s", "f", "ok", __import__("datetime").datetime(2024, 1, 1 + k), k) for k in range(9)]
+    write = streams.cache_writer(f"file://{tmp_path}/c")
+    for epoch in (0, 1, 1, 2):
+        write(spark.createDataFrame(rows[3 * epoch : 3 * epoch + 3], schema), epoch)
+    assert sorted(r.event_id for r in streams.read_cache(spark, f"file://{tmp_path}/c").collect()) == [6, 7, 8]
+    streams.compact_cache(spark, f"file://{tmp_path}/c", f"file://{tmp_path}/d")
+    assert streams.read_cache(spark, f"file://{tmp_path}/d").count() == 3
