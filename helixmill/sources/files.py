@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of a file that are held at once.
 PIECE = 1 << 20
+MOST_TASKS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,8 +96,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path and length of files; their content is not read."""
-    return spark.read.format("binaryFile").load(paths).select("path", "length")
+    """path and length of files, empty ones too (which file readers leave out); their content is not read."""
+    found = []
+    for pattern in [paths] if isinstance(paths, str) else paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []:
+            if x.isFile():
+                found.append((x.getPath().toString(), x.getLen()))
+    return spark.createDataFrame(found, "path string, length long").repartition(max(1, min(len(found), MOST_TASKS)))
 
 
 def file_profile(spark: SparkSession, paths: str | list[str]) -> DataFrame:
