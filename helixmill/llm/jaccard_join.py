@@ -37,8 +37,9 @@ from helixmill.llm.graph import components
 #: The query's contract; other callers name their own words a shingle and percent.
 SHINGLE, PERCENT = 4, 85
 SLOTS, CHUNKS = 1 << 18, 256
-#: Parts into which a set's shingles are counted by hash, for the suffix filter on pairs.
-PARTS = 64
+#: Parts into which a set's shingles are counted by hash, for the suffix filter: COARSE ones go along with entries, the
+#: finer ones are compared once for each pair before its shingles are fetched.
+PARTS, COARSE = 512, 64
 #: Bits of the sieve through which documents are read again.
 SIEVE = 1 << 23
 SETS = "doc_id long, jac_key long, n long, f1 long, f2 long, shape array<tinyint>, scale int"
@@ -219,6 +220,11 @@ def verify(percent: int):
     return run
 
 
+def coarse(shape: Column) -> Column:
+    """Counts by COARSE parts from those by PARTS."""
+    return F.transform(F.sequence(F.lit(0), F.lit(COARSE - 1)), lambda i: reduce(Column.__add__, [F.get(shape, i + k).cast("int") for k in range(0, PARTS, COARSE)]).cast("smallint"))
+
+
 def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row a document (doc_id, jac_key, n: size of its set, component_id, jac_group: label of its group of linked
     sets, whatever their ids; null where the set is empty)."""
@@ -228,15 +234,15 @@ def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     levels = spark.sparkContext.broadcast(rarity(rows, shingle))
     sets = stage(rows.mapInArrow(set_rows(levels, shingle), SETS), "sets")
     classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.min("jac_key").alias("key"), F.min(F.struct("n", "shape", "scale")).alias("s"))
-    classes = stage(classes.select("f1", "f2", "least", "key", "s.n", "s.shape", "s.scale"), "classes")
+    classes = stage(classes.select("f1", "f2", "least", "key", "s.n", F.col("s.shape").alias("fine"), coarse(F.col("s.shape")).alias("shape"), "s.scale"), "classes")
     entries = rows.mapInArrow(entry_rows(levels, shingle, percent), ENTRIES)
     order = ["token", "info", "cid"]
     live = stage(entries.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(stream_entries, ENTRIES), "entries")
     tested: list[DataFrame] = []  # pairs that were verified, by round
     fetched: list[DataFrame] = []  # shingles of the sets in them
 
-    def shaped(x: str) -> DataFrame:
-        return classes.select(F.col("f1").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "shape", "scale")])
+    def shaped(x: str, shape: str) -> DataFrame:
+        return classes.select(F.col("f1").alias(x), F.col(shape).alias(f"shape_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "scale")])
 
     def overlap_allows() -> Column:
         each = F.zip_with("shape_a", "shape_b", lambda x, y: F.least(x * F.col("scale_a"), y * F.col("scale_b")))
@@ -245,7 +251,7 @@ def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
 
     def could_link(pairs: DataFrame) -> DataFrame:
         """Suffix filter: no more shingles can be shared than both sets have in each part."""
-        return pairs.join(shaped("a"), "a").join(shaped("b"), "b").where(overlap_allows()).select("a", "b")
+        return pairs.join(shaped("a", "fine"), "a").join(shaped("b", "fine"), "b").where(overlap_allows()).select("a", "b")
 
     def fetch(pairs: DataFrame) -> None:
         """Shingles of the sets of these pairs, unless an earlier round fetched them."""
@@ -258,14 +264,14 @@ def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         found = found.join(keys, F.col("jac_key") == F.col("key")).dropDuplicates(["cid"]).select("cid", "tokens")
         fetched.append(stage(found, "fetched"))
 
-    def checked(pairs: DataFrame, filtered: bool = False) -> DataFrame:
+    def checked(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) that link; of a pair in both directions one. Many b may be the same set."""
         lo, hi = F.least("a", "b"), F.greatest("a", "b")
         once = pairs.groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.min("a").alias("a"))
         for old in tested:
             once = once.join(old.select(lo.alias("lo"), hi.alias("hi")), ["lo", "hi"], "left_anti")
         new = once.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
-        new = stage(new if filtered else could_link(new), "pairs")
+        new = stage(could_link(new), "pairs")
         tested.append(new)
         if new.isEmpty():
             return new
@@ -322,13 +328,13 @@ def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         groups, rest = regrouped(entered, links)
     if not rest.isEmpty():
         # the suffix filter is part of this join, which else would make all pairs of a family of texts not quite alike
-        a, b = (rest.select("token", F.col("cid").alias(x), F.col("info").alias(f"info_{x}"), F.col("g").alias(f"g_{x}")).join(shaped(x), x) for x in "ab")
+        a, b = (rest.select("token", F.col("cid").alias(x), F.col("info").alias(f"info_{x}"), F.col("g").alias(f"g_{x}")).join(shaped(x, "shape"), x) for x in "ab")
         band = lambda n: F.floor(F.log2(n)).cast("int")
         a = a.withColumn("band", band(F.col("n_a")))
         b = b.withColumn("band", F.explode(F.sequence(band(F.col("n_b") * (percent / 101)), band(F.col("n_b")))))
         smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
         pairs = a.join(b, ["token", "band"]).where(smaller & (F.col("g_a") != F.col("g_b")) & fits("info_a", "info_b") & overlap_allows()).select("a", "b").distinct()
-        groups = components(links.unionByName(checked(pairs, filtered=True)))
+        groups = components(links.unionByName(checked(pairs)))
     discard(*fetched)
     labelled = classes.join(groups, F.col("f1") == F.col("node"), "left").select("f1", "f2", "least", F.coalesce("label", "f1").alias("label"), F.col("label").isNull().alias("alone"))
     labelled = stage(labelled, "labelled")
