@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helixmill.functions import genotype as g
 from helixmill.functions.genotype import text
 from helixmill.operators.intervals import merge_intervals, overlap_join
+from helixmill.sources import files
 
 # Union types from the strongest down, with the class, priority, annotation need and background flag.
 REGIONS = (
@@ -93,6 +94,17 @@ def scan_targets(records: DataFrame, ready: DataFrame) -> DataFrame:
     return records.join(ready.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Running numbers from 1 within by, in order. A group may be any size: a row's number is its place in its range
+    partition after the rows of its group in the partitions before, of which only the counts are broadcast."""
+    dealt = files.staged(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*by, "_part").orderBy(*order)
+    return dealt.join(F.broadcast(offsets), [*by, "_part"]).withColumn(name, F.row_number().over(inside) + F.col("_before")).drop("_part", "_before")
+
+
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
 

@@ -90,7 +90,7 @@ QUERIES = {
     "flt_minimal_rows": lambda s, d: m.review_v2(modules(s, d)).where("review_status <> 'background_only'").select(*KEYS, "canon_row_id"),
     "agg_physical_variants": lambda s, d: m.physical_variants(modules(s, d), ["line_no", "gene_id", "canon_row_id"]).select("upload_id", "variant_key", "line_no", "canon_row_id", "module_row_count"),
     "flt_observed_rows": lambda s, d: modules(s, d).where((C("gt") != "") & (C("variant_key") != "")).select(*KEYS, "canon_row_id"),
-    "win_sequence_ids": lambda s, d: envelopes(s, d).withColumn("k", F.row_number().over(W.partitionBy("upload_id").orderBy("line_no", "alt_index", "gene_id"))).select(*KEYS, "gene_id", F.concat(F.lit("variant-gene-"), F.lpad(C("k").cast("string"), 6, "0")).alias("variant_gene_id")),
+    "win_sequence_ids": lambda s, d: m.numbered(envelopes(s, d), ["upload_id"], ["line_no", "alt_index", "gene_id"], "k").select(*KEYS, "gene_id", F.concat(F.lit("variant-gene-"), F.lpad(C("k").cast("string"), 6, "0")).alias("variant_gene_id")),
     "ord_consolidated": lambda s, d: modules(s, d).orderBy("contig", "start", "approved_symbol", "module_id", *KEYS, "canon_row_id").select(*KEYS, "canon_row_id", "contig", "start"),
     "ord_limit_rows": lambda s, d: modules(s, d).orderBy(*KEYS, "canon_row_id").select(*KEYS, "canon_row_id").limit(100),
     "win_first_wins": lambda s, d: m.first_by(q_vcf.records(s, d).where("id <> '.'"), ["chrom", "pos"], ["line_no"]).select("chrom", "pos", "line_no"),
