@@ -66,9 +66,9 @@ def written(df):
 
 
 def tables(s, d):
-    """All canon tables, written and read back. Genes whose number ends in 7 are not known."""
+    """All canon tables, written and read back."""
     path = files.shared_dir(s)
-    known = view(s, d, "genes").where("gene_id % 10 <> 7")
+    known = view(s, d, "genes")
     f = files.staged(features(s, d))
     union = c.merged_features(files.staged(c.feature_unions(f, transcripts(s, d))))
     mine = lambda df: df.join(known.select("gene_id"), "gene_id", "left_semi").join(view(s, d, "canon_rows").select("gene_id"), "gene_id", "left_semi")
@@ -163,12 +163,12 @@ SQL = {
  contains(coalesce(o.tags, ''), 'MANE_Select') OR t.transcript_id IN (SELECT split_part(mane_id, '.', 1) FROM gene_mane) AS s, contains(coalesce(o.tags, ''), 'MANE_Plus_Clinical') AS p, t.gene_id % 7 = 0 OR coalesce(o.overlap_canonical, 0) = 1 AS k FROM transcripts t LEFT JOIN overlap_meta o ON t.transcript_id = o.transcript_id)
  SELECT transcript_id, gene_id, biotype, is_canonical, CAST(s AS INTEGER) AS is_mane_select, CAST(p AS INTEGER) AS is_mane_plus_clinical, CAST(k AS INTEGER) AS is_ensembl_canonical, CAST(s OR p OR k AS INTEGER) AS is_primary,
  CASE WHEN s THEN 'mane_select' WHEN p THEN 'mane_plus_clinical' WHEN k THEN 'ensembl_canonical' WHEN biotype = 'protein_coding' THEN 'protein_coding' WHEN biotype = 'retained_intron' THEN 'retained_intron_low_priority' ELSE 'noncoding_relevant' END AS inclusion_tier FROM x""",
-    "snk_canon_tables": f"""WITH {UNIONS}, cg AS (SELECT DISTINCT gene_id FROM canon_rows), og AS (SELECT g.* FROM genes g SEMI JOIN cg ON g.gene_id = cg.gene_id WHERE g.gene_id % 10 <> 7), tt AS (SELECT t.* FROM transcripts t SEMI JOIN og ON t.gene_id = og.gene_id), fi AS (SELECT ft.* FROM ft SEMI JOIN og ON ft.gene_id = og.gene_id), mi AS (SELECT mf.* FROM mf SEMI JOIN og ON mf.gene_id = og.gene_id),
- w AS (SELECT gene_id, unnest(list_filter([CASE WHEN gene_id % 10 = 7 THEN 'unresolved' END, CASE WHEN coalesce(mane, 0) = 0 THEN 'no_mane_select' END, CASE WHEN coalesce(coding, 0) = 0 THEN 'no_protein_coding' END], lambda x: x IS NOT NULL)) AS warning FROM (SELECT cg.gene_id, max(is_mane_select) AS mane, count(*) FILTER (WHERE biotype = 'protein_coding') AS coding FROM cg LEFT JOIN transcripts t ON cg.gene_id = t.gene_id GROUP BY cg.gene_id)),
+    "snk_canon_tables": f"""WITH {UNIONS}, cg AS (SELECT DISTINCT gene_id FROM canon_rows), og AS (SELECT g.* FROM genes g SEMI JOIN cg ON g.gene_id = cg.gene_id), tt AS (SELECT t.* FROM transcripts t SEMI JOIN og ON t.gene_id = og.gene_id), fi AS (SELECT ft.* FROM ft SEMI JOIN og ON ft.gene_id = og.gene_id), mi AS (SELECT mf.* FROM mf SEMI JOIN og ON mf.gene_id = og.gene_id),
+ w AS (SELECT gene_id, unnest(list_filter([CASE WHEN coalesce(mane, 0) = 0 THEN 'no_mane_select' END, CASE WHEN coalesce(coding, 0) = 0 THEN 'no_protein_coding' END], lambda x: x IS NOT NULL)) AS warning FROM (SELECT cg.gene_id, max(is_mane_select) AS mane, count(*) FILTER (WHERE biotype = 'protein_coding') AS coding FROM cg LEFT JOIN transcripts t ON cg.gene_id = t.gene_id GROUP BY cg.gene_id)),
  gm AS (SELECT gene_id, canon_row_id FROM canon_rows c SEMI JOIN og ON c.gene_id = og.gene_id),
  r(table_name, n, keys, orphans) AS (SELECT 'canon_versions', 1, 1, 0 UNION ALL SELECT 'canon_rows', count(*), count(DISTINCT canon_row_id), 0 FROM canon_rows UNION ALL SELECT 'genes', count(*), count(DISTINCT gene_id), 0 FROM og UNION ALL SELECT 'gene_modules', count(*), count(DISTINCT (gene_id, canon_row_id)), 0 FROM gm
  UNION ALL SELECT 'gene_envelopes', count(*), count(DISTINCT gene_id), 0 FROM og UNION ALL SELECT 'transcripts', count(*), count(DISTINCT transcript_id), 0 FROM tt UNION ALL SELECT 'feature_intervals', count(*), count(DISTINCT (transcript_id, feature_type, feature_number, start, "end")), 0 FROM fi
- UNION ALL SELECT 'merged_feature_intervals', count(*), count(DISTINCT (gene_id, merged_feature_type, start)), 0 FROM mi UNION ALL SELECT 'local_priority_rules', 8, 8, 0 UNION ALL SELECT 'preprocessing_warnings', count(*), count(DISTINCT (gene_id, warning)), count(*) FILTER (WHERE warning <> 'unresolved' AND gene_id % 10 = 7) FROM w)
+ UNION ALL SELECT 'merged_feature_intervals', count(*), count(DISTINCT (gene_id, merged_feature_type, start)), 0 FROM mi UNION ALL SELECT 'local_priority_rules', 8, 8, 0 UNION ALL SELECT 'preprocessing_warnings', count(*), count(DISTINCT (gene_id, warning)), 0 FROM w)
  SELECT table_name, CAST(n AS BIGINT) AS n, CAST(keys AS BIGINT) AS keys, CAST(orphans AS BIGINT) AS orphans FROM r""",
     "cls_canon_structure": f"WITH {SHEET} SELECT row_id, category, gene, rsids, effect, source_group, reason FROM cs2",
     "agg_rsid_long": f"WITH {LONG} SELECT * FROM lo",
