@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixmill.llm import bpe_tree, decontaminate, hard_negatives, jaccard_join, line_dedup, pii, quality_gam, quality_rules, sentencepiece_viterbi, sharding, substring_dedup, warc
+from helixmill.llm import alignment, bpe_tree, decontaminate, hard_negatives, jaccard_join, line_dedup, pii, quality_gam, quality_rules, sentencepiece_viterbi, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_bpe_tree": bpe_tree.op12_bpe_tree,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {**decontaminate.SQL, **substring_dedup.SQL, **jaccard_join.SQL, **line_dedup.SQL, **warc.SQL, **hard_negatives.SQL}
