@@ -6,35 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BIN = 10_000
-MOST_BINS = 64
-FAR = -1
+#: Bases of a bin on each level. A span stands on the first level where a bin is longer than it, so it touches two bins at
+#: most; only on the last one may it touch more, a contig's length over that bin's.
+BINS = (10_000, 640_000, 40_960_000)
 
 
-def _bins(df: DataFrame, start: str, end: str, side: str, everywhere: bool) -> DataFrame:
-    """Rows once for each bin they touch. Those of MOST_BINS bins or more stand in the bin FAR instead, and others, if
-    everywhere is set, there too."""
-    marked = df.withColumns({f"_{side}0": F.expr(f"{start} div {BIN}"), f"_{side}1": F.expr(f"{end} div {BIN}")})
-    near = F.sequence(f"_{side}0", f"_{side}1")
-    far = F.array(F.lit(FAR).cast("bigint"))
-    return marked.withColumn("_bin", F.explode(F.when(_long(side), far).otherwise(F.concat(near, far) if everywhere else near)))
+def _placed(df: DataFrame, start: str, end: str, side: str) -> DataFrame:
+    """Rows once for each bin in which they may meet the other side; _tag is the bin's level and whose level it is.
 
+    Two spans meet on the longer one's level. A row therefore goes to the bins of its own level, where it is the longer
+    one, and to those of the levels above, where the other one is. Spans of one level meet as if right were the longer."""
+    long = F.abs(F.col(end) - F.col(start))
+    level = F.when(long < BINS[0], 0).when(long < BINS[1], 1).when(long.isNotNull(), 2)
 
-def _long(side: str) -> Column:
-    return F.col(f"_{side}1") - F.col(f"_{side}0") >= MOST_BINS
+    def bins(k: int, right_longer: bool, there: Column) -> Column:
+        made = F.transform(F.sequence(F.expr(f"{start} div {BINS[k]}"), F.expr(f"{end} div {BINS[k]}")), lambda b: F.struct(F.lit(2 * k + right_longer).alias("_tag"), b.alias("_bin")))
+        return F.when(there, made).otherwise(F.array().cast("array<struct<_tag:int,_bin:bigint>>"))
+
+    own, levels = F.col("_level"), range(len(BINS))
+    places = [bins(k, True, own == k if side == "r" else own <= k) for k in levels] + [bins(k, False, own < k if side == "r" else own == k) for k in levels[1:]]
+    return df.withColumn("_level", level).withColumn("_at", F.explode(F.concat(*places))).withColumns({"_tag": F.col("_at._tag"), "_bin": F.col("_at._bin"), f"_{side}": F.col(start)}).drop("_at", "_level")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], spans: tuple[str, str, str, str]) -> DataFrame:
     """Pairs of equal keys whose closed intervals meet; spans names start and end of left, then right. Both sides are
-    dealt by bins and a pair counts in the first bin that both touch, so no pair comes twice. Pairs with a span of
-    MOST_BINS bins or more meet in a bin of their own. right should be the smaller side: all of it stands there, but left
-    only where right has such spans, which a small job looks up first. Either side is worked out once."""
+    dealt by bins of the longer span's level, and a pair counts in the first bin that both touch, so no pair comes twice.
+    Long spans cost their own pairs and no more: nothing short is compared with anything short in a long bin. Rows with a
+    null bound meet nothing."""
     ls, le, rs, re_ = spans
-    far = not right.where(F.expr(f"{re_} div {BIN} - {rs} div {BIN} >= {MOST_BINS}")).isEmpty()
     meets = (F.col(ls) <= F.col(re_)) & (F.col(le) >= F.col(rs))
-    here = F.when(F.col("_bin") == FAR, _long("l") | _long("r")).otherwise(F.col("_bin") == F.greatest("_l0", "_r0"))
-    both = _bins(left, ls, le, "l", far).join(_bins(right, rs, re_, "r", True), [*keys, "_bin"])
-    return both.where(meets & here).drop("_bin", "_l0", "_l1", "_r0", "_r1")
+    first = F.expr(f"_bin = greatest(_l, _r) div element_at(array({', '.join(map(str, BINS))}), cast(_tag div 2 + 1 as int))")
+    both = _placed(left, ls, le, "l").join(_placed(right, rs, re_, "r"), [*keys, "_tag", "_bin"])
+    return both.where(meets & first).drop("_tag", "_bin", "_l", "_r")
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -45,3 +48,19 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: s
     before = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
     islands = plain.withColumn("_new", F.when(before.isNull() | (F.col(start) > before + 1), 1).otherwise(0)).withColumn("_i", F.sum("_new").over(by.rangeBetween(W.unboundedPreceding, W.currentRow)))
     return islands.groupBy(*keys, "_i").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_i")
+
+
+def covered_bins(spans: DataFrame, keys: list[str], size: int = BINS[0]) -> DataFrame:
+    """Disjoint spans (start, end) by bin: keys, _bin, and the spans that touch it, of which a bin holds half its size at
+    most."""
+    bins = spans.select(*keys, "start", "end", F.explode(F.sequence(F.expr(f"start div {size}"), F.expr(f"end div {size}"))).alias("_bin"))
+    return bins.groupBy(*keys, "_bin").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+
+
+def inside(df: DataFrame, bins: DataFrame, contig: Column, pos: Column, name: str, size: int = BINS[0]) -> DataFrame:
+    """df with whether the point (contig, pos) lies in a span. bins: what covered_bins gives for contig. A point asks its
+    own bin only, so df goes through one join and keeps its rows."""
+    named = bins.select(F.col("contig").alias("_k0"), F.col("_bin").alias("_k1"), "_spans")
+    asked = df.withColumns({"_k0": contig, "_p": pos, "_k1": F.floor(pos / size).cast("bigint")}).join(named, ["_k0", "_k1"], "left")
+    hit = F.exists("_spans", lambda s: (s["start"] <= F.col("_p")) & (F.col("_p") <= s["end"]))
+    return asked.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_k0", "_k1", "_p", "_spans")

@@ -90,8 +90,8 @@ def triage_summary(triaged: DataFrame) -> DataFrame:
 
 
 def scan_targets(records: DataFrame, ready: DataFrame) -> DataFrame:
-    """Records whose label and position, as written, are a target's."""
-    return records.join(ready.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
+    """Records whose label and position, as written, are those of a target of their upload."""
+    return records.join(ready.select("upload_id", "chrom", "pos").distinct(), ["upload_id", "chrom", "pos"], "left_semi")
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
@@ -105,8 +105,10 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataF
     return dealt.join(F.broadcast(offsets), [*by, "_part"]).withColumn(name, F.row_number().over(inside) + F.col("_before")).drop("_part", "_before")
 
 
-def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key, as an aggregate, so that tasks send one row a key. order tells a key's rows apart."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
 def match_status(rsid: Column, has_place: Column, has_vcf: Column, ref: Column, alt: Column) -> Column:
@@ -116,18 +118,18 @@ def match_status(rsid: Column, has_place: Column, has_vcf: Column, ref: Column,
 
 
 def consolidate(canon: DataFrame, ready: DataFrame, vcf: DataFrame) -> DataFrame:
-    """canon: row_id, rsid, source_group. ready: rsid, chrom, pos, exp_ref, exp_alt, seq. vcf: records. First row of each
-    key counts; every canon row stays."""
-    one = first_by(ready, ["rsid"], ["seq"]).drop("seq")
-    called = first_by(vcf, ["chrom", "pos"], ["line_no"]).select("chrom", "pos", F.col("ref").alias("vcf_ref"), F.col("alt").alias("vcf_alt"), "gt", "line_no")
-    out = canon.join(one, "rsid", "left").join(called, ["chrom", "pos"], "left")
+    """canon: upload_id, row_id, rsid, source_group. ready: upload_id, rsid, chrom, pos, exp_ref, exp_alt, seq. vcf: called
+    records. The first row of each key counts, within an upload; every canon row stays."""
+    one = first_by(ready, ["upload_id", "rsid"], ["seq"]).drop("seq")
+    called = first_by(vcf.select("upload_id", "chrom", "pos", F.col("ref").alias("vcf_ref"), F.col("alt").alias("vcf_alt"), "gt", "line_no"), ["upload_id", "chrom", "pos"], ["line_no"])
+    out = canon.join(one, ["upload_id", "rsid"], "left").join(called, ["upload_id", "chrom", "pos"], "left")
     out = out.withColumns({"has_place": F.col("pos").isNotNull(), "has_vcf": F.col("line_no").isNotNull(), "has_genotype": text(F.col("gt")) != "", "ref_status": g.compare_ref(F.col("exp_ref"), F.col("vcf_ref")), "alt_status": g.compare_alt(F.col("exp_alt"), F.col("vcf_alt")), "zygosity": g.zygosity(F.col("gt"))})
     return out.withColumn("match_status", match_status(F.col("rsid"), F.col("has_place"), F.col("has_vcf"), F.col("ref_status"), F.col("alt_status")))
 
 
 def candidates_joined(vcf: DataFrame, ready: DataFrame) -> DataFrame:
-    """Each candidate record with what all ready rows at its place say, in order of those rows."""
-    hit = vcf.select("upload_id", "line_no", "chrom", "pos").join(ready, ["chrom", "pos"])
+    """Each candidate record with what all ready rows of its upload at its place say, in order of those rows."""
+    hit = vcf.select("upload_id", "line_no", "chrom", "pos").join(ready, ["upload_id", "chrom", "pos"])
     listed = F.array_sort(F.collect_list(F.struct("seq", "rsid")))
     return hit.groupBy("upload_id", "line_no").agg(F.array_join(F.array_distinct(F.transform(listed, lambda x: x["rsid"])), "|").alias("rsids"), F.count("*").alias("n_source_rows"), F.min_by("exp_ref", "seq").alias("exp_ref"))
 
@@ -161,32 +163,8 @@ def physical_variants(rows: DataFrame, order: list[str]) -> DataFrame:
     return first_by(rows.withColumn("module_row_count", F.count("*").over(W.partitionBy("upload_id", "variant_key"))), ["upload_id", "variant_key"], order)
 
 
-def normalization_counts(records: DataFrame, regions: DataFrame | None = None) -> DataFrame:
-    """Per upload what happens to its alleles on the way to normalisation."""
-    from helixmill.sources.vcf import explode_alleles
-
-    seen = explode_alleles(records).where("dosage > 0")
-    contig, symbolic = F.col("contig").isin(g.SUPPORTED), g.is_symbolic(F.col("allele"))
-    return seen.groupBy("upload_id").agg(F.count("*").alias("observed"), F.count(F.when(~contig, 1)).alias("unsupported_contig"), F.count(F.when(contig & symbolic, 1)).alias("symbolic"), F.count(F.when(contig & ~symbolic, 1)).alias("kept"))
-
-
 def normalization_gate(counts: DataFrame) -> DataFrame:
     """counts: observed, matched, outside."""
     rate = F.when(F.col("observed") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("matched") / F.col("observed")))
     status = F.when(F.col("observed") == 0, "invalid").when((rate >= 0.99) & (F.col("outside") == 0), "pass").otherwise("fail")
     return counts.withColumns({"valid_rate": rate, "gate": status})
-
-
-def excluded_audit(records: DataFrame) -> DataFrame:
-    """Every excluded allele once for its reason."""
-    from helixmill.sources.vcf import explode_alleles
-
-    seen = explode_alleles(records).where("dosage > 0").select("upload_id", "line_no", "alt_index", "contig", "allele")
-    contig = seen.where(~F.col("contig").isin(g.SUPPORTED)).withColumn("reason", F.lit("unsupported_contig"))
-    symbolic = seen.where(F.col("contig").isin(g.SUPPORTED) & g.is_symbolic(F.col("allele"))).withColumn("reason", F.lit("symbolic_or_unsupported_alt"))
-    return contig.unionByName(symbolic)
-
-
-def target_regions(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Regions of contigs that the file has, under its own labels."""
-    return regions.join(labels, "contig").select("upload_id", "label", "contig", "start", "end")

@@ -57,7 +57,8 @@ FROM (SELECT 'u' || CAST(s_suppkey % 4 AS STRING) AS upload_id, min(s_name) || c
 SELECT p_partkey AS gene_id, 'G' || CAST(p_partkey AS STRING) AS approved_symbol,
        'chr' || CASE WHEN p_partkey % 25 < 22 THEN CAST(p_partkey % 25 + 1 AS STRING)
                      WHEN p_partkey % 25 = 22 THEN 'X' WHEN p_partkey % 25 = 23 THEN 'Y' ELSE 'M' END AS chrom,
-       1 + p_partkey * 1000 AS g_start, 1 + p_partkey * 1000 + p_size * 15 AS g_end,
+       1 + p_partkey * 1000 AS g_start,
+       1 + p_partkey * 1000 + p_size * 15 + CASE WHEN p_partkey % 197 = 5 THEN 2000000 WHEN p_partkey % 97 = 3 THEN 700000 ELSE 0 END AS g_end,
        CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END AS strand, p_size
 FROM part""",
     "transcripts": r"""
@@ -185,8 +186,8 @@ def with_views(sql: str) -> str:
     if not parts:
         return sql
     body = sql.strip()
-    more = re.match(r"(?i)WITH\s", body)
-    return "WITH " + ",\n".join(parts) + (",\n" + body[more.end() :] if more else "\n" + body)
+    more = re.match(r"(?i)WITH\s(RECURSIVE\s)?", body)
+    return ("WITH RECURSIVE " if more and more[1] else "WITH ") + ",\n".join(parts) + (",\n" + body[more.end() :] if more else "\n" + body)
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -44,22 +44,26 @@ def flagship(s, d):
 def ready(s, d):
     """Identifiers with coordinates and expected alleles, from the annotated records; every third sits elsewhere."""
     r = q_vcf.records(s, d).where("id <> '.'")
-    return r.select(C("id").alias("rsid"), "chrom", F.when(C("line_no") % 3 == 0, F.concat("pos", F.lit("9"))).otherwise(C("pos")).alias("pos"), F.when(C("line_no") % 5 == 0, "").otherwise(C("ref")).alias("exp_ref"), F.when(C("line_no") % 7 == 0, "").when(C("line_no") % 7 == 1, "G").otherwise(C("alt")).alias("exp_alt"), C("line_no").alias("seq"))
+    return r.select("upload_id", C("id").alias("rsid"), "chrom", F.when(C("line_no") % 3 == 0, F.concat("pos", F.lit("9"))).otherwise(C("pos")).alias("pos"), F.when(C("line_no") % 5 == 0, "").otherwise(C("ref")).alias("exp_ref"), F.when(C("line_no") % 7 == 0, "").when(C("line_no") % 7 == 1, "G").otherwise(C("alt")).alias("exp_alt"), C("line_no").alias("seq"))
 
 
 def canon_ids(s, d):
     """Every record's identifier; every seventh has one that is not known."""
     r = q_vcf.records(s, d)
-    return r.select(C("line_no").alias("row_id"), F.when(C("id") == ".", "").when(C("line_no") % 7 == 3, F.concat("id", F.lit("0"))).otherwise(C("id")).alias("rsid"), F.when(C("line_no") % 4 == 0, "revision_manual").otherwise("df_ok").alias("source_group"))
+    return r.select("upload_id", C("line_no").alias("row_id"), F.when(C("id") == ".", "").when(C("line_no") % 7 == 3, F.concat("id", F.lit("0"))).otherwise(C("id")).alias("rsid"), F.when(C("line_no") % 4 == 0, "revision_manual").otherwise("df_ok").alias("source_group"))
 
 
 def consolidated(s, d):
     return m.consolidate(canon_ids(s, d), ready(s, d), q_vcf.called(s, d))
 
 
+#: Bases on both sides of a gene that still count as its target region. The fixture's genes stand close to each other.
+FLANK = 97
+
+
 def regions(s, d):
-    """Target regions: the plus strand's genes."""
-    return view(s, d, "genes").where("strand > 0").select(C("chrom").alias("contig"), C("g_start").alias("start"), C("g_end").alias("end"))
+    """Target regions: all genes."""
+    return view(s, d, "genes").select(C("chrom").alias("contig"), C("g_start").alias("start"), C("g_end").alias("end"))
 
 
 def annotation_folder(s, d):
@@ -70,14 +74,9 @@ def annotation_folder(s, d):
     return s.read.parquet(path)
 
 
-def gate_counts(s, d):
-    counts = m.normalization_counts(q_vcf.records(s, d))
-    return counts.select("upload_id", C("observed"), F.when(C("upload_id") == "u1", C("observed") * 2).when(C("upload_id") == "u2", C("kept")).when(C("upload_id") == "u3", F.lit(0)).otherwise(C("observed")).alias("matched"), F.when(C("upload_id") == "u1", 1).otherwise(0).alias("outside"))
-
-
 QUERIES = {
     "join_gene_envelope": lambda s, d: envelopes(s, d).select(*KEYS, "gene_id", "start", "end"),
-    "join_region_prefilter": lambda s, d: m.prefilter(alleles(s, d), regions(s, d)).select(*KEYS, "start"),
+    "join_region_prefilter": lambda s, d: m.prefilter(alleles(s, d), regions(s, d), FLANK).select(*KEYS, "start"),
     "join_feature_class": lambda s, d: classified(s, d).select(*KEYS, "gene_id", *m.REGION_COLUMNS),
     "cls_local_region": flagship,
     "join_gene_modules": lambda s, d: modules(s, d).select(*KEYS, "gene_id", "canon_row_id", "module_id", "tier"),
@@ -93,7 +92,7 @@ QUERIES = {
     "win_sequence_ids": lambda s, d: m.numbered(envelopes(s, d), ["upload_id"], ["line_no", "alt_index", "gene_id"], "k").select(*KEYS, "gene_id", F.concat(F.lit("variant-gene-"), F.lpad(C("k").cast("string"), 6, "0")).alias("variant_gene_id")),
     "ord_consolidated": lambda s, d: modules(s, d).orderBy("contig", "start", "approved_symbol", "module_id", *KEYS, "canon_row_id").select(*KEYS, "canon_row_id", "contig", "start"),
     "ord_limit_rows": lambda s, d: modules(s, d).orderBy(*KEYS, "canon_row_id").select(*KEYS, "canon_row_id").limit(100),
-    "win_first_wins": lambda s, d: m.first_by(q_vcf.records(s, d).where("id <> '.'"), ["chrom", "pos"], ["line_no"]).select("chrom", "pos", "line_no"),
+    "win_first_wins": lambda s, d: m.first_by(q_vcf.records(s, d).where("id <> '.'").select("upload_id", "chrom", "pos", "line_no"), ["upload_id", "chrom", "pos"], ["line_no"]),
     "win_duplicate_count": lambda s, d: alleles(s, d).withColumn("k", F.row_number().over(W.partitionBy("upload_id", "variant_key").orderBy("line_no", "alt_index"))).groupBy("upload_id").agg(F.count(F.when(C("k") > 1, 1)).alias("n")),
     "join_target_scan": lambda s, d: m.scan_targets(q_vcf.records(s, d), ready(s, d)).select("upload_id", "line_no"),
     "join_canon_consolidated": lambda s, d: consolidated(s, d).select("row_id", "rsid", "line_no", "has_place", "has_vcf", "has_genotype", "ref_status", "alt_status", "match_status"),
@@ -102,17 +101,9 @@ QUERIES = {
     "join_candidates_back": lambda s, d: m.candidates_joined(q_vcf.records(s, d), ready(s, d)),
     "cls_confidence_legacy": lambda s, d: consolidated(s, d).select("row_id", m.confidence_legacy(C("match_status"), C("source_group"), C("zygosity"), C("has_genotype")).alias("confidence")),
     "cls_review_legacy": lambda s, d: m.review_legacy(consolidated(s, d)).select("row_id", "review_status", "notes", "sentence"),
-    "join_rsid_coordinates": lambda s, d: canon_ids(s, d).where("rsid <> ''").join(m.first_by(ready(s, d), ["rsid"], ["seq"]), "rsid", "left").select("row_id", "rsid", g.joined_key(":", C("chrom"), C("pos")).alias("match_key_chr_pos"), g.joined_key("|", C("chrom"), C("pos"), C("exp_ref"), C("exp_alt")).alias("match_key_full"), C("pos").isNotNull().alias("has_chr_pos"), ((F.coalesce("exp_ref", F.lit("")) != "") & (F.coalesce("exp_alt", F.lit("")) != "")).alias("has_full_match_fields")),
-    "agg_source_counters": lambda s, d: m.normalization_counts(q_vcf.records(s, d)),
-    "agg_normalization_gate": lambda s, d: m.normalization_gate(gate_counts(s, d)),
-    "set_excluded_audit": lambda s, d: m.excluded_audit(q_vcf.records(s, d)),
-    "set_target_regions": lambda s, d: m.target_regions(regions(s, d), vcf.contig_labels(q_vcf.records(s, d))),
-    "fn_membership_basis": lambda s, d: alleles(s, d).withColumn("src", C("start") - C("line_no") % 900).join(F.broadcast(regions(s, d).where("contig = 'chr5'").agg(F.min("start").alias("lo"), F.max("end").alias("hi")))).select(*KEYS, F.when(C("src").between(C("lo"), C("hi")) & C("start").between(C("lo"), C("hi")), "source_and_current").when(C("src").between(C("lo"), C("hi")), "source").when(C("start").between(C("lo"), C("hi")), "current").otherwise("none").alias("basis")),
-    "join_normalized_source": lambda s, d: envelopes(s, d).select(*KEYS, "gene_id", "variant_key", "start").join(alleles(s, d).where("filter = 'PASS'").groupBy("variant_key").agg(F.min("start").alias("n_start"), F.min("filter").alias("n_filter")), "variant_key", "left").select(*KEYS, "gene_id", F.coalesce(F.nullif(C("n_filter"), F.lit("")), F.lit("own")).alias("source_filter"), F.coalesce("n_start", "start").alias("source_start"), C("n_start").isNotNull().alias("matched")),
-    "join_source_allele": lambda s, d: alleles(s, d).select(*KEYS, "contig", "start", "ref", "allele").join(alleles(s, d).where("filter = 'PASS'").select("contig", "start", "ref", "allele", "alt_index", C("line_no").alias("source_line")), ["contig", "start", "ref", "allele", "alt_index"], "left").select("upload_id", "line_no", "alt_index", "source_line", F.when(C("source_line").isNull(), "normalized_fallback").otherwise("source").alias("origin")),
+    "join_rsid_coordinates": lambda s, d: canon_ids(s, d).where("rsid <> ''").join(m.first_by(ready(s, d), ["upload_id", "rsid"], ["seq"]), ["upload_id", "rsid"], "left").select("row_id", "rsid", g.joined_key(":", C("chrom"), C("pos")).alias("match_key_chr_pos"), g.joined_key("|", C("chrom"), C("pos"), C("exp_ref"), C("exp_alt")).alias("match_key_full"), C("pos").isNotNull().alias("has_chr_pos"), ((F.coalesce("exp_ref", F.lit("")) != "") & (F.coalesce("exp_alt", F.lit("")) != "")).alias("has_full_match_fields")),
     "cls_gate_block": lambda s, d: triaged(s, d).agg(F.count(F.when(C("triage_decision") == "include_ai", 1)).alias("included")).select("included", (C("included") == 0).alias("blocked")),
     "cls_deliverable": lambda s, d: m.review_v2(modules(s, d)).select(C("module_name").alias("category"), C("approved_symbol").alias("gene"), C("id").alias("rsid"), g.ref_alt_display(C("ref"), C("allele"), F.lit(None), F.lit(None)).alias("ref_alt"), "review_status", "notes", *KEYS, "canon_row_id"),
-    "src_interval_index": lambda s, d: q_canon.c.export_envelope_index(view(s, d, "genes")).select("chrom", F.to_json("genes").alias("j")).select("chrom", F.inline(F.from_json("j", "array<struct<g_start:bigint,g_end:bigint,symbol:string,gene_id:bigint>>"))),
 }
 
 ALS = q_vcf.ALL + f""", ob AS MATERIALIZED (SELECT upload_id, line_no, alt_index, id, contig, start, "end", ref, allele, dosage, gt, filter, {q_vcf.KEYED} AS variant_key FROM al WHERE dosage > 0 AND contig IN {q_vcf.OK} AND NOT {q_vcf.SYM})"""
@@ -126,19 +117,18 @@ STRONG = "local_region_class = 'utr_overlap' AND module_status = 'Approved' AND
 TRI = MOD + f""", tr AS (SELECT *, CASE WHEN annotation_needed = 'true' THEN 'include_ai' WHEN background_only = 'true' THEN 'exclude_background' WHEN module_status = 'Draft' THEN 'exclude_draft_optional' WHEN local_region_class = 'noncoding_exon_overlap' THEN 'exclude_optional_noncoding' WHEN {STRONG} THEN 'include_ai' WHEN annotation_needed = 'optional' AND local_region_class = 'utr_overlap' THEN 'exclude_utr_weak' ELSE 'exclude_optional_noncoding' END AS triage_decision,
  CASE WHEN annotation_needed = 'true' THEN 'Included for AI: strong region class ' || local_region_class || '.' WHEN background_only = 'true' THEN 'Excluded from AI: background-only ' || local_region_class || '.' WHEN module_status = 'Draft' THEN 'Excluded from AI: Draft optional ' || local_region_class || '.' WHEN local_region_class = 'noncoding_exon_overlap' THEN 'Excluded from AI: optional noncoding exon overlap.' WHEN {STRONG} THEN 'Included for AI: strong UTR in Approved Tier 1/2 module with Medium/High evidence.' ELSE 'Excluded from AI: UTR did not meet Approved Tier 1/2 and Medium/High evidence gate.' END AS triage_reason FROM mo)"""
 K = "upload_id, line_no, alt_index"
-REG = """re AS (SELECT chrom AS contig, g_start AS start, g_end AS "end" FROM genes WHERE strand > 0)"""
-RDY = "rd AS MATERIALIZED (SELECT id AS rsid, chrom, CASE WHEN line_no % 3 = 0 THEN pos || '9' ELSE pos END AS pos, CASE WHEN line_no % 5 = 0 THEN '' ELSE ref END AS exp_ref, CASE line_no % 7 WHEN 0 THEN '' WHEN 1 THEN 'G' ELSE alt END AS exp_alt, line_no AS seq FROM rec WHERE id <> '.')"
-CON = q_vcf.CALL + ", " + RDY + f""", ci AS (SELECT line_no AS row_id, CASE WHEN id = '.' THEN '' WHEN line_no % 7 = 3 THEN id || '0' ELSE id END AS rsid, CASE WHEN line_no % 4 = 0 THEN 'revision_manual' ELSE 'df_ok' END AS source_group FROM rec),
-r1 AS (SELECT * FROM rd QUALIFY row_number() OVER (PARTITION BY rsid ORDER BY seq) = 1), v1 AS (SELECT * FROM call QUALIFY row_number() OVER (PARTITION BY chrom, pos ORDER BY line_no) = 1),
-c1 AS (SELECT ci.*, r1.chrom, r1.pos, exp_ref, exp_alt, v1.ref AS vcf_ref, v1.alt AS vcf_alt, v1.gt, v1.p, v1.line_no, r1.pos IS NOT NULL AS has_place, v1.line_no IS NOT NULL AS has_vcf, coalesce(v1.gt, '') <> '' AS has_genotype FROM ci LEFT JOIN r1 ON ci.rsid = r1.rsid LEFT JOIN v1 ON r1.chrom = v1.chrom AND r1.pos = v1.pos),
+REG = """re AS (SELECT chrom AS contig, g_start AS start, g_end AS "end" FROM genes)"""
+RDY = "rd AS MATERIALIZED (SELECT upload_id, id AS rsid, chrom, CASE WHEN line_no % 3 = 0 THEN pos || '9' ELSE pos END AS pos, CASE WHEN line_no % 5 = 0 THEN '' ELSE ref END AS exp_ref, CASE line_no % 7 WHEN 0 THEN '' WHEN 1 THEN 'G' ELSE alt END AS exp_alt, line_no AS seq FROM rec WHERE id <> '.')"
+CON = q_vcf.CALL + ", " + RDY + f""", ci AS (SELECT upload_id, line_no AS row_id, CASE WHEN id = '.' THEN '' WHEN line_no % 7 = 3 THEN id || '0' ELSE id END AS rsid, CASE WHEN line_no % 4 = 0 THEN 'revision_manual' ELSE 'df_ok' END AS source_group FROM rec),
+r1 AS (SELECT * FROM rd QUALIFY row_number() OVER (PARTITION BY upload_id, rsid ORDER BY seq) = 1), v1 AS (SELECT * FROM call QUALIFY row_number() OVER (PARTITION BY upload_id, chrom, pos ORDER BY line_no) = 1),
+c1 AS (SELECT ci.*, r1.chrom, r1.pos, exp_ref, exp_alt, v1.ref AS vcf_ref, v1.alt AS vcf_alt, v1.gt, v1.p, v1.line_no, r1.pos IS NOT NULL AS has_place, v1.line_no IS NOT NULL AS has_vcf, coalesce(v1.gt, '') <> '' AS has_genotype FROM ci LEFT JOIN r1 ON ci.upload_id = r1.upload_id AND ci.rsid = r1.rsid LEFT JOIN v1 ON ci.upload_id = v1.upload_id AND r1.chrom = v1.chrom AND r1.pos = v1.pos),
 c2 AS (SELECT *, CASE WHEN coalesce(exp_ref, '') = '' THEN 'missing_expected_ref' WHEN coalesce(vcf_ref, '') = '' THEN 'missing_vcf_ref' WHEN exp_ref = vcf_ref THEN 'ref_match' ELSE 'ref_mismatch' END AS ref_status, {q_vcf.alt_status("coalesce(exp_alt, '')", "coalesce(vcf_alt, '')")} AS alt_status, CASE WHEN gt IS NULL OR {q_vcf.PART} THEN 'unknown' WHEN len(p) <> 2 THEN 'non_diploid_or_complex' WHEN p[1] = p[2] THEN 'homozygous' ELSE 'heterozygous' END AS zygosity FROM c1),
 co AS (SELECT *, CASE WHEN rsid = '' THEN 'no_rsid_detected' WHEN NOT has_place THEN 'rsid_without_coordinates' WHEN NOT has_vcf THEN 'no_vcf_match_by_chr_pos' WHEN ref_status = 'ref_match' AND alt_status = 'alt_exact_match' THEN 'match_strict' WHEN ref_status = 'ref_match' AND alt_status IN ('alt_partial_overlap', 'missing_expected_alt') THEN 'match_likely_needs_alt_review' ELSE 'match_by_position_needs_review' END AS match_status FROM c2)"""
-CNT = q_vcf.ALL + f", ct AS (SELECT upload_id, count(*) AS observed, count(*) FILTER (WHERE contig NOT IN {q_vcf.OK}) AS unsupported_contig, count(*) FILTER (WHERE contig IN {q_vcf.OK} AND {q_vcf.SYM}) AS symbolic, count(*) FILTER (WHERE contig IN {q_vcf.OK} AND NOT {q_vcf.SYM}) AS kept FROM al WHERE dosage > 0 GROUP BY upload_id)"
 REVIEW = "CASE WHEN background_only = 'true' THEN 'background_only' WHEN annotation_needed = 'true' THEN 'ready_for_annotation' WHEN annotation_needed = 'optional' THEN 'optional_annotation' ELSE 'local_review_only' END"
 NOTES = "concat_ws(' ', CASE WHEN lower(module_status) = 'draft' THEN 'Draft module included with explicit flag.' END, 'Matched via ' || overlap_feature_types || '.', CASE WHEN background_only = 'true' THEN 'Kept for audit but classified as background-only.' END)"
 SQL = {
     "join_gene_envelope": f'WITH {ENV} SELECT {K}, gene_id, start, "end" FROM en',
-    "join_region_prefilter": f'WITH {ALS}, {REG} SELECT DISTINCT {K}, ob.start FROM ob JOIN (SELECT *, unnest(range((start - 500) // 10000, ("end" + 500) // 10000 + 1)) AS bin FROM re) re ON re.contig = ob.contig AND ob.start // 10000 = re.bin AND ob.start BETWEEN re.start - 500 AND re."end" + 500',
+    "join_region_prefilter": f'WITH {ALS}, {REG} SELECT DISTINCT {K}, ob.start FROM ob JOIN (SELECT *, unnest(range((start - {FLANK}) // 10000, ("end" + {FLANK}) // 10000 + 1)) AS bin FROM re) re ON re.contig = ob.contig AND ob.start // 10000 = re.bin AND ob.start BETWEEN re.start - {FLANK} AND re."end" + {FLANK}',
     "join_feature_class": f"WITH {CLS} SELECT {K}, gene_id, {', '.join(m.REGION_COLUMNS)} FROM cl",
     "cls_local_region": f"WITH {CLS} SELECT local_region_class, count(*) AS n, count(DISTINCT gene_id) AS genes FROM cl GROUP BY local_region_class",
     "join_gene_modules": f"WITH {MOD} SELECT {K}, gene_id, canon_row_id, module_id, tier FROM mo",
@@ -154,24 +144,16 @@ SQL = {
     "win_sequence_ids": f"WITH {ENV} SELECT {K}, gene_id, 'variant-gene-' || lpad(CAST(row_number() OVER (PARTITION BY upload_id ORDER BY line_no, alt_index, gene_id) AS VARCHAR), 6, '0') AS variant_gene_id FROM en",
     "ord_consolidated": f"WITH {MOD} SELECT {K}, canon_row_id, contig, start FROM mo ORDER BY contig, start, approved_symbol, module_id, {K}, canon_row_id",
     "ord_limit_rows": f"WITH {MOD} SELECT {K}, canon_row_id FROM mo ORDER BY {K}, canon_row_id LIMIT 100",
-    "win_first_wins": f"WITH {q_vcf.REC} SELECT chrom, pos, min(line_no) AS line_no FROM rec WHERE id <> '.' GROUP BY chrom, pos",
+    "win_first_wins": f"WITH {q_vcf.REC} SELECT upload_id, chrom, pos, min(line_no) AS line_no FROM rec WHERE id <> '.' GROUP BY upload_id, chrom, pos",
     "win_duplicate_count": f"WITH {ALS} SELECT upload_id, count(*) - count(DISTINCT variant_key) AS n FROM ob GROUP BY upload_id",
-    "join_target_scan": f"WITH {q_vcf.REC}, {RDY} SELECT upload_id, line_no FROM rec SEMI JOIN rd ON rec.chrom = rd.chrom AND rec.pos = rd.pos",
+    "join_target_scan": f"WITH {q_vcf.REC}, {RDY} SELECT upload_id, line_no FROM rec SEMI JOIN rd ON rec.upload_id = rd.upload_id AND rec.chrom = rd.chrom AND rec.pos = rd.pos",
     "join_canon_consolidated": f"WITH {CON} SELECT row_id, rsid, line_no, has_place, has_vcf, has_genotype, ref_status, alt_status, match_status FROM co",
     "cls_match_status": f"WITH {CON} SELECT row_id, match_status FROM co",
     "agg_status_counts": f"WITH {CON} SELECT match_status, source_group, count(*) AS n FROM co GROUP BY ALL",
-    "join_candidates_back": f"WITH {q_vcf.REC}, {RDY}, h AS (SELECT rec.upload_id, rec.line_no, rd.rsid, rd.exp_ref, rd.seq FROM rec JOIN rd ON rec.chrom = rd.chrom AND rec.pos = rd.pos), f AS (SELECT upload_id, line_no, rsid, min(seq) AS s FROM h GROUP BY ALL) SELECT a.*, b.n_source_rows, b.exp_ref FROM (SELECT upload_id, line_no, string_agg(rsid, '|' ORDER BY s) AS rsids FROM f GROUP BY ALL) a JOIN (SELECT upload_id, line_no, count(*) AS n_source_rows, arg_min(exp_ref, seq) AS exp_ref FROM h GROUP BY ALL) b ON a.upload_id = b.upload_id AND a.line_no = b.line_no",
+    "join_candidates_back": f"WITH {q_vcf.REC}, {RDY}, h AS (SELECT rec.upload_id, rec.line_no, rd.rsid, rd.exp_ref, rd.seq FROM rec JOIN rd ON rec.upload_id = rd.upload_id AND rec.chrom = rd.chrom AND rec.pos = rd.pos), f AS (SELECT upload_id, line_no, rsid, min(seq) AS s FROM h GROUP BY ALL) SELECT a.*, b.n_source_rows, b.exp_ref FROM (SELECT upload_id, line_no, string_agg(rsid, '|' ORDER BY s) AS rsids FROM f GROUP BY ALL) a JOIN (SELECT upload_id, line_no, count(*) AS n_source_rows, arg_min(exp_ref, seq) AS exp_ref FROM h GROUP BY ALL) b ON a.upload_id = b.upload_id AND a.line_no = b.line_no",
     "cls_confidence_legacy": f"WITH {CON} SELECT row_id, CASE WHEN match_status = 'match_strict' AND has_genotype THEN CASE WHEN source_group = 'revision_manual' OR zygosity = 'non_diploid_or_complex' THEN 'Moderate' ELSE 'High' END WHEN match_status = 'match_likely_needs_alt_review' AND has_genotype THEN 'Moderate' ELSE 'Low' END AS confidence FROM co",
     "cls_review_legacy": f"WITH {CON} SELECT row_id, CASE match_status WHEN 'match_strict' THEN CASE WHEN source_group = 'revision_manual' THEN 'ready_but_manual_row_review' ELSE 'ready_for_interpretation' END WHEN 'match_likely_needs_alt_review' THEN 'interpretable_with_alt_review' WHEN 'no_vcf_match_by_chr_pos' THEN 'no_variant_observed_in_vcf_at_locus' WHEN 'rsid_without_coordinates' THEN 'technical_resolution_pending' WHEN 'no_rsid_detected' THEN 'missing_rsid' ELSE 'review_needed' END AS review_status, CASE WHEN source_group = 'revision_manual' THEN 'Original sheet row needs manual structural review.' WHEN match_status = 'match_likely_needs_alt_review' THEN 'Position-level match found; ALT representation should be reviewed before final biological interpretation.' WHEN match_status = 'no_vcf_match_by_chr_pos' THEN 'Queried locus was not observed in the current VCF by CHROM+POS.' WHEN match_status = 'no_rsid_detected' THEN 'No usable rsID detected in the original row.' ELSE '' END AS notes, CASE WHEN has_genotype THEN 'Observed genotype at ' || CASE WHEN rsid = '' THEN 'this locus' ELSE rsid END || '; functional interpretation pending review.' ELSE 'No genotype was observed at this queried locus in the current VCF; no genotype-specific interpretation assigned.' END AS sentence FROM co",
-    "join_rsid_coordinates": f"WITH {CON} SELECT row_id, ci.rsid, CASE WHEN pos IS NULL THEN '' ELSE chrom || ':' || pos END AS match_key_chr_pos, CASE WHEN pos IS NULL OR exp_ref = '' OR exp_alt = '' THEN '' ELSE chrom || '|' || pos || '|' || exp_ref || '|' || exp_alt END AS match_key_full, pos IS NOT NULL AS has_chr_pos, coalesce(exp_ref, '') <> '' AND coalesce(exp_alt, '') <> '' AS has_full_match_fields FROM ci LEFT JOIN r1 ON ci.rsid = r1.rsid WHERE ci.rsid <> ''",
-    "agg_source_counters": f"WITH {CNT} SELECT * FROM ct",
-    "agg_normalization_gate": f"WITH {CNT}, x AS (SELECT upload_id, observed, CASE upload_id WHEN 'u1' THEN observed * 2 WHEN 'u2' THEN kept WHEN 'u3' THEN 0 ELSE observed END AS matched, CASE WHEN upload_id = 'u1' THEN 1 ELSE 0 END AS outside FROM ct) SELECT *, least(1.0, CAST(matched AS DOUBLE) / observed) AS valid_rate, CASE WHEN least(1.0, CAST(matched AS DOUBLE) / observed) >= 0.99 AND outside = 0 THEN 'pass' ELSE 'fail' END AS gate FROM x",
-    "set_excluded_audit": f"WITH {q_vcf.ALL} SELECT {K}, contig, allele, CASE WHEN contig NOT IN {q_vcf.OK} THEN 'unsupported_contig' ELSE 'symbolic_or_unsupported_alt' END AS reason FROM al WHERE dosage > 0 AND (contig NOT IN {q_vcf.OK} OR {q_vcf.SYM})",
-    "set_target_regions": f"WITH {q_vcf.REC}, {REG}, lb AS (SELECT upload_id, contig, arg_min(chrom, line_no) AS label FROM (SELECT *, {q_vcf.norm('chrom')} AS contig FROM rec WHERE regexp_full_match(chrom, '[A-Za-z0-9_.-]+')) WHERE contig IN {q_vcf.OK} GROUP BY upload_id, contig) SELECT lb.upload_id, lb.label, lb.contig, re.start, re.\"end\" FROM re JOIN lb ON re.contig = lb.contig",
-    "fn_membership_basis": f"WITH {ALS}, {REG}, b AS (SELECT min(start) AS lo, max(\"end\") AS hi FROM re WHERE contig = 'chr5'), x AS (SELECT ob.*, start - line_no % 900 AS src, lo, hi FROM ob CROSS JOIN b) SELECT {K}, CASE WHEN src BETWEEN lo AND hi AND start BETWEEN lo AND hi THEN 'source_and_current' WHEN src BETWEEN lo AND hi THEN 'source' WHEN start BETWEEN lo AND hi THEN 'current' ELSE 'none' END AS basis FROM x",
-    "join_normalized_source": f"WITH {ENV}, n AS (SELECT variant_key, min(start) AS n_start, min(filter) AS n_filter FROM ob WHERE filter = 'PASS' GROUP BY variant_key) SELECT {K}, gene_id, coalesce(nullif(n_filter, ''), 'own') AS source_filter, coalesce(n_start, start) AS source_start, n_start IS NOT NULL AS matched FROM en LEFT JOIN n ON en.variant_key = n.variant_key",
-    "join_source_allele": f"WITH {ALS}, q AS MATERIALIZED (SELECT * FROM ob WHERE filter = 'PASS') SELECT ob.upload_id, ob.line_no, ob.alt_index, q.line_no AS source_line, CASE WHEN q.line_no IS NULL THEN 'normalized_fallback' ELSE 'source' END AS origin FROM ob LEFT JOIN q ON ob.contig = q.contig AND ob.start = q.start AND ob.ref = q.ref AND ob.allele = q.allele AND ob.alt_index = q.alt_index",
+    "join_rsid_coordinates": f"WITH {CON} SELECT row_id, ci.rsid, CASE WHEN pos IS NULL THEN '' ELSE chrom || ':' || pos END AS match_key_chr_pos, CASE WHEN pos IS NULL OR exp_ref = '' OR exp_alt = '' THEN '' ELSE chrom || '|' || pos || '|' || exp_ref || '|' || exp_alt END AS match_key_full, pos IS NOT NULL AS has_chr_pos, coalesce(exp_ref, '') <> '' AND coalesce(exp_alt, '') <> '' AS has_full_match_fields FROM ci LEFT JOIN r1 ON ci.upload_id = r1.upload_id AND ci.rsid = r1.rsid WHERE ci.rsid <> ''",
     "cls_gate_block": f"WITH {TRI} SELECT count(*) FILTER (WHERE triage_decision = 'include_ai') AS included, count(*) FILTER (WHERE triage_decision = 'include_ai') = 0 AS blocked FROM tr",
     "cls_deliverable": f"WITH {MOD} SELECT module_name AS category, approved_symbol AS gene, id AS rsid, ref || '/' || allele AS ref_alt, {REVIEW} AS review_status, {NOTES} AS notes, {K}, canon_row_id FROM mo",
-    "src_interval_index": "SELECT chrom, g_start, g_end, approved_symbol AS symbol, gene_id FROM genes",
 }

@@ -76,16 +76,6 @@ def streamed(s, d):
     return streams.stream_vcf(s, vcf_folder(s, d))
 
 
-def reference(s, d):
-    """Reference text in chunks of 1,000 bases, from the genes' places."""
-    n = view(s, d, "genes").select(C("chrom").alias("contig"), F.expr("g_start div 1000").alias("chunk_no"))
-    return n.select("contig", F.explode(F.array(C("chunk_no"), C("chunk_no") + 1)).alias("chunk_no")).distinct().withColumn("sequence", F.repeat(F.lit("GATTACAAAC"), 100))
-
-
-def placed_alleles(s, d):
-    return q_match.alleles(s, d).select("upload_id", "line_no", "alt_index", "contig", "start", "ref", C("allele").alias("alt"))
-
-
 def variation_payloads(s, d):
     """Variation records made from the annotations."""
     a = view(s, d, "annotations")
@@ -126,7 +116,6 @@ QUERIES = {
     "join_axis_conformance": lambda s, d: i.conform_axes(view(s, d, "interp").select(F.when(C("row_id") % 3 == 0, "sleep_circadian").otherwise("zzz").alias("axis_id"), F.when(C("row_id") % 3 == 1, "IMMUNE").otherwise("other").alias("axis_name"), C("row_id").alias("seq")), view(s, d, "axis_patterns").select("axis_id", C("pattern").alias("axis_name"), "axis_order")),
     "win_first_mapping": lambda s, d: q_vcf.records(s, d).select("line_no", i.first_mapping(F.array(F.struct(F.lit("scaffold").alias("coord_system"), F.lit("x").alias("seq_region_name"), F.lit(1).cast("bigint").alias("start"), F.lit("A/C").alias("allele_string")), F.struct(F.when(C("line_no") % 2 == 0, "chromosome").otherwise("other").alias("coord_system"), C("chrom").alias("seq_region_name"), C("pos").try_cast("bigint").alias("start"), F.concat_ws("/", "ref", F.replace("alt", F.lit(","), F.lit("/"))).alias("allele_string")))).alias("m")).select("line_no", "m.*"),
     "fn_colocated_match": lambda s, d: q_vcf.records(s, d).select("line_no", i.colocated_match(F.when(C("line_no") % 3 == 0, "").otherwise("5"), C("chrom")).alias("same")),
-    "fn_left_align": lambda s, d: i.left_align(placed_alleles(s, d), reference(s, d)),
     "win_transcript_pick_legacy": lambda s, d: e.pick_transcript_legacy(view(s, d, "transcripts").withColumn("is_canonical", (C("transcript_id").endswith("_2")).cast("int"))).select("gene_id", "transcript_id"),
     "json_ensembl_variation": lambda s, d: e.parse_variation(variation_payloads(s, d)),
     "json_myvariant": lambda s, d: e.parse_myvariant(hit_payloads(s, d)),

@@ -1,11 +1,12 @@
 """Fixtures of the source's own tests on small inline frames, and invariants on the projected tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixmill.functions import genotype as g
 from helixmill.functions import text as t
-from helixmill.operators import canon, interpret, match
-from helixmill.operators.intervals import merge_intervals, overlap_join
+from helixmill.operators import canon, interpret, match, normalize
+from helixmill.operators.intervals import _placed, merge_intervals, overlap_join
 from helixmill.plans import q_match, registry
 from helixmill.sources import files, vcf
 from helixmill.streaming import streams
@@ -27,7 +28,8 @@ def test_multiallelic_record_gives_two_alleles(spark):
 def test_unsupported_contig_is_excluded_once(spark):
     records = vcf.parse_records(lines(spark, ("HLA-DRB1*03:01:01:01", "7566", ".", "A", "G", ".", "PASS", ".", "GT", "0/1")))
     assert vcf.observed_alleles(records).count() == 0
-    assert [r.reason for r in match.excluded_audit(records).collect()] == ["unsupported_contig"]
+    spans = spark.createDataFrame([("chr1", 1, 10**7)], "contig string, start bigint, end bigint")
+    assert [r.fate for r in normalize.source_alleles(records, spans).collect()] == ["unsupported_contig"]
 
 
 def test_prefilter_looks_at_the_position(spark):
@@ -220,3 +222,78 @@ def test_cache_parts_give_the_latest_write(spark, tmp_path):
     assert sorted(r.event_id for r in streams.read_cache(spark, f"file://{tmp_path}/c").collect()) == [6, 7, 8]
     streams.compact_cache(spark, f"file://{tmp_path}/c", f"file://{tmp_path}/d")
     assert streams.read_cache(spark, f"file://{tmp_path}/d").count() == 3
+
+
+def test_long_genes_cost_only_their_own_pairs(spark):
+    """A 2 Mb gene among 2,000 short ones: the equi-join below overlap_join makes its pairs and little more."""
+    points = spark.range(20_000).select(F.lit("chr1").alias("k"), (F.col("id") * 997 % 2_000_000).alias("a"), F.col("id").alias("i")).withColumn("b", F.col("a"))
+    genes = spark.range(2000).select(F.lit("chr1").alias("k"), (F.col("id") * 1000).alias("c"), F.col("id").alias("j")).withColumn("d", F.col("c") + 500)
+    long = spark.createDataFrame([("chr1", 10, -1, 2_000_010), ("chr1", 0, -2, 700_000)], "k string, c bigint, j bigint, d bigint")
+    def candidates(right):
+        both = _placed(points, "a", "b", "l").join(_placed(right, "c", "d", "r"), ["k", "_tag", "_bin"])
+        return both.count(), overlap_join(points, right, ["k"], ("a", "b", "c", "d")).count()
+    (few, hits), (more, all_hits) = candidates(genes), candidates(genes.unionByName(long))
+    assert all_hits - hits >= 20_000 and more - few <= 2 * (all_hits - hits)
+    spans = spark.createDataFrame([("x", 5, 60_000_000, 1), ("x", 100, 100, 2), ("x", 41_000_000, 41_700_000, 3), ("x", None, 5, 4), ("y", 9, 3, 5)], "k string, a bigint, b bigint, i int")
+    other = spans.select("k", F.col("a").alias("c"), F.col("b").alias("d"), F.col("i").alias("j"))
+    got = sorted((r.i, r.j) for r in overlap_join(spans, other, ["k"], ("a", "b", "c", "d")).collect())
+    assert got == sorted((r.i, r.j) for r in spans.join(other, "k").where("a <= d AND b >= c").collect())
+
+
+def test_uploads_do_not_lend_each_other_genotypes(spark):
+    canon = spark.createDataFrame([("u", 1, "rs1", "df_ok"), ("v", 2, "rs1", "df_ok"), ("w", 3, "rs1", "df_ok")], "upload_id string, row_id int, rsid string, source_group string")
+    ready = spark.createDataFrame([("u", "rs1", "1", "5", "A", "G", 2), ("u", "rs1", "1", "9", "A", "G", 1), ("v", "rs1", "1", "5", "A", "G", 1)], "upload_id string, rsid string, chrom string, pos string, exp_ref string, exp_alt string, seq int")
+    called = spark.createDataFrame([("u", 7, "1", "5", "A", "G", "0/1"), ("v", 8, "1", "5", "A", "G", "1/1"), ("v", 9, "1", "5", "A", "T", "0/1")], "upload_id string, line_no int, chrom string, pos string, ref string, alt string, gt string")
+    got = {r.row_id: (r.pos, r.line_no, r.zygosity, r.match_status) for r in match.consolidate(canon, ready, called).collect()}
+    assert got == {1: ("9", None, "unknown", "no_vcf_match_by_chr_pos"), 2: ("5", 8, "homozygous", "match_strict"), 3: (None, None, "unknown", "rsid_without_coordinates")}
+
+
+def normalised(spark, rows, bases, regions=((1, 10_000),)):
+    n, text = normalize, lines(spark, *rows)
+    records = vcf.parse_records(text)
+    reference = spark.createDataFrame([("chr1", k, bases[10 * k : 10 * k + 10]) for k in range(-(-len(bases) // 10))], "contig string, chunk_no bigint, sequence string")
+    spans = n.target_spans(spark.createDataFrame([("chr1", a, b) for a, b in regions], "contig string, start bigint, end bigint"), 0)
+    norm = n.normalised(n.split_records(records, vcf.contig_labels(records), spans), reference, 10)
+    sources = n.source_alleles(records, spans)
+    return n, text, norm, sources, n.attach_source(norm, sources, spans)
+
+
+def test_normaliser(spark):
+    bases = "GCAAATCCCCCCCCCCCCCCCCCGATGATGATC"
+    record = lambda pos, ref, alt, gt="0/1", chrom="chr1": (chrom, str(pos), ".", ref, alt, ".", "PASS", ".", "GT", gt)
+    rows = [record(5, "A", "AA"), record(5, "A", "T,AA", "1|2"), record(20, "CC", "C"), record(20, "A", "C"), record(24, "GATGAT", "GAT"), record(6, "TCCCCCCCCCCCCCCC", "TCC"), record(3, "AAA", "ACA"), record(2, "CA", "C", "0/0"), record(1, "G", "GG"), record(28, "A", "<DEL>")]
+    _, text, norm, sources, attached = normalised(spark, rows, bases)
+    got = sorted((r.line_no, r.alt_index, r.start, r.ref, r.alt, r.gt, r.orig) for r in norm.collect())
+    assert got == [
+        (0, 1, 2, "C", "CA", "0/1", "chr1|5|A|AA"), (1, 1, 5, "A", "T", "1|0", "chr1|5|A|T,AA|1"), (1, 2, 2, "C", "CA", "0|1", "chr1|5|A|T,AA|2"), (2, 1, 6, "TC", "T", "0/1", "chr1|20|CC|C"),
+        (4, 1, 23, "CGAT", "C", "0/1", "chr1|24|GATGAT|GAT"), (5, 1, 6, "TCCCCCCCCCCCCC", "T", "0/1", "chr1|6|TCCCCCCCCCCCCCCC|TCC"), (6, 1, 4, "A", "C", "0/1", "chr1|3|AAA|ACA"), (7, 1, 2, "CA", "C", "0/0", ""), (8, 1, 1, "G", "GG", "0/1", ""), (9, 1, 28, "A", "<DEL>", "0/1", ""),
+    ]
+    found = {(r.line_no, r.alt_index): r for r in attached.collect()}
+    assert found[1, 2].duplicate and not found[0, 1].duplicate and found[1, 2].source_gt_raw == "1|2" and found[1, 2].origin == "source"
+    assert found[7, 1].reason == "unobserved" and found[9, 1].reason == "unsupported_normalized_alt"
+    c = normalize.counters(text, sources, attached).first()
+    assert (c.input_records, c.multiallelic_records, c.observed_source_alleles, c.symbolic_or_unsupported, c.normalized_source_matched, c.duplicate_normalized_physical_variants, c.unsupported_normalized) == (10, 1, 9, 1, 8, 1, 1)
+
+
+def test_places_inside_the_target(spark):
+    bases = "G" + "A" * 30 + "T"
+    record = lambda chrom, pos, alt: (chrom, str(pos), ".", "A", alt, ".", "PASS", ".", "GT", "0/1")
+    rows = [record("chr1", 25, "AA"), record("chr1", 28, "AA"), record("1", 26, "C"), record("chr1", 40, "C")]
+    n, _, _, sources, attached = normalised(spark, rows, bases, ((20, 30),))
+    assert sorted((r.line_no, r.start, r.basis, r.origin, r.duplicate) for r in attached.collect()) == [(0, 1, "source", "source", False), (1, 1, "source", "source", True)]
+    loose = spark.createDataFrame([("u", 50, 1, "chr1", 5000, "A", "G", ".", ".", "PASS", "", 1, "0/1", ""), ("u", 51, 1, "chr1", 22, "A", "G", ".", ".", "PASS", "", 1, "0/1", ""), ("u", 52, 1, "chr1", 0, "A", "G", ".", ".", "PASS", "", 1, "0/1", ""), ("u", 53, 1, "chr1", 5, "A", "AA", ".", ".", "PASS", "", 1, "0/1", "chr1|25|A|AA")], "upload_id string, line_no bigint, alt_index int, contig string, start bigint, ref string, alt string, id string, qual string, filter string, info string, dosage int, gt string, orig string")
+    spans = spark.createDataFrame([("chr1", 20, 30)], "contig string, start bigint, end bigint")
+    got = {r.line_no: (r.reason, r.origin, r.basis) for r in n.attach_source(loose, sources, spans).collect()}
+    assert got == {50: ("normalized_outside_target_regions", "normalized_fallback", "none"), 51: ("", "normalized_fallback", "source_and_current"), 52: ("invalid_normalized_coordinate", "normalized_fallback", "none"), 53: ("", "source", "source")}
+    audit = sorted((r.line_no, r.source_pos, r.reason) for r in n.excluded_audit(sources, n.attach_source(loose, sources, spans)).collect())
+    assert audit == [(50, "5000", "normalized_outside_target_regions"), (52, "0", "invalid_normalized_coordinate")]
+
+
+def test_target_regions_need_a_contig(spark):
+    n = normalize
+    spans = spark.createDataFrame([("chr1", 20, 30)], "contig string, start bigint, end bigint")
+    labels = lambda *rows: spark.createDataFrame(list(rows), "upload_id string, contig string, label string")
+    got = n.target_regions(spans, labels(("u", "chr1", "1"), ("u", "chr2", "chr2"), ("v", "chr1", "chr1"))).collect()
+    assert sorted((r.upload_id, r.label, r.start, r.renamed) for r in got) == [("u", "1", 20, True), ("v", "chr1", 20, False)]
+    with pytest.raises(Exception, match="no contig of the target regions in w"):
+        n.target_regions(spans, labels(("u", "chr1", "1"), ("w", "chr2", "2"))).collect()
