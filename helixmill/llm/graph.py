@@ -1,6 +1,7 @@
 """Connected components of a large graph by alternating large-star and small-star steps.
 
-Each step is one aggregation and one join, written to the shared folder; a few steps suffice even for long chains.
+Each step is one aggregation and one join, written to the shared folder; a few steps suffice even for long chains, and they go on
+until nothing moves.
 Self-links and repeated links do no harm; null ends are ignored; without links there are no rows.
 """
 
@@ -11,17 +12,13 @@ from pyspark.sql import functions as F
 
 from helixmill.llm._common import discard, stage
 
-ROUNDS = 60
-
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) of longs -> node, label: the smallest node of its component, for every node that has a link."""
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = state(edges)
-    for _ in range(ROUNDS):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         most = stage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "large")
         edges_large = stage(both.where("v > u").join(most, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -34,6 +31,4 @@ def components(links: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -352,10 +352,12 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     """The pipeline's stage: of each group the document with the smallest doc_id stays (one row of it; a null id comes
     last). Texts without words link with nothing, so all of their rows stay."""
     keep = similarity_groups(docs, shingle, percent).where("n > 0").groupBy("jac_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "jac_key")).alias("x"))
-    keep = stage(keep.select(F.col("x.doc_id").alias("_jid"), F.col("x.jac_key").alias("_jkey")), "keep")
+    keep = stage(keep.select(F.col("x.doc_id").alias("jac_keep"), F.col("x.jac_key").alias("jac_keep_key")), "keep")
+    packed = docs.select(F.struct(*docs.columns).alias("jac_row"), "doc_id", "text")  # so that no column of docs can clash
     wordy = F.coalesce(F.col("text").rlike(WORD_CLASS), F.lit(False))
-    chosen = docs.where(wordy).withColumn("_jk", row_key()).join(keep.hint("shuffle_hash"), F.col("_jk") == F.col("_jkey")).where(F.col("doc_id").eqNullSafe(F.col("_jid")))
-    return chosen.dropDuplicates(["_jk"]).select(*docs.columns).unionByName(docs.where(~wordy))
+    keyed = packed.where(wordy).withColumn("jac_key", row_key()).join(keep.hint("shuffle_hash"), F.col("jac_key") == F.col("jac_keep_key"))
+    chosen = keyed.where(F.col("doc_id").eqNullSafe(F.col("jac_keep"))).dropDuplicates(["jac_key"])
+    return chosen.select("jac_row.*").unionByName(packed.where(~wordy).select("jac_row.*"))
 
 
 SQL = {

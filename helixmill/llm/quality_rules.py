@@ -133,7 +133,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: documents that the rules reject go. Features are made twice, to fit and to judge, which
     moves no text; a join of judgements with texts would move them all. The filter reads a column that has no fixed
-    value, the partition, so that it stays above the features instead of repeating them for each use below."""
+    value, the partition, so that it stays above the features instead of repeating them for each use below. Columns of docs travel in one struct, so none clashes."""
     features = with_features(docs.select("doc_id", "text")).drop("text")
     features = stage(features, "features")
     model = fit(features)

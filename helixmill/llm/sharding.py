@@ -6,8 +6,8 @@ Only DataFrame functions. The texts themselves never move unless the caller pass
 
 Nulls: a null dimension is in the lowest bin; a null text counts no bytes and has checksum 0. Equal rows keep one
 place each. An empty table gives an empty result. ``curve``, ``shard`` and ``slot`` are added and replace input columns
-of those names; all others come through (helpers start with ``_h``). Equal texts (a group) follow each other where
-their dimensions are in equal bins; a group is not held together beyond that, as the order and the equal shards decide.
+of those names; all others come through (helpers start with ``_h``). Rows of a group, as equal texts are, take the smallest
+curve index among them and follow each other, so that only a shard's edge can part them.
 """
 
 from __future__ import annotations
@@ -86,13 +86,16 @@ def quantise(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
     return bins
 
 
-def hilbert_shards(df: DataFrame, dims: list[str], ties: list[str], shards: int, law: str = "rows", size: str | None = None, bits: int = 4) -> DataFrame:
+def hilbert_shards(df: DataFrame, dims: list[str], ties: list[str], shards: int, law: str = "rows", size: str | None = None, bits: int = 4, group: tuple[str, ...] = ()) -> DataFrame:
     """df with curve, shard and slot (from 0, without gaps in each shard). law "rows": shards differ by one row at most;
     "bytes": the running sum of column size is cut into equal parts. Rows on the same curve index are in the order of
-    ties. No step sees more than one range partition: places come from counts of the partitions before."""
+    group, then ties; the groups' common index comes from a pre-aggregated join. No step sees more than one range partition: places come from counts of the partitions before."""
     spark = df.sparkSession
     curved = df.withColumn("_hcurve", hilbert_index(quantise(df, dims, bits), bits))
-    order = ["_hcurve", *ties]
+    if group:
+        firsts = stage(curved.groupBy(*group).agg(F.min("_hcurve").alias("_hleast"), F.count("*").alias("_hn")).where("_hn > 1").drop("_hn"), "groups")
+        curved = curved.join(firsts, list(group), "left").withColumn("_hcurve", F.coalesce("_hleast", "_hcurve")).drop("_hleast").select(*curved.columns)
+    order = ["_hcurve", *group, *ties]
     weight = F.col(size).cast("long") if law == "bytes" else F.lit(1).cast("long")
     dealt = stage(curved.repartitionByRange(partitions(spark), *order).withColumn("_hpart", F.spark_partition_id()).withColumn("_hweight", weight), "hilbert")
     parts = dealt.groupBy("_hpart").agg(F.count("*").alias("_hn"), F.sum("_hweight").alias("_hsum"))
@@ -124,5 +127,5 @@ SHARDS = 24
 def op4_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    out = hilbert_shards(docs, ["source", "lang", "size"], ["text_crc32", "size", "doc_id"], SHARDS, "rows")
+    out = hilbert_shards(docs, ["source", "lang", "size"], ["doc_id"], SHARDS, "rows", group=("text_crc32", "size"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")

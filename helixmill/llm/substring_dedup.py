@@ -11,7 +11,8 @@ Stages: anchors are counted (pre-aggregated); those met once end there. Pieces m
 once, however many copies there are. Only one representative of each different piece goes, with its words, into a
 block. The windows of an anchor with more than HOT different pieces are dealt again, by their smallest 8-gram in another
 order, and what is still too much by the whole window, so no task meets an unbounded group; every dealing goes through
-the same counting, indexing and parsing. Documents are shuffled once and that exchange serves the joins with them.
+the same counting, indexing and parsing. Texts are shuffled once to spell the representatives, once more for each further
+dealing of hot anchors, and once to remove words.
 
 A document is known by a 64-bit hash of (doc_id, text); rows that repeat both lose the same words, and as each repeats
 the other, all their windows. Null texts and texts of fewer words lose nothing. Ties cannot occur; empty tables give

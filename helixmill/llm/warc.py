@@ -189,9 +189,8 @@ def revisits(records: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
 
 
 def dealt(files: DataFrame) -> DataFrame:
-    """A row of files for each task: dealt in turn, as hashes of few names would meet in few tasks and small partitions
-    be put together."""
-    return files.repartition(max(1, files.count()))
+    """A row of files for each task: by ranges of their names, which all differ, as many as there are files."""
+    return files.repartitionByRange(max(1, files.count()), "file")
 
 
 def normalise(records: DataFrame, again: DataFrame, source: str, target: str) -> DataFrame:
