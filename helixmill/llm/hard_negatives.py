@@ -21,8 +21,8 @@ anchor without positives, or whose windows are empty, has no rows. Without rows
 from __future__ import annotations
 
 import heapq
-import io
 import math
+import pickle
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -109,9 +109,12 @@ def boxes(starts: np.ndarray, ids: np.ndarray, labels: tuple[np.ndarray, np.ndar
 
 
 def packed(arrays: dict[str, np.ndarray]) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
+    """Bytes of a node; unpacked() of them costs little, which counts where a search opens many small nodes."""
+    return pickle.dumps(arrays, 5)
+
+
+def unpacked(blob: bytes) -> dict[str, np.ndarray]:
+    return pickle.loads(blob)
 
 
 class NodeFile:
@@ -187,7 +190,7 @@ def node_packer(folder: str, fan: int):
         out, children, done, place = NodeFile(folder), [], [], TaskContext.get().partitionId() << 32
         for batch in batches:
             for row in batch.to_pylist():
-                children.append((row["file"], row["at"], row["size"], dict(np.load(io.BytesIO(row["boxed"])))))
+                children.append((row["file"], row["at"], row["size"], unpacked(row["boxed"])))
                 if len(children) == fan:
                     done.append(out.node(children, place + len(done)))
                     children = []
@@ -222,7 +225,7 @@ def build(vectors: DataFrame, sizes: Sizes = Sizes()) -> Tree:
     third = shape.axes[2] if shape.width > 2 else None
     nodes = stage(rows.select("vec_id", "label", "q").mapInArrow(tile_packer(folder, shape.width, third, sizes), NODES), "tiles")
     while (n := nodes.count()) > sizes.fan:
-        level = nodes.repartitionByRange(-(-n // sizes.fan**2), "place").sortWithinPartitions("place")
+        level = nodes.coalesce(-(-n // sizes.fan**2)).sortWithinPartitions("place")  # each task packs many, so levels shrink
         nodes = stage(level.mapInArrow(node_packer(folder, sizes.fan), NODES), "nodes")
     return Tree(folder, shape, sizes, [tuple(r) for r in nodes.collect()])
 
@@ -274,7 +277,7 @@ class Searcher:
         self.store, self.top = fs.FileSystem.from_uri(tree.folder)
         self.held: OrderedDict[tuple, Boxes] = OrderedDict()
         self.bytes = 0
-        around = [dict(np.load(io.BytesIO(r[3]))) for r in tree.root]
+        around = [unpacked(r[3]) for r in tree.root]
         self.root = Boxes({k: np.concatenate([x[k] for x in around]) for k in around[0]} | {"name": [r[0] for r in tree.root], "at": [r[1] for r in tree.root], "size": [r[2] for r in tree.root]}, self.kind)
 
     def node(self, ref: tuple[str, int, int]) -> Boxes:
@@ -282,7 +285,7 @@ class Searcher:
             self.held.move_to_end(ref)
             return self.held[ref]
         with self.store.open_input_file(f"{self.top}/{ref[0]}") as f:
-            found = Boxes(dict(np.load(io.BytesIO(f.read_at(ref[2], ref[1])))), self.kind)
+            found = Boxes(unpacked(f.read_at(ref[2], ref[1])), self.kind)
         self.held[ref] = found
         self.bytes += found.bytes
         while self.bytes > self.tree.sizes.held and len(self.held) > 1:
