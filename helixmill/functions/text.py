@@ -117,13 +117,18 @@ def compact_number(c: Column) -> Column:
     return F.when(x.isNull(), t).when(x == 0, "0").when(small, F.format_string("%.3e", x)).otherwise(fixed)
 
 
-def compact_json(c: Column, most: int = 12000) -> Column:
-    out = F.to_json(c)
+def sorted_json(values: dict[str, Column]) -> Column:
+    """JSON of named values, keys in order, so that the same values always give the same text."""
+    return F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)]))
+
+
+def compact_json(values: dict[str, Column], most: int = 12000) -> Column:
+    out = sorted_json(values)
     return F.when(F.length(out) > most, F.concat(F.left(out, F.lit(most)), F.lit("...[truncated]"))).otherwise(out)
 
 
-def fingerprint(*columns: Column) -> Column:
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+def fingerprint(values: dict[str, Column]) -> Column:
+    return F.sha2(sorted_json(values), 256)
 
 
 def population_max(c: Column) -> Column:
@@ -173,15 +178,22 @@ def slug(c: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def ascii_text(values: pd.Series) -> pd.Series:
-    """Plain ASCII: typographic forms replaced, then accents taken off; the one function that no built-in gives."""
-    def plain(x: str | None) -> str:
-        x = (x or "").replace(" ", " ").strip()
+def plain_letters(values: pd.Series) -> pd.Series:
+    """Typographic forms replaced, then accents taken off: what no built-in function gives."""
+    def plain(x: str) -> str:
+        x = x.replace("\u00a0", " ").strip()
         for a, b in ASCII_FORMS.items():
             x = x.replace(a, b)
         return unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode()
 
-    return values.map(plain)
+    return values.map(plain, na_action="ignore")
+
+
+def ascii_text(c: Column) -> Column:
+    """Plain ASCII. Most text is that already and only loses blanks at its ends; Python sees the rest alone."""
+    plain = F.octet_length(text(c)) == F.char_length(text(c))
+    bare = F.regexp_replace(text(c), r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.when(plain, bare).otherwise(plain_letters(F.when(~plain, c)))
 
 
 def word_list(c: Column) -> Column:
@@ -189,14 +201,19 @@ def word_list(c: Column) -> Column:
 
 
 def shorten_sentence(c: Column, language: str = "en") -> Column:
+    """At most 45 words and 300 letters as it is; else what stands before a separator, if that is 18 to 42 words; else the
+    first 42 words. Words are looked for once."""
     def dotted(t: Column) -> Column:
         return F.when(t.rlike(r"[.!?]$"), t).otherwise(F.concat(t, F.lit(".")))
 
+    def short(x: Column) -> Column:
+        heads = [F.when(F.contains(x["o"], F.lit(s)), F.trim(F.substring_index(x["o"], s, 1))) for s in SEPARATORS[language]]
+        fitting = [let(h, lambda t: F.when(F.size(word_list(t)).between(18, 42), dotted(t))) for h in heads]
+        cut = dotted(F.array_join(F.slice(x["w"], 1, 42), " "))
+        return F.when((F.size(x["w"]) <= 45) & (F.length(x["o"]) <= 300), x["o"]).otherwise(F.coalesce(*fitting, F.when(F.size(x["w"]) == 0, x["o"]), cut))
+
     original = clean_str(c, "nbsp")
-    heads = [F.when(F.contains(original, F.lit(s)), F.trim(F.substring_index(original, s, 1))) for s in SEPARATORS[language]]
-    fitting = F.coalesce(*[F.when(F.size(word_list(h)).between(18, 42), dotted(h)) for h in heads], F.lit(None))
-    cut = dotted(F.array_join(F.slice(word_list(original), 1, 42), " "))
-    return F.when((F.size(word_list(original)) <= 45) & (F.length(original) <= 300), original).when(fitting.isNotNull(), fitting).when(F.size(word_list(original)) == 0, original).otherwise(cut)
+    return let(original, lambda o: let(F.struct(o.alias("o"), word_list(o).alias("w")), short))
 
 
 def lower_blob(*columns: Column) -> Column:
@@ -208,9 +225,14 @@ def gwas_support(blob: Column) -> Column:
     return has("gwas") & ~has("no gwas") & ~has("gwas_association_count=0")
 
 
-def gwas_strong(blob: Column) -> Column:
+def gwas_significant(blob: Column) -> Column:
+    """Whether a p-value at genome-wide significance, or several associations, are spoken of."""
     values = F.regexp_extract_all(blob, F.lit(r"(?:p(?:-?value)?|min p)\s*[=:]\s*([0-9]+(?:\.[0-9]+)?e[-+]?[0-9]+)"), F.lit(1))
-    return gwas_support(blob) & (F.exists(values, lambda v: v.try_cast("double") <= 5e-8) | F.contains(blob, F.lit("multiple associations")))
+    return F.exists(values, lambda v: v.try_cast("double") <= 5e-8) | F.contains(blob, F.lit("multiple associations"))
+
+
+def gwas_strong(blob: Column) -> Column:
+    return gwas_support(blob) & gwas_significant(blob)
 
 
 def any_of(blob: Column, words: tuple[str, ...]) -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixmill.functions import text as t
-from helixmill.functions.genotype import exact_allele, text
+from helixmill.functions.genotype import allele_signature, exact_allele, let, norm_chrom, normalize_rsid, text
 
-VEP = "struct<input:string,most_severe_consequence:string,colocated_variants:array<struct<id:string,allele_string:string,start:bigint,end:bigint>>,transcript_consequences:array<struct<gene_symbol:string,transcript_id:string,canonical:int,mane_select:string,mane_plus_clinical:string,impact:string,biotype:string,hgvsp:string,cadd_phred:double,consequence_terms:array<string>>>>"
+VEP = "struct<input:string,most_severe_consequence:string,colocated_variants:array<struct<id:string,allele_string:string,seq_region_name:string,start:string,end:string>>,transcript_consequences:array<struct<gene_symbol:string,transcript_id:string,canonical:int,mane_select:string,mane_plus_clinical:string,impact:string,biotype:string,hgvsp:string,cadd_phred:double,consequence_terms:array<string>>>>"
 GWAS = "struct<_embedded:struct<associations:array<struct<pvalue:double,pvalueMantissa:double,pvalueExponent:int,efoTraits:array<struct<trait:string>>,loci:array<struct<authorReportedGenes:array<struct<geneName:string>>>>,betaNum:double,betaDirection:string,orPerCopyNum:double>>>>"
 CLINVAR = "struct<result:struct<items:array<struct<uid:string,title:string,accession:string,record_type:string,review_status:string,clinical_significance:string,germline_classification:struct<description:string,review_status:string>,trait_set:array<struct<trait_name:string>>>>>>"
 PGX = "struct<data:array<struct<name:string,allelePhenotypes:array<struct<allele:string,phenotype:string>>,levelOfEvidence:struct<term:string>,relatedChemicals:array<struct<name:string>>>>>"
@@ -33,17 +33,39 @@ def parse_vep(df: DataFrame, payload: str = "payload", gene: str = "target_gene"
     return parsed.select(*df.columns, F.col("_v.most_severe_consequence").alias("vep_most_severe_consequence"), status.alias("vep_status"), best["gene_symbol"].alias("vep_gene"), best["transcript_id"].alias("vep_transcript"), best["impact"].alias("vep_impact"), text(best["hgvsp"]).alias("vep_hgvsp"), best["cadd_phred"].alias("vep_cadd_phred"), t.unique_join(F.flatten(F.transform("_t", lambda x: x["consequence_terms"])), 12).alias("vep_terms"), t.unique_join(F.transform("_t", lambda x: x["gene_symbol"])).alias("vep_genes"))
 
 
-def resolve_rsid(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Identifier of a variant from records at its place that have exactly its alleles."""
-    found = F.from_json(payload, VEP)["colocated_variants"]
-    ids = F.filter(F.coalesce(found, F.array().cast("array<struct<id:string,allele_string:string,start:bigint,end:bigint>>")), lambda x: text(x["id"]).rlike("^rs[0-9]+$"))
-    out = df.withColumn("_ids", ids)
-    exact = F.array_distinct(F.transform(F.filter("_ids", lambda x: exact_allele(x["allele_string"], F.col("ref"), F.col("alt"))), lambda x: x["id"]))
-    out = out.withColumn("_exact", exact)
-    own = F.array_contains("_exact", F.col("id"))
-    status = F.when(own, "vcf_id_confirmed_by_vep_exact_allele").when(F.size("_exact") == 1, "vep_colocated_exact_allele").when(F.size("_exact") > 1, "ambiguous_multiple_exact_rsids").when(F.size("_ids") > 0, "vep_colocated_allele_mismatch").otherwise("unresolved_no_exact_rsid")
-    rsid = F.when(own, F.col("id")).when(F.size("_exact") == 1, F.element_at("_exact", 1)).otherwise("")
-    return out.withColumns({"resolved_rsid": rsid, "rsid_status": status, "n_exact": F.size("_exact").cast("bigint"), "n_colocated": F.size("_ids").cast("bigint")}).drop("_ids", "_exact")
+def colocated_match(entry: Column, chrom: Column, start: Column, ref: Column, alt: Column) -> Column:
+    """How a colocated record (allele_string, seq_region_name, start, end: texts) is the variant: 'exact_allele',
+    'normalized_indel_allele' or ''. It must be of the variant's contig, unless one is unknown, and its span must meet the
+    variant's. Where a place is no number, only its very alleles count. Else any two of its alleles, either way round,
+    may be the variant's once both are trimmed."""
+    there, here = norm_chrom(entry["seq_region_name"]), norm_chrom(chrom)
+    first = entry["start"].try_cast("bigint")
+    last = F.coalesce(F.nullif(entry["end"].try_cast("bigint"), F.lit(0)), first)
+    bad = start.isNull() | first.isNull() | ((text(entry["end"]) != "") & entry["end"].try_cast("bigint").isNull())
+    meets = F.least(start + F.greatest(F.length(ref), F.lit(1)) - 1, last) >= F.greatest(start, first)
+    exact = exact_allele(entry["allele_string"], ref, alt)
+    trimmed = lambda r, a: let(allele_signature(r, a), lambda x: F.struct(x["ref"].alias("ref"), x["alt"].alias("alt")))
+    alleles = F.filter(F.transform(F.split(text(entry["allele_string"]), "[|/,]"), lambda x: F.trim(x)), lambda x: x != "")
+    pairs = lambda own: F.exists(F.transform(alleles, lambda r, i: F.exists(F.transform(alleles, lambda a, j: (i != j) & (trimmed(r, a) == own)), lambda hit: hit)), lambda hit: hit)
+    other = (there != "") & (here != "") & (there != here)
+    return F.when(other, "").when(bad, F.when(exact, "exact_allele").otherwise("")).when(~meets, "").when(exact, "exact_allele").when(let(trimmed(ref, alt), pairs), "normalized_indel_allele").otherwise("")
+
+
+def resolve_rsid(df: DataFrame, payload: str = "payload", chrom: str = "contig", pos: str = "pos") -> DataFrame:
+    """Identifier of a variant from the records at its place that are the variant, with its status, the reason for it, and
+    how many records and identifiers the place has."""
+    c = F.col
+    none = F.array().cast("array<struct<id:string,allele_string:string,seq_region_name:string,start:string,end:string>>")
+    out = df.withColumn("_all", F.coalesce(F.from_json(payload, VEP)["colocated_variants"], none))
+    out = out.withColumn("_all", F.transform("_all", lambda x: F.struct(normalize_rsid(x["id"]).alias("id"), colocated_match(x, c(chrom), c(pos).try_cast("bigint"), c("ref"), c("alt")).alias("kind"))))
+    out = out.withColumn("_ids", F.array_distinct(F.filter(F.transform("_all", lambda x: x["id"]), lambda x: x != "")))
+    out = out.withColumn("_hits", F.filter("_all", lambda x: (x["id"] != "") & (x["kind"] != "")))
+    out = out.withColumns({"_exact": F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["id"]))), "_indel": F.exists("_hits", lambda x: x["kind"] == "normalized_indel_allele")})
+    own, one, many = (normalize_rsid(c("id")) != "") & F.array_contains("_exact", normalize_rsid(c("id"))), F.size("_exact") == 1, F.size("_exact") > 1
+    status = F.when(own, "vcf_id_confirmed_by_vep_exact_allele").when(many, "ambiguous_multiple_exact_rsids").when(one & c("_indel"), "vep_colocated_normalized_indel").when(one, "vep_colocated_exact_allele").when(F.size("_ids") > 0, "vep_colocated_allele_mismatch").otherwise("unresolved_no_exact_rsid")
+    reason = F.when(own, "vcf_id_and_vep_allele_match").when(many, "multiple_vep_colocated_allele_matches").when(one, "unique_vep_colocated_allele_match").when(F.size("_ids") > 0, "colocated_rsid_requires_coordinate_allele_reconciliation").otherwise("vep_response_has_no_colocated_rsid")
+    rsid = F.when(own, normalize_rsid(c("id"))).when(one, F.element_at("_exact", 1)).otherwise("")
+    return out.withColumns({"resolved_rsid": rsid, "rsid_status": status, "rsid_reason": reason, "colocated_count": F.size("_all").cast("bigint"), "colocated_rsid_count": F.size("_ids").cast("bigint")}).drop("_all", "_ids", "_hits", "_exact", "_indel")
 
 
 PGX_NOTES = "struct<data:array<struct<alleleGenotype:string,sentence:string,score:double,relatedChemicals:array<struct<name:string>>,literature:struct<crossReferences:array<struct<resource:string,resourceId:string>>>>>>"
@@ -197,12 +219,40 @@ def group_payloads(scored: DataFrame, group: list[str]) -> DataFrame:
     return scored.groupBy(*group).agg(F.count("*").alias("size"), n(s >= 120).alias("bin_120"), n((s >= 100) & (s < 120)).alias("bin_100"), n((s >= 80) & (s < 100)).alias("bin_80"), n(s < 80).alias("bin_low"), F.max(s).alias("max_score"), F.bround(F.avg(s), 2).alias("mean_score"))
 
 
+def interpretation_readiness(columns: dict[str, Column], confidence: Column) -> Column:
+    """How well a row can be interpreted, with the kinds of evidence that it has. A column that is not given has none."""
+    has = lambda name, *none: ~text(columns.get(name, F.lit(""))).isin("", *none)
+    kinds = {
+        "canon_context": has("canon_effect"), "hgvs": has("vep_hgvsp") | has("vep_hgvsc"), "deleteriousness_scores": has("vep_cadd_phred") | has("vep_revel_score") | has("vep_alphamissense_score"),
+        "clinvar": has("clinvar_normalized_classification", "not_reported"), "gwas": has("gwas_association_count", "0"), "pharmacogenomics": has("pharmgkb_clinical_annotation_count", "0") | has("pharmgkb_variant_annotation_count", "0"), "population_frequency": has("population_frequency_summary"),
+    }
+    def said(flags: Column) -> Column:
+        level = F.when((confidence == "High") & (F.size(flags) >= 4), "high").when(F.size(flags) >= 3, "moderate").otherwise("limited")
+        return F.concat(level, F.lit("_interpretability: "), F.when(F.size(flags) == 0, "minimal_external_context").otherwise(F.array_join(flags, ", ")))
+
+    return let(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in kinds.items()])), said)
+
+
 # ---- interpretation rows
 
 
+# Why a duplicate group got its confidence.
+DUPLICATE_REASONS = (
+    "Duplicate group normalized to Conflicting because one row has material evidence conflict.",
+    "Duplicate group normalized to Moderate because the same observed variant has locus/gene ambiguity.",
+    "Duplicate group normalized to the majority confidence across repeated module rows.",
+    "Duplicate group normalized to Moderate because repeated module rows disagreed without a majority.",
+    "Duplicate group normalized conservatively because repeated module rows disagreed.",
+)
+
+
+def duplicate_keys() -> dict[str, Column]:
+    return {"k_gene": F.upper("gene"), "k_rsid": F.lower("rsid"), "k_gt": F.upper("observed_genotype"), "k_zyg": F.lower("zygosity"), "k_alt": F.upper("ref_alt")}
+
+
 def duplicate_confidence(df: DataFrame) -> DataFrame:
-    """One row a duplicate group: what its repeated rows agree on, null where they never differed."""
-    keys = {"k_gene": F.upper("gene"), "k_rsid": F.lower("rsid"), "k_gt": F.upper("observed_genotype"), "k_zyg": F.lower("zygosity"), "k_alt": F.upper("ref_alt")}
+    """One row a duplicate group: what its repeated rows agree on and why, null where they never differed."""
+    keys = duplicate_keys()
     rows = df.withColumns(keys)
     by = [*keys]
     level = F.col("final_confidence_level")
@@ -213,7 +263,8 @@ def duplicate_confidence(df: DataFrame) -> DataFrame:
     two = (F.col("lo") == 2) & (F.col("hi") == 3)
     lowest = F.when(F.col("lo") == 1, "Low").when(F.col("lo") == 2, "Moderate").otherwise("High")
     new = F.when(F.col("levels") <= 1, F.lit(None)).when(F.col("conf") == 1, "Conflicting").when(F.col("amb") == 1, "Moderate").when(F.col("mode_n") > 1, F.col("mode")).when(two, "Moderate").otherwise(lowest)
-    return g.select(*by, "rows", new.alias("confidence"))
+    why = F.when(F.col("levels") <= 1, F.lit(None)).when(F.col("conf") == 1, DUPLICATE_REASONS[0]).when(F.col("amb") == 1, DUPLICATE_REASONS[1]).when(F.col("mode_n") > 1, DUPLICATE_REASONS[2]).when(two, DUPLICATE_REASONS[3]).otherwise(DUPLICATE_REASONS[4])
+    return g.select(*by, "rows", new.alias("confidence"), why.alias("reason"))
 
 
 def map_axis(categories: DataFrame, patterns: DataFrame, unknown: str = "uncategorized_context") -> DataFrame:

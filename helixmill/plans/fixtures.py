@@ -123,10 +123,10 @@ JOIN documents d ON d.doc_id = f.line_no % nd.n""",
 SELECT line_no, 'G' || CAST(l_partkey AS STRING) AS target_gene, contig, pos, id, ref, alt,
   '{"input":"' || CAST(line_no AS STRING) || '","most_severe_consequence":"' || CASE line_no % 3 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'intron_variant' ELSE 'synonymous_variant' END
   || '","colocated_variants":[' ||
-  CASE line_no % 5 WHEN 0 THEN '' WHEN 1 THEN '{"id":"rs' || CAST(line_no AS STRING) || '","allele_string":"' || ref || '/' || alt || '"}'
-   WHEN 2 THEN '{"id":"rs' || CAST(line_no AS STRING) || '","allele_string":"' || ref || '/CCC"}'
-   WHEN 3 THEN '{"id":"rs' || CAST(line_no AS STRING) || '","allele_string":"' || ref || '/' || alt || '"},{"id":"rs' || CAST(line_no + 1 AS STRING) || '","allele_string":"' || ref || '/' || alt || '"}'
-   ELSE '{"id":"COSV' || CAST(line_no AS STRING) || '","allele_string":"' || ref || '/' || alt || '"}' END
+  CASE line_no % 5 WHEN 0 THEN '' WHEN 1 THEN '{"id":"rs' || CAST(line_no AS STRING) || '","allele_string":"' || ref || '/' || alt || '"' || CASE line_no % 7 WHEN 0 THEN '' WHEN 1 THEN ',"seq_region_name":"other","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos AS STRING) WHEN 2 THEN ',"seq_region_name":"' || contig || '","start":' || CAST(pos + 5000 AS STRING) WHEN 3 THEN ',"start":"unknown"' ELSE ',"seq_region_name":"' || contig || '","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos + 1 AS STRING) END || '}'
+   WHEN 2 THEN '{"id":"RS' || CAST(line_no AS STRING) || '","allele_string":"' || CASE WHEN line_no % 2 = 0 THEN 'C' || alt || '/C' || ref ELSE ref || '/CCC' END || '"' || CASE line_no % 7 WHEN 0 THEN '' WHEN 1 THEN ',"seq_region_name":"other","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos AS STRING) WHEN 2 THEN ',"seq_region_name":"' || contig || '","start":' || CAST(pos + 5000 AS STRING) WHEN 3 THEN ',"start":"unknown"' ELSE ',"seq_region_name":"' || contig || '","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos + 1 AS STRING) END || '}'
+   WHEN 3 THEN '{"id":"rs' || CAST(line_no AS STRING) || '","allele_string":"' || ref || '/' || alt || '"' || CASE line_no % 7 WHEN 0 THEN '' WHEN 1 THEN ',"seq_region_name":"other","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos AS STRING) WHEN 2 THEN ',"seq_region_name":"' || contig || '","start":' || CAST(pos + 5000 AS STRING) WHEN 3 THEN ',"start":"unknown"' ELSE ',"seq_region_name":"' || contig || '","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos + 1 AS STRING) END || '},{"id":"' || CASE WHEN id <> '.' AND line_no % 2 = 0 THEN id ELSE 'rs' || CAST(line_no + 1 AS STRING) END || '","allele_string":"' || ref || '/' || alt || '"' || CASE line_no % 7 WHEN 0 THEN '' WHEN 1 THEN ',"seq_region_name":"other","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos AS STRING) WHEN 2 THEN ',"seq_region_name":"' || contig || '","start":' || CAST(pos + 5000 AS STRING) WHEN 3 THEN ',"start":"unknown"' ELSE ',"seq_region_name":"' || contig || '","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos + 1 AS STRING) END || '}'
+   ELSE '{"id":"COSV' || CAST(line_no AS STRING) || '","allele_string":"' || ref || '/' || alt || '"' || CASE line_no % 7 WHEN 0 THEN '' WHEN 1 THEN ',"seq_region_name":"other","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos AS STRING) WHEN 2 THEN ',"seq_region_name":"' || contig || '","start":' || CAST(pos + 5000 AS STRING) WHEN 3 THEN ',"start":"unknown"' ELSE ',"seq_region_name":"' || contig || '","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos + 1 AS STRING) END || '}' END
   || '],"transcript_consequences":[{"gene_symbol":"OTHER","canonical":1,"transcript_id":"T0","impact":"LOW","biotype":"lncRNA","consequence_terms":["intron_variant"]},{"gene_symbol":"'
   || CASE WHEN line_no % 4 = 0 THEN 'X' ELSE 'G' || CAST(l_partkey AS STRING) END || '","transcript_id":"T' || CAST(l_partkey AS STRING) || '_1"'
   || CASE WHEN line_no % 2 = 0 THEN ',"mane_select":"NM_' || CAST(l_partkey AS STRING) || '.1"' ELSE '' END
@@ -145,7 +145,7 @@ FROM annotations""",
 SELECT rsid, '{"data":[{"name":"n' || CAST(ann_seq AS STRING) || '","levelOfEvidence":{"term":"' || CASE ann_seq % 3 WHEN 0 THEN '1A' WHEN 1 THEN '2B' ELSE '3' END
   || '"},"relatedChemicals":[{"name":"warfarin"},{"name":"drug' || CAST(ann_seq % 4 AS STRING) || '"}],"allelePhenotypes":[{"allele":"A","phenotype":"' || repeat('p', CAST(ann_seq % 300 AS INT)) || '"}]}]}' AS payload,
   '{"data":[{"alleleGenotype":"AG","sentence":"' || repeat('s', CAST(ann_seq % 300 AS INT)) || '","relatedChemicals":[{"name":"drug' || CAST(ann_seq % 4 AS STRING) || '"}],"literature":{"crossReferences":[{"resource":"PubMed","resourceId":"' || CAST(ann_seq AS STRING) || '"},{"resource":"DOI","resourceId":"x"}]}}]}' AS notes
-FROM annotations WHERE ann_seq % 2 = 1""",
+FROM annotations""",
     "cache_writes": r"""
 SELECT 'GRCh38' AS assembly, 'v' || CAST(user_id AS STRING) AS variant_key, event_type AS source, 'f' || CAST(event_id % 3 AS STRING) AS fingerprint,
        CASE WHEN value > 150 THEN 'source_error' WHEN value < 10 THEN 'not_found' ELSE 'success' END AS status, ts AS fetched_at, event_id

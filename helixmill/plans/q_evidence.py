@@ -44,6 +44,16 @@ def priority():
     return e.review_priority(C("final_confidence_level"), flag("evidence_conflict_flag"), flag("requires_professional_review"), flag("gene_or_locus_ambiguity_flag"))
 
 
+def confidence():
+    return F.when(C("ann_seq") % 5 < 3, "High").otherwise("Moderate")
+
+
+def readiness_columns():
+    """Evidence columns of scored rows under the names that readiness reads."""
+    k = C("ann_seq")
+    return {"canon_effect": F.when(k % 4 == 1, "raises"), "vep_hgvsp": C("vep_hgvsp"), "vep_hgvsc": F.when(k % 9 == 1, "c.1"), "vep_cadd_phred": C("vep_cadd_phred"), "vep_revel_score": C("vep_revel_score"), "clinvar_normalized_classification": C("clinvar_normalized_classification"), "gwas_association_count": C("gwas_association_count"), "pharmgkb_clinical_annotation_count": C("pharmgkb_clinical_annotation_count"), "pharmgkb_variant_annotation_count": C("pharmgkb_variant_annotation_count"), "population_frequency_summary": F.when(k % 6 != 2, "max_freq=0.01")}
+
+
 def jsonl(s, df):
     """df written as lines of JSON, read back as text."""
     path = files.shared_dir(s)
@@ -55,7 +65,7 @@ NOW = "2024-06-01 00:00:00"
 QUERIES = {
     "json_vep": lambda s, d: e.parse_vep(view(s, d, "vep_payloads")).drop("payload"),
     "win_transcript_pick": lambda s, d: e.parse_vep(view(s, d, "vep_payloads")).select("line_no", "vep_gene", "vep_transcript"),
-    "cls_rsid_resolution": lambda s, d: e.resolve_rsid(view(s, d, "vep_payloads")).select("line_no", "resolved_rsid", "rsid_status", "n_exact", "n_colocated"),
+    "cls_rsid_resolution": lambda s, d: e.resolve_rsid(view(s, d, "vep_payloads")).select("line_no", "resolved_rsid", "rsid_status", "rsid_reason", "colocated_count", "colocated_rsid_count"),
     "json_gwas": lambda s, d: e.parse_gwas(view(s, d, "gwas_payloads")).select("rsid", "n", "traits", (C("min_p") <= 5e-8).alias("strong"), "genes", F.regexp_replace("top_associations", "p=[^; ]*", "p").alias("associations")),
     "json_clinvar": lambda s, d: e.parse_clinvar(view(s, d, "clinvar_payloads")).drop("payload"),
     "json_pgx": lambda s, d: e.parse_pgx(view(s, d, "pgx_payloads"), notes="notes").drop("payload", "notes"),
@@ -90,12 +100,19 @@ QUERIES = {
     "agg_qa_warnings": lambda s, d: view(s, d, "interp").select(F.explode(F.split(F.concat_ws("|", F.when(flag("evidence_conflict_flag"), "conflict"), F.when(flag("requires_professional_review"), "review"), F.when(C("row_id") % 3 == 0, "third")), r"\|")).alias("warning")).where("warning <> ''").groupBy("warning").agg(F.count("*").alias("n")),
     "cls_association_raise": lambda s, d: view(s, d, "interp").select("row_id", F.when((C("final_confidence_level") == "Low") & t.any_of(C("technical_notes_en"), t.NONCODING) & t.gwas_strong(C("technical_notes_en")) & t.any_of(C("technical_notes_en"), t.BIOMARKERS), "Moderate").otherwise(C("final_confidence_level")).alias("confidence")),
     "cls_calibrated_scope": lambda s, d: view(s, d, "interp").select("row_id", F.when(C("final_confidence_level") == "Conflicting", "conflicting_review_needed").when((C("final_confidence_level") == "Low") & t.any_of(C("technical_notes_en"), t.NONCODING), "association_only").when(C("final_confidence_level") == "Low", "limited_evidence").when(F.contains("technical_notes_en", F.lit("pharmgkb")), "pharmacogenomic").otherwise("benign_contextual").alias("scope")),
-    "cls_readiness": lambda s, d: scored(s, d).select("rsid", F.size(F.array_compact(F.array(F.when(C("vep_hgvsp") != "", "hgvsp"), F.when(t.as_float(C("vep_cadd_phred")) >= 10, "cadd"), F.when(C("clinvar_significance").isNotNull(), "clinvar"), F.when(t.as_int(C("gwas_association_count")) > 0, "gwas"), F.when(t.as_int(C("pharmgkb_clinical_annotation_count")) > 0, "pgx")))).alias("k")).select("rsid", F.when(C("k") >= 4, "high").when(C("k") >= 3, "moderate").otherwise("limited").alias("readiness")),
+    "cls_readiness": lambda s, d: scored(s, d).select("rsid", e.interpretation_readiness(readiness_columns(), t.text(confidence())).alias("readiness")),
     "set_subset_check": lambda s, d: view(s, d, "interp").select("row_id", F.split("ref_alt", "/").alias("a"), F.when(C("row_id") % 3 == 0, F.array(F.lit("A"), F.lit("G"), F.lit("T"))).when(C("row_id") % 3 == 1, F.array(F.lit("G"))).otherwise(F.array(F.lit("X"))).alias("b")).select("row_id", F.when(F.size(F.array_except("a", "b")) == 0, "subset").when(F.arrays_overlap("a", "b"), "overlap").otherwise("disjoint").alias("status")),
 }
 
 R = {n: f"{n} = 'true'" for n in ("gene_or_locus_ambiguity_flag", "evidence_conflict_flag", "requires_professional_review")}
 PRI = f"CASE WHEN final_confidence_level = 'Conflicting' OR {R['evidence_conflict_flag']} THEN 'high' WHEN {R['requires_professional_review']} OR {R['gene_or_locus_ambiguity_flag']} THEN 'medium' ELSE 'low' END"
+RSID = """ra AS (SELECT *, 'rs' || CAST(line_no AS VARCHAR) AS r1, CASE WHEN id <> '.' AND line_no % 2 = 0 THEN id ELSE 'rs' || CAST(line_no + 1 AS VARCHAR) END AS r2, line_no % 7 NOT IN (1, 2) AS near, line_no % 7 > 3 AS placed FROM vep_payloads),
+rh AS (SELECT *, CASE WHEN line_no % 5 IN (1, 3) AND near OR line_no % 5 = 2 AND line_no % 2 = 0 AND placed THEN r1 END AS h1, CASE WHEN line_no % 5 = 3 AND near THEN r2 END AS h2, CASE line_no % 5 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS n FROM ra),
+rk AS (SELECT *, CASE WHEN id = h1 OR id = h2 THEN 'own' WHEN h2 IS NOT NULL AND h1 <> h2 THEN 'many' WHEN h1 IS NOT NULL THEN CASE WHEN line_no % 5 = 2 THEN 'indel' ELSE 'one' END WHEN line_no % 5 IN (1, 2, 3) THEN 'mismatch' ELSE 'none' END AS k FROM rh),
+rr AS (SELECT *, CASE k WHEN 'own' THEN id WHEN 'one' THEN h1 WHEN 'indel' THEN h1 ELSE '' END AS resolved_rsid,
+ CASE k WHEN 'own' THEN 'vcf_id_confirmed_by_vep_exact_allele' WHEN 'many' THEN 'ambiguous_multiple_exact_rsids' WHEN 'indel' THEN 'vep_colocated_normalized_indel' WHEN 'one' THEN 'vep_colocated_exact_allele' WHEN 'mismatch' THEN 'vep_colocated_allele_mismatch' ELSE 'unresolved_no_exact_rsid' END AS rsid_status,
+ CASE k WHEN 'own' THEN 'vcf_id_and_vep_allele_match' WHEN 'many' THEN 'multiple_vep_colocated_allele_matches' WHEN 'mismatch' THEN 'colocated_rsid_requires_coordinate_allele_reconciliation' WHEN 'none' THEN 'vep_response_has_no_colocated_rsid' ELSE 'unique_vep_colocated_allele_match' END AS rsid_reason,
+ CAST(n AS BIGINT) AS colocated_count, CAST(CASE WHEN line_no % 5 = 3 AND r1 = r2 THEN 1 WHEN line_no % 5 = 4 THEN 0 ELSE n END AS BIGINT) AS colocated_rsid_count FROM rk)"""
 RAWJ = """jv AS (SELECT v.*, 'T' || substr(target_gene, 2) || '_1' AS own_t, line_no % 4 <> 0 AS direct, line_no % 2 = 0 AS mane FROM vep_payloads v)"""
 CL = "CASE WHEN clinvar_significance IS NULL THEN 'not_reported' WHEN lower(clinvar_significance) LIKE '%conflicting%pathogenic%' THEN 'conflicting_pathogenicity' WHEN lower(clinvar_significance) LIKE '%pathogenic%' THEN 'pathogenic_or_likely_pathogenic' WHEN lower(clinvar_significance) LIKE '%uncertain%' THEN 'uncertain_significance' WHEN clinvar_significance LIKE '%drug response%' THEN 'drug_response' WHEN clinvar_significance LIKE '%risk factor%' THEN 'risk_factor' WHEN lower(clinvar_significance) LIKE '%benign%' THEN 'benign_or_likely_benign' ELSE 'other_reported' END"
 NUM = lambda c: f"coalesce(TRY_CAST({c} AS DOUBLE), 0)"
@@ -120,10 +137,10 @@ SQL = {
     "snk_jsonl": f"""WITH {SC} SELECT '{{"grp":' || grp || ',"size":' || size || ',"max_score":' || CAST(max_score AS BIGINT) || '}}' AS line FROM gp""",
     "json_vep": f"WITH {RAWJ} SELECT line_no, target_gene, contig, pos, id, ref, alt, CASE line_no % 3 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'intron_variant' ELSE 'synonymous_variant' END AS vep_most_severe_consequence, CASE WHEN direct THEN 'direct_target_transcript' ELSE 'other_gene_only' END AS vep_status, CASE WHEN direct THEN target_gene WHEN mane THEN 'X' ELSE 'OTHER' END AS vep_gene, own_t AS vep_transcript, 'MODERATE' AS vep_impact, 'p.' || CAST(line_no % 99 AS VARCHAR) AS vep_hgvsp, CAST(line_no % 35 AS DOUBLE) AS vep_cadd_phred, 'intron_variant|missense_variant|splice_region_variant' AS vep_terms, 'OTHER|' || CASE WHEN direct THEN target_gene ELSE 'X' END AS vep_genes FROM jv",
     "win_transcript_pick": f"WITH {RAWJ} SELECT line_no, CASE WHEN direct THEN target_gene ELSE 'X' END AS vep_gene, own_t AS vep_transcript FROM jv",
-    "cls_rsid_resolution": "SELECT line_no, CASE WHEN line_no % 5 = 1 THEN 'rs' || CAST(line_no AS VARCHAR) WHEN line_no % 5 = 3 AND id IN ('rs' || CAST(line_no AS VARCHAR), 'rs' || CAST(line_no + 1 AS VARCHAR)) THEN id ELSE '' END AS resolved_rsid, CASE WHEN line_no % 5 IN (1, 3) AND (id = 'rs' || CAST(line_no AS VARCHAR) OR (line_no % 5 = 3 AND id = 'rs' || CAST(line_no + 1 AS VARCHAR))) THEN 'vcf_id_confirmed_by_vep_exact_allele' WHEN line_no % 5 = 1 THEN 'vep_colocated_exact_allele' WHEN line_no % 5 = 3 THEN 'ambiguous_multiple_exact_rsids' WHEN line_no % 5 = 2 THEN 'vep_colocated_allele_mismatch' ELSE 'unresolved_no_exact_rsid' END AS rsid_status, CAST(CASE line_no % 5 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS n_exact, CAST(CASE line_no % 5 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS n_colocated FROM vep_payloads",
+    "cls_rsid_resolution": f"WITH {RSID} SELECT line_no, resolved_rsid, rsid_status, rsid_reason, colocated_count, colocated_rsid_count FROM rr",
     "json_gwas": "SELECT rsid, CAST(2 AS BIGINT) AS n, CASE WHEN ann_seq % 5 = ann_seq % 3 THEN 't' || CAST(ann_seq % 5 AS VARCHAR) ELSE 't' || CAST(ann_seq % 5 AS VARCHAR) || '|t' || CAST(ann_seq % 3 AS VARCHAR) END AS traits, least(CAST(CAST(ann_seq % 9 + 1 AS VARCHAR) || 'e-' || CAST(ann_seq % 12 + 3 AS VARCHAR) AS DOUBLE), CAST(CAST(ann_seq % 7 + 1 AS VARCHAR) || 'e-' || CAST(ann_seq % 10 + 2 AS VARCHAR) AS DOUBLE)) <= 5e-8 AS strong, CASE WHEN rsid IS NOT NULL THEN 'H' || CAST(ann_seq % 4 AS VARCHAR) || '|H9' END AS genes, 'trait=t' || CAST(ann_seq % 5 AS VARCHAR) || '; p || trait=t' || CAST(ann_seq % 3 AS VARCHAR) || '; p; ' || CASE WHEN ann_seq % 2 = 0 THEN 'beta=0.25 increase' ELSE 'OR=1.5' END || '; genes=H' || CAST(ann_seq % 4 AS VARCHAR) || ',H9' AS associations FROM annotations",
     "json_clinvar": "SELECT rsid, CAST(ann_seq AS VARCHAR) AS ids, 'v' || CAST(ann_seq AS VARCHAR) AS titles, CASE WHEN ann_seq % 2 = 0 THEN 'Benign' ELSE 'Pathogenic' END AS classes, CASE WHEN ann_seq % 2 = 0 THEN '' ELSE 'criteria provided, single submitter' END AS review, 'c' || CAST(ann_seq % 6 AS VARCHAR) AS traits, 'RCV' || CAST(ann_seq AS VARCHAR) AS accessions, CASE WHEN ann_seq % 3 = 0 THEN 'germline' ELSE '' END AS record_types FROM annotations",
-    "json_pgx": "SELECT rsid, CAST(1 AS BIGINT) AS n, CASE ann_seq % 3 WHEN 0 THEN '1A' WHEN 1 THEN '2B' ELSE '3' END AS levels, 'warfarin|drug' || CAST(ann_seq % 4 AS VARCHAR) AS chemicals, trim('A: ' || left(repeat('p', ann_seq % 300), 220)) AS phenotypes, CAST(1 AS BIGINT) AS n_notes, 'drug' || CAST(ann_seq % 4 AS VARCHAR) AS note_chemicals, 'genotype=AG; chemicals=drug' || CAST(ann_seq % 4 AS VARCHAR) || CASE WHEN ann_seq % 300 > 0 THEN '; sentence=' || left(repeat('s', ann_seq % 300), 240) ELSE '' END AS notes_summary, CAST(ann_seq AS VARCHAR) AS pmids FROM annotations WHERE ann_seq % 2 = 1",
+    "json_pgx": "SELECT rsid, CAST(1 AS BIGINT) AS n, CASE ann_seq % 3 WHEN 0 THEN '1A' WHEN 1 THEN '2B' ELSE '3' END AS levels, 'warfarin|drug' || CAST(ann_seq % 4 AS VARCHAR) AS chemicals, trim('A: ' || left(repeat('p', ann_seq % 300), 220)) AS phenotypes, CAST(1 AS BIGINT) AS n_notes, 'drug' || CAST(ann_seq % 4 AS VARCHAR) AS note_chemicals, 'genotype=AG; chemicals=drug' || CAST(ann_seq % 4 AS VARCHAR) || CASE WHEN ann_seq % 300 > 0 THEN '; sentence=' || left(repeat('s', ann_seq % 300), 240) ELSE '' END AS notes_summary, CAST(ann_seq AS VARCHAR) AS pmids FROM annotations",
     "win_cache_latest": "SELECT variant_key, source, event_id, status FROM cache_writes QUALIFY row_number() OVER (PARTITION BY assembly, variant_key, source ORDER BY fetched_at DESC, event_id DESC) = 1",
     "join_cache_miss": f"WITH l AS (SELECT * FROM cache_writes QUALIFY row_number() OVER (PARTITION BY assembly, variant_key, source ORDER BY fetched_at DESC, event_id DESC) = 1) SELECT DISTINCT variant_key, source, fingerprint FROM cache_writes c WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.variant_key = c.variant_key AND l.source = c.source AND l.fingerprint = c.fingerprint AND l.fetched_at + INTERVAL 14 DAY > TIMESTAMP '{NOW}')",
     "agg_source_metrics": "SELECT source, count(*) AS completed, count(*) FILTER (WHERE status = 'source_error') AS errors, count(*) FILTER (WHERE status = 'not_found') AS not_found, count(*) FILTER (WHERE fingerprint = 'f0') AS cache_hits FROM cache_writes GROUP BY source",
@@ -140,7 +157,8 @@ SQL = {
     "agg_duplicate_confidence": """WITH k AS (SELECT upper(gene) AS k_gene, lower(rsid) AS k_rsid, upper(observed_genotype) AS k_gt, lower(zygosity) AS k_zyg, upper(ref_alt) AS k_alt, final_confidence_level AS l, row_id, gene_or_locus_ambiguity_flag = 'true' AS a FROM interp),
  c AS (SELECT k_gene, k_rsid, k_gt, k_zyg, k_alt, l, count(*) AS n, min(row_id) AS f, bool_or(a) AS a, CASE l WHEN 'Low' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'High' THEN 3 ELSE 4 END AS r FROM k GROUP BY ALL),
  m AS (SELECT *, row_number() OVER (PARTITION BY k_gene, k_rsid, k_gt, k_zyg, k_alt ORDER BY n DESC, f) AS o FROM c)
- SELECT k_gene, k_rsid, k_gt, k_zyg, k_alt, CAST(sum(n) AS BIGINT) AS rows, CASE WHEN count(*) = 1 THEN NULL WHEN bool_or(l = 'Conflicting') THEN 'Conflicting' WHEN bool_or(a) THEN 'Moderate' WHEN max(n) > 1 THEN max(CASE WHEN o = 1 THEN l END) WHEN min(r) = 2 AND max(r) = 3 THEN 'Moderate' ELSE CASE min(r) WHEN 1 THEN 'Low' WHEN 2 THEN 'Moderate' ELSE 'High' END END AS confidence FROM m GROUP BY k_gene, k_rsid, k_gt, k_zyg, k_alt""",
+ SELECT k_gene, k_rsid, k_gt, k_zyg, k_alt, CAST(sum(n) AS BIGINT) AS rows, CASE WHEN count(*) = 1 THEN NULL WHEN bool_or(l = 'Conflicting') THEN 'Conflicting' WHEN bool_or(a) THEN 'Moderate' WHEN max(n) > 1 THEN max(CASE WHEN o = 1 THEN l END) WHEN min(r) = 2 AND max(r) = 3 THEN 'Moderate' ELSE CASE min(r) WHEN 1 THEN 'Low' WHEN 2 THEN 'Moderate' ELSE 'High' END END AS confidence,
+  CASE WHEN count(*) = 1 THEN NULL WHEN bool_or(l = 'Conflicting') THEN '""" + e.DUPLICATE_REASONS[0] + """' WHEN bool_or(a) THEN '""" + e.DUPLICATE_REASONS[1] + """' WHEN max(n) > 1 THEN '""" + e.DUPLICATE_REASONS[2] + """' WHEN min(r) = 2 AND max(r) = 3 THEN '""" + e.DUPLICATE_REASONS[3] + """' ELSE '""" + e.DUPLICATE_REASONS[4] + """' END AS reason FROM m GROUP BY k_gene, k_rsid, k_gt, k_zyg, k_alt""",
     "join_category_axis": f"WITH {AX} SELECT category, axis_id FROM ax",
     "agg_axis_groups": f"WITH {AX} {dist('axis_id', 'ar')}",
     "agg_category_groups": dist("category"),
@@ -157,6 +175,6 @@ SQL = {
     "agg_qa_warnings": f"SELECT warning, count(*) AS n FROM (SELECT 'conflict' AS warning FROM interp WHERE {R['evidence_conflict_flag']} UNION ALL SELECT 'review' FROM interp WHERE {R['requires_professional_review']} UNION ALL SELECT 'third' FROM interp WHERE row_id % 3 = 0) GROUP BY warning",
     "cls_association_raise": "SELECT row_id, CASE WHEN final_confidence_level = 'Low' AND technical_notes_en LIKE 'intron_variant gwas serum ige p=5%' THEN 'Moderate' ELSE final_confidence_level END AS confidence FROM interp",
     "cls_calibrated_scope": "SELECT row_id, CASE WHEN final_confidence_level = 'Conflicting' THEN 'conflicting_review_needed' WHEN final_confidence_level = 'Low' AND regexp_matches(technical_notes_en, 'intron_variant|upstream_gene_variant') THEN 'association_only' WHEN final_confidence_level = 'Low' THEN 'limited_evidence' WHEN contains(technical_notes_en, 'pharmgkb') THEN 'pharmacogenomic' ELSE 'benign_contextual' END AS scope FROM interp",
-    "cls_readiness": f"WITH {SC}, k AS (SELECT rsid, CAST(ann_seq % 3 = 0 AS INTEGER) + CAST(cadd >= 10 AS INTEGER) + CAST(clinvar_significance IS NOT NULL AS INTEGER) + CAST(gc > 0 AS INTEGER) + CAST(pc > 0 AS INTEGER) AS k FROM sc) SELECT rsid, CASE WHEN k >= 4 THEN 'high' WHEN k >= 3 THEN 'moderate' ELSE 'limited' END AS readiness FROM k",
+    "cls_readiness": f"WITH {SC}, k AS (SELECT rsid, ann_seq % 5 < 3 AS sure, list_filter([CASE WHEN ann_seq % 4 = 1 THEN 'canon_context' END, CASE WHEN ann_seq % 3 = 0 OR ann_seq % 9 = 1 THEN 'hgvs' END, CASE WHEN coalesce(cadd_phred, '') <> '' OR coalesce(revel_score, '') <> '' THEN 'deleteriousness_scores' END, CASE WHEN cl <> 'not_reported' THEN 'clinvar' END, CASE WHEN gwas_association_count <> '0' THEN 'gwas' END, CASE WHEN pharmgkb_clinical_annotation_count <> '0' OR ann_seq % 4 = 0 THEN 'pharmacogenomics' END, CASE WHEN ann_seq % 6 <> 2 THEN 'population_frequency' END], lambda x: x IS NOT NULL) AS f FROM sc) SELECT rsid, CASE WHEN sure AND len(f) >= 4 THEN 'high' WHEN len(f) >= 3 THEN 'moderate' ELSE 'limited' END || '_interpretability: ' || CASE WHEN len(f) = 0 THEN 'minimal_external_context' ELSE array_to_string(f, ', ') END AS readiness FROM k",
     "set_subset_check": "SELECT row_id, CASE row_id % 3 WHEN 0 THEN CASE WHEN ref_alt = 'A/G' THEN 'subset' ELSE 'overlap' END WHEN 1 THEN 'overlap' ELSE 'disjoint' END AS status FROM interp",
 }

@@ -76,6 +76,16 @@ def streamed(s, d):
     return streams.stream_vcf(s, vcf_folder(s, d))
 
 
+def colocated(s, d):
+    """Each allele against one record: of its contig or another, at its place, elsewhere or nowhere, with its alleles as
+    they are, longer by a base, or others."""
+    k = C("line_no")
+    alleles = F.when(k % 5 == 0, F.concat_ws("/", "ref", "allele")).when(k % 5 == 1, F.concat(F.lit("C"), "ref", F.lit("|C"), "allele")).when(k % 5 == 2, F.concat(F.lit("N,C"), "allele", F.lit(",C"), "ref")).otherwise("N/M")
+    start = F.when(k % 4 == 1, C("start")).when(k % 4 == 2, C("start") + 100_000).when(k % 4 == 3, C("start") - 1).cast("string")
+    record = F.struct(alleles.alias("allele_string"), F.when(k % 3 > 0, "5").alias("seq_region_name"), F.coalesce(start, F.lit("x")).alias("start"), F.when(k % 4 == 3, (C("start") + 3).cast("string")).alias("end"))
+    return q_vcf.alleles(s, d).select(*q_match.KEYS, e.colocated_match(record, C("chrom"), C("start"), C("ref"), C("allele")).alias("kind"))
+
+
 def variation_payloads(s, d):
     """Variation records made from the annotations."""
     a = view(s, d, "annotations")
@@ -115,7 +125,7 @@ QUERIES = {
     "agg_group_result_summary": lambda s, d: e.group_payloads(q_evidence.scored(s, d), q_evidence.GROUP).agg(F.count(F.when(C("max_score") >= 100, 1)).alias("interpreted"), F.count(F.when(C("max_score") < 100, 1)).alias("errors")).select("interpreted", "errors", F.when(C("interpreted") == 0, "invalid").when(C("errors") > 0, "warning").otherwise("valid").alias("status")),
     "join_axis_conformance": lambda s, d: i.conform_axes(view(s, d, "interp").select(F.when(C("row_id") % 3 == 0, "sleep_circadian").otherwise("zzz").alias("axis_id"), F.when(C("row_id") % 3 == 1, "IMMUNE").otherwise("other").alias("axis_name"), C("row_id").alias("seq")), view(s, d, "axis_patterns").select("axis_id", C("pattern").alias("axis_name"), "axis_order")),
     "win_first_mapping": lambda s, d: q_vcf.records(s, d).select("line_no", i.first_mapping(F.array(F.struct(F.lit("scaffold").alias("coord_system"), F.lit("x").alias("seq_region_name"), F.lit(1).cast("bigint").alias("start"), F.lit("A/C").alias("allele_string")), F.struct(F.when(C("line_no") % 2 == 0, "chromosome").otherwise("other").alias("coord_system"), C("chrom").alias("seq_region_name"), C("pos").try_cast("bigint").alias("start"), F.concat_ws("/", "ref", F.replace("alt", F.lit(","), F.lit("/"))).alias("allele_string")))).alias("m")).select("line_no", "m.*"),
-    "fn_colocated_match": lambda s, d: q_vcf.records(s, d).select("line_no", i.colocated_match(F.when(C("line_no") % 3 == 0, "").otherwise("5"), C("chrom")).alias("same")),
+    "fn_colocated_match": colocated,
     "win_transcript_pick_legacy": lambda s, d: e.pick_transcript_legacy(view(s, d, "transcripts").withColumn("is_canonical", (C("transcript_id").endswith("_2")).cast("int"))).select("gene_id", "transcript_id"),
     "json_ensembl_variation": lambda s, d: e.parse_variation(variation_payloads(s, d)),
     "json_myvariant": lambda s, d: e.parse_myvariant(hit_payloads(s, d)),
@@ -130,7 +140,7 @@ QUERIES = {
     "snk_status_partitions": lambda s, d: status_folder(s, d).groupBy("match_status").agg(F.count("*").alias("n")),
     "str_upload_ingest": lambda s, d: streams.drain(streamed(s, d).select("upload_id", "chrom", "pos", "ref", "alt"), folder(s)),
     "str_match_static": lambda s, d: streams.drain(streams.stream_match(streamed(s, d), view(s, d, "genes")).select("upload_id", "contig", "start", "allele", "gene_id"), folder(s)),
-    "str_dedup_variants": lambda s, d: streams.drain(streams.stream_dedup(vcf.observed_alleles(streamed(s, d))).select("upload_id", "variant_key"), folder(s)),
+    "str_dedup_variants": lambda s, d: streams.stream_dedup(vcf.observed_alleles(streamed(s, d)).select("upload_id", "variant_key"), folder(s)),
     "str_cache_upsert": cached_stream,
     "str_running_counts": lambda s, d: streams.drain(streams.stream_progress(streamed(s, d)), folder(s), "complete"),
 }
@@ -161,8 +171,8 @@ SQL = {
     "cls_synonymous_cap": "SELECT row_id, CASE WHEN final_confidence_level = 'High' AND row_id % 2 = 0 AND contains(technical_notes_en, 'benign') THEN 'Moderate' ELSE final_confidence_level END AS confidence FROM interp",
     "cls_allele_match": "SELECT row_id, CASE row_id % 4 WHEN 0 THEN 'no_observed_alt_allele' WHEN 1 THEN 'observed_alt_overlaps_vcf_alt_catalog' WHEN 2 THEN 'observed_alt_overlaps_ensembl_mapping' ELSE 'observed_alt_not_confirmed_against_catalogs' END AS status FROM interp",
     "cls_support_summary": "SELECT rsid, concat_ws(' || ', 'CADD: ' || cadd_phred, 'ClinVar classification: ' || clinvar_significance, 'ClinVar review status: ' || clinvar_review_status) AS summary FROM annotations",
-    "cls_vep_only": "SELECT line_no, CASE WHEN line_no % 17 = 0 THEN 'vep_error' WHEN line_no % 5 = 2 THEN 'colocated_rsid_allele_mismatch' WHEN line_no % 5 = 3 AND id NOT IN ('rs' || CAST(line_no AS VARCHAR), 'rs' || CAST(line_no + 1 AS VARCHAR)) THEN 'ambiguous_multiple_exact_rsids' WHEN line_no % 2 = 0 THEN 'functional_annotation_without_exact_rsid' ELSE 'no_usable_vep_annotation' END AS cls FROM vep_payloads",
-    "cls_variant_master": "SELECT line_no, contig, pos, ref, alt, CASE line_no % 5 WHEN 2 THEN 'vep_colocated_allele_mismatch' WHEN 3 THEN 'ambiguous_multiple_exact_rsids' ELSE 'unresolved_no_exact_rsid' END AS rsid_status FROM vep_payloads WHERE line_no % 5 IN (0, 2, 4) OR (line_no % 5 = 3 AND id NOT IN ('rs' || CAST(line_no AS VARCHAR), 'rs' || CAST(line_no + 1 AS VARCHAR)))",
+    "cls_vep_only": f"WITH {q_evidence.RSID} SELECT line_no, CASE WHEN line_no % 17 = 0 THEN 'vep_error' WHEN k = 'mismatch' THEN 'colocated_rsid_allele_mismatch' WHEN k = 'many' THEN 'ambiguous_multiple_exact_rsids' WHEN line_no % 2 = 0 THEN 'functional_annotation_without_exact_rsid' ELSE 'no_usable_vep_annotation' END AS cls FROM rr",
+    "cls_variant_master": f"WITH {q_evidence.RSID} SELECT line_no, contig, pos, ref, alt, rsid_status FROM rr WHERE resolved_rsid = ''",
     "cls_enriched_rows": f"SELECT row_id, gene, i.rsid AS id, {q_evidence.CL} AS cls, coalesce(nullif(cadd_phred, ''), 'NA') AS cadd FROM interp i LEFT JOIN annotations a ON i.rsid = a.rsid",
     "cls_placeholder_interp": "SELECT row_id, 'Placeholder interpretation for ' || gene || ' ' || rsid || '.' AS sentence, 'Low' AS confidence, TRUE AS requires_review FROM interp",
     "prj_payload_fields": "SELECT row_id, gene, rsid, observed_genotype, zygosity, final_confidence_level AS preliminary_confidence_from_input FROM interp",
@@ -170,7 +180,7 @@ SQL = {
     "join_interpretation_errors": "SELECT row_id, CASE WHEN evidence_conflict_flag = 'false' AND trim(interpretation_one_sentence_en) <> '' THEN 'interpreted' ELSE 'failed' END AS state FROM interp",
     "join_axis_conformance": "SELECT CASE row_id % 3 WHEN 0 THEN 'sleep_circadian' ELSE 'immune_inflammatory' END AS axis, min(row_id) AS seq, CASE row_id % 3 WHEN 0 THEN 6 ELSE 2 END AS axis_order FROM interp WHERE row_id % 3 < 2 GROUP BY ALL",
     "win_first_mapping": f"WITH {q_vcf.REC} SELECT line_no, CASE WHEN line_no % 2 = 0 THEN chrom ELSE 'x' END AS chrom, CASE WHEN line_no % 2 = 0 THEN TRY_CAST(pos AS BIGINT) ELSE 1 END AS pos, CASE WHEN line_no % 2 = 0 THEN ref ELSE 'A' END AS ref, CASE WHEN line_no % 2 = 0 THEN alt ELSE 'C' END AS alt FROM rec",
-    "fn_colocated_match": f"WITH {q_vcf.REC} SELECT line_no, line_no % 3 = 0 OR {q_vcf.norm('chrom')} = 'chr5' AS same FROM rec",
+    "fn_colocated_match": f"WITH {q_vcf.ALL}, x AS (SELECT *, line_no % 5 = 0 AS same, line_no % 5 IN (1, 2) AS longer, line_no % 3 = 0 OR contig IN ('', 'chr5') AS there FROM al) SELECT upload_id, line_no, alt_index, CASE WHEN NOT there THEN '' WHEN line_no % 4 = 0 OR start IS NULL THEN CASE WHEN same THEN 'exact_allele' ELSE '' END WHEN line_no % 4 = 2 THEN '' WHEN same THEN 'exact_allele' WHEN longer THEN 'normalized_indel_allele' ELSE '' END AS kind FROM x",
     "snk_status_partitions": f"WITH {q_match.CON} SELECT match_status, count(*) AS n FROM co GROUP BY match_status",
     "snk_csv_ordered": "SELECT canon_row_id, tier FROM canon_rows",
     "str_cache_upsert": "SELECT variant_key, source, event_id, status FROM cache_writes QUALIFY row_number() OVER (PARTITION BY assembly, variant_key, source ORDER BY fetched_at DESC, event_id DESC) = 1",

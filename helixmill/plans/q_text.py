@@ -33,10 +33,13 @@ def blob():
 
 BLOB_SQL = "technical_notes_en || CASE row_id % 3 WHEN 0 THEN ' multiple associations' WHEN 1 THEN ' p-value: 2.0e-08' ELSE ' no gwas' END"
 def sentence():
-    return F.concat(F.left(F.regexp_replace("interpretation_one_sentence_en", "[^a-zA-Z. ]", ""), 150 + C("row_id").cast("int") % 300), F.when(C("row_id") % 3 == 0, "; then").when(C("row_id") % 3 == 1, " but so").otherwise(""))
+    """The whole text's letters, a separator set in somewhere after the first 150."""
+    letters, at = F.regexp_replace("interpretation_one_sentence_en", "[^a-zA-Z. ]", ""), 150 + C("row_id").cast("int") % 300
+    return F.concat(F.left(letters, at), F.when(C("row_id") % 3 == 0, "; then").when(C("row_id") % 3 == 1, " but so").otherwise(""), F.expr("substr(regexp_replace(interpretation_one_sentence_en, '[^a-zA-Z. ]', ''), 151 + cast(row_id as int) % 300)"))
 
 
-SENTENCE_SQL = "left(regexp_replace(interpretation_one_sentence_en, '[^a-zA-Z. ]', '', 'g'), 150 + row_id % 300) || CASE row_id % 3 WHEN 0 THEN '; then' WHEN 1 THEN ' but so' ELSE '' END"
+LETTERS = "regexp_replace(interpretation_one_sentence_en, '[^a-zA-Z. ]', '', 'g')"
+SENTENCE_SQL = f"left({LETTERS}, 150 + row_id % 300) || CASE row_id % 3 WHEN 0 THEN '; then' WHEN 1 THEN ' but so' ELSE '' END || substr({LETTERS}, 151 + row_id % 300)"
 def pmax():
     return t.population_max(C("populations"))
 
@@ -66,9 +69,9 @@ QUERIES = {
     "json_list_field": on("interp", I, lambda: dict(n=F.size(t.json_list(F.when(C("row_id") % 3 == 0, F.concat(F.lit('["a","'), C("gene"), F.lit('"]'))).when(C("row_id") % 3 == 1, "[]").otherwise("{bad"))).cast("bigint"))),
     "prj_language_text": on("interp", I, lambda: dict(en=C("technical_notes_en"), chosen=F.when(C("row_id") % 2 == 0, C("technical_notes_en")).otherwise(C("category")))),
     "fn_compact_number": on("annotations", A, lambda: dict(cadd=t.compact_number(C("cadd_phred")), p=t.compact_number(C("gwas_min_pvalue")), x=t.compact_number((C("ann_seq") / 7).cast("string")))),
-    "fn_compact_json": on("annotations", A, lambda: dict(j=t.compact_json(F.struct("cadd_phred", "revel_score", "rsid"), 40))),
-    "fn_fingerprint": on("annotations", A, lambda: dict(f=t.fingerprint(C("cadd_phred"), C("revel_score")))),
-    "fn_ascii_text": on("interp", I, lambda: dict(plain=t.ascii_text(F.left("interpretation_one_sentence_en", F.lit(120))))),
+    "fn_compact_json": on("annotations", A, lambda: dict(j=t.compact_json({"rsid": C("rsid"), "cadd_phred": C("cadd_phred"), "revel_score": C("revel_score")}, 40))),
+    "fn_fingerprint": on("annotations", A, lambda: dict(f=t.fingerprint({"revel_score": C("revel_score"), "cadd_phred": C("cadd_phred")}))),
+    "fn_ascii_text": on("interp", I, lambda: dict(plain=t.ascii_text(C("interpretation_one_sentence_en")))),
 }
 
 HINTS = "[" + ", ".join("'" + h + "'" for h in t.CATEGORY_HINTS) + "]"
@@ -84,8 +87,16 @@ def nullword(c):
     return f"CASE WHEN lower(trim({c})) IN ('nan', 'none', '<na>') THEN '' ELSE trim({c}) END"
 
 
-HEADS = "coalesce(" + ", ".join(f"CASE WHEN contains(s, '{x}') AND len(regexp_extract_all(split_part(s, '{x}', 1), '\\w+')) BETWEEN 18 AND 42 THEN CASE WHEN right(trim(split_part(s, '{x}', 1)), 1) IN ('.', '!', '?') THEN trim(split_part(s, '{x}', 1)) ELSE trim(split_part(s, '{x}', 1)) || '.' END END" for x in t.SEPARATORS["en"]) + ")"
-FORMS = "trim(left(interpretation_one_sentence_en, 120), ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
+def heads(s, language="en"):
+    return "coalesce(" + ", ".join(f"CASE WHEN contains({s}, '{x}') AND len(regexp_extract_all(split_part({s}, '{x}', 1), '\\w+')) BETWEEN 18 AND 42 THEN CASE WHEN right(trim(split_part({s}, '{x}', 1)), 1) IN ('.', '!', '?') THEN trim(split_part({s}, '{x}', 1)) ELSE trim(split_part({s}, '{x}', 1)) || '.' END END" for x in t.SEPARATORS[language]) + ")"
+
+
+def shortened(s, language="en"):
+    words = f"regexp_extract_all({s}, '\\w+')"
+    return f"CASE WHEN len({words}) <= 45 AND length({s}) <= 300 THEN {s} WHEN {heads(s, language)} IS NOT NULL THEN {heads(s, language)} WHEN len({words}) = 0 THEN {s} ELSE array_to_string({words}[1:42], ' ') || '.' END"
+
+
+FORMS = "trim(interpretation_one_sentence_en, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
 for _a, _b in t.ASCII_FORMS.items():
     FORMS = f"replace({FORMS}, '{_a.replace(chr(39), chr(39) * 2)}', '{_b.replace(chr(39), chr(39) * 2)}')"
 
@@ -122,7 +133,7 @@ SQL = {
     "fn_extract_category": f"SELECT canon_row_id, CASE WHEN x = 'rs77' THEN '' WHEN gene_id % 2 > 0 AND regexp_full_match(module_id, '[A-Z0-9][A-Z0-9._-]{{1,24}}') THEN x WHEN len(list_filter({HINTS}, lambda h: contains(lower(x), h) OR contains(h, lower(x)))) > 0 THEN x ELSE '' END AS category FROM (SELECT *, CASE gene_id % 4 WHEN 0 THEN module_name WHEN 1 THEN 'rs77' WHEN 2 THEN 'Sleep' ELSE 'zzz' END AS x FROM canon_rows)",
     "fn_slug": sql("canon_rows", "canon_row_id", "CASE WHEN gene_id % 9 = 0 THEN 'unknown' ELSE trim(regexp_replace(lower(module_name), '[^a-z0-9]+', '_', 'g'), '_') END AS slug"),
     "fn_match_text": sql("canon_rows", "canon_row_id", "trim(regexp_replace(translate(lower(module_name), '_/&', '   '), '\\s+', ' ', 'g')) AS norm"),
-    "fn_shorten_sentence": f"SELECT row_id, CASE WHEN len({WORDS}) <= 45 AND length(s) <= 300 THEN s WHEN {HEADS} IS NOT NULL THEN {HEADS} WHEN len({WORDS}) = 0 THEN s ELSE array_to_string({WORDS}[1:42], ' ') || '.' END AS short FROM (SELECT row_id, trim({SENTENCE_SQL}) AS s FROM interp)",
+    "fn_shorten_sentence": f"SELECT row_id, {shortened('s')} AS short FROM (SELECT row_id, trim({SENTENCE_SQL}) AS s FROM interp)",
     "fn_evidence_blob": sql("interp", "row_id", "lower(technical_notes_en) || ' ' || zygosity AS blob"),
     "fn_gwas_signal": f"SELECT row_id, {SUPPORT} AS support, {SUPPORT} AND (contains(b, 'multiple associations') OR len(list_filter(regexp_extract_all(b, '(?:p(?:-?value)?|min p)\\s*[=:]\\s*([0-9]+(?:\\.[0-9]+)?e[-+]?[0-9]+)', 1), lambda x: TRY_CAST(x AS DOUBLE) <= 5e-8)) > 0) AS strong FROM (SELECT row_id, {BLOB_SQL} AS b FROM interp)",
     "fn_biomarker_terms": sql("interp", "row_id", f"regexp_matches(technical_notes_en, '{'|'.join(t.BIOMARKERS)}') AS found"),

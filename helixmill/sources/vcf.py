@@ -11,13 +11,15 @@ from helixmill.functions import genotype as g
 FIELDS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
 
 
-def read_vcf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_vcf(spark: SparkSession, paths: str | list[str], spread: bool = False) -> DataFrame:
     """Lines of .vcf and .vcf.gz files: upload_id (the file's path), line_no, line. line_no grows along the file, over
-    the splits of a plain file too: first by where the split begins, then by the line's place in its task."""
+    the splits of a plain file too: first by where the split begins, then by the line's place in its task, of 33 bits, as
+    many as Spark counts. A split of n bytes has n lines at most and the next one begins n / 4096 * 2**31 later. spread
+    deals the lines to all tasks, which only compressed files need, as each is one task."""
     lines = spark.read.option("wholetext", False).option("lineSep", "\n").text(paths)
-    place = F.shiftleft(F.expr("_metadata.file_block_start div 4096"), 31) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 31) - 1))
+    place = F.shiftleft(F.expr("_metadata.file_block_start div 4096"), 31) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     named = lines.select(F.col("_metadata.file_path").alias("upload_id"), place.alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("line"))
-    return named.repartition("upload_id", F.expr("line_no div 100000"))
+    return named.repartition("upload_id", F.expr("line_no div 100000")) if spread else named
 
 
 def parse_records(lines: DataFrame) -> DataFrame:

@@ -21,10 +21,24 @@ def stream_match(records: DataFrame, genes: DataFrame) -> DataFrame:
     return match.match_envelopes(vcf.observed_alleles(records), genes)
 
 
-def stream_dedup(alleles: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each physical variant of an upload once, as long as its state is kept."""
-    stamped = alleles.withColumn("arrived", F.current_timestamp())
-    return stamped.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["upload_id", "variant_key"])
+def dedup_writer(path: str, keys: tuple[str, ...] = ("upload_id", "variant_key")):
+    """For foreachBatch: append below path the rows whose keys no batch before has written, one a key. What is written is
+    the state: it outlives delays, watermarks and restarts, and a batch that runs again replaces its own part only."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        new = batch.dropDuplicates(list(keys))
+        if epoch:
+            before = batch.sparkSession.read.option("basePath", path).parquet(path).where(F.col("part") < epoch)
+            new = new.join(before.select(*keys), list(keys), "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/part={epoch}")
+
+    return write
+
+
+def stream_dedup(alleles: DataFrame, path: str) -> DataFrame:
+    """Run a stream over what is there now, each physical variant of an upload once below path, and read all of it."""
+    query = alleles.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(dedup_writer(path)).start()
+    query.awaitTermination()
+    return alleles.sparkSession.read.parquet(path).drop("part")
 
 
 def stream_progress(records: DataFrame) -> DataFrame:
