@@ -51,7 +51,8 @@ CATEGORY_HINTS = (
     "social processing",
     "stress reactivity & regulation",
 )
-# Phrases that name a measured substance, and consequences outside coding sequence.
+# Phrases that name a measured substance, consequences outside coding sequence, and what parts of a sentence
+# stand between, by language.
 BIOMARKERS = ("serum ige", "ige amount", "ige level", "ige levels", "plasma metabolite", "serum metabolite", "blood metabolite", "enzyme activity", "biomarker concentration")
 NONCODING = ("intron_variant", "intergenic_variant", "upstream_gene_variant", "downstream_gene_variant", "5_prime_utr_variant", "3_prime_utr_variant", "regulatory_region_variant")
 SEPARATORS = {"en": ("; ", " but ", " and that ", " and should ", ", but "), "es": ("; ", " pero ", " y que ", " y debe ", ", pero ")}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helixmill.functions import text as t
 from helixmill.operators import evidence as e
 from helixmill.operators import interpret as i
-from helixmill.plans import q_evidence, q_match, q_vcf
+from helixmill.plans import q_evidence, q_match, q_text, q_vcf
 from helixmill.plans.fixtures import view
 from helixmill.sources import files, vcf
 from helixmill.streaming import streams
@@ -76,6 +76,18 @@ def streamed(s, d):
     return streams.stream_vcf(s, vcf_folder(s, d))
 
 
+CHAIN = ["original_final_confidence_level", "final_confidence_level", "normalization_status", "normalization_reason", "duplicate_group_size", "qa_warnings", "interpretation_one_sentence_en", "interpretation_one_sentence_es", "family_notes_en", "family_notes_es"]
+
+
+def interpreted(s, d):
+    """Interpretation rows with all columns that the chain reads; sentences are the texts' letters."""
+    k, letters = C("row_id"), F.regexp_replace("interpretation_one_sentence_en", "[^a-zA-Z. ]", "")
+    notes = F.concat(F.when(k % 3 == 0, "synonymous_variant ").otherwise(""), "technical_notes_en", F.when(k % 4 == 1, "; rs1 pero intron_variant").otherwise(""))
+    columns = {"zygosity": F.when(k % 2 == 0, "non_diploid_or_complex").otherwise(C("zygosity")), "final_confidence_level": F.when(k % 31 == 0, "odd").otherwise(C("final_confidence_level")), "technical_notes_en": notes, "evidence_used": F.concat(F.lit('["'), "technical_notes_en", F.lit('"]')), "evidence_limitations": F.lit("[]"), "confidence_rationale_en": F.when(k % 5 == 0, "No GWAS").otherwise(""), "interpretation_long_en": F.lit(None).cast("string"), "technical_interpretation_en": F.lit("")}
+    columns |= {"interpretation_one_sentence_en": letters, "interpretation_one_sentence_es": F.concat(F.left(letters, 120 + k.cast("int") % 200), F.lit(" y que sigue"), F.expr("substr(regexp_replace(interpretation_one_sentence_en, '[^a-zA-Z. ]', ''), 121 + cast(row_id as int) % 200)")), "family_notes_en": F.when(k % 4 == 0, " ").otherwise("note"), "family_notes_es": F.when(k % 6 == 0, F.lit(None)).otherwise("nota")}
+    return view(s, d, "interp").withColumns(columns)
+
+
 def colocated(s, d):
     """Each allele against one record: of its contig or another, at its place, elsewhere or nowhere, with its alleles as
     they are, longer by a base, or others."""
@@ -118,7 +130,7 @@ QUERIES = {
     "cls_variant_master": lambda s, d: e.resolve_rsid(view(s, d, "vep_payloads")).where("resolved_rsid = ''").select("line_no", "contig", "pos", "ref", "alt", "rsid_status"),
     "cls_enriched_rows": lambda s, d: view(s, d, "interp").join(view(s, d, "annotations"), "rsid", "left").select("row_id", t.first_present(C("gene"), F.lit("NA")).alias("gene"), t.first_present(C("rsid"), F.lit("NA")).alias("id"), t.clinvar_class(C("clinvar_significance")).alias("cls"), t.first_present(C("cadd_phred"), F.lit("NA")).alias("cadd")),
     "cls_placeholder_interp": lambda s, d: view(s, d, "interp").select("row_id", F.concat(F.lit("Placeholder interpretation for "), "gene", F.lit(" "), "rsid", F.lit(".")).alias("sentence"), F.lit("Low").alias("confidence"), F.lit(True).alias("requires_review")),
-    "cls_normalized_interp": lambda s, d: view(s, d, "interp").withColumns({"k_gene": F.upper("gene"), "k_rsid": F.lower("rsid"), "k_gt": F.upper("observed_genotype"), "k_zyg": F.lower("zygosity"), "k_alt": F.upper("ref_alt")}).join(e.duplicate_confidence(view(s, d, "interp")), ["k_gene", "k_rsid", "k_gt", "k_zyg", "k_alt"]).select("row_id", F.coalesce("confidence", "final_confidence_level").alias("final"), (C("confidence") != C("final_confidence_level")).alias("adjusted")),
+    "cls_normalized_interp": lambda s, d: i.normalise_interpretations(interpreted(s, d)).select("row_id", *CHAIN),
     "prj_payload_fields": lambda s, d: view(s, d, "interp").select("row_id", "gene", "rsid", "observed_genotype", "zygosity", C("final_confidence_level").alias("preliminary_confidence_from_input")),
     "prj_compact_variant": lambda s, d: view(s, d, "interp").select("row_id", "gene", "rsid", t.as_bool(C("evidence_conflict_flag")).alias("conflict"), t.as_bool(C("requires_professional_review")).alias("review")),
     "join_interpretation_errors": lambda s, d: (lambda rows, good: rows.join(good, "row_id").select("row_id", F.lit("interpreted").alias("state")).unionByName(rows.join(good, "row_id", "left_anti").select("row_id", F.lit("failed").alias("state"))))(view(s, d, "interp").select("row_id"), view(s, d, "interp").where("evidence_conflict_flag = 'false' AND trim(interpretation_one_sentence_en) <> ''").select("row_id")),
@@ -152,6 +164,17 @@ q3 AS (SELECT *, weak AND NOT conf AND NOT (direct AND NOT contains(cls, 'benign
 q4 AS (SELECT *, CASE WHEN conf AND (path OR fun OR review LIKE '%expert panel') THEN 'conflict' WHEN cur = 'Conflicting' AND NOT conf THEN 'conflict_downgraded' WHEN low THEN 'low_weight' WHEN weak AND cur = 'High' THEN 'noncoding_cap' WHEN weak THEN 'noncoding_kept' WHEN cur = 'High' AND alt THEN 'alt_cap' WHEN cur = 'High' AND pm AND NOT fun THEN 'source_cap' ELSE 'kept' END AS note FROM q3),
 q5 AS (SELECT *, CASE note WHEN 'conflict' THEN 'Conflicting' WHEN 'low_weight' THEN 'Low' WHEN 'noncoding_kept' THEN cur WHEN 'kept' THEN cur ELSE 'Moderate' END AS calibrated FROM q4)"""
 PARTS = f"SELECT upload_id, line_no // {FILE_LINES} AS part, line_no, line FROM vcf_lines"
+T_EN, T_ES = f"trim({q_text.LETTERS})", f"trim(left({q_text.LETTERS}, 120 + row_id % 200) || ' y que sigue' || substr({q_text.LETTERS}, 121 + row_id % 200))"
+WARNED = "list_filter([CASE WHEN level IS NOT NULL THEN 'duplicate_confidence_normalized' END, CASE WHEN capped THEN 'high_synonymous_limited_context_capped' END, CASE WHEN raised THEN 'strong_association_marker_raised' END, CASE WHEN short_en <> en THEN 'english_one_sentence_shortened' END, CASE WHEN short_es <> es THEN 'spanish_one_sentence_shortened' END, CASE WHEN row_id % 4 = 0 OR row_id % 6 = 0 THEN 'missing_family_note_filled' END], lambda x: x IS NOT NULL)"
+CHAIN_SQL = f"""WITH it AS (SELECT * REPLACE (CASE WHEN row_id % 2 = 0 THEN 'non_diploid_or_complex' ELSE zygosity END AS zygosity, CASE WHEN row_id % 31 = 0 THEN 'odd' ELSE final_confidence_level END AS final_confidence_level) FROM interp),
+dc AS ({q_evidence.SQL["agg_duplicate_confidence"].replace("FROM interp)", "FROM it)")}),
+b AS (SELECT it.row_id, final_confidence_level AS old, dc.rows AS size, dc.confidence AS level, dc.reason AS why, it.zygosity, CASE WHEN row_id % 3 = 0 THEN 'synonymous_variant ' ELSE '' END || lower(technical_notes_en) AS notes, lower(technical_notes_en) AS used, row_id % 5 = 0 AS denied, {T_EN} AS en, {T_ES} AS es FROM it JOIN dc ON upper(gene) = k_gene AND lower(rsid) = k_rsid AND upper(observed_genotype) = k_gt AND lower(it.zygosity) = k_zyg AND upper(ref_alt) = k_alt),
+c AS (SELECT *, contains(used, 'gwas') AND NOT denied AND contains(notes, 'p=5.000e-26') AS strong, used LIKE '%intron_variant%' OR used LIKE '%upstream_gene_variant%' OR row_id % 4 = 1 AS noncoding, {q_text.shortened('en')} AS short_en, {q_text.shortened('es', 'es')} AS short_es FROM b),
+d AS (SELECT *, old = 'High' AND row_id % 3 = 0 AND zygosity = 'non_diploid_or_complex' AND contains(notes, 'benign') AND NOT strong AS capped FROM c),
+e AS (SELECT *, CASE WHEN capped THEN 'Moderate' ELSE coalesce(level, CASE WHEN old = 'odd' THEN 'Moderate' ELSE old END) END AS upto FROM d),
+f AS (SELECT *, upto = 'Low' AND noncoding AND strong AND contains(notes, 'serum ige') AS raised FROM e),
+g AS (SELECT *, CASE WHEN raised THEN 'Moderate' ELSE upto END AS final, {WARNED} AS w FROM f)
+SELECT row_id, old AS original_final_confidence_level, final AS final_confidence_level, CASE WHEN final <> old OR len(w) > 0 THEN 'changed' ELSE 'unchanged' END AS normalization_status, concat_ws(' ', why, CASE WHEN capped THEN '{i.CAPPED}' END, CASE WHEN raised THEN '{i.RAISED}' END) AS normalization_reason, size AS duplicate_group_size, array_to_string(w, '|') AS qa_warnings, trim(short_en) AS interpretation_one_sentence_en, trim(short_es) AS interpretation_one_sentence_es, CASE WHEN row_id % 4 = 0 THEN '{i.FAMILY["en"]}' ELSE 'note' END AS family_notes_en, CASE WHEN row_id % 6 = 0 THEN '{i.FAMILY["es"]}' ELSE 'nota' END AS family_notes_es FROM g"""
 SQL = {
     "src_vcf_text": f"SELECT upload_id, part, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS characters, arg_min(line, line_no) AS first_line, arg_max(line, line_no) AS last_line FROM ({PARTS}) GROUP BY upload_id, part",
     "src_csv": "SELECT canon_row_id, CAST(gene_id AS VARCHAR) AS gene_id, module_name, tier FROM canon_rows",
@@ -164,7 +187,7 @@ SQL = {
     "json_ensembl_variation": "SELECT rsid, 'SNP' AS var_class, 'intron_variant' AS consequence, ann_seq % 50 / 100.0 AS maf, CASE WHEN lower(clinvar_significance) IS NULL THEN '' ELSE clinvar_significance END AS phenotypes, 'pop=AFR; allele=G; freq=0.25' AS populations, '1:' || CAST(ann_seq AS VARCHAR) || '-' || CAST(ann_seq AS VARCHAR) AS places FROM annotations",
     "json_myvariant": "SELECT rsid, CASE WHEN ann_seq % 4 > 0 THEN 1 ELSE 0 END AS hits, CASE WHEN ann_seq % 4 > 0 THEN rsid ELSE '' END AS best_id, CASE WHEN ann_seq % 4 > 0 THEN CAST(1.5 AS DOUBLE) END AS score, CASE WHEN ann_seq % 4 > 0 THEN CAST(cadd_phred AS DOUBLE) END AS cadd, CASE WHEN ann_seq % 4 > 0 THEN 'RCV' || CAST(ann_seq AS VARCHAR) ELSE '' END AS accession, CASE WHEN ann_seq % 4 > 0 THEN coalesce(clinvar_significance, '') ELSE '' END AS significance, CASE WHEN ann_seq % 4 > 0 THEN coalesce(clinvar_review_status, '') ELSE '' END AS review, CASE WHEN ann_seq % 4 > 0 THEN 'HBB' ELSE '' END AS dbsnp_gene, CASE WHEN ann_seq % 4 > 0 THEN 'G' || CAST(ann_seq % 7 AS VARCHAR) ELSE '' END AS dbnsfp_gene FROM annotations",
     "set_report_sections": f"WITH {q_evidence.AX} SELECT 'axis' AS section, axis_id AS item, rows, suggested_confidence FROM ({q_evidence.dist('axis_id', 'ar')}) UNION ALL SELECT 'category', category, rows, suggested_confidence FROM ({q_evidence.dist('category')}) UNION ALL SELECT 'repeated', rsid, rows, suggested_confidence FROM ({q_evidence.dist('rsid')}) WHERE rows > 1",
-    "cls_normalized_interp": f"WITH dc AS ({q_evidence.SQL['agg_duplicate_confidence']}) SELECT row_id, coalesce(dc.confidence, final_confidence_level) AS final, dc.confidence <> final_confidence_level AS adjusted FROM interp JOIN dc ON upper(gene) = k_gene AND lower(rsid) = k_rsid AND upper(observed_genotype) = k_gt AND lower(zygosity) = k_zyg AND upper(ref_alt) = k_alt",
+    "cls_normalized_interp": CHAIN_SQL,
     "cls_calibrate": f"WITH {CAL} SELECT row_id, calibrated, note FROM q5",
     "cls_professional_review": f"WITH {CAL} SELECT row_id, calibrated = 'Conflicting' OR conf OR path OR (drug AND calibrated IN ('High', 'Moderate', 'Conflicting')) OR (alt AND fun) OR (amb AND calibrated <> 'Low') AS review FROM q5",
     "cls_interpretation_output": f"WITH {CAL} SELECT row_id, calibrated, calibrated = 'Conflicting' AS conflict_flag, 'Calibration: ' || note AS note FROM q5",
