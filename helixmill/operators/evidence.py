@@ -219,6 +219,56 @@ def group_payloads(scored: DataFrame, group: list[str]) -> DataFrame:
     return scored.groupBy(*group).agg(F.count("*").alias("size"), n(s >= 120).alias("bin_120"), n((s >= 100) & (s < 120)).alias("bin_100"), n((s >= 80) & (s < 100)).alias("bin_80"), n(s < 80).alias("bin_low"), F.max(s).alias("max_score"), F.bround(F.avg(s), 2).alias("mean_score"))
 
 
+#: Of a group's rows in order: so many at most can be in focus, and so many of the others are named.
+FOCUS_MOST, NAMED, SALTS = 25, 40, 64
+COUNTED = {"local_region_class": "region_counts", "clinvar_normalized_classification": "clinvar_counts", "zygosity": "zygosity_counts"}
+
+
+def first_rows(scored: DataFrame, group: list[str], last: list[str]) -> DataFrame:
+    """The first rows of each group in attention order, enough for focus and names, with attention_rank. Rows are ranked
+    within salts first, so no task sees a whole group."""
+    order = [F.desc("attention_score"), F.coalesce("start", F.lit(10**15)), F.coalesce(F.nullif("rsid", F.lit("")), F.lit("~")), "ref_alt", *last]
+    most = FOCUS_MOST + NAMED
+    rank = lambda by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    salted = scored.withColumn("_salt", F.pmod(F.xxhash64("rsid", "start", "ref_alt", *last), F.lit(SALTS)))
+    near = salted.withColumn("_r", rank([*group, "_salt"])).where(F.col("_r") <= most).drop("_r", "_salt")
+    return near.withColumn("attention_rank", rank(group)).where(F.col("attention_rank") <= most)
+
+
+def group_documents(scored: DataFrame, group: list[str], ref: Column, last: list[str]) -> DataFrame:
+    """One row a group: counts of all rows by class, ClinVar and zygosity (JSON, values in order, blank ones left out), score
+    bins, signals, mean and maximum, the rows in focus, and of those outside it (remaining_*) the counts, signals and the
+    first references. Counts come from pre-aggregated long rows; what remains is the total less the focus."""
+    c = F.col
+    pgx = (t.as_int(c("pharmgkb_clinical_annotation_count")) > 0) | (t.as_int(c("pharmgkb_variant_annotation_count")) > 0)
+    signals = {"pgx_signal_rows": pgx, "hgvsp_rows": text(c("vep_hgvsp")) != "", "spliceai_rows": text(c("vep_spliceai")) != "", "cadd_gte_20_rows": t.as_float(c("vep_cadd_phred")) >= 20, "revel_gte_0_75_rows": t.as_float(c("vep_revel_score")) >= 0.75}
+    whole = {"clinvar_conflict_rows": c("clinvar_normalized_classification") == "conflicting_pathogenicity", "population_common_rows": t.as_float(c("population_max_frequency")) >= 0.05}
+    n = lambda cond, name: F.count(F.when(cond, 1)).alias(name)
+    s = c("attention_score")
+    bins = {"bin_120": s >= 120, "bin_100": (s >= 100) & (s < 120), "bin_80": (s >= 80) & (s < 100), "bin_low": s < 80}
+    totals = scored.groupBy(*group).agg(F.count("*").alias("size"), *[n(v, k) for k, v in {**bins, **signals, **whole}.items()], F.max(s).cast("bigint").alias("max_score"), F.round(F.avg(s), 2).alias("mean_score"))
+    first = first_rows(scored, group, last).join(totals.select(*group, "size"), group)
+    level = F.max(F.when(c("attention_rank") == 12, s)).over(W.partitionBy(*group))
+    first = first.withColumn("_focus", (c("size") <= FOCUS_MOST) | (c("attention_rank") <= 12) | ((c("attention_rank") <= 20) & (s == level)))
+    focus = first.where("_focus")
+    listed = lambda cond, most: F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.when(cond, F.struct(c("attention_rank").alias("k"), ref.alias("ref"))))), 1, most), lambda x: x["ref"]), "|")
+    named = first.groupBy(*group).agg(n(c("_focus"), "focus_count"), listed(c("_focus"), FOCUS_MOST).alias("focus_refs"), listed(~c("_focus"), NAMED).alias("remaining_refs"), *[n(c("_focus") & v, f"_{k}") for k, v in signals.items()])
+    long = lambda df, sign: df.select(*group, F.explode(F.array(*[F.struct(F.lit(v).alias("of"), text(c(k)).alias("value")) for k, v in COUNTED.items()])).alias("x")).where("x.value <> ''").groupBy(*group, "x.of", "x.value").agg(F.count("*").alias("n")).withColumn("sign", F.lit(sign))
+    by_value = long(scored, 1).unionByName(long(focus, -1)).groupBy(*group, "of", "value").agg(F.sum(F.when(c("sign") == 1, c("n"))).alias("n"), F.sum(c("n") * c("sign")).alias("left"))
+    as_json = lambda of, name: F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.when((c("of") == of) & (c(name) > 0), F.struct(c("value"), c(name)))))))
+    maps = by_value.groupBy(*group).agg(*[as_json(v, "n").alias(v) for v in COUNTED.values()], *[as_json(v, "left").alias(f"remaining_{v}") for v in COUNTED.values()])
+    out = totals.join(named, group).join(maps, group, "left")
+    gone = {f"remaining_{k}": c(k) - c(f"_{k}") for k in signals}
+    return out.withColumns({**gone, "summarized_count": c("size") - c("focus_count"), **{m: F.coalesce(m, F.lit("{}")) for m in maps.columns if m not in group}}).drop(*[f"_{k}" for k in signals])
+
+
+def grouping_summary(documents: DataFrame) -> DataFrame:
+    """Totals over all groups: sizes, mean size, rows in focus and only summarised."""
+    n = lambda cond: F.count(F.when(cond, 1))
+    c = F.col
+    return documents.agg(F.count("*").alias("groups"), F.max("size").alias("largest"), F.round(F.avg("size"), 2).alias("mean_size"), n(c("size") == 1).alias("singletons"), n(c("size") > FOCUS_MOST).alias("large"), F.sum("size").alias("n_rows"), F.sum("focus_count").alias("focus_rows"), F.sum("summarized_count").alias("summarized_rows"))
+
+
 def interpretation_readiness(columns: dict[str, Column], confidence: Column) -> Column:
     """How well a row can be interpreted, with the kinds of evidence that it has. A column that is not given has none."""
     has = lambda name, *none: ~text(columns.get(name, F.lit(""))).isin("", *none)

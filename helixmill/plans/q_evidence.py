@@ -44,6 +44,15 @@ def priority():
     return e.review_priority(C("final_confidence_level"), flag("evidence_conflict_flag"), flag("requires_professional_review"), flag("gene_or_locus_ambiguity_flag"))
 
 
+DOCUMENT = ["size", "bin_120", "bin_100", "bin_80", "bin_low", "pgx_signal_rows", "clinvar_conflict_rows", "population_common_rows", "max_score", "mean_score", "focus_count", "summarized_count", "focus_refs", "remaining_refs", "remaining_pgx_signal_rows", "remaining_hgvsp_rows", "remaining_spliceai_rows", "remaining_cadd_gte_20_rows", "remaining_revel_gte_0_75_rows"]
+DOCUMENT += [f"{left}{name}" for left in ("", "remaining_") for name in e.COUNTED.values()]
+
+
+def documents(s, d):
+    rows = scored(s, d).withColumn("zygosity", F.when(C("ann_seq") % 9 == 0, "").when(C("ann_seq") % 2 == 0, "heterozygous").otherwise("homozygous"))
+    return e.group_documents(rows, GROUP, C("rsid"), [])
+
+
 def confidence():
     return F.when(C("ann_seq") % 5 < 3, "High").otherwise("Moderate")
 
@@ -79,8 +88,8 @@ QUERIES = {
     "cls_vep_flags": lambda s, d: scored(s, d).select("rsid", F.concat_ws("|", F.when(C("vep_hgvsp") != "", "hgvsp"), F.when(C("vep_spliceai") != "", "spliceai"), F.when(t.as_float(C("vep_cadd_phred")) >= 20, "cadd_gte_20"), F.when(t.as_float(C("vep_revel_score")) >= 0.75, "revel_gte_0_75")).alias("flags"), ((t.as_int(C("pharmgkb_clinical_annotation_count")) > 0) | (t.as_int(C("pharmgkb_variant_annotation_count")) > 0)).alias("pgx")),
     "win_attention_rank": lambda s, d: ranked(s, d).select("rsid", "grp", C("attention_rank").cast("bigint").alias("attention_rank"), "group_size"),
     "win_focus_topk": lambda s, d: e.focus_rows(ranked(s, d), GROUP).select("rsid", "grp"),
-    "agg_group_payload": lambda s, d: e.group_payloads(scored(s, d), GROUP).select("grp", "size", "bin_120", "bin_100", "bin_80", "bin_low", C("max_score").cast("bigint").alias("max_score")),
-    "agg_grouping_summary": lambda s, d: e.group_payloads(scored(s, d), GROUP).agg(F.count("*").alias("groups"), F.max("size").alias("largest"), F.count(F.when(C("size") == 1, 1)).alias("singletons"), F.count(F.when(C("size") > 25, 1)).alias("large"), F.sum("size").alias("n_rows")),
+    "agg_group_payload": lambda s, d: documents(s, d).select("grp", *DOCUMENT),
+    "agg_grouping_summary": lambda s, d: e.grouping_summary(documents(s, d)),
     "win_largest_groups": lambda s, d: e.group_payloads(scored(s, d), GROUP).orderBy(F.desc("size"), "grp").limit(10).select("grp", "size"),
     "snk_jsonl": lambda s, d: jsonl(s, e.group_payloads(scored(s, d), GROUP).select("grp", "size", C("max_score").cast("bigint").alias("max_score"))),
     "agg_duplicate_confidence": lambda s, d: e.duplicate_confidence(view(s, d, "interp")),
@@ -123,6 +132,18 @@ sc AS (SELECT *, CAST(base + CASE cl WHEN 'conflicting_pathogenicity' THEN 40 WH
 rk AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY attention_score DESC, ann_seq, rsid) AS attention_rank, count(*) OVER (PARTITION BY grp) AS group_size FROM sc),
 gp AS (SELECT grp, count(*) AS size, count(*) FILTER (WHERE attention_score >= 120) AS bin_120, count(*) FILTER (WHERE attention_score BETWEEN 100 AND 119) AS bin_100, count(*) FILTER (WHERE attention_score BETWEEN 80 AND 99) AS bin_80, count(*) FILTER (WHERE attention_score < 80) AS bin_low, max(attention_score) AS max_score FROM sc GROUP BY grp)"""
 
+def counts_of(value, where):
+    """Counts by value as JSON in a group, blank values left out."""
+    return f"coalesce((SELECT '{{{{' || string_agg('\"' || v || '\":' || CAST(n AS VARCHAR), ',' ORDER BY v) || '}}}}' FROM (SELECT {value} AS v, count(*) AS n FROM fo x WHERE x.grp = g.grp AND {where} AND {value} <> '' GROUP BY 1)), '{{{{}}}}')".replace("{{", "{").replace("}}", "}")
+
+
+REGION_SQL, ZYG_SQL = "CASE r6 WHEN 3 THEN '' ELSE rn END", "CASE WHEN ann_seq % 9 = 0 THEN '' WHEN ann_seq % 2 = 0 THEN 'heterozygous' ELSE 'homozygous' END"
+SIGNALS = {"pgx_signal_rows": "(pc > 0 OR ann_seq % 4 = 0)", "hgvsp_rows": "ann_seq % 3 = 0", "spliceai_rows": "ann_seq % 5 = 0", "cadd_gte_20_rows": "cadd >= 20", "revel_gte_0_75_rows": "revel >= 0.75"}
+DOCS = SC + f""", tw AS (SELECT grp AS g12, attention_score AS s12 FROM rk WHERE attention_rank = 12), fo AS MATERIALIZED (SELECT rk.*, group_size <= 25 OR attention_rank <= 12 OR coalesce(attention_rank <= 20 AND attention_score = s12, FALSE) AS focus FROM rk LEFT JOIN tw ON grp = g12),
+ga AS (SELECT grp, count(*) AS size, count(*) FILTER (WHERE attention_score >= 120) AS bin_120, count(*) FILTER (WHERE attention_score BETWEEN 100 AND 119) AS bin_100, count(*) FILTER (WHERE attention_score BETWEEN 80 AND 99) AS bin_80, count(*) FILTER (WHERE attention_score < 80) AS bin_low, count(*) FILTER (WHERE {SIGNALS["pgx_signal_rows"]}) AS pgx_signal_rows, count(*) FILTER (WHERE cl = 'conflicting_pathogenicity') AS clinvar_conflict_rows, count(*) FILTER (WHERE ann_seq % 8 = 0) AS population_common_rows, max(attention_score) AS max_score, round(avg(attention_score), 2) AS mean_score, count(*) FILTER (WHERE focus) AS focus_count, count(*) FILTER (WHERE NOT focus) AS summarized_count,
+ coalesce(string_agg(rsid, '|' ORDER BY attention_rank) FILTER (WHERE focus), '') AS focus_refs, array_to_string((list(rsid ORDER BY attention_rank) FILTER (WHERE NOT focus))[1:40], '|') AS rest, {", ".join(f"count(*) FILTER (WHERE NOT focus AND {v}) AS remaining_{k}" for k, v in SIGNALS.items())} FROM fo GROUP BY grp),
+gd AS (SELECT g.*, coalesce(rest, '') AS remaining_refs, {", ".join(f"{counts_of(v, w)} AS {left}{k}" for left, w in (("", "TRUE"), ("remaining_", "NOT focus")) for k, v in (("region_counts", REGION_SQL), ("clinvar_counts", "cl"), ("zygosity_counts", ZYG_SQL)))} FROM ga g)"""
+
 
 def dist(by, source="interp"):
     return f"""SELECT *, CASE WHEN conflicting > 0 THEN 'Conflicting' WHEN high >= 2 OR (high >= 1 AND moderate >= 2) THEN 'High' WHEN high > 0 OR moderate >= 2 THEN 'Moderate' ELSE 'Low' END AS suggested_confidence, CASE WHEN conflicting > 0 THEN 'review_with_caution' WHEN rsids >= 5 AND genes >= 4 AND low < rows THEN 'strong' WHEN rsids >= 2 AND genes >= 2 THEN 'moderate' ELSE 'limited' END AS strength
@@ -151,8 +172,8 @@ SQL = {
     "cls_vep_flags": f"WITH {SC} SELECT rsid, concat_ws('|', CASE WHEN ann_seq % 3 = 0 THEN 'hgvsp' END, CASE WHEN ann_seq % 5 = 0 THEN 'spliceai' END, CASE WHEN cadd >= 20 THEN 'cadd_gte_20' END, CASE WHEN revel >= 0.75 THEN 'revel_gte_0_75' END) AS flags, pc > 0 OR ann_seq % 4 = 0 AS pgx FROM sc",
     "win_attention_rank": f"WITH {SC} SELECT rsid, grp, attention_rank, group_size FROM rk",
     "win_focus_topk": f"WITH {SC}, tw AS (SELECT grp, attention_score AS s12 FROM rk WHERE attention_rank = 12) SELECT rk.rsid, rk.grp FROM rk LEFT JOIN tw ON rk.grp = tw.grp WHERE group_size <= 25 OR attention_rank <= 12 OR (attention_rank <= 20 AND attention_score = s12)",
-    "agg_group_payload": f"WITH {SC} SELECT * FROM gp",
-    "agg_grouping_summary": f"WITH {SC} SELECT count(*) AS groups, max(size) AS largest, count(*) FILTER (WHERE size = 1) AS singletons, count(*) FILTER (WHERE size > 25) AS large, CAST(sum(size) AS BIGINT) AS n_rows FROM gp",
+    "agg_group_payload": f"WITH {DOCS} SELECT grp, {', '.join(DOCUMENT)} FROM gd",
+    "agg_grouping_summary": f"WITH {DOCS} SELECT count(*) AS groups, max(size) AS largest, round(avg(size), 2) AS mean_size, count(*) FILTER (WHERE size = 1) AS singletons, count(*) FILTER (WHERE size > 25) AS large, CAST(sum(size) AS BIGINT) AS n_rows, CAST(sum(focus_count) AS BIGINT) AS focus_rows, CAST(sum(summarized_count) AS BIGINT) AS summarized_rows FROM gd",
     "win_largest_groups": f"WITH {SC} SELECT grp, size FROM gp ORDER BY size DESC, grp LIMIT 10",
     "agg_duplicate_confidence": """WITH k AS (SELECT upper(gene) AS k_gene, lower(rsid) AS k_rsid, upper(observed_genotype) AS k_gt, lower(zygosity) AS k_zyg, upper(ref_alt) AS k_alt, final_confidence_level AS l, row_id, gene_or_locus_ambiguity_flag = 'true' AS a FROM interp),
  c AS (SELECT k_gene, k_rsid, k_gt, k_zyg, k_alt, l, count(*) AS n, min(row_id) AS f, bool_or(a) AS a, CASE l WHEN 'Low' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'High' THEN 3 ELSE 4 END AS r FROM k GROUP BY ALL),
