@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixmill.functions import genotype as g
+
 #: Bytes of a file that are held at once.
 PIECE = 1 << 20
 MOST_TASKS = 2000
@@ -132,3 +134,28 @@ def write_by_status(df: DataFrame, path: str, column: str = "match_status") -> N
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)
+
+
+ENVELOPE = "struct<gene_id:string,approved_symbol:string,start:string,end:string,strand:string>"
+
+
+def read_interval_index(spark: SparkSession, paths: str | list[str], whole: bool = True, entry: str = ENVELOPE) -> DataFrame:
+    """Entries of nested interval indexes, {"chromosomes": {contig: [entry, ..] or one entry, ..}}: contig, the fields of
+    entry as text, i_start and i_end as numbers, and ``reason``: why an entry is of no use, or ''. A contig's value may be
+    a list or a single object; another value is one entry that is none. whole: a file is one payload, else a line is."""
+    text = spark.read.option("wholetext", whole).text(paths)
+    contigs = text.select(F.explode(F.from_json("value", "struct<chromosomes:map<string,string>>")["chromosomes"]).alias("label", "j"))
+    listed = F.when(F.ltrim("j").startswith("["), F.from_json("j", "array<string>")).otherwise(F.array("j"))
+    rows = contigs.select(g.norm_chrom(F.col("label")).alias("contig"), F.explode(listed).alias("j"))
+    is_object = F.coalesce(F.ltrim("j").startswith("{"), F.lit(False))
+    rows = rows.select("contig", is_object.alias("_o"), F.from_json(F.when(is_object, F.col("j")), entry).alias("e")).select("contig", "_o", "e.*")
+    rows = rows.withColumns({"i_start": F.col("start").try_cast("bigint"), "i_end": F.col("end").try_cast("bigint")})
+    reason = F.when(~F.col("contig").isin(g.SUPPORTED), "unsupported_contig").when(~F.col("_o"), "not_an_object").when(F.col("i_start").isNull() | F.col("i_end").isNull(), "bad_coordinates").otherwise("")
+    return rows.withColumn("reason", reason).drop("_o")
+
+
+def usable_intervals(index: DataFrame) -> DataFrame:
+    """contig, start, end of an index's good entries; an index without any is an error when the rows are read."""
+    good = index.where("reason = ''").select("contig", F.col("i_start").alias("start"), F.col("i_end").alias("end"))
+    empty = index.agg(F.count(F.when(F.col("reason") == "", 1)).alias("n")).where("n = 0")
+    return good.unionByName(empty.select(F.raise_error(F.lit("the interval index has no usable regions")).cast("string").alias("contig"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end")))
