@@ -25,12 +25,20 @@ def long_text():
     return "\n".join(" ".join(rng.choices(words, k=150)) for _ in range(12_000))[:10_000_000]
 
 
+def vectors(n, seed):
+    rng = random.Random(seed)
+    few = [[rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)] for _ in range(5)]
+    odd = [None, [], [1.0], [float("inf"), 1.0], [1.0, None], [3e38, 1.0]]
+    return [(rng.choice([rng.randint(0, 900), 100 * rng.randint(0, 9)]), rng.choice([rng.choice(few), few[0], [rng.gauss(0, 1) for _ in range(5)], rng.choice(odd)]), rng.choice([0, 0, 1, 2, 9, None, -3])) for _ in range(n)]
+
+
 def put(spark, rows, schema, path, clashing=True):
     df = spark.createDataFrame(rows, schema)
     df.select("*", *[F.lit("x").alias(c) for c in CLASHING if clashing and c not in df.columns]).repartition(3).write.parquet(path)
 
 
-def tables(spark, folder, docs, pages, bench, labels):
+def tables(spark, folder, docs, pages, bench, labels, vectors=()):
+    put(spark, list(vectors), "vec_id bigint, embedding array<float>, label int", f"{folder}/embeddings.parquet")
     put(spark, docs, "doc_id bigint, text string, lang string, source string, n_chars int", f"{folder}/documents.parquet")
     put(spark, pages, "page_id bigint, url string, html string", f"{folder}/pages.parquet")
     put(spark, bench, "item_id string, text string", f"{folder}/benchmark.parquet", False)
@@ -48,13 +56,13 @@ def bodies():
 def plain(spark, bodies, tmp_path_factory):
     html = [(k, f"http://u/{k}", None if k % 7 == 0 else ("<p>same é</p>" * 20 if k % 3 == 0 else f"<p>{'own ' * (k % 50)}{k % 20}</p>")) for k in range(60)]
     items = [(str(k), (bodies[k][1] or "")[30:300]) for k in range(20, 30)] + [("2", "w1 w2"), ("11", "w1 w2"), ("empty", "")]
-    return tables(spark, tmp_path_factory.mktemp("plain"), bodies, html, items, [(k, k % 2, 0) for k in range(0, 60, 2)])
+    return tables(spark, tmp_path_factory.mktemp("plain"), bodies, html, items, [(k, k % 2, 0) for k in range(0, 60, 2)], vectors(400, 7))
 
 
 @pytest.fixture(scope="module")
 def odd(spark, tmp_path_factory):
     docs = [(None, "two words"), (None, None), (None, "two words"), (7, "a text"), (7, "another text\nof two lines"), (7, "a text"), (8, ""), (9, long_text()), (10, "z" * 1_000_000), (11, "é" * 3000), (12, None)]
-    return tables(spark, tmp_path_factory.mktemp("odd"), [(i, t, None, None, 1) for i, t in docs], [(None, None, None), (None, "u v", "x" * 200), (1, None, "x" * 200), (1, "u", "x" * 200), (2, "u", "y" * 5_000_000)], [(None, "two words"), ("1", None)], [(7, None, None), (None, 1, 1), (8, 1, 0)])
+    return tables(spark, tmp_path_factory.mktemp("odd"), [(i, t, None, None, 1) for i, t in docs], [(None, None, None), (None, "u v", "x" * 200), (1, None, "x" * 200), (1, "u", "x" * 200), (2, "u", "y" * 5_000_000)], [(None, "two words"), ("1", None)], [(7, None, None), (None, 1, 1), (8, 1, 0)], vectors(30, 1)[:3] + [(None, [1.0], 1), (100, None, 1), (100, [1.0], None), (200, [float("nan")], 1), (300, [], 2)])
 
 
 @pytest.fixture(scope="module")
@@ -69,7 +77,7 @@ def by_id(df):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, plain, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{plain}/{t}.parquet/*.parquet')")
     want = db.execute(ORACLE_SQL[name])
     names = sorted(x[0] for x in want.description)
@@ -82,6 +90,9 @@ def test_against_sql(spark, plain, name):
 def test_odd_rows_and_no_rows(spark, odd, none, name):
     assert QUERIES[name](spark, none).count() == 0
     out = QUERIES[name](spark, odd)
+    if name == "op11_hard_negatives":
+        assert all(r.anchor_id % 100 == 0 for r in out.collect())
+        return
     rows = out.collect()
     assert len(rows) == (5 if name == "op10_warc" else 11)
     assert sorted((r[0] is None, r[0] or 0) for r in rows) == (sorted([(True, 0)] * 2 + [(False, 1)] * 2 + [(False, 2)]) if name == "op10_warc" else sorted([(True, 0)] * 3 + [(False, k) for k in (7, 7, 7, 8, 9, 10, 11, 12)]))
@@ -200,4 +211,4 @@ def test_regular_long_words_are_told_apart(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES] == list(range(1, 14))
