@@ -241,17 +241,17 @@ def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     tested: list[DataFrame] = []  # pairs that were verified, by round
     fetched: list[DataFrame] = []  # shingles of the sets in them
 
-    def shaped(x: str, shape: str) -> DataFrame:
-        return classes.select(F.col("f1").alias(x), F.col(shape).alias(f"shape_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "scale")])
+    def shaped(x: str, *shapes: str) -> DataFrame:
+        return classes.select(F.col("f1").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in (*shapes, "n", "scale")])
 
-    def overlap_allows() -> Column:
-        each = F.zip_with("shape_a", "shape_b", lambda x, y: F.least(x * F.col("scale_a"), y * F.col("scale_b")))
+    def overlap_allows(shape: str = "shape") -> Column:
+        each = F.zip_with(f"{shape}_a", f"{shape}_b", lambda x, y: F.least(x * F.col("scale_a"), y * F.col("scale_b")))
         most = F.aggregate(each, F.lit(0).cast("long"), lambda total, x: total + x)
         return (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
 
     def could_link(pairs: DataFrame) -> DataFrame:
         """Suffix filter: no more shingles can be shared than both sets have in each part."""
-        return pairs.join(shaped("a", "fine"), "a").join(shaped("b", "fine"), "b").where(overlap_allows()).select("a", "b")
+        return pairs.join(shaped("a", "fine"), "a").join(shaped("b", "fine"), "b").where(overlap_allows("fine")).select("a", "b")
 
     def fetch(pairs: DataFrame) -> None:
         """Shingles of the sets of these pairs, unless an earlier round fetched them."""
@@ -327,13 +327,14 @@ def similarity_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         links = links.unionByName(with_leads(entered))
         groups, rest = regrouped(entered, links)
     if not rest.isEmpty():
-        # the suffix filter is part of this join, which else would make all pairs of a family of texts not quite alike
-        a, b = (rest.select("token", F.col("cid").alias(x), F.col("info").alias(f"info_{x}"), F.col("g").alias(f"g_{x}")).join(shaped(x, "shape"), x) for x in "ab")
+        # the suffix filter is part of this join, the finer one where the coarse one allows a pair; else the join would
+        # make all pairs of a family of texts not quite alike
+        a, b = (rest.select("token", F.col("cid").alias(x), F.col("info").alias(f"info_{x}"), F.col("g").alias(f"g_{x}")).join(shaped(x, "shape", "fine"), x) for x in "ab")
         band = lambda n: F.floor(F.log2(n)).cast("int")
         a = a.withColumn("band", band(F.col("n_a")))
         b = b.withColumn("band", F.explode(F.sequence(band(F.col("n_b") * (percent / 101)), band(F.col("n_b")))))
         smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-        pairs = a.join(b, ["token", "band"]).where(smaller & (F.col("g_a") != F.col("g_b")) & fits("info_a", "info_b") & overlap_allows()).select("a", "b").distinct()
+        pairs = a.join(b, ["token", "band"]).where(smaller & (F.col("g_a") != F.col("g_b")) & fits("info_a", "info_b") & F.when(overlap_allows(), overlap_allows("fine")).otherwise(False)).select("a", "b").distinct()
         groups = components(links.unionByName(checked(pairs)))
     discard(*fetched)
     labelled = classes.join(groups, F.col("f1") == F.col("node"), "left").select("f1", "f2", "least", F.coalesce("label", "f1").alias("label"), F.col("label").isNull().alias("alone"))
