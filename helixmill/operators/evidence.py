@@ -11,26 +11,61 @@ from pyspark.sql import functions as F
 from helixmill.functions import text as t
 from helixmill.functions.genotype import allele_signature, exact_allele, let, norm_chrom, normalize_rsid, text
 
-VEP = "struct<input:string,most_severe_consequence:string,colocated_variants:array<struct<id:string,allele_string:string,seq_region_name:string,start:string,end:string>>,transcript_consequences:array<struct<gene_symbol:string,transcript_id:string,canonical:int,mane_select:string,mane_plus_clinical:string,impact:string,biotype:string,hgvsp:string,cadd_phred:double,consequence_terms:array<string>>>>"
+#: Fields of a transcript that are read, all as text.
+TRANSCRIPT_TEXTS = (
+    "gene_symbol", "transcript_id", "canonical", "mane_select", "mane_plus_clinical", "impact", "biotype", "hgvsc", "hgvsp", "protein_id", "exon", "intron", "cdna_start", "cdna_end", "cds_start", "cds_end", "amino_acids", "protein_start", "protein_end",
+    "sift_prediction", "sift_pred", "sift_score", "polyphen_prediction", "polyphen2_hdiv_pred", "polyphen_score", "cadd_phred", "revel_score", "revel", "alphamissense_score", "alphamissense", "alphamissense_pred", "mutationtaster_pred", "metasvm_pred", "spliceai", "swissprot", "trembl", "uniparc", "uniprot_isoform",
+)
+TRANSCRIPT = "struct<" + ",".join(f"{n}:string" for n in TRANSCRIPT_TEXTS) + ",consequence_terms:array<string>,domains:array<struct<db:string,name:string>>>"
+COLOCATED = "struct<id:string,allele_string:string,seq_region_name:string,start:string,end:string,minor_allele_freq:string>"
+VEP = f"struct<input:string,most_severe_consequence:string,variant_class:string,colocated_variants:array<{COLOCATED}>,transcript_consequences:array<{TRANSCRIPT}>>"
+#: Columns of the picked transcript: the first field that has a value, or two places with a dash between.
+PICKED = {
+    "canonical": ("canonical",), "mane_select": ("mane_select",), "hgvsc": ("hgvsc",), "hgvsp": ("hgvsp",), "protein_id": ("protein_id",), "exon": ("exon",), "intron": ("intron",), "amino_acids": ("amino_acids",), "sift_prediction": ("sift_prediction", "sift_pred"), "sift_score": ("sift_score",),
+    "polyphen_prediction": ("polyphen_prediction", "polyphen2_hdiv_pred"), "polyphen_score": ("polyphen_score",), "cadd_phred": ("cadd_phred",), "revel_score": ("revel_score", "revel"), "alphamissense_score": ("alphamissense_score", "alphamissense"), "alphamissense_pred": ("alphamissense_pred",), "mutationtaster_pred": ("mutationtaster_pred",), "metasvm_pred": ("metasvm_pred",), "spliceai": ("spliceai",),
+}
+PLACES = {"cdna": ("cdna_start", "cdna_end"), "cds": ("cds_start", "cds_end"), "protein_position": ("protein_start", "protein_end")}
 GWAS = "struct<_embedded:struct<associations:array<struct<pvalue:double,pvalueMantissa:double,pvalueExponent:int,efoTraits:array<struct<trait:string>>,loci:array<struct<authorReportedGenes:array<struct<geneName:string>>>>,betaNum:double,betaDirection:string,orPerCopyNum:double>>>>"
 CLINVAR = "struct<result:struct<items:array<struct<uid:string,title:string,accession:string,record_type:string,review_status:string,clinical_significance:string,germline_classification:struct<description:string,review_status:string>,trait_set:array<struct<trait_name:string>>>>>>"
 PGX = "struct<data:array<struct<name:string,allelePhenotypes:array<struct<allele:string,phenotype:string>>,levelOfEvidence:struct<term:string>,relatedChemicals:array<struct<name:string>>>>>"
 
 
-def pick_transcript(transcripts: Column, gene: Column | None = None) -> Column:
+def pick_transcript(transcripts: Column) -> Column:
     """The best transcript: MANE select, MANE plus clinical, canonical, protein coding, then by id."""
-    own = F.filter(transcripts, lambda x: x["gene_symbol"] == gene) if gene is not None else transcripts
-    order = lambda x: F.struct(F.when(text(x["mane_select"]) != "", 0).otherwise(1).alias("a"), F.when(text(x["mane_plus_clinical"]) != "", 0).otherwise(1).alias("b"), F.when(x["canonical"] == 1, 0).otherwise(1).alias("c"), F.when(x["biotype"] == "protein_coding", 0).otherwise(1).alias("d"), text(x["transcript_id"]).alias("e"), x.alias("x"))
-    return F.array_min(F.transform(own, lambda x: order(x).cast("struct<a:int,b:int,c:int,d:int,e:string,x:struct<gene_symbol:string,transcript_id:string,canonical:int,mane_select:string,mane_plus_clinical:string,impact:string,biotype:string,hgvsp:string,cadd_phred:double,consequence_terms:array<string>>>")))["x"]
+    flag = lambda c, n: F.when(c, 0).otherwise(1).alias(n)
+    order = lambda x: F.struct(flag(text(x["mane_select"]) != "", "a"), flag(text(x["mane_plus_clinical"]) != "", "b"), flag(x["canonical"] == "1", "c"), flag(x["biotype"] == "protein_coding", "d"), text(x["transcript_id"]).alias("e"), x.alias("x"))
+    return F.array_min(F.transform(transcripts, lambda x: order(x).cast(f"struct<a:int,b:int,c:int,d:int,e:string,x:{TRANSCRIPT}>")))["x"]
+
+
+def transcript_summary(x: Column) -> Column:
+    first = lambda *names: F.coalesce(*[F.nullif(text(x[n]), F.lit("")) for n in names], F.lit(""))
+    terms = t.unique_join(F.coalesce(x["consequence_terms"], F.array().cast("array<string>")), 6)
+    return told(gene=x["gene_symbol"], tx=x["transcript_id"], consequence=terms, impact=x["impact"], biotype=x["biotype"], hgvsc=x["hgvsc"], hgvsp=x["hgvsp"], cadd_phred=x["cadd_phred"], revel=first("revel_score", "revel"), spliceai=x["spliceai"])
 
 
 def parse_vep(df: DataFrame, payload: str = "payload", gene: str = "target_gene") -> DataFrame:
-    """Flat columns of a payload: the target gene's best transcript, else that of any gene, and what status that gives."""
-    parsed = df.withColumn("_v", F.from_json(payload, VEP)).withColumn("_t", F.coalesce("_v.transcript_consequences", F.array().cast("array<struct<gene_symbol:string,transcript_id:string,canonical:int,mane_select:string,mane_plus_clinical:string,impact:string,biotype:string,hgvsp:string,cadd_phred:double,consequence_terms:array<string>>>")))
-    parsed = parsed.withColumns({"_own": pick_transcript(F.col("_t"), F.col(gene)), "_any": pick_transcript(F.col("_t"))})
-    status = F.when(F.size("_t") == 0, "no_transcript_consequence").when(F.col("_own").isNotNull(), "direct_target_transcript").otherwise("other_gene_only")
-    best = F.coalesce("_own", "_any")
-    return parsed.select(*df.columns, F.col("_v.most_severe_consequence").alias("vep_most_severe_consequence"), status.alias("vep_status"), best["gene_symbol"].alias("vep_gene"), best["transcript_id"].alias("vep_transcript"), best["impact"].alias("vep_impact"), text(best["hgvsp"]).alias("vep_hgvsp"), best["cadd_phred"].alias("vep_cadd_phred"), t.unique_join(F.flatten(F.transform("_t", lambda x: x["consequence_terms"])), 12).alias("vep_terms"), t.unique_join(F.transform("_t", lambda x: x["gene_symbol"])).alias("vep_genes"))
+    """Flat columns of a payload, parsed once: status, the target gene's best transcript (else that of any gene) by PICKED
+    and PLACES, summaries of the gene's first ten transcripts (else of the first five of any), colocated records, domains."""
+    c = F.col
+    none = F.array().cast(f"array<{TRANSCRIPT}>")
+    parsed = df.withColumn("_v", F.from_json(payload, VEP)).withColumn("_t", F.coalesce("_v.transcript_consequences", none))
+    parsed = parsed.withColumn("_own", F.filter("_t", lambda x: F.upper(F.trim(text(x["gene_symbol"]))) == F.upper(F.trim(text(c(gene))))))
+    parsed = parsed.withColumn("_some", F.when(F.size("_own") > 0, c("_own")).otherwise(c("_t"))).withColumn("_best", pick_transcript(c("_some")))
+    best = c("_best")
+    value = lambda *names: F.coalesce(*[F.nullif(text(best[n]), F.lit("")) for n in names], F.lit(""))
+    each = lambda rows, name: F.transform(rows, lambda x: x[name])
+    told_rows = lambda rows, most: F.filter(F.transform(F.slice(rows, 1, most), transcript_summary), lambda x: x != "")
+    own = told_rows(c("_own"), 10)
+    records = F.transform(F.slice(F.coalesce("_v.colocated_variants", F.array().cast(f"array<{COLOCATED}>")), 1, 10), lambda x: told(id=x["id"], alleles=x["allele_string"], maf=x["minor_allele_freq"]))
+    domains = F.transform(F.coalesce(best["domains"], F.array().cast("array<struct<db:string,name:string>>")), lambda x: F.concat(text(x["db"]), F.lit(":"), text(x["name"])))
+    columns = {
+        "most_severe_consequence": text(c("_v.most_severe_consequence")), "variant_class": text(c("_v.variant_class")), "status": F.when(F.size("_t") == 0, "no_transcript_consequence").when(F.size("_own") > 0, "direct_target_transcript").otherwise("other_gene_only"),
+        "genes": t.unique_join(each("_t", "gene_symbol")), "impacts": t.unique_join(each("_some", "impact")), "terms": t.unique_join(F.flatten(F.transform("_some", lambda x: F.coalesce(x["consequence_terms"], F.array().cast("array<string>")))), 12),
+        "transcript_summary": t.unique_join(let(own, lambda o: F.when(F.size(o) > 0, o).otherwise(told_rows(c("_t"), 5))), 10), "gene": value("gene_symbol"), "transcript": value("transcript_id"), "impact": value("impact"),
+        **{n: value(*names) for n, names in PICKED.items()}, **{n: F.concat_ws("-", *[F.nullif(text(best[x]), F.lit("")) for x in pair]) for n, pair in PLACES.items()},
+        "uniprot": t.unique_join(F.array(*[best[n] for n in ("swissprot", "trembl", "uniparc", "uniprot_isoform")])), "domains_summary": t.unique_join(domains), "colocated_variants": t.unique_join(records, 10),
+    }
+    return parsed.select(*df.columns, *[v.alias(f"vep_{n}") for n, v in columns.items()])
 
 
 def colocated_match(entry: Column, chrom: Column, start: Column, ref: Column, alt: Column) -> Column:
@@ -55,7 +90,7 @@ def resolve_rsid(df: DataFrame, payload: str = "payload", chrom: str = "contig",
     """Identifier of a variant from the records at its place that are the variant, with its status, the reason for it, and
     how many records and identifiers the place has."""
     c = F.col
-    none = F.array().cast("array<struct<id:string,allele_string:string,seq_region_name:string,start:string,end:string>>")
+    none = F.array().cast(f"array<{COLOCATED}>")
     out = df.withColumn("_all", F.coalesce(F.from_json(payload, VEP)["colocated_variants"], none))
     out = out.withColumn("_all", F.transform("_all", lambda x: F.struct(normalize_rsid(x["id"]).alias("id"), colocated_match(x, c(chrom), c(pos).try_cast("bigint"), c("ref"), c("alt")).alias("kind"))))
     out = out.withColumn("_ids", F.array_distinct(F.filter(F.transform("_all", lambda x: x["id"]), lambda x: x != "")))

@@ -121,7 +121,7 @@ JOIN (SELECT count(*) AS n FROM documents) nd ON TRUE
 JOIN documents d ON d.doc_id = f.line_no % nd.n""",
     "vep_payloads": r"""
 SELECT line_no, 'G' || CAST(l_partkey AS STRING) AS target_gene, contig, pos, id, ref, alt,
-  '{"input":"' || CAST(line_no AS STRING) || '","most_severe_consequence":"' || CASE line_no % 3 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'intron_variant' ELSE 'synonymous_variant' END
+  '{"input":"' || CAST(line_no AS STRING) || '","variant_class":"SNV","most_severe_consequence":"' || CASE line_no % 3 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'intron_variant' ELSE 'synonymous_variant' END
   || '","colocated_variants":[' ||
   CASE line_no % 5 WHEN 0 THEN '' WHEN 1 THEN '{"id":"rs' || CAST(line_no AS STRING) || '","allele_string":"' || ref || '/' || alt || '"' || CASE line_no % 7 WHEN 0 THEN '' WHEN 1 THEN ',"seq_region_name":"other","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos AS STRING) WHEN 2 THEN ',"seq_region_name":"' || contig || '","start":' || CAST(pos + 5000 AS STRING) WHEN 3 THEN ',"start":"unknown"' ELSE ',"seq_region_name":"' || contig || '","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos + 1 AS STRING) END || '}'
    WHEN 2 THEN '{"id":"RS' || CAST(line_no AS STRING) || '","allele_string":"' || CASE WHEN line_no % 2 = 0 THEN 'C' || alt || '/C' || ref ELSE ref || '/CCC' END || '"' || CASE line_no % 7 WHEN 0 THEN '' WHEN 1 THEN ',"seq_region_name":"other","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos AS STRING) WHEN 2 THEN ',"seq_region_name":"' || contig || '","start":' || CAST(pos + 5000 AS STRING) WHEN 3 THEN ',"start":"unknown"' ELSE ',"seq_region_name":"' || contig || '","start":' || CAST(pos AS STRING) || ',"end":' || CAST(pos + 1 AS STRING) END || '}'
@@ -130,6 +130,8 @@ SELECT line_no, 'G' || CAST(l_partkey AS STRING) AS target_gene, contig, pos, id
   || '],"transcript_consequences":[{"gene_symbol":"OTHER","canonical":1,"transcript_id":"T0","impact":"LOW","biotype":"lncRNA","consequence_terms":["intron_variant"]},{"gene_symbol":"'
   || CASE WHEN line_no % 4 = 0 THEN 'X' ELSE 'G' || CAST(l_partkey AS STRING) END || '","transcript_id":"T' || CAST(l_partkey AS STRING) || '_1"'
   || CASE WHEN line_no % 2 = 0 THEN ',"mane_select":"NM_' || CAST(l_partkey AS STRING) || '.1"' ELSE '' END
+  || ',"hgvsc":"c.' || CAST(line_no % 77 AS STRING) || '","exon":"2/5","cdna_start":' || CAST(line_no % 500 AS STRING) || ',"cdna_end":' || CAST(line_no % 500 + 1 AS STRING) || ',"cds_start":' || CAST(line_no % 300 AS STRING) || ',"protein_start":7,"protein_end":9,"amino_acids":"A/V","swissprot":"P' || CAST(line_no % 9 AS STRING) || '","uniparc":"UPI1","domains":[{"db":"Pfam","name":"PF' || CAST(line_no % 5 AS STRING) || '"},{"db":"Gene3D","name":"g"}]'
+  || CASE line_no % 3 WHEN 0 THEN ',"sift_prediction":"tolerated","sift_score":0.5' WHEN 1 THEN ',"sift_pred":"D"' ELSE '' END || CASE line_no % 4 WHEN 1 THEN ',"revel":0.7' WHEN 2 THEN ',"revel_score":"0.8","revel":0.1' ELSE '' END || CASE WHEN line_no % 6 = 0 THEN ',"spliceai":{"DS_AG":0.1}' ELSE '' END
   || ',"impact":"MODERATE","biotype":"protein_coding","hgvsp":"p.' || CAST(line_no % 99 AS STRING) || '","cadd_phred":' || CAST(line_no % 35 AS STRING) || ',"consequence_terms":["missense_variant","splice_region_variant"]}]}' AS payload
 FROM fx_line WHERE alt NOT LIKE '%,%' AND alt NOT LIKE '<%'""",
     "gwas_payloads": r"""

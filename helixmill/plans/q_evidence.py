@@ -122,7 +122,20 @@ rr AS (SELECT *, CASE k WHEN 'own' THEN id WHEN 'one' THEN h1 WHEN 'indel' THEN
  CASE k WHEN 'own' THEN 'vcf_id_confirmed_by_vep_exact_allele' WHEN 'many' THEN 'ambiguous_multiple_exact_rsids' WHEN 'indel' THEN 'vep_colocated_normalized_indel' WHEN 'one' THEN 'vep_colocated_exact_allele' WHEN 'mismatch' THEN 'vep_colocated_allele_mismatch' ELSE 'unresolved_no_exact_rsid' END AS rsid_status,
  CASE k WHEN 'own' THEN 'vcf_id_and_vep_allele_match' WHEN 'many' THEN 'multiple_vep_colocated_allele_matches' WHEN 'mismatch' THEN 'colocated_rsid_requires_coordinate_allele_reconciliation' WHEN 'none' THEN 'vep_response_has_no_colocated_rsid' ELSE 'unique_vep_colocated_allele_match' END AS rsid_reason,
  CAST(n AS BIGINT) AS colocated_count, CAST(CASE WHEN line_no % 5 = 3 AND r1 = r2 THEN 1 WHEN line_no % 5 = 4 THEN 0 ELSE n END AS BIGINT) AS colocated_rsid_count FROM rk)"""
-RAWJ = """jv AS (SELECT v.*, 'T' || substr(target_gene, 2) || '_1' AS own_t, line_no % 4 <> 0 AS direct, line_no % 2 = 0 AS mane FROM vep_payloads v)"""
+NO = "''"
+OWN_LINE = "'gene=' || g2 || '; tx=' || own_t || '; consequence=missense_variant|splice_region_variant; impact=MODERATE; biotype=protein_coding; hgvsc=c.' || CAST(line_no % 77 AS VARCHAR) || '; hgvsp=p.' || CAST(line_no % 99 AS VARCHAR) || '; cadd_phred=' || CAST(line_no % 35 AS VARCHAR) || CASE line_no % 4 WHEN 1 THEN '; revel=0.7' WHEN 2 THEN '; revel=0.8' ELSE '' END || CASE WHEN line_no % 6 = 0 THEN '; spliceai={\"DS_AG\":0.1}' ELSE '' END"
+BEST = lambda v: f"CASE WHEN direct OR mane THEN {v} ELSE '' END"  # noqa: E731  else the other gene's, whose fields are few
+VEP_SQL = {
+    "most_severe_consequence": "CASE line_no % 3 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'intron_variant' ELSE 'synonymous_variant' END", "variant_class": "'SNV'", "status": "CASE WHEN direct THEN 'direct_target_transcript' ELSE 'other_gene_only' END",
+    "genes": "'OTHER|' || g2", "impacts": "CASE WHEN direct THEN 'MODERATE' ELSE 'LOW|MODERATE' END", "terms": "CASE WHEN direct THEN '' ELSE 'intron_variant|' END || 'missense_variant|splice_region_variant'",
+    "transcript_summary": f"CASE WHEN direct THEN '' ELSE 'gene=OTHER; tx=T0; consequence=intron_variant; impact=LOW; biotype=lncRNA|' END || {OWN_LINE}", "gene": "CASE WHEN direct OR mane THEN g2 ELSE 'OTHER' END", "transcript": "CASE WHEN direct OR mane THEN own_t ELSE 'T0' END", "impact": "CASE WHEN direct OR mane THEN 'MODERATE' ELSE 'LOW' END",
+    "canonical": "CASE WHEN direct OR mane THEN '' ELSE '1' END", "mane_select": BEST("CASE WHEN mane THEN 'NM_' || substr(target_gene, 2) || '.1' ELSE '' END"), "hgvsc": BEST("'c.' || CAST(line_no % 77 AS VARCHAR)"), "hgvsp": BEST("'p.' || CAST(line_no % 99 AS VARCHAR)"), "protein_id": NO, "exon": BEST("'2/5'"), "intron": NO, "amino_acids": BEST("'A/V'"),
+    "sift_prediction": BEST("CASE line_no % 3 WHEN 0 THEN 'tolerated' WHEN 1 THEN 'D' ELSE '' END"), "sift_score": BEST("CASE line_no % 3 WHEN 0 THEN '0.5' ELSE '' END"), "polyphen_prediction": NO, "polyphen_score": NO, "cadd_phred": BEST("CAST(line_no % 35 AS VARCHAR)"), "revel_score": BEST("CASE line_no % 4 WHEN 1 THEN '0.7' WHEN 2 THEN '0.8' ELSE '' END"),
+    "alphamissense_score": NO, "alphamissense_pred": NO, "mutationtaster_pred": NO, "metasvm_pred": NO, "spliceai": BEST("CASE WHEN line_no % 6 = 0 THEN '{\"DS_AG\":0.1}' ELSE '' END"), "cdna": BEST("CAST(line_no % 500 AS VARCHAR) || '-' || CAST(line_no % 500 + 1 AS VARCHAR)"), "cds": BEST("CAST(line_no % 300 AS VARCHAR)"), "protein_position": BEST("'7-9'"),
+    "uniprot": BEST("'P' || CAST(line_no % 9 AS VARCHAR) || '|UPI1'"), "domains_summary": BEST("'Pfam:PF' || CAST(line_no % 5 AS VARCHAR) || '|Gene3D:g'"),
+    "colocated_variants": "CASE line_no % 5 WHEN 0 THEN '' WHEN 2 THEN 'id=RS' || CAST(line_no AS VARCHAR) || '; alleles=' || CASE WHEN line_no % 2 = 0 THEN 'C' || alt || '/C' || ref ELSE ref || '/CCC' END WHEN 4 THEN 'id=COSV' || CAST(line_no AS VARCHAR) || '; alleles=' || ref || '/' || alt ELSE 'id=rs' || CAST(line_no AS VARCHAR) || '; alleles=' || ref || '/' || alt || CASE WHEN line_no % 5 = 3 AND NOT (id <> '.' AND line_no % 2 = 0 AND id = 'rs' || CAST(line_no AS VARCHAR)) THEN '|id=' || CASE WHEN id <> '.' AND line_no % 2 = 0 THEN id ELSE 'rs' || CAST(line_no + 1 AS VARCHAR) END || '; alleles=' || ref || '/' || alt ELSE '' END END",
+}
+RAWJ = """jv AS (SELECT v.*, 'T' || substr(target_gene, 2) || '_1' AS own_t, line_no % 4 <> 0 AS direct, line_no % 2 = 0 AS mane, CASE WHEN line_no % 4 = 0 THEN 'X' ELSE target_gene END AS g2 FROM vep_payloads v)"""
 CL = "CASE WHEN clinvar_significance IS NULL THEN 'not_reported' WHEN lower(clinvar_significance) LIKE '%conflicting%pathogenic%' THEN 'conflicting_pathogenicity' WHEN lower(clinvar_significance) LIKE '%pathogenic%' THEN 'pathogenic_or_likely_pathogenic' WHEN lower(clinvar_significance) LIKE '%uncertain%' THEN 'uncertain_significance' WHEN clinvar_significance LIKE '%drug response%' THEN 'drug_response' WHEN clinvar_significance LIKE '%risk factor%' THEN 'risk_factor' WHEN lower(clinvar_significance) LIKE '%benign%' THEN 'benign_or_likely_benign' ELSE 'other_reported' END"
 NUM = lambda c: f"coalesce(TRY_CAST({c} AS DOUBLE), 0)"
 SC = f"""s0 AS (SELECT *, {CL} AS cl, ann_seq % 6 AS r6, {NUM('cadd_phred')} AS cadd, {NUM('revel_score')} AS revel, coalesce(TRY_CAST(gwas_min_pvalue AS DOUBLE), 1.0) AS p, {NUM('pharmgkb_clinical_annotation_count')} AS pc, {NUM('gwas_association_count')} AS gc, ann_seq % 40 * 3 AS grp FROM annotations),
@@ -156,7 +169,7 @@ ar AS (SELECT interp.*, ax.axis_id FROM interp JOIN ax ON interp.category = ax.c
 STRONG = "contains(technical_notes_en, 'gwas')"
 SQL = {
     "snk_jsonl": f"""WITH {SC} SELECT '{{"grp":' || grp || ',"size":' || size || ',"max_score":' || CAST(max_score AS BIGINT) || '}}' AS line FROM gp""",
-    "json_vep": f"WITH {RAWJ} SELECT line_no, target_gene, contig, pos, id, ref, alt, CASE line_no % 3 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'intron_variant' ELSE 'synonymous_variant' END AS vep_most_severe_consequence, CASE WHEN direct THEN 'direct_target_transcript' ELSE 'other_gene_only' END AS vep_status, CASE WHEN direct THEN target_gene WHEN mane THEN 'X' ELSE 'OTHER' END AS vep_gene, own_t AS vep_transcript, 'MODERATE' AS vep_impact, 'p.' || CAST(line_no % 99 AS VARCHAR) AS vep_hgvsp, CAST(line_no % 35 AS DOUBLE) AS vep_cadd_phred, 'intron_variant|missense_variant|splice_region_variant' AS vep_terms, 'OTHER|' || CASE WHEN direct THEN target_gene ELSE 'X' END AS vep_genes FROM jv",
+    "json_vep": f"WITH {RAWJ} SELECT line_no, target_gene, contig, pos, id, ref, alt, {', '.join(f'{v} AS vep_{k}' for k, v in VEP_SQL.items())} FROM jv",
     "win_transcript_pick": f"WITH {RAWJ} SELECT line_no, CASE WHEN direct THEN target_gene ELSE 'X' END AS vep_gene, own_t AS vep_transcript FROM jv",
     "cls_rsid_resolution": f"WITH {RSID} SELECT line_no, resolved_rsid, rsid_status, rsid_reason, colocated_count, colocated_rsid_count FROM rr",
     "json_gwas": "SELECT rsid, CAST(2 AS BIGINT) AS n, CASE WHEN ann_seq % 5 = ann_seq % 3 THEN 't' || CAST(ann_seq % 5 AS VARCHAR) ELSE 't' || CAST(ann_seq % 5 AS VARCHAR) || '|t' || CAST(ann_seq % 3 AS VARCHAR) END AS traits, least(CAST(CAST(ann_seq % 9 + 1 AS VARCHAR) || 'e-' || CAST(ann_seq % 12 + 3 AS VARCHAR) AS DOUBLE), CAST(CAST(ann_seq % 7 + 1 AS VARCHAR) || 'e-' || CAST(ann_seq % 10 + 2 AS VARCHAR) AS DOUBLE)) <= 5e-8 AS strong, CASE WHEN rsid IS NOT NULL THEN 'H' || CAST(ann_seq % 4 AS VARCHAR) || '|H9' END AS genes, 'trait=t' || CAST(ann_seq % 5 AS VARCHAR) || '; p || trait=t' || CAST(ann_seq % 3 AS VARCHAR) || '; p; ' || CASE WHEN ann_seq % 2 = 0 THEN 'beta=0.25 increase' ELSE 'OR=1.5' END || '; genes=H' || CAST(ann_seq % 4 AS VARCHAR) || ',H9' AS associations FROM annotations",
