@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import genotype as g
 from helixmill.operators import match as m
+from helixmill.operators import projections as pr
 from helixmill.plans import q_canon, q_vcf
 from helixmill.plans.fixtures import view
 from helixmill.sources import files, vcf
@@ -16,7 +17,7 @@ KEYS = ["upload_id", "line_no", "alt_index"]
 
 
 def alleles(s, d):
-    return vcf.observed_alleles(q_vcf.records(s, d)).select(*KEYS, "id", "contig", "start", "end", "ref", "allele", "dosage", "gt", "filter", "variant_key")
+    return vcf.observed_alleles(q_vcf.records(s, d)).select(*KEYS, "id", "contig", "start", "end", "ref", "alt", "allele", "dosage", "gt", "filter", "variant_key")
 
 
 def envelopes(s, d):
@@ -32,6 +33,18 @@ def modules(s, d):
     return m.fan_out_modules(classified(s, d), view(s, d, "canon_rows"))
 
 
+def deliverable_rows(s, d):
+    bases = g.gt_alleles(C("gt"), C("ref"), C("alt"))
+    return m.review_v2(modules(s, d)).withColumns({"gt_alleles": bases, "genotype_display": g.genotype_display(bases), "zygosity": g.zygosity_alt(C("gt"), C("dosage")), "ref_alt_display": g.ref_alt_display(C("ref"), C("allele"), F.lit(None), F.lit(None)), "gene_envelope_match": F.lit("true"), "has_genotype": (C("gt") != "").cast("string")})
+
+
+def legacy_rows(s, d):
+    """Consolidated rows with what the deliverable shows of them."""
+    bases = F.when(C("has_genotype"), g.gt_alleles(C("gt"), C("vcf_ref"), C("vcf_alt")))
+    rows = m.review_legacy(consolidated(s, d)).withColumn("confidence", m.confidence_legacy(C("match_status"), C("source_group"), C("zygosity"), C("has_genotype")))
+    return rows.withColumns({"gt_alleles": bases, "genotype_display": g.genotype_display(bases), "ref_alt_display": g.ref_alt_display(C("vcf_ref"), C("vcf_alt"), C("exp_ref"), C("exp_alt"))})
+
+
 def triaged(s, d):
     return m.triage(modules(s, d))
 
@@ -103,10 +116,11 @@ QUERIES = {
     "cls_review_legacy": lambda s, d: m.review_legacy(consolidated(s, d)).select("row_id", "review_status", "notes", "sentence"),
     "join_rsid_coordinates": lambda s, d: canon_ids(s, d).where("rsid <> ''").join(m.first_by(ready(s, d), ["upload_id", "rsid"], ["seq"]), ["upload_id", "rsid"], "left").select("row_id", "rsid", g.joined_key(":", C("chrom"), C("pos")).alias("match_key_chr_pos"), g.joined_key("|", C("chrom"), C("pos"), C("exp_ref"), C("exp_alt")).alias("match_key_full"), C("pos").isNotNull().alias("has_chr_pos"), ((F.coalesce("exp_ref", F.lit("")) != "") & (F.coalesce("exp_alt", F.lit("")) != "")).alias("has_full_match_fields")),
     "cls_gate_block": lambda s, d: triaged(s, d).agg(F.count(F.when(C("triage_decision") == "include_ai", 1)).alias("included")).select("included", (C("included") == 0).alias("blocked")),
-    "cls_deliverable": lambda s, d: m.review_v2(modules(s, d)).select(C("module_name").alias("category"), C("approved_symbol").alias("gene"), C("id").alias("rsid"), g.ref_alt_display(C("ref"), C("allele"), F.lit(None), F.lit(None)).alias("ref_alt"), "review_status", "notes", *KEYS, "canon_row_id"),
+    "cls_deliverable": lambda s, d: pr.project(deliverable_rows(s, d).withColumn("minimal", C("background_only") != "true"), pr.V2_AUDIT, *KEYS, "minimal"),
+    "cls_deliverable_legacy": lambda s, d: pr.deliverables(legacy_rows(s, d), "legacy"),
 }
 
-ALS = q_vcf.ALL + f""", ob AS MATERIALIZED (SELECT upload_id, line_no, alt_index, id, contig, start, "end", ref, allele, dosage, gt, filter, {q_vcf.KEYED} AS variant_key FROM al WHERE dosage > 0 AND contig IN {q_vcf.OK} AND NOT {q_vcf.SYM})"""
+ALS = q_vcf.ALL + f""", ob AS MATERIALIZED (SELECT upload_id, line_no, alt_index, id, contig, start, "end", ref, alt, allele, dosage, gt, p, filter, {q_vcf.KEYED} AS variant_key FROM al WHERE dosage > 0 AND contig IN {q_vcf.OK} AND NOT {q_vcf.SYM})"""
 ENV = ALS + """, en AS (SELECT ob.*, g.gene_id, g.approved_symbol FROM ob JOIN genes g ON g.chrom = ob.contig AND ob.start <= g.g_end AND ob."end" >= g.g_start)"""
 RANKS = ", ".join(f"({k}, '" + "', '".join(r) + "')" for k, r in enumerate(m.REGIONS))
 CLS = ENV + ", " + q_canon.UNIONS + f""", rk(rank, {', '.join(m.REGION_COLUMNS)}) AS (VALUES {RANKS}),
@@ -126,6 +140,14 @@ c2 AS (SELECT *, CASE WHEN coalesce(exp_ref, '') = '' THEN 'missing_expected_ref
 co AS (SELECT *, CASE WHEN rsid = '' THEN 'no_rsid_detected' WHEN NOT has_place THEN 'rsid_without_coordinates' WHEN NOT has_vcf THEN 'no_vcf_match_by_chr_pos' WHEN ref_status = 'ref_match' AND alt_status = 'alt_exact_match' THEN 'match_strict' WHEN ref_status = 'ref_match' AND alt_status IN ('alt_partial_overlap', 'missing_expected_alt') THEN 'match_likely_needs_alt_review' ELSE 'match_by_position_needs_review' END AS match_status FROM c2)"""
 REVIEW = "CASE WHEN background_only = 'true' THEN 'background_only' WHEN annotation_needed = 'true' THEN 'ready_for_annotation' WHEN annotation_needed = 'optional' THEN 'optional_annotation' ELSE 'local_review_only' END"
 NOTES = "concat_ws(' ', CASE WHEN lower(module_status) = 'draft' THEN 'Draft module included with explicit flag.' END, 'Matched via ' || overlap_feature_types || '.', CASE WHEN background_only = 'true' THEN 'Kept for audit but classified as background-only.' END)"
+LEGACY_CONFIDENCE = "SELECT row_id, CASE WHEN match_status = 'match_strict' AND has_genotype THEN CASE WHEN source_group = 'revision_manual' OR zygosity = 'non_diploid_or_complex' THEN 'Moderate' ELSE 'High' END WHEN match_status = 'match_likely_needs_alt_review' AND has_genotype THEN 'Moderate' ELSE 'Low' END AS confidence FROM co"
+LEGACY_REVIEW = "SELECT row_id, CASE match_status WHEN 'match_strict' THEN CASE WHEN source_group = 'revision_manual' THEN 'ready_but_manual_row_review' ELSE 'ready_for_interpretation' END WHEN 'match_likely_needs_alt_review' THEN 'interpretable_with_alt_review' WHEN 'no_vcf_match_by_chr_pos' THEN 'no_variant_observed_in_vcf_at_locus' WHEN 'rsid_without_coordinates' THEN 'technical_resolution_pending' WHEN 'no_rsid_detected' THEN 'missing_rsid' ELSE 'review_needed' END AS review_status, CASE WHEN source_group = 'revision_manual' THEN 'Original sheet row needs manual structural review.' WHEN match_status = 'match_likely_needs_alt_review' THEN 'Position-level match found; ALT representation should be reviewed before final biological interpretation.' WHEN match_status = 'no_vcf_match_by_chr_pos' THEN 'Queried locus was not observed in the current VCF by CHROM+POS.' WHEN match_status = 'no_rsid_detected' THEN 'No usable rsID detected in the original row.' ELSE '' END AS notes, CASE WHEN has_genotype THEN 'Observed genotype at ' || CASE WHEN rsid = '' THEN 'this locus' ELSE rsid END || '; functional interpretation pending review.' ELSE 'No genotype was observed at this queried locus in the current VCF; no genotype-specific interpretation assigned.' END AS sentence FROM co"
+SHOWN = "CASE WHEN trim(bases) = '' THEN 'NA' WHEN len(list_filter(string_split(bases, '/'), lambda x: length(x) <> 1)) = 0 THEN replace(bases, '/', '') ELSE bases END"
+ZYG_ALT = f"CASE WHEN {q_vcf.PART} THEN 'unknown' WHEN len(p) <> 2 THEN 'non_diploid_or_complex' WHEN dosage = 2 THEN 'homozygous' WHEN dosage = 1 THEN 'heterozygous' ELSE 'reference_only' END"
+SENTENCE = "'Observed variant in ' || approved_symbol || '; local classification is ' || local_region_class || CASE WHEN background_only = 'true' THEN ' and currently background-only.' ELSE ' and may require downstream annotation.' END"
+V2_SQL = ["approved_symbol", "module_id", "module_name", "''", SHOWN, ZYG_ALT, "ref || '/' || allele", "local_region_class", "local_feature_priority", SENTENCE, "evidence_tier", "module_status", "'false'", "annotation_needed", "background_only", REVIEW, NOTES, "CAST(gene_id AS VARCHAR)", "canon_row_id", "CAST(start AS VARCHAR)", 'CAST("end" AS VARCHAR)', "contig", "CAST(start AS VARCHAR)", "id", "gt", "trim(bases)", "'true'", "overlap_feature_types", "CASE WHEN gt <> '' THEN 'true' ELSE 'false' END"]
+PAIR = "CASE WHEN coalesce(vcf_ref, '') <> '' AND coalesce(vcf_alt, '') <> '' THEN vcf_ref || '/' || vcf_alt WHEN coalesce(exp_ref, '') <> '' AND coalesce(exp_alt, '') <> '' THEN exp_ref || '/' || exp_alt ELSE 'NA' END"
+LEGACY_SQL = ["''", "rsid", SHOWN, "zygosity", PAIR, "''", "sentence", "confidence", "''", "review_status", "notes", "CAST(row_id AS VARCHAR)", "source_group", "match_status", "bases", "coalesce(gt, '')", "coalesce(exp_ref, '')", "coalesce(exp_alt, '')", "coalesce(vcf_ref, '')", "coalesce(vcf_alt, '')", "CASE WHEN has_genotype THEN 'true' ELSE 'false' END", "CASE WHEN has_vcf THEN 'true' ELSE 'false' END"]
 SQL = {
     "join_gene_envelope": f'WITH {ENV} SELECT {K}, gene_id, start, "end" FROM en',
     "join_region_prefilter": f'WITH {ALS}, {REG} SELECT DISTINCT {K}, ob.start FROM ob JOIN (SELECT *, unnest(range((start - {FLANK}) // 10000, ("end" + {FLANK}) // 10000 + 1)) AS bin FROM re) re ON re.contig = ob.contig AND ob.start // 10000 = re.bin AND ob.start BETWEEN re.start - {FLANK} AND re."end" + {FLANK}',
@@ -151,9 +173,10 @@ SQL = {
     "cls_match_status": f"WITH {CON} SELECT row_id, match_status FROM co",
     "agg_status_counts": f"WITH {CON} SELECT match_status, source_group, count(*) AS n FROM co GROUP BY ALL",
     "join_candidates_back": f"WITH {q_vcf.REC}, {RDY}, h AS (SELECT rec.upload_id, rec.line_no, rd.rsid, rd.exp_ref, rd.seq FROM rec JOIN rd ON rec.upload_id = rd.upload_id AND rec.chrom = rd.chrom AND rec.pos = rd.pos), f AS (SELECT upload_id, line_no, rsid, min(seq) AS s FROM h GROUP BY ALL) SELECT a.*, b.n_source_rows, b.exp_ref FROM (SELECT upload_id, line_no, string_agg(rsid, '|' ORDER BY s) AS rsids FROM f GROUP BY ALL) a JOIN (SELECT upload_id, line_no, count(*) AS n_source_rows, arg_min(exp_ref, seq) AS exp_ref FROM h GROUP BY ALL) b ON a.upload_id = b.upload_id AND a.line_no = b.line_no",
-    "cls_confidence_legacy": f"WITH {CON} SELECT row_id, CASE WHEN match_status = 'match_strict' AND has_genotype THEN CASE WHEN source_group = 'revision_manual' OR zygosity = 'non_diploid_or_complex' THEN 'Moderate' ELSE 'High' END WHEN match_status = 'match_likely_needs_alt_review' AND has_genotype THEN 'Moderate' ELSE 'Low' END AS confidence FROM co",
-    "cls_review_legacy": f"WITH {CON} SELECT row_id, CASE match_status WHEN 'match_strict' THEN CASE WHEN source_group = 'revision_manual' THEN 'ready_but_manual_row_review' ELSE 'ready_for_interpretation' END WHEN 'match_likely_needs_alt_review' THEN 'interpretable_with_alt_review' WHEN 'no_vcf_match_by_chr_pos' THEN 'no_variant_observed_in_vcf_at_locus' WHEN 'rsid_without_coordinates' THEN 'technical_resolution_pending' WHEN 'no_rsid_detected' THEN 'missing_rsid' ELSE 'review_needed' END AS review_status, CASE WHEN source_group = 'revision_manual' THEN 'Original sheet row needs manual structural review.' WHEN match_status = 'match_likely_needs_alt_review' THEN 'Position-level match found; ALT representation should be reviewed before final biological interpretation.' WHEN match_status = 'no_vcf_match_by_chr_pos' THEN 'Queried locus was not observed in the current VCF by CHROM+POS.' WHEN match_status = 'no_rsid_detected' THEN 'No usable rsID detected in the original row.' ELSE '' END AS notes, CASE WHEN has_genotype THEN 'Observed genotype at ' || CASE WHEN rsid = '' THEN 'this locus' ELSE rsid END || '; functional interpretation pending review.' ELSE 'No genotype was observed at this queried locus in the current VCF; no genotype-specific interpretation assigned.' END AS sentence FROM co",
+    "cls_confidence_legacy": f"WITH {CON} {LEGACY_CONFIDENCE}",
+    "cls_review_legacy": f"WITH {CON} {LEGACY_REVIEW}",
     "join_rsid_coordinates": f"WITH {CON} SELECT row_id, ci.rsid, CASE WHEN pos IS NULL THEN '' ELSE chrom || ':' || pos END AS match_key_chr_pos, CASE WHEN pos IS NULL OR exp_ref = '' OR exp_alt = '' THEN '' ELSE chrom || '|' || pos || '|' || exp_ref || '|' || exp_alt END AS match_key_full, pos IS NOT NULL AS has_chr_pos, coalesce(exp_ref, '') <> '' AND coalesce(exp_alt, '') <> '' AS has_full_match_fields FROM ci LEFT JOIN r1 ON ci.upload_id = r1.upload_id AND ci.rsid = r1.rsid WHERE ci.rsid <> ''",
     "cls_gate_block": f"WITH {TRI} SELECT count(*) FILTER (WHERE triage_decision = 'include_ai') AS included, count(*) FILTER (WHERE triage_decision = 'include_ai') = 0 AS blocked FROM tr",
-    "cls_deliverable": f"WITH {MOD} SELECT module_name AS category, approved_symbol AS gene, id AS rsid, ref || '/' || allele AS ref_alt, {REVIEW} AS review_status, {NOTES} AS notes, {K}, canon_row_id FROM mo",
+    "cls_deliverable": f"WITH {MOD}, x AS (SELECT *, {q_vcf.BASES} AS bases FROM mo) SELECT {K}, background_only <> 'true' AS minimal, " + ", ".join(f'{v} AS "{f.name}"' for f, v in zip(pr.V2_AUDIT, V2_SQL, strict=True)) + " FROM x",
+    "cls_deliverable_legacy": f"WITH {CON}, y AS (SELECT co.*, CASE WHEN has_genotype THEN {q_vcf.BASES.replace('[ref]', '[vcf_ref]').replace('(alt,', '(vcf_alt,')} ELSE '' END AS bases, r.review_status, r.notes, r.sentence, f.confidence FROM co JOIN ({LEGACY_REVIEW}) r ON r.row_id = co.row_id JOIN ({LEGACY_CONFIDENCE}) f ON f.row_id = co.row_id) SELECT TRUE AS minimal, " + ", ".join(f'{v} AS "{f.name}"' for f, v in zip(pr.LEGACY_AUDIT, LEGACY_SQL, strict=True)) + " FROM y",
 }

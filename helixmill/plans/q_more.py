@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from helixmill.functions import text as t
 from helixmill.operators import evidence as e
 from helixmill.operators import interpret as i
+from helixmill.operators import projections as pr
 from helixmill.plans import q_evidence, q_match, q_text, q_vcf
 from helixmill.plans.fixtures import view
 from helixmill.sources import files, vcf
@@ -88,6 +89,18 @@ def interpreted(s, d):
     return view(s, d, "interp").withColumns(columns)
 
 
+#: Where a payload's columns come from in the fixture: Spark and SQL alike.
+PLUS = {
+    "row_id": "CAST(row_id AS STRING)", "Gene": "gene", "SNP (rsID)": "i.rsid", "Category / Module": "category", "Genotype": "observed_genotype", "Zygosity": "zygosity", "Ref/Alt": "ref_alt", "Notes": "technical_notes_en", "Confidence Level": "final_confidence_level", "vep_cadd_phred": "cadd_phred", "vep_revel_score": "revel_score",
+    "clinvar_germline_classification": "clinvar_significance", "clinvar_review_status": "clinvar_review_status", "population_frequency_summary": "populations", "gwas_association_count": "gwas_association_count", "gwas_min_pvalue": "gwas_min_pvalue",
+}
+
+
+def plus_rows(s, d):
+    rows = view(s, d, "interp").alias("i").join(view(s, d, "annotations").alias("a"), "rsid", "left")
+    return rows.select(*[F.expr(v).alias(k) for k, v in PLUS.items()])
+
+
 def colocated(s, d):
     """Each allele against one record: of its contig or another, at its place, elsewhere or nowhere, with its alleles as
     they are, longer by a base, or others."""
@@ -131,8 +144,8 @@ QUERIES = {
     "cls_enriched_rows": lambda s, d: view(s, d, "interp").join(view(s, d, "annotations"), "rsid", "left").select("row_id", t.first_present(C("gene"), F.lit("NA")).alias("gene"), t.first_present(C("rsid"), F.lit("NA")).alias("id"), t.clinvar_class(C("clinvar_significance")).alias("cls"), t.first_present(C("cadd_phred"), F.lit("NA")).alias("cadd")),
     "cls_placeholder_interp": lambda s, d: view(s, d, "interp").select("row_id", F.concat(F.lit("Placeholder interpretation for "), "gene", F.lit(" "), "rsid", F.lit(".")).alias("sentence"), F.lit("Low").alias("confidence"), F.lit(True).alias("requires_review")),
     "cls_normalized_interp": lambda s, d: i.normalise_interpretations(interpreted(s, d)).select("row_id", *CHAIN),
-    "prj_payload_fields": lambda s, d: view(s, d, "interp").select("row_id", "gene", "rsid", "observed_genotype", "zygosity", C("final_confidence_level").alias("preliminary_confidence_from_input")),
-    "prj_compact_variant": lambda s, d: view(s, d, "interp").select("row_id", "gene", "rsid", t.as_bool(C("evidence_conflict_flag")).alias("conflict"), t.as_bool(C("requires_professional_review")).alias("review")),
+    "prj_payload_fields": lambda s, d: pr.project(plus_rows(s, d), pr.PAYLOAD),
+    "prj_compact_variant": lambda s, d: pr.project(interpreted(s, d), pr.compact_fields("es")),
     "join_interpretation_errors": lambda s, d: (lambda rows, good: rows.join(good, "row_id").select("row_id", F.lit("interpreted").alias("state")).unionByName(rows.join(good, "row_id", "left_anti").select("row_id", F.lit("failed").alias("state"))))(view(s, d, "interp").select("row_id"), view(s, d, "interp").where("evidence_conflict_flag = 'false' AND trim(interpretation_one_sentence_en) <> ''").select("row_id")),
     "agg_group_result_summary": lambda s, d: e.group_payloads(q_evidence.scored(s, d), q_evidence.GROUP).agg(F.count(F.when(C("max_score") >= 100, 1)).alias("interpreted"), F.count(F.when(C("max_score") < 100, 1)).alias("errors")).select("interpreted", "errors", F.when(C("interpreted") == 0, "invalid").when(C("errors") > 0, "warning").otherwise("valid").alias("status")),
     "join_axis_conformance": lambda s, d: i.conform_axes(view(s, d, "interp").select(F.when(C("row_id") % 3 == 0, "sleep_circadian").otherwise("zzz").alias("axis_id"), F.when(C("row_id") % 3 == 1, "IMMUNE").otherwise("other").alias("axis_name"), C("row_id").alias("seq")), view(s, d, "axis_patterns").select("axis_id", C("pattern").alias("axis_name"), "axis_order")),
@@ -198,8 +211,8 @@ SQL = {
     "cls_variant_master": f"WITH {q_evidence.RSID} SELECT line_no, contig, pos, ref, alt, rsid_status FROM rr WHERE resolved_rsid = ''",
     "cls_enriched_rows": f"SELECT row_id, gene, i.rsid AS id, {q_evidence.CL} AS cls, coalesce(nullif(cadd_phred, ''), 'NA') AS cadd FROM interp i LEFT JOIN annotations a ON i.rsid = a.rsid",
     "cls_placeholder_interp": "SELECT row_id, 'Placeholder interpretation for ' || gene || ' ' || rsid || '.' AS sentence, 'Low' AS confidence, TRUE AS requires_review FROM interp",
-    "prj_payload_fields": "SELECT row_id, gene, rsid, observed_genotype, zygosity, final_confidence_level AS preliminary_confidence_from_input FROM interp",
-    "prj_compact_variant": "SELECT row_id, gene, rsid, evidence_conflict_flag = 'true' AS conflict, requires_professional_review = 'true' AS review FROM interp",
+    "prj_payload_fields": "SELECT " + ", ".join(f"""coalesce(trim({PLUS[k].replace('STRING', 'VARCHAR')}), '') AS "{f.name}\"""" if (k := (f.sources or (f.name,))[0]) in PLUS else f"""'' AS "{f.name}\"""" for f in pr.PAYLOAD) + " FROM interp i LEFT JOIN annotations a ON i.rsid = a.rsid",
+    "prj_compact_variant": f"WITH x AS (SELECT *, CASE WHEN row_id % 2 = 0 THEN 'non_diploid_or_complex' ELSE zygosity END AS z, CASE WHEN row_id % 3 = 0 THEN 'synonymous_variant ' ELSE '' END || technical_notes_en || CASE WHEN row_id % 4 = 1 THEN '; rs1 pero intron_variant' ELSE '' END AS n FROM interp) SELECT CAST(row_id AS VARCHAR) AS row_id, gene, rsid, category, '' AS canon_effect, observed_genotype, z AS zygosity, ref_alt, FALSE AS variant_observed_in_vcf, {T_ES} AS interpretation_one_sentence, '' AS interpretation_long, '' AS technical_interpretation, CASE WHEN row_id % 31 = 0 THEN 'odd' ELSE final_confidence_level END AS final_confidence_level, CASE WHEN row_id % 5 = 0 THEN 'No GWAS' ELSE '' END AS confidence_rationale, n AS notes, CASE WHEN row_id % 6 = 0 THEN CASE WHEN row_id % 4 = 0 THEN '' ELSE 'note' END ELSE 'nota' END AS family_notes, '' AS recommended_next_review_step, requires_professional_review = 'true' AS requires_professional_review, gene_or_locus_ambiguity_flag = 'true' AS gene_or_locus_ambiguity_flag, evidence_conflict_flag = 'true' AS evidence_conflict_flag, [technical_notes_en] AS evidence_used, CAST([] AS VARCHAR[]) AS evidence_limitations FROM x",
     "join_interpretation_errors": "SELECT row_id, CASE WHEN evidence_conflict_flag = 'false' AND trim(interpretation_one_sentence_en) <> '' THEN 'interpreted' ELSE 'failed' END AS state FROM interp",
     "join_axis_conformance": "SELECT CASE row_id % 3 WHEN 0 THEN 'sleep_circadian' ELSE 'immune_inflammatory' END AS axis, min(row_id) AS seq, CASE row_id % 3 WHEN 0 THEN 6 ELSE 2 END AS axis_order FROM interp WHERE row_id % 3 < 2 GROUP BY ALL",
     "win_first_mapping": f"WITH {q_vcf.REC} SELECT line_no, CASE WHEN line_no % 2 = 0 THEN chrom ELSE 'x' END AS chrom, CASE WHEN line_no % 2 = 0 THEN TRY_CAST(pos AS BIGINT) ELSE 1 END AS pos, CASE WHEN line_no % 2 = 0 THEN ref ELSE 'A' END AS ref, CASE WHEN line_no % 2 = 0 THEN alt ELSE 'C' END AS alt FROM rec",
