@@ -143,7 +143,7 @@ def read_interval_index(spark: SparkSession, paths: str | list[str], whole: bool
     """Entries of nested interval indexes, {"chromosomes": {contig: [entry, ..] or one entry, ..}}: contig, the fields of
     entry as text, i_start and i_end as numbers, and ``reason``: why an entry is of no use, or ''. A contig's value may be
     a list or a single object; another value is one entry that is none. whole: a file is one payload, else a line is."""
-    text = spark.read.option("wholetext", whole).text(paths)
+    text = spark.read.text(paths, wholetext=whole)
     contigs = text.select(F.explode(F.from_json("value", "struct<chromosomes:map<string,string>>")["chromosomes"]).alias("label", "j"))
     listed = F.when(F.ltrim("j").startswith("["), F.from_json("j", "array<string>")).otherwise(F.array("j"))
     rows = contigs.select(g.norm_chrom(F.col("label")).alias("contig"), F.explode(listed).alias("j"))

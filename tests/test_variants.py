@@ -297,3 +297,85 @@ def test_target_regions_need_a_contig(spark):
     assert sorted((r.upload_id, r.label, r.start, r.renamed) for r in got) == [("u", "1", 20, True), ("v", "chr1", 20, False)]
     with pytest.raises(Exception, match="no contig of the target regions in w"):
         n.target_regions(spans, labels(("u", "chr1", "1"), ("w", "chr2", "2"))).collect()
+
+
+def test_a_late_copy_stays_one_row_over_restarts(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda rows, k: spark.createDataFrame(rows, "upload_id string, variant_key string").write.parquet(f"{source}/{k}")
+    def run():
+        stream = spark.readStream.schema("upload_id string, variant_key string").option("recursiveFileLookup", "true").parquet(source)
+        return sorted(map(tuple, streams.stream_dedup(stream, out).collect()))
+    put([("u", "a"), ("u", "a"), ("v", "a")], 1)
+    assert run() == [("u", "a"), ("v", "a")]
+    put([("u", "a"), ("u", "b")], 2)  # a new query from the checkpoint: nothing of the first run's memory is left
+    assert run() == [("u", "a"), ("u", "b"), ("v", "a")]
+    streams.dedup_writer(out)(spark.createDataFrame([("u", "a"), ("u", "b")], "upload_id string, variant_key string"), 1)  # the second batch again
+    assert sorted(map(tuple, spark.read.parquet(out).drop("part").collect())) == [("u", "a"), ("u", "b"), ("v", "a")]
+
+
+def test_identifier_of_a_normalised_indel(spark):
+    from helixmill.operators import evidence
+
+    def resolved(chrom, pos, ref, alt, own, *records):
+        import json
+
+        df = spark.createDataFrame([(own, chrom, pos, ref, alt, json.dumps({"colocated_variants": list(records)}))], "id string, contig string, pos bigint, ref string, alt string, payload string")
+        r = evidence.resolve_rsid(df).first()
+        return r.resolved_rsid, r.rsid_status, r.colocated_count, r.colocated_rsid_count
+    at = {"seq_region_name": "1", "start": 101, "end": 101}
+    assert resolved("chr1", 100, "CA", "CTA", ".", {"id": "rs1234", "allele_string": "A/TA", **at})[:2] == ("rs1234", "vep_colocated_normalized_indel")
+    assert resolved("chr1", 100, "CA", "CTA", "rs1234", {"id": "RS1234", "allele_string": "TA/A", **at})[:2] == ("rs1234", "vcf_id_confirmed_by_vep_exact_allele")
+    assert resolved("chr2", 100, "CA", "CTA", ".", {"id": "rs1234", "allele_string": "A/TA", **at}) == ("", "vep_colocated_allele_mismatch", 1, 1)
+    assert resolved("chr1", 500, "A", "G", ".", {"id": "rs1", "allele_string": "A/G", **at})[1] == "vep_colocated_allele_mismatch"
+    assert resolved("chr1", 500, "A", "G", ".", {"id": "rs1", "allele_string": "A/G"})[1] == "vep_colocated_exact_allele"
+    assert resolved("chr1", 101, "A", "G", ".", {"id": "rs1", "allele_string": "A/G", **at}, {"id": "rs2", "allele_string": "G/A", **at})[1] == "ambiguous_multiple_exact_rsids"
+    assert resolved("chr1", 101, "A", "G", ".", {"id": "COSV1", "allele_string": "A/G", **at}) == ("", "unresolved_no_exact_rsid", 1, 0)
+
+
+def test_interval_index_of_all_shapes(spark, tmp_path):
+    payload = """{"chromosomes": {
+      "1": [{"gene_id": "a", "start": 5, "end": 9}, 17, "x", {"gene_id": "b", "start": "oops", "end": 3}, {"start": 2}],
+      "chrX": {"gene_id": "c", "start": "20", "end": 30},
+      "HLA": [{"gene_id": "d", "start": 1, "end": 2}], "2": "nothing"}}"""
+    (tmp_path / "a.json").write_text(payload)
+    rows = files.read_interval_index(spark, str(tmp_path)).collect()
+    assert sorted((r.contig, r.reason, r.gene_id, r.i_start) for r in rows if r.reason == "") == [("chr1", "", "a", 5), ("chrX", "", "c", 20)]
+    assert sorted(r.reason for r in rows if r.reason) == ["bad_coordinates"] * 2 + ["not_an_object"] * 3 + ["unsupported_contig"]
+    assert files.usable_intervals(files.read_interval_index(spark, str(tmp_path))).count() == 2
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b.json").write_text('{"chromosomes": {"HLA": {"start": 1, "end": 2}}}')
+    with pytest.raises(Exception, match="no usable regions"):
+        files.usable_intervals(files.read_interval_index(spark, str(tmp_path / "b"))).collect()
+
+
+def test_interpretation_chain(spark):
+    columns = "row_id, gene, rsid, observed_genotype, zygosity, ref_alt, final_confidence_level, gene_or_locus_ambiguity_flag, technical_notes_en, evidence_used, family_notes_en, interpretation_one_sentence_en".split(", ")
+    strong = "intron_variant serum ige p=1.0e-20"
+    rows = [
+        ("1", "g", "rs1", "AG", "het", "A/G", "High", "false", "", "[]", "n", "Short."), ("2", "G", "RS1", "ag", "het", "a/g", "Low", "true", "", "[]", "n", "Short."),
+        ("3", "h", "rs2", "AG", "non_diploid_or_complex", "A/G", "High", "false", "synonymous_variant benign", "[]", "n", "w " * 20 + "; " + "x " * 40),
+        ("4", "i", "rs3", "AG", "het", "A/G", "Low", "false", strong, '["gwas"]', "n", "Short."), ("5", "j", "rs4", "AG", "het", "A/G", "odd", "false", strong, '["no gwas"]', " ", "é"),
+    ]
+    df = spark.createDataFrame(rows, columns)
+    for name in ("evidence_limitations", "confidence_rationale_en", "interpretation_long_en", "technical_interpretation_en", "interpretation_one_sentence_es", "category"):
+        df = df.withColumn(name, F.lit(None).cast("string"))
+    df = df.withColumn("family_notes_es", F.lit("nota"))
+    out = interpret.normalise_interpretations(df)
+    got = {r.row_id: (r.final_confidence_level, r.qa_warnings, r.normalization_status, r.duplicate_group_size) for r in out.collect()}
+    assert got["1"] == ("Moderate", "duplicate_confidence_normalized", "changed", 2) and got["2"] == got["1"]
+    assert got["3"] == ("Moderate", "high_synonymous_limited_context_capped|english_one_sentence_shortened", "changed", 1)
+    assert got["4"] == ("Moderate", "strong_association_marker_raised", "changed", 1)
+    assert got["5"] == ("Moderate", "missing_family_note_filled", "changed", 1)
+    by_id = {r.row_id: r for r in out.collect()}
+    assert by_id["3"].interpretation_one_sentence_en == ("w " * 20).strip() + "." and by_id["5"].interpretation_one_sentence_en == "e"
+    assert interpret.changed_rows(out).count() == 5
+
+
+def test_projections_fill_what_is_missing(spark):
+    from helixmill.operators import projections
+
+    df = spark.createDataFrame([(" G1 ", "", "yes", '["a","b"]')], "approved_symbol string, zygosity string, has_genotype string, evidence_used string")
+    audit = projections.deliverables(df.withColumn("background_only", F.lit("TRUE"))).first()
+    assert audit["Gene"] == "G1" and audit["Zygosity"] == "NA" and audit["Is Draft"] == "false" and audit["has_genotype"] == "true" and audit.minimal is False
+    assert [len(projections.project(df, x).columns) for x in (projections.PAYLOAD, projections.compact_fields("en"), projections.V2_MINIMAL, projections.V2_AUDIT, projections.LEGACY_MINIMAL, projections.LEGACY_AUDIT)] == [53, 22, 10, 29, 8, 22]
+    assert projections.project(df, projections.compact_fields("en")).first().evidence_used == ["a", "b"]
