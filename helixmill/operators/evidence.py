@@ -381,6 +381,64 @@ def review_priority(level: Column, conflict: Column, review: Column, ambiguity:
 MIX = {"functional_or_coding": "missense|coding|protein|synonymous|hgvsp", "regulatory_or_intronic": "intron|upstream|downstream|regulatory|modifier", "pharmacogenomic": "pharmgkb|pharmacogen|drug|medication|pgx", "gwas_or_associative": "gwas|association|associative|risk factor", "clinvar_or_clinical_database": "clinvar|clinical|benign|pathogenic|conflicting"}
 
 
-def evidence_mix(rows: DataFrame, by: list[str], blob: Column) -> DataFrame:
+#: Texts of an interpretation row in which kinds of evidence are looked for.
+MIX_TEXTS = ("technical_interpretation_en", "technical_interpretation_es", "confidence_rationale_en", "confidence_rationale_es", "technical_notes_en", "technical_notes_es", "recommended_next_review_step_en", "recommended_next_review_step_es", "evidence_used")
+
+
+def mix_counts(columns: list[str]) -> list[Column]:
+    """Rows of a group by the kinds of evidence that any of MIX_TEXTS speaks of, and those that are flagged."""
+    blob = F.lower(F.concat_ws(" ", *[text(F.col(n)) for n in MIX_TEXTS if n in columns]))
     flagged = t.as_bool(F.col("requires_professional_review")) | t.as_bool(F.col("gene_or_locus_ambiguity_flag"))
-    return rows.groupBy(*by).agg(*[F.count(F.when(blob.rlike(p), 1)).alias(n) for n, p in MIX.items()], F.count(F.when(flagged, 1)).alias("technical_review_flags"))
+    return [*[F.count(F.when(blob.rlike(p), 1)).alias(n) for n, p in MIX.items()], F.count(F.when(flagged, 1)).alias("technical_review_flags")]
+
+
+def evidence_mix(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(*mix_counts(rows.columns))
+
+
+#: Lists of a report group, by the column that they come from.
+MEMBERS = {"category": "category", "gene": "gene", "rsid": "rsid", "row_id": "row_id"}
+
+
+def report_groups(rows: DataFrame, by: list[str]) -> DataFrame:
+    """distribution() of each group with the number of its categories and its evidence mix."""
+    mix = rows.groupBy(*by).agg(F.count_distinct("category").alias("categories"), *mix_counts(rows.columns))
+    return distribution(rows, by).join(mix, by)
+
+
+def group_members(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The lists of each group in long form, one row a different value: a group may hold most of all rows, so no list is
+    ever put together in one place."""
+    long = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in MEMBERS.items() if c not in by]))
+    return rows.select(*by, long.alias("x")).select(*by, "x.kind", "x.value").where("value <> ''").distinct()
+
+
+def repeated_rsids(rows: DataFrame) -> DataFrame:
+    """Identifiers in more than one row: their genes and categories in order, whether all genotypes are one, distribution. Row
+    ids are in group_members(rows, ["rsid"])."""
+    listed = lambda name: F.array_join(F.array_sort(F.collect_set(name)), "|")
+    lists = rows.groupBy("rsid").agg(listed("gene").alias("gene_values"), listed("category").alias("categories"), (F.count_distinct("observed_genotype") <= 1).alias("same_genotype"))
+    return distribution(rows, ["rsid"]).where("rows > 1").select("rsid", "rows", "high", "moderate", "low", "conflicting").join(lists, "rsid")
+
+
+def flag_lists(rows: DataFrame) -> DataFrame:
+    """Conflicting, professional-review and ambiguous rows, each with its reason: the list's own text, else the notes."""
+    c = F.col
+    own = lambda *names: F.coalesce(*[F.nullif(t.clean_str(c(n), "nbsp"), F.lit("")) for n in names], F.lit(""))
+    lists = {
+        "conflicting": ((c("final_confidence_level") == "Conflicting") | t.as_bool(c("evidence_conflict_flag")), own("confidence_rationale_en", "technical_notes_en")),
+        "professional_review": (t.as_bool(c("requires_professional_review")), own("recommended_next_review_step_en", "technical_notes_en")), "ambiguity": (t.as_bool(c("gene_or_locus_ambiguity_flag")), own("technical_notes_en")),
+    }
+    each = F.explode(F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(n).alias("list"), why.alias("reason"))) for n, (cond, why) in lists.items()])))
+    return rows.select("gene", "rsid", "row_id", each.alias("x")).select("x.list", "gene", "rsid", "row_id", "x.reason")
+
+
+def report_readiness(rows: DataFrame, unknown: str = "uncategorized_context") -> DataFrame:
+    """What stands in the way of a report, from rows with their axis: blockers in order, and the two readiness values."""
+    n = lambda cond, name: F.count(F.when(cond, 1)).alias(name)
+    c = F.col
+    counts = rows.agg(n((c("final_confidence_level") == "Conflicting") | t.as_bool(c("evidence_conflict_flag")), "conflicting"), n(c("axis_id") == unknown, "unmapped"), n(t.as_bool(c("gene_or_locus_ambiguity_flag")), "ambiguous"))
+    blockers = F.concat_ws("|", F.when(c("conflicting") > 0, F.lit("conflicting_variant_evidence_present")), F.when(c("unmapped") > 0, F.lit("unmapped_canon_categories_present")), F.when(c("ambiguous") > 0, F.lit("gene_or_locus_ambiguities_present")))
+    out = counts.withColumn("blockers", blockers)
+    return out.withColumns({"informational_report_readiness": F.when(c("unmapped") == 0, "ready").otherwise("ready_with_minor_review"), "clinical_use_readiness": F.when(c("blockers") == "", "contextual_review_only").otherwise("needs_professional_review")})
+

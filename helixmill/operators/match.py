@@ -83,10 +83,16 @@ def triage(df: DataFrame) -> DataFrame:
 
 
 def triage_summary(triaged: DataFrame) -> DataFrame:
-    """Counts by decision, region, module status, tier and evidence in long form, from one pass."""
+    """Counts in long form, from one pass: rows by decision, region, module status, tier and evidence, included rows by their
+    reason, and under 'count' the nine named figures. Blank values are left out."""
+    c = F.col
+    included, region = c("triage_decision") == "include_ai", text(c("local_region_class"))
     sets = ["triage_decision", "local_region_class", "module_status", "tier", "evidence_tier"]
-    long = triaged.select(F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in sets])).alias("x"), (F.col("triage_decision") == "include_ai").alias("_in"))
-    return long.groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"), F.count(F.when(F.col("_in"), 1)).alias("included"))
+    decisions = {"included_for_ai": "include_ai", "excluded_background": "exclude_background", "excluded_utr_weak": "exclude_utr_weak", "excluded_optional_noncoding": "exclude_optional_noncoding", "excluded_draft_optional": "exclude_draft_optional"}
+    figures = {"rows_total": F.lit(True), "rows_with_genotype": text(c("gt")) != "", **{n: c("triage_decision") == d for n, d in decisions.items()}, "included_strong_region": included & (text(c("annotation_needed")) == "true"), "included_strong_utr": included & (region == "utr_overlap")}
+    pairs = [(d, c(d)) for d in sets] + [("include_reason", F.when(included, c("triage_reason")))] + [("count", F.when(v, F.lit(n))) for n, v in figures.items()]
+    long = triaged.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in pairs])).alias("x"), included.alias("_in")).where("x.value <> ''")
+    return long.groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"), F.count(F.when(c("_in"), 1)).alias("included"))
 
 
 def scan_targets(records: DataFrame, ready: DataFrame) -> DataFrame:
@@ -96,13 +102,14 @@ def scan_targets(records: DataFrame, ready: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """Running numbers from 1 within by, in order. A group may be any size: a row's number is its place in its range
-    partition after the rows of its group in the partitions before, of which only the counts are broadcast."""
+    partition after the rows of its group in the partitions before, whose counts are joined (by broadcast where Spark finds
+    them small)."""
     dealt = files.staged(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
     counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(*by, "_part").orderBy(*order)
-    return dealt.join(F.broadcast(offsets), [*by, "_part"]).withColumn(name, F.row_number().over(inside) + F.col("_before")).drop("_part", "_before")
+    return dealt.join(offsets, [*by, "_part"]).withColumn(name, F.row_number().over(inside) + F.col("_before")).drop("_part", "_before")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -31,9 +31,16 @@ def ranked(s, d):
     return e.attention_rank(scored(s, d), GROUP, [])
 
 
-def axis_rows(s, d):
-    rows = view(s, d, "interp")
-    return rows.join(F.broadcast(e.map_axis(rows, view(s, d, "axis_patterns"))), "category")
+def report_rows(s, d):
+    """Interpretation rows with the texts that reports look into."""
+    k = C("row_id")
+    texts = {"technical_interpretation_es": F.when(k % 11 == 0, "Hgvsp"), "confidence_rationale_en": F.when(k % 5 == 0, "Clinical ").otherwise(" "), "recommended_next_review_step_en": F.when(k % 7 == 0, "Ask about Medication"), "evidence_used": F.when(k % 13 == 0, '["risk factor"]')}
+    return view(s, d, "interp").withColumns({n: F.lit(None).cast("string") for n in e.MIX_TEXTS if n != "technical_notes_en"}).withColumns(texts)
+
+
+def axis_rows(s, d, rows=None):
+    rows = view(s, d, "interp") if rows is None else rows
+    return rows.join(e.map_axis(rows, view(s, d, "axis_patterns")), "category")
 
 
 def flag(name):
@@ -94,18 +101,19 @@ QUERIES = {
     "snk_jsonl": lambda s, d: jsonl(s, e.group_payloads(scored(s, d), GROUP).select("grp", "size", C("max_score").cast("bigint").alias("max_score"))),
     "agg_duplicate_confidence": lambda s, d: e.duplicate_confidence(view(s, d, "interp")),
     "join_category_axis": lambda s, d: e.map_axis(view(s, d, "interp"), view(s, d, "axis_patterns")),
-    "agg_axis_groups": lambda s, d: e.distribution(axis_rows(s, d), ["axis_id"]),
-    "agg_category_groups": lambda s, d: e.distribution(view(s, d, "interp"), ["category"]),
+    "agg_axis_groups": lambda s, d: e.report_groups(axis_rows(s, d, report_rows(s, d)), ["axis_id"]),
+    "agg_axis_members": lambda s, d: e.group_members(axis_rows(s, d), ["axis_id"]),
+    "agg_category_groups": lambda s, d: e.report_groups(report_rows(s, d), ["category"]),
     "agg_dominant_confidence": lambda s, d: e.distribution(view(s, d, "interp"), ["gene"]).select("gene", "suggested_confidence"),
     "agg_axis_strength": lambda s, d: e.distribution(view(s, d, "interp"), ["rsid"]).select("rsid", "strength"),
-    "agg_evidence_mix": lambda s, d: e.evidence_mix(view(s, d, "interp"), ["gene"], F.lower("technical_notes_en")),
+    "agg_evidence_mix": lambda s, d: e.evidence_mix(report_rows(s, d), ["gene"]),
     "agg_interpretation_totals": lambda s, d: view(s, d, "interp").agg(F.count("*").alias("n_rows"), F.count_distinct(F.lower("rsid")).alias("rsids"), F.count_distinct(F.upper("gene")).alias("genes"), *[F.count(F.when(C("final_confidence_level") == x, 1)).alias(x.lower()) for x in ("High", "Moderate", "Low", "Conflicting")]),
-    "agg_repeated_rsids": lambda s, d: view(s, d, "interp").groupBy("rsid").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("gene")), "|").alias("genes"), (F.count_distinct("observed_genotype") == 1).alias("same_genotype")).where("n > 1"),
+    "agg_repeated_rsids": lambda s, d: e.repeated_rsids(view(s, d, "interp")),
     "agg_multi_variant_genes": lambda s, d: view(s, d, "interp").groupBy("gene").agg(F.count_distinct("rsid").alias("n"), F.array_join(F.array_sort(F.collect_set("rsid")), "|").alias("rsids")).where("n > 1"),
     "cls_review_priority": lambda s, d: view(s, d, "interp").select("row_id", priority().alias("priority")),
-    "cls_flag_lists": lambda s, d: view(s, d, "interp").select("row_id", flag("evidence_conflict_flag").alias("conflict"), flag("requires_professional_review").alias("review"), flag("gene_or_locus_ambiguity_flag").alias("ambiguity")).where("conflict OR review OR ambiguity"),
+    "cls_flag_lists": lambda s, d: e.flag_lists(report_rows(s, d)),
     "win_top_findings": lambda s, d: view(s, d, "interp").select("row_id", "gene", "rsid", "final_confidence_level", priority().alias("p")).orderBy(F.when(C("p") == "high", 0).when(C("p") == "medium", 1).otherwise(2), F.when(C("final_confidence_level") == "High", 0).when(C("final_confidence_level") == "Moderate", 1).when(C("final_confidence_level") == "Conflicting", 2).otherwise(3), F.desc("gene"), F.desc("rsid"), "row_id").limit(20).where("NOT (p = 'low' AND final_confidence_level = 'Low')").select("row_id", "p"),
-    "cls_report_readiness": lambda s, d: axis_rows(s, d).agg(F.count(F.when(C("final_confidence_level") == "Conflicting", 1)).alias("conflicting"), F.count(F.when(C("axis_id") == "uncategorized_context", 1)).alias("unmapped"), F.count(F.when(flag("gene_or_locus_ambiguity_flag"), 1)).alias("ambiguous")).withColumns({"clinical_ready": (C("conflicting") + C("unmapped") + C("ambiguous")) == 0}),
+    "cls_report_readiness": lambda s, d: e.report_readiness(axis_rows(s, d)),
     "agg_qa_warnings": lambda s, d: view(s, d, "interp").select(F.explode(F.split(F.concat_ws("|", F.when(flag("evidence_conflict_flag"), "conflict"), F.when(flag("requires_professional_review"), "review"), F.when(C("row_id") % 3 == 0, "third")), r"\|")).alias("warning")).where("warning <> ''").groupBy("warning").agg(F.count("*").alias("n")),
     "cls_association_raise": lambda s, d: view(s, d, "interp").select("row_id", F.when((C("final_confidence_level") == "Low") & t.any_of(C("technical_notes_en"), t.NONCODING) & t.gwas_strong(C("technical_notes_en")) & t.any_of(C("technical_notes_en"), t.BIOMARKERS), "Moderate").otherwise(C("final_confidence_level")).alias("confidence")),
     "cls_calibrated_scope": lambda s, d: view(s, d, "interp").select("row_id", F.when(C("final_confidence_level") == "Conflicting", "conflicting_review_needed").when((C("final_confidence_level") == "Low") & t.any_of(C("technical_notes_en"), t.NONCODING), "association_only").when(C("final_confidence_level") == "Low", "limited_evidence").when(F.contains("technical_notes_en", F.lit("pharmgkb")), "pharmacogenomic").otherwise("benign_contextual").alias("scope")),
@@ -166,6 +174,8 @@ def dist(by, source="interp"):
 AX = """ca AS (SELECT DISTINCT category, trim(regexp_replace(translate(lower(category), '_/&', '   '), '\\s+', ' ', 'g')) AS n FROM interp),
 ax AS (SELECT category, coalesce(arg_min(axis_id, axis_order), 'uncategorized_context') AS axis_id FROM (SELECT ca.category, a.axis_id, a.axis_order FROM ca LEFT JOIN axis_patterns a ON contains(ca.n, a.pattern)) GROUP BY category),
 ar AS (SELECT interp.*, ax.axis_id FROM interp JOIN ax ON interp.category = ax.category)"""
+REPORT_BLOB = "lower(concat_ws(' ', CASE WHEN row_id % 11 = 0 THEN 'Hgvsp' END, CASE WHEN row_id % 5 = 0 THEN 'Clinical' END, technical_notes_en, CASE WHEN row_id % 7 = 0 THEN 'Ask about Medication' END, CASE WHEN row_id % 13 = 0 THEN 'risk factor' END))"
+MIX_SQL = ", ".join(f"count(*) FILTER (WHERE regexp_matches(blob, '{p}')) AS {n}" for n, p in e.MIX.items()) + f", count(*) FILTER (WHERE {R['requires_professional_review']} OR {R['gene_or_locus_ambiguity_flag']}) AS technical_review_flags"
 STRONG = "contains(technical_notes_en, 'gwas')"
 SQL = {
     "snk_jsonl": f"""WITH {SC} SELECT '{{"grp":' || grp || ',"size":' || size || ',"max_score":' || CAST(max_score AS BIGINT) || '}}' AS line FROM gp""",
@@ -194,18 +204,19 @@ SQL = {
  SELECT k_gene, k_rsid, k_gt, k_zyg, k_alt, CAST(sum(n) AS BIGINT) AS rows, CASE WHEN count(*) = 1 THEN NULL WHEN bool_or(l = 'Conflicting') THEN 'Conflicting' WHEN bool_or(a) THEN 'Moderate' WHEN max(n) > 1 THEN max(CASE WHEN o = 1 THEN l END) WHEN min(r) = 2 AND max(r) = 3 THEN 'Moderate' ELSE CASE min(r) WHEN 1 THEN 'Low' WHEN 2 THEN 'Moderate' ELSE 'High' END END AS confidence,
   CASE WHEN count(*) = 1 THEN NULL WHEN bool_or(l = 'Conflicting') THEN '""" + e.DUPLICATE_REASONS[0] + """' WHEN bool_or(a) THEN '""" + e.DUPLICATE_REASONS[1] + """' WHEN max(n) > 1 THEN '""" + e.DUPLICATE_REASONS[2] + """' WHEN min(r) = 2 AND max(r) = 3 THEN '""" + e.DUPLICATE_REASONS[3] + """' ELSE '""" + e.DUPLICATE_REASONS[4] + """' END AS reason FROM m GROUP BY k_gene, k_rsid, k_gt, k_zyg, k_alt""",
     "join_category_axis": f"WITH {AX} SELECT category, axis_id FROM ax",
-    "agg_axis_groups": f"WITH {AX} {dist('axis_id', 'ar')}",
-    "agg_category_groups": dist("category"),
+    "agg_axis_groups": f"WITH {AX}, rt AS (SELECT *, {REPORT_BLOB} AS blob FROM ar) SELECT d.*, x.* EXCLUDE (axis_id) FROM ({dist('axis_id', 'ar')}) d JOIN (SELECT axis_id, count(DISTINCT category) AS categories, {MIX_SQL} FROM rt GROUP BY axis_id) x ON d.axis_id = x.axis_id",
+    "agg_axis_members": f"WITH {AX} SELECT DISTINCT axis_id, kind, value FROM (" + " UNION ALL ".join(f"SELECT axis_id, '{k}' AS kind, CAST({c} AS VARCHAR) AS value FROM ar" for k, c in e.MEMBERS.items()) + ") WHERE value <> ''",
+    "agg_category_groups": f"WITH rt AS (SELECT *, {REPORT_BLOB} AS blob FROM interp) SELECT d.*, x.* EXCLUDE (category) FROM ({dist('category')}) d JOIN (SELECT category, count(DISTINCT category) AS categories, {MIX_SQL} FROM rt GROUP BY category) x ON d.category = x.category",
     "agg_dominant_confidence": f"SELECT gene, suggested_confidence FROM ({dist('gene')})",
     "agg_axis_strength": f"SELECT rsid, strength FROM ({dist('rsid')})",
-    "agg_evidence_mix": "SELECT gene, " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(lower(technical_notes_en), '{p}')) AS {n}" for n, p in e.MIX.items()) + f", count(*) FILTER (WHERE {R['requires_professional_review']} OR {R['gene_or_locus_ambiguity_flag']}) AS technical_review_flags FROM interp GROUP BY gene",
+    "agg_evidence_mix": f"WITH rt AS (SELECT *, {REPORT_BLOB} AS blob FROM interp) SELECT gene, {MIX_SQL} FROM rt GROUP BY gene",
     "agg_interpretation_totals": "SELECT count(*) AS n_rows, count(DISTINCT lower(rsid)) AS rsids, count(DISTINCT upper(gene)) AS genes, " + ", ".join(f"count(*) FILTER (WHERE final_confidence_level = '{x}') AS {x.lower()}" for x in ("High", "Moderate", "Low", "Conflicting")) + " FROM interp",
-    "agg_repeated_rsids": "SELECT rsid, count(*) AS n, array_to_string(list_sort(list(DISTINCT gene)), '|') AS genes, count(DISTINCT observed_genotype) = 1 AS same_genotype FROM interp GROUP BY rsid HAVING count(*) > 1",
+    "agg_repeated_rsids": "SELECT rsid, count(*) AS rows, " + ", ".join(f"count(*) FILTER (WHERE final_confidence_level = '{x}') AS {x.lower()}" for x in ("High", "Moderate", "Low", "Conflicting")) + ", array_to_string(list_sort(list(DISTINCT gene)), '|') AS gene_values, array_to_string(list_sort(list(DISTINCT category)), '|') AS categories, count(DISTINCT observed_genotype) <= 1 AS same_genotype FROM interp GROUP BY rsid HAVING count(*) > 1",
     "agg_multi_variant_genes": "SELECT gene, count(DISTINCT rsid) AS n, array_to_string(list_sort(list(DISTINCT rsid)), '|') AS rsids FROM interp GROUP BY gene HAVING count(DISTINCT rsid) > 1",
     "cls_review_priority": f"SELECT row_id, {PRI} AS priority FROM interp",
-    "cls_flag_lists": f"SELECT row_id, {R['evidence_conflict_flag']} AS conflict, {R['requires_professional_review']} AS review, {R['gene_or_locus_ambiguity_flag']} AS ambiguity FROM interp WHERE {' OR '.join(R.values())}",
+    "cls_flag_lists": f"SELECT 'conflicting' AS list, gene, rsid, row_id, CASE WHEN row_id % 5 = 0 THEN 'Clinical' ELSE technical_notes_en END AS reason FROM interp WHERE final_confidence_level = 'Conflicting' OR {R['evidence_conflict_flag']} UNION ALL SELECT 'professional_review', gene, rsid, row_id, CASE WHEN row_id % 7 = 0 THEN 'Ask about Medication' ELSE technical_notes_en END FROM interp WHERE {R['requires_professional_review']} UNION ALL SELECT 'ambiguity', gene, rsid, row_id, technical_notes_en FROM interp WHERE {R['gene_or_locus_ambiguity_flag']}",
     "win_top_findings": f"SELECT row_id, p FROM (SELECT row_id, final_confidence_level, p FROM (SELECT *, {PRI} AS p FROM interp) ORDER BY CASE p WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, CASE final_confidence_level WHEN 'High' THEN 0 WHEN 'Moderate' THEN 1 WHEN 'Conflicting' THEN 2 ELSE 3 END, gene DESC, rsid DESC, row_id LIMIT 20) WHERE NOT (p = 'low' AND final_confidence_level = 'Low')",
-    "cls_report_readiness": f"WITH {AX} SELECT conflicting, unmapped, ambiguous, conflicting + unmapped + ambiguous = 0 AS clinical_ready FROM (SELECT count(*) FILTER (WHERE final_confidence_level = 'Conflicting') AS conflicting, count(*) FILTER (WHERE axis_id = 'uncategorized_context') AS unmapped, count(*) FILTER (WHERE {R['gene_or_locus_ambiguity_flag']}) AS ambiguous FROM ar)",
+    "cls_report_readiness": f"WITH {AX}, n AS (SELECT count(*) FILTER (WHERE final_confidence_level = 'Conflicting' OR {R['evidence_conflict_flag']}) AS conflicting, count(*) FILTER (WHERE axis_id = 'uncategorized_context') AS unmapped, count(*) FILTER (WHERE {R['gene_or_locus_ambiguity_flag']}) AS ambiguous FROM ar), b AS (SELECT *, concat_ws('|', CASE WHEN conflicting > 0 THEN 'conflicting_variant_evidence_present' END, CASE WHEN unmapped > 0 THEN 'unmapped_canon_categories_present' END, CASE WHEN ambiguous > 0 THEN 'gene_or_locus_ambiguities_present' END) AS blockers FROM n) SELECT *, CASE WHEN unmapped = 0 THEN 'ready' ELSE 'ready_with_minor_review' END AS informational_report_readiness, CASE WHEN blockers = '' THEN 'contextual_review_only' ELSE 'needs_professional_review' END AS clinical_use_readiness FROM b",
     "agg_qa_warnings": f"SELECT warning, count(*) AS n FROM (SELECT 'conflict' AS warning FROM interp WHERE {R['evidence_conflict_flag']} UNION ALL SELECT 'review' FROM interp WHERE {R['requires_professional_review']} UNION ALL SELECT 'third' FROM interp WHERE row_id % 3 = 0) GROUP BY warning",
     "cls_association_raise": "SELECT row_id, CASE WHEN final_confidence_level = 'Low' AND technical_notes_en LIKE 'intron_variant gwas serum ige p=5%' THEN 'Moderate' ELSE final_confidence_level END AS confidence FROM interp",
     "cls_calibrated_scope": "SELECT row_id, CASE WHEN final_confidence_level = 'Conflicting' THEN 'conflicting_review_needed' WHEN final_confidence_level = 'Low' AND regexp_matches(technical_notes_en, 'intron_variant|upstream_gene_variant') THEN 'association_only' WHEN final_confidence_level = 'Low' THEN 'limited_evidence' WHEN contains(technical_notes_en, 'pharmgkb') THEN 'pharmacogenomic' ELSE 'benign_contextual' END AS scope FROM interp",

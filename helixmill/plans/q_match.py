@@ -142,6 +142,7 @@ REVIEW = "CASE WHEN background_only = 'true' THEN 'background_only' WHEN annotat
 NOTES = "concat_ws(' ', CASE WHEN lower(module_status) = 'draft' THEN 'Draft module included with explicit flag.' END, 'Matched via ' || overlap_feature_types || '.', CASE WHEN background_only = 'true' THEN 'Kept for audit but classified as background-only.' END)"
 LEGACY_CONFIDENCE = "SELECT row_id, CASE WHEN match_status = 'match_strict' AND has_genotype THEN CASE WHEN source_group = 'revision_manual' OR zygosity = 'non_diploid_or_complex' THEN 'Moderate' ELSE 'High' END WHEN match_status = 'match_likely_needs_alt_review' AND has_genotype THEN 'Moderate' ELSE 'Low' END AS confidence FROM co"
 LEGACY_REVIEW = "SELECT row_id, CASE match_status WHEN 'match_strict' THEN CASE WHEN source_group = 'revision_manual' THEN 'ready_but_manual_row_review' ELSE 'ready_for_interpretation' END WHEN 'match_likely_needs_alt_review' THEN 'interpretable_with_alt_review' WHEN 'no_vcf_match_by_chr_pos' THEN 'no_variant_observed_in_vcf_at_locus' WHEN 'rsid_without_coordinates' THEN 'technical_resolution_pending' WHEN 'no_rsid_detected' THEN 'missing_rsid' ELSE 'review_needed' END AS review_status, CASE WHEN source_group = 'revision_manual' THEN 'Original sheet row needs manual structural review.' WHEN match_status = 'match_likely_needs_alt_review' THEN 'Position-level match found; ALT representation should be reviewed before final biological interpretation.' WHEN match_status = 'no_vcf_match_by_chr_pos' THEN 'Queried locus was not observed in the current VCF by CHROM+POS.' WHEN match_status = 'no_rsid_detected' THEN 'No usable rsID detected in the original row.' ELSE '' END AS notes, CASE WHEN has_genotype THEN 'Observed genotype at ' || CASE WHEN rsid = '' THEN 'this locus' ELSE rsid END || '; functional interpretation pending review.' ELSE 'No genotype was observed at this queried locus in the current VCF; no genotype-specific interpretation assigned.' END AS sentence FROM co"
+FIGURES = {"rows_total": "TRUE", "rows_with_genotype": "gt <> ''", "included_for_ai": "triage_decision = 'include_ai'", "excluded_background": "triage_decision = 'exclude_background'", "excluded_utr_weak": "triage_decision = 'exclude_utr_weak'", "excluded_optional_noncoding": "triage_decision = 'exclude_optional_noncoding'", "excluded_draft_optional": "triage_decision = 'exclude_draft_optional'", "included_strong_region": "triage_decision = 'include_ai' AND annotation_needed = 'true'", "included_strong_utr": "triage_decision = 'include_ai' AND local_region_class = 'utr_overlap'"}
 SHOWN = "CASE WHEN trim(bases) = '' THEN 'NA' WHEN len(list_filter(string_split(bases, '/'), lambda x: length(x) <> 1)) = 0 THEN replace(bases, '/', '') ELSE bases END"
 ZYG_ALT = f"CASE WHEN {q_vcf.PART} THEN 'unknown' WHEN len(p) <> 2 THEN 'non_diploid_or_complex' WHEN dosage = 2 THEN 'homozygous' WHEN dosage = 1 THEN 'heterozygous' ELSE 'reference_only' END"
 SENTENCE = "'Observed variant in ' || approved_symbol || '; local classification is ' || local_region_class || CASE WHEN background_only = 'true' THEN ' and currently background-only.' ELSE ' and may require downstream annotation.' END"
@@ -155,7 +156,7 @@ SQL = {
     "cls_local_region": f"WITH {CLS} SELECT local_region_class, count(*) AS n, count(DISTINCT gene_id) AS genes FROM cl GROUP BY local_region_class",
     "join_gene_modules": f"WITH {MOD} SELECT {K}, gene_id, canon_row_id, module_id, tier FROM mo",
     "cls_triage": f"WITH {TRI} SELECT {K}, canon_row_id, triage_decision, triage_reason FROM tr",
-    "agg_triage_summary": f"WITH {TRI} SELECT dimension, value, count(*) AS n, count(*) FILTER (WHERE triage_decision = 'include_ai') AS included FROM (" + " UNION ALL ".join(f"SELECT '{x}' AS dimension, {x} AS value, triage_decision FROM tr" for x in ("triage_decision", "local_region_class", "module_status", "tier", "evidence_tier")) + ") GROUP BY dimension, value",
+    "agg_triage_summary": f"WITH {TRI} SELECT dimension, value, count(*) AS n, count(*) FILTER (WHERE triage_decision = 'include_ai') AS included FROM (" + " UNION ALL ".join([*(f"SELECT '{x}' AS dimension, {x} AS value, triage_decision FROM tr" for x in ("triage_decision", "local_region_class", "module_status", "tier", "evidence_tier")), "SELECT 'include_reason', triage_reason, triage_decision FROM tr WHERE triage_decision = 'include_ai'", *(f"SELECT 'count', '{k}', triage_decision FROM tr WHERE {v}" for k, v in FIGURES.items())]) + ") WHERE value <> '' GROUP BY dimension, value",
     "set_triage_split": f"WITH {TRI} SELECT {K}, canon_row_id, CASE WHEN triage_decision = 'include_ai' THEN 'include' ELSE 'exclude' END AS side FROM tr",
     "snk_annotation_partitions": f"WITH {MOD} SELECT {K}, canon_row_id, CASE WHEN background_only = 'true' THEN 'background' WHEN annotation_needed = 'true' THEN 'annotation_needed' ELSE 'annotation_optional' END AS part FROM mo",
     "agg_match_summary": f"WITH {MOD} SELECT count(DISTINCT ({K})) AS candidates, count(*) AS n_rows, count(DISTINCT gene_id) AS genes, count(*) FILTER (WHERE background_only = 'true') AS background, count(*) FILTER (WHERE annotation_needed = 'true') AS needed, count(*) FILTER (WHERE annotation_needed = 'optional') AS optional FROM mo",
