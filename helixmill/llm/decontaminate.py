@@ -345,12 +345,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The pipeline's stage: benchmark passages are cut out of the texts, all rows stay."""
-    columns = docs.columns
-    out = contaminated(docs, benchmark, clean=True)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("fm_items") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*columns)
+    """The pipeline's stage: benchmark passages are cut out of the texts, all rows stay. Other columns travel in one struct,
+    so none clashes."""
+    others = [c for c in docs.columns if c != "text"]
+    out = contaminated(docs.select(F.struct(*(others or [F.lit(0)])).alias("leak_row"), "text"), benchmark, clean=True)
+    values = {c: F.col("leak_row")[c] for c in others} | {"text": F.col("text")}
+    if "n_chars" in others:
+        values["n_chars"] = F.when(F.size("fm_items") == 0, values["n_chars"]).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[values[c].alias(c) for c in docs.columns])
 
 
 SQL = {

@@ -97,13 +97,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: the same rows and columns with repeated lines gone from text, n_chars brought up to date."""
-    columns = docs.columns
+    """The pipeline's stage: the same rows and columns with repeated lines gone from text, n_chars brought up to date. Other
+    columns travel in one struct, so none clashes."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = with_drops(docs.select("doc_id", "text", F.struct(*(others or [F.lit(0)])).alias("line_rest")))
     same = F.col("line_drop").isNull()
-    out = with_drops(docs).withColumn("text", F.when(same, F.col("text")).otherwise(kept_text(F.col("text"), F.col("line_drop"))))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*columns)
+    text = F.when(same, F.col("text")).otherwise(kept_text(F.col("text"), F.col("line_drop")))
+    values = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col("line_rest")[c] for c in others}
+    if "n_chars" in others:
+        values["n_chars"] = F.when(same, values["n_chars"]).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[values[c].alias(c) for c in docs.columns])
 
 
 SQL = {
