@@ -103,6 +103,27 @@ def resolve_rsid(df: DataFrame, payload: str = "payload", chrom: str = "contig",
     return out.withColumns({"resolved_rsid": rsid, "rsid_status": status, "rsid_reason": reason, "colocated_count": F.size("_all").cast("bigint"), "colocated_rsid_count": F.size("_ids").cast("bigint")}).drop("_all", "_ids", "_hits", "_exact", "_indel")
 
 
+def vep_only_class(error: Column, status: Column, functional: Column) -> Column:
+    return F.when(error, "vep_error").when(status == "vep_colocated_allele_mismatch", "colocated_rsid_allele_mismatch").when(status == "ambiguous_multiple_exact_rsids", status).when(functional, "functional_annotation_without_exact_rsid").otherwise("no_usable_vep_annotation")
+
+
+def variant_master(variants: DataFrame) -> DataFrame:
+    """One audit row a variant: key, place and alleles, how its identifier was resolved, what class it has without one, the
+    main consequence and scores. variants: variant_key, assembly, contig, pos, ref, alt, id, target_gene, payload,
+    module_row_count, populations, errors (names of sources that failed). Both parses read the payload once each."""
+    c = F.col
+    rows = parse_vep(resolve_rsid(variants))
+    functional = (c("vep_hgvsc") != "") | (c("vep_hgvsp") != "") | (text(F.get_json_object("payload", "$.vrs")) != "")
+    fixed = {"chrom_vcf": c("contig"), "pos_vcf": c("pos"), "ref_vcf": c("ref"), "alt_vcf": c("alt"), "id_vcf": text(c("id"))}
+    resolved = {
+        "resolved_rsid": c("resolved_rsid"), "rsid_resolution_status": c("rsid_status"), "resolution_reason": c("rsid_reason"), "vep_only_class": vep_only_class(F.array_contains("errors", "vep"), c("rsid_status"), functional),
+        "vep_only_fallback_query_mode": F.when(functional, "vrs_or_hgvs_available").otherwise("coordinate_only"), "vep_colocated_count": c("colocated_count"), "vep_colocated_rsid_count": c("colocated_rsid_count"),
+    }
+    told_by = {"vep_gene_symbols": c("vep_genes"), "ensembl_population_summary": text(c("populations")), "source_error_sources": F.array_join(F.array_sort("errors"), "|")}
+    scores = ["vep_hgvsc", "vep_hgvsp", "vep_cadd_phred", "vep_revel_score", "vep_spliceai"]
+    return rows.select("variant_key", "assembly", *[v.alias(n) for n, v in {**fixed, **resolved}.items()], "module_row_count", "vep_status", "vep_most_severe_consequence", *scores, *[v.alias(n) for n, v in told_by.items()])
+
+
 PGX_NOTES = "struct<data:array<struct<alleleGenotype:string,sentence:string,score:double,relatedChemicals:array<struct<name:string>>,literature:struct<crossReferences:array<struct<resource:string,resourceId:string>>>>>>"
 
 

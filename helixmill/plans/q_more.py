@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixmill.functions import genotype as g
 from helixmill.functions import text as t
 from helixmill.operators import evidence as e
 from helixmill.operators import interpret as i
@@ -101,6 +102,16 @@ def plus_rows(s, d):
     return rows.select(*[F.expr(v).alias(k) for k, v in PLUS.items()])
 
 
+def asked_variants(s, d):
+    """Variants with their answers; every nineteenth answer is empty, every seventeenth source failed."""
+    k, rows = C("line_no"), view(s, d, "vep_payloads")
+    counts = view(s, d, "canon_rows").groupBy(F.concat(F.lit("G"), C("gene_id").cast("string")).alias("target_gene")).agg(F.count("*").alias("module_row_count"))
+    rows = rows.withColumns({"payload": F.when(k % 19 == 0, "{}").otherwise(C("payload")), "assembly": F.lit("GRCh38"), "contig": g.norm_chrom(C("contig")), "errors": F.when(k % 17 == 0, F.array(F.lit("vep"), F.lit("gwas"))).otherwise(F.array().cast("array<string>"))})
+    rows = rows.withColumn("variant_key", g.variant_key(C("assembly"), C("contig"), C("pos"), C("ref"), C("alt")))
+    people = view(s, d, "annotations").select(C("rsid").alias("id"), "populations")
+    return rows.join(counts, "target_gene", "left").withColumn("module_row_count", F.coalesce("module_row_count", F.lit(0))).join(people, "id", "left")
+
+
 def colocated(s, d):
     """Each allele against one record: of its contig or another, at its place, elsewhere or nowhere, with its alleles as
     they are, longer by a base, or others."""
@@ -139,8 +150,8 @@ QUERIES = {
     "cls_synonymous_cap": lambda s, d: view(s, d, "interp").select("row_id", i.cap_synonymous(C("final_confidence_level"), F.concat(F.lit("synonymous_variant "), C("technical_notes_en")), F.when(C("row_id") % 2 == 0, "non_diploid_or_complex").otherwise("homozygous")).alias("confidence")),
     "cls_allele_match": lambda s, d: view(s, d, "interp").select("row_id", i.allele_match(F.when(C("row_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("G"))), F.when(C("row_id") % 4 == 1, F.array(F.lit("G"))).otherwise(F.array(F.lit("T"))), F.when(C("row_id") % 4 == 2, F.array(F.lit("G"))).otherwise(F.array(F.lit("C")))).alias("status")),
     "cls_support_summary": lambda s, d: view(s, d, "annotations").select("rsid", F.concat_ws(" || ", F.when(C("cadd_phred") != "", F.concat(F.lit("CADD: "), "cadd_phred")), F.when(C("clinvar_significance").isNotNull(), F.concat(F.lit("ClinVar classification: "), "clinvar_significance")), F.when(C("clinvar_review_status").isNotNull(), F.concat(F.lit("ClinVar review status: "), "clinvar_review_status"))).alias("summary")),
-    "cls_vep_only": lambda s, d: e.resolve_rsid(view(s, d, "vep_payloads")).select("line_no", i.vep_only_class(C("line_no") % 17 == 0, C("rsid_status"), C("line_no") % 2 == 0).alias("cls")),
-    "cls_variant_master": lambda s, d: e.resolve_rsid(view(s, d, "vep_payloads")).where("resolved_rsid = ''").select("line_no", "contig", "pos", "ref", "alt", "rsid_status"),
+    "cls_vep_only": lambda s, d: e.variant_master(asked_variants(s, d)).where("resolved_rsid = ''").select("variant_key", "id_vcf", "vep_only_class", "vep_only_fallback_query_mode"),
+    "cls_variant_master": lambda s, d: e.variant_master(asked_variants(s, d)),
     "cls_enriched_rows": lambda s, d: view(s, d, "interp").join(view(s, d, "annotations"), "rsid", "left").select("row_id", t.first_present(C("gene"), F.lit("NA")).alias("gene"), t.first_present(C("rsid"), F.lit("NA")).alias("id"), t.clinvar_class(C("clinvar_significance")).alias("cls"), t.first_present(C("cadd_phred"), F.lit("NA")).alias("cadd")),
     "cls_placeholder_interp": lambda s, d: view(s, d, "interp").select("row_id", F.concat(F.lit("Placeholder interpretation for "), "gene", F.lit(" "), "rsid", F.lit(".")).alias("sentence"), F.lit("Low").alias("confidence"), F.lit(True).alias("requires_review")),
     "cls_normalized_interp": lambda s, d: i.normalise_interpretations(interpreted(s, d)).select("row_id", *CHAIN),
@@ -177,6 +188,13 @@ q3 AS (SELECT *, weak AND NOT conf AND NOT (direct AND NOT contains(cls, 'benign
 q4 AS (SELECT *, CASE WHEN conf AND (path OR fun OR review LIKE '%expert panel') THEN 'conflict' WHEN cur = 'Conflicting' AND NOT conf THEN 'conflict_downgraded' WHEN low THEN 'low_weight' WHEN weak AND cur = 'High' THEN 'noncoding_cap' WHEN weak THEN 'noncoding_kept' WHEN cur = 'High' AND alt THEN 'alt_cap' WHEN cur = 'High' AND pm AND NOT fun THEN 'source_cap' ELSE 'kept' END AS note FROM q3),
 q5 AS (SELECT *, CASE note WHEN 'conflict' THEN 'Conflicting' WHEN 'low_weight' THEN 'Low' WHEN 'noncoding_kept' THEN cur WHEN 'kept' THEN cur ELSE 'Moderate' END AS calibrated FROM q4)"""
 PARTS = f"SELECT upload_id, line_no // {FILE_LINES} AS part, line_no, line FROM vcf_lines"
+VEP_OF = {k: f"CASE WHEN gone THEN '{'no_transcript_consequence' if k == 'status' else ''}' ELSE {v} END" for k, v in q_evidence.VEP_SQL.items()}
+MASTER = f"""WITH {q_evidence.RSID}, {q_evidence.RAWJ}, mc AS (SELECT 'G' || CAST(gene_id AS VARCHAR) AS g, count(*) AS n FROM canon_rows GROUP BY 1),
+mj AS (SELECT jv.*, jv.line_no % 19 = 0 AS gone, jv.line_no % 17 = 0 AS failed, {q_vcf.norm("jv.contig")} AS nc, rr.resolved_rsid AS r0, rr.rsid_status AS s0, rr.rsid_reason AS w0, rr.colocated_count AS c0, rr.colocated_rsid_count AS d0, coalesce(mc.n, 0) AS n, a.populations FROM jv JOIN rr ON jv.line_no = rr.line_no LEFT JOIN mc ON mc.g = jv.target_gene LEFT JOIN annotations a ON a.rsid = jv.id),
+mk AS (SELECT *, CASE WHEN gone THEN 'unresolved_no_exact_rsid' ELSE s0 END AS st, {VEP_OF["hgvsc"]} AS hc, {VEP_OF["hgvsp"]} AS hp FROM mj),
+mm AS (SELECT 'v2_' || substr(sha256('GRCh38|' || nc || '|' || CAST(pos AS VARCHAR) || '|' || upper(ref) || '|' || upper(alt)), 1, 24) AS variant_key, 'GRCh38' AS assembly, nc AS chrom_vcf, pos AS pos_vcf, ref AS ref_vcf, alt AS alt_vcf, id AS id_vcf, CASE WHEN gone THEN '' ELSE r0 END AS resolved_rsid, st AS rsid_resolution_status, CASE WHEN gone THEN 'vep_response_has_no_colocated_rsid' ELSE w0 END AS resolution_reason,
+ CASE WHEN failed THEN 'vep_error' WHEN st = 'vep_colocated_allele_mismatch' THEN 'colocated_rsid_allele_mismatch' WHEN st = 'ambiguous_multiple_exact_rsids' THEN st WHEN hc <> '' OR hp <> '' THEN 'functional_annotation_without_exact_rsid' ELSE 'no_usable_vep_annotation' END AS vep_only_class, CASE WHEN hc <> '' OR hp <> '' THEN 'vrs_or_hgvs_available' ELSE 'coordinate_only' END AS vep_only_fallback_query_mode,
+ CASE WHEN gone THEN 0 ELSE c0 END AS vep_colocated_count, CASE WHEN gone THEN 0 ELSE d0 END AS vep_colocated_rsid_count, n AS module_row_count, {VEP_OF["status"]} AS vep_status, {VEP_OF["most_severe_consequence"]} AS vep_most_severe_consequence, hc AS vep_hgvsc, hp AS vep_hgvsp, {VEP_OF["cadd_phred"]} AS vep_cadd_phred, {VEP_OF["revel_score"]} AS vep_revel_score, {VEP_OF["spliceai"]} AS vep_spliceai, {VEP_OF["genes"]} AS vep_gene_symbols, coalesce(populations, '') AS ensembl_population_summary, CASE WHEN failed THEN 'gwas|vep' ELSE '' END AS source_error_sources FROM mk)"""
 T_EN, T_ES = f"trim({q_text.LETTERS})", f"trim(left({q_text.LETTERS}, 120 + row_id % 200) || ' y que sigue' || substr({q_text.LETTERS}, 121 + row_id % 200))"
 WARNED = "list_filter([CASE WHEN level IS NOT NULL THEN 'duplicate_confidence_normalized' END, CASE WHEN capped THEN 'high_synonymous_limited_context_capped' END, CASE WHEN raised THEN 'strong_association_marker_raised' END, CASE WHEN short_en <> en THEN 'english_one_sentence_shortened' END, CASE WHEN short_es <> es THEN 'spanish_one_sentence_shortened' END, CASE WHEN row_id % 4 = 0 OR row_id % 6 = 0 THEN 'missing_family_note_filled' END], lambda x: x IS NOT NULL)"
 CHAIN_SQL = f"""WITH it AS (SELECT * REPLACE (CASE WHEN row_id % 2 = 0 THEN 'non_diploid_or_complex' ELSE zygosity END AS zygosity, CASE WHEN row_id % 31 = 0 THEN 'odd' ELSE final_confidence_level END AS final_confidence_level) FROM interp),
@@ -207,8 +225,8 @@ SQL = {
     "cls_synonymous_cap": "SELECT row_id, CASE WHEN final_confidence_level = 'High' AND row_id % 2 = 0 AND contains(technical_notes_en, 'benign') THEN 'Moderate' ELSE final_confidence_level END AS confidence FROM interp",
     "cls_allele_match": "SELECT row_id, CASE row_id % 4 WHEN 0 THEN 'no_observed_alt_allele' WHEN 1 THEN 'observed_alt_overlaps_vcf_alt_catalog' WHEN 2 THEN 'observed_alt_overlaps_ensembl_mapping' ELSE 'observed_alt_not_confirmed_against_catalogs' END AS status FROM interp",
     "cls_support_summary": "SELECT rsid, concat_ws(' || ', 'CADD: ' || cadd_phred, 'ClinVar classification: ' || clinvar_significance, 'ClinVar review status: ' || clinvar_review_status) AS summary FROM annotations",
-    "cls_vep_only": f"WITH {q_evidence.RSID} SELECT line_no, CASE WHEN line_no % 17 = 0 THEN 'vep_error' WHEN k = 'mismatch' THEN 'colocated_rsid_allele_mismatch' WHEN k = 'many' THEN 'ambiguous_multiple_exact_rsids' WHEN line_no % 2 = 0 THEN 'functional_annotation_without_exact_rsid' ELSE 'no_usable_vep_annotation' END AS cls FROM rr",
-    "cls_variant_master": f"WITH {q_evidence.RSID} SELECT line_no, contig, pos, ref, alt, rsid_status FROM rr WHERE resolved_rsid = ''",
+    "cls_vep_only": f"{MASTER} SELECT variant_key, id_vcf, vep_only_class, vep_only_fallback_query_mode FROM mm WHERE resolved_rsid = ''",
+    "cls_variant_master": f"{MASTER} SELECT * FROM mm",
     "cls_enriched_rows": f"SELECT row_id, gene, i.rsid AS id, {q_evidence.CL} AS cls, coalesce(nullif(cadd_phred, ''), 'NA') AS cadd FROM interp i LEFT JOIN annotations a ON i.rsid = a.rsid",
     "cls_placeholder_interp": "SELECT row_id, 'Placeholder interpretation for ' || gene || ' ' || rsid || '.' AS sentence, 'Low' AS confidence, TRUE AS requires_review FROM interp",
     "prj_payload_fields": "SELECT " + ", ".join(f"""coalesce(trim({PLUS[k].replace('STRING', 'VARCHAR')}), '') AS "{f.name}\"""" if (k := (f.sources or (f.name,))[0]) in PLUS else f"""'' AS "{f.name}\"""" for f in pr.PAYLOAD) + " FROM interp i LEFT JOIN annotations a ON i.rsid = a.rsid",
