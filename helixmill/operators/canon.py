@@ -127,12 +127,42 @@ def canon_status(rows: Column, with_rsid: Column, manual: Column, repeated: Colu
     return F.when((rows == 0) | (with_rsid == 0), "invalid").when((manual > 0) | (repeated > 0) | (columns > 4), "warning").otherwise("valid")
 
 
-def canon_warnings(rows: DataFrame, transcripts: DataFrame, genes: DataFrame) -> DataFrame:
-    """gene_id, warning: one row for each rule that a canon gene meets."""
-    tx = transcripts.groupBy("gene_id").agg(F.count("*").alias("n"), F.max("is_mane_select").alias("mane"), F.count(F.when(F.col("biotype") == "protein_coding", 1)).alias("coding"))
-    state = rows.select("gene_id").distinct().join(genes.select("gene_id", "approved_symbol"), "gene_id", "left").join(tx, "gene_id", "left")
-    rules = F.array_compact(F.array(F.when(F.col("approved_symbol").isNull(), F.lit("unresolved")), F.when(F.coalesce("mane", F.lit(0)) == 0, F.lit("no_mane_select")), F.when(F.coalesce("coding", F.lit(0)) == 0, F.lit("no_protein_coding")), F.when(F.col("n") > 20, F.lit("many_transcripts")), F.when(F.col("approved_symbol").isin("GSTM1", "GSTT1"), F.lit("copy_number_sensitive"))))
-    return state.select("gene_id", F.explode(rules).alias("warning"))
+# Kind, severity, what is said before and after a name, and what to do.
+ROW_WARNINGS = {
+    "non_gene_module": ("info", "Row ", " has no gene symbol and is kept as a non-gene module.", "No VCF matching will be performed for this row."),
+    "multiple_gene_candidates": ("warning", "", "", "Review the gene symbol or curate the canon row."),
+    "unresolved_symbol": ("warning", "", "", "Review the gene symbol or curate the canon row."),
+}
+GENE_WARNINGS = {
+    "no_mane_select": ("warning", "", " resolved without MANE Select transcript.", "Review if transcript coverage is acceptable for this gene."),
+    "no_protein_coding_transcript": ("warning", "", " resolved without protein-coding transcripts.", "Review whether this gene should participate in this canon."),
+    "many_transcripts": ("info", "", " included transcripts.", "Review transcript spread during QA if needed."),
+    "cnv_sensitive_gene": ("warning", "", " may be deletion/CNV-sensitive.", "Do not infer normality from absence of SNVs in a standard VCF."),
+}
+CNV_SENSITIVE, MANY_TRANSCRIPTS = ("GSTM1", "GSTT1"), 20
+
+
+def canon_warnings(rows: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """One row a warning: canon_row_id (of a row) or gene_id (of a gene), warning, severity, message, action. rows:
+    canon_row_id, symbol ('' for a module without a gene), resolution_status, resolution_notes, and gene_id and
+    approved_symbol where the symbol was resolved. transcripts: of all genes."""
+    c = F.col
+    def warned(df: DataFrame, rules: dict, tests: dict[str, Column], said: dict[str, Column], keys: list[str]) -> DataFrame:
+        each = [F.when(tests[n], F.struct(F.lit(n).alias("warning"), F.lit(rules[n][0]).alias("severity"), said[n].alias("message"), F.lit(rules[n][3]).alias("action"))) for n in rules]
+        return df.select(*keys, F.explode(F.array_compact(F.array(*each))).alias("x")).select(*keys, "x.*")
+
+    status, bare = c("resolution_status"), c("symbol") == ""
+    row_tests = {"non_gene_module": bare, "multiple_gene_candidates": ~bare & (status == "resolved_multiple_candidates"), "unresolved_symbol": ~bare & c("gene_id").isNull() & (status != "resolved_multiple_candidates")}
+    notes = F.coalesce("resolution_notes", F.lit(""))
+    around = lambda rule, name: F.concat(F.lit(rule[1]), name, F.lit(rule[2]))
+    of_rows = warned(rows, ROW_WARNINGS, row_tests, {"non_gene_module": around(ROW_WARNINGS["non_gene_module"], c("canon_row_id")), "multiple_gene_candidates": notes, "unresolved_symbol": notes}, ["canon_row_id"])
+    tx = transcripts.groupBy("gene_id").agg(F.count("*").alias("n"), F.max("is_mane_select").alias("mane"), F.count(F.when(c("biotype") == "protein_coding", 1)).alias("coding"))
+    genes = rows.where(~bare & c("gene_id").isNotNull() & (status != "resolved_multiple_candidates")).groupBy("gene_id").agg(F.min("approved_symbol").alias("approved_symbol")).join(tx, "gene_id", "left")
+    n, name = F.coalesce("n", F.lit(0)), c("approved_symbol")
+    gene_tests = {"no_mane_select": F.coalesce("mane", F.lit(0)) == 0, "no_protein_coding_transcript": F.coalesce("coding", F.lit(0)) == 0, "many_transcripts": n > MANY_TRANSCRIPTS, "cnv_sensitive_gene": name.isin(*CNV_SENSITIVE)}
+    said = {k: around(v, F.concat(name, F.lit(" has "), n.cast("string")) if k == "many_transcripts" else name) for k, v in GENE_WARNINGS.items()}
+    of_genes = warned(genes, GENE_WARNINGS, gene_tests, said, ["gene_id"])
+    return of_rows.unionByName(of_genes, allowMissingColumns=True)
 
 
 def resolution_status(n: Column, how: Column) -> Column:

@@ -33,6 +33,20 @@ def with_strand(s, d):
     return c.number_exons(exons(s, d)).join(transcripts(s, d).select("transcript_id", "strand"), "transcript_id")
 
 
+def curated(s, d):
+    """Curated rows as resolution leaves them: some without a gene, some open, some with several candidates."""
+    k = C("gene_id")
+    status = F.when(k % 11 == 0, "unresolved_symbol").when(k % 13 == 0, "resolved_multiple_candidates").otherwise("resolved_exact_symbol")
+    name = F.when(k % 17 == 0, "GSTM1").when(k % 17 == 1, "GSTT1").otherwise(F.concat(F.lit("G"), k.cast("string")))
+    rows = view(s, d, "canon_rows").select("canon_row_id", F.when(k % 7 == 0, "").otherwise(name).alias("symbol"), status.alias("resolution_status"), F.concat(F.lit("About "), name).alias("resolution_notes"), F.when(status == "resolved_exact_symbol", k).alias("gene_id"), name.alias("approved_symbol"))
+    return rows
+
+
+def spread_transcripts(s, d):
+    """Every fifth gene has each transcript eleven times."""
+    return transcripts(s, d).withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(C("gene_id") % 5 == 0, 11).otherwise(1))))
+
+
 def sheet(s, d):
     """Curated rows as a four-column sheet."""
     k = C("gene_id")
@@ -93,7 +107,7 @@ QUERIES = {
     "agg_exact_duplicates": lambda s, d: c.exact_duplicates(structured(s, d)),
     "agg_canon_metadata": metadata,
     "cls_canon_status": lambda s, d: metadata(s, d).select(c.canon_status(C("n_rows"), C("with_rsid"), C("manual"), C("repeated"), F.lit(4)).alias("status"), c.canon_status(C("n_rows"), F.lit(0), C("manual"), C("repeated"), F.lit(4)).alias("no_ids"), c.canon_status(C("n_rows"), C("with_rsid"), F.lit(0), F.lit(0), F.lit(4)).alias("clean")),
-    "cls_canon_warnings": lambda s, d: c.canon_warnings(view(s, d, "canon_rows"), transcripts(s, d), view(s, d, "genes").withColumn("approved_symbol", F.when(C("gene_id") % 11 > 0, C("approved_symbol")))),
+    "cls_canon_warnings": lambda s, d: c.canon_warnings(curated(s, d), spread_transcripts(s, d)),
     "join_symbol_cascade": lambda s, d: c.resolve_symbols(symbols(s, d), view(s, d, "symbols_approved"), view(s, d, "symbols_alias"), view(s, d, "symbols_prev")).select("symbol", "gene_id", "status"),
     "cls_resolution_status": lambda s, d: c.resolve_symbols(symbols(s, d), view(s, d, "symbols_approved"), view(s, d, "symbols_alias"), view(s, d, "symbols_prev")).select("symbol", "resolution"),
     "agg_resolution_counts": lambda s, d: c.resolve_symbols(symbols(s, d), view(s, d, "symbols_approved"), view(s, d, "symbols_alias"), view(s, d, "symbols_prev")).groupBy("resolution").agg(F.count("*").alias("n")),
@@ -146,6 +160,13 @@ CASCADE = """sy AS (SELECT DISTINCT 'G' || CAST(gene_id AS VARCHAR) AS symbol FR
 rs AS (SELECT symbol, (SELECT min(gene_id) FROM symbols_approved a WHERE a.symbol = sy.symbol) AS a, (SELECT min(gene_id) FROM symbols_alias a WHERE a.symbol = sy.symbol) AS l, (SELECT count(DISTINCT gene_id) FROM symbols_alias a WHERE a.symbol = sy.symbol) AS ln, (SELECT min(gene_id) FROM symbols_prev a WHERE a.symbol = sy.symbol) AS p, (SELECT count(DISTINCT gene_id) FROM symbols_prev a WHERE a.symbol = sy.symbol) AS pn FROM sy),
 rr AS (SELECT symbol, CASE WHEN a IS NOT NULL THEN a WHEN ln = 1 THEN l WHEN ln = 0 AND pn = 1 THEN p END AS gene_id, CASE WHEN a IS NOT NULL THEN 'resolved' WHEN ln > 1 THEN 'multiple_candidates' WHEN ln = 1 THEN 'resolved' WHEN pn > 1 THEN 'multiple_candidates' WHEN pn = 1 THEN 'resolved' ELSE 'not_found' END AS status,
  CASE WHEN a IS NOT NULL THEN 'resolved_exact_symbol' WHEN ln > 1 THEN 'multiple_candidates' WHEN ln = 1 THEN 'resolved_alias' WHEN pn > 1 THEN 'multiple_candidates' WHEN pn = 1 THEN 'deprecated_symbol' ELSE 'unresolved' END AS resolution FROM rs)"""
+HAS = "name || ' has ' || CAST(n AS VARCHAR)"
+WARNED = """WITH n0 AS (SELECT canon_row_id, gene_id, CASE WHEN gene_id % 17 = 0 THEN 'GSTM1' WHEN gene_id % 17 = 1 THEN 'GSTT1' ELSE 'G' || CAST(gene_id AS VARCHAR) END AS name, gene_id % 7 = 0 AS bare, CASE WHEN gene_id % 11 = 0 THEN 'unresolved_symbol' WHEN gene_id % 13 = 0 THEN 'multiple_gene_candidates' ELSE '' END AS open FROM canon_rows),
+ rw AS (SELECT canon_row_id, CASE WHEN bare THEN 'non_gene_module' ELSE open END AS warning, CASE WHEN bare THEN 'Row ' || canon_row_id || ' has no gene symbol and is kept as a non-gene module.' ELSE 'About ' || name END AS message FROM n0 WHERE bare OR open <> ''),
+ tx AS (SELECT gene_id, max(is_mane_select) AS mane, count(*) FILTER (WHERE biotype = 'protein_coding') AS coding, count(*) * CASE WHEN gene_id % 5 = 0 THEN 11 ELSE 1 END AS n FROM transcripts GROUP BY gene_id),
+ gn AS (SELECT DISTINCT n0.gene_id, name, coalesce(mane, 0) AS mane, coalesce(coding, 0) AS coding, coalesce(n, 0) AS n FROM n0 LEFT JOIN tx ON tx.gene_id = n0.gene_id WHERE NOT bare AND open = ''),
+ gw AS (""" + " UNION ALL ".join(f"SELECT gene_id, '{k}' AS warning, '{v[0]}' AS severity, {HAS if k == 'many_transcripts' else 'name'} || '{v[2]}' AS message, '{v[3]}' AS action FROM gn WHERE {w}" for (k, v), w in zip(c.GENE_WARNINGS.items(), ("mane = 0", "coding = 0", "n > 20", "name IN ('GSTM1', 'GSTT1')"), strict=True)) + """)
+ SELECT canon_row_id, CAST(NULL AS BIGINT) AS gene_id, warning, CASE warning WHEN 'non_gene_module' THEN 'info' ELSE 'warning' END AS severity, message, CASE warning WHEN 'non_gene_module' THEN 'No VCF matching will be performed for this row.' ELSE 'Review the gene symbol or curate the canon row.' END AS action FROM rw UNION ALL SELECT NULL, * FROM gw"""
 SQL = {
     "win_exon_number": f"WITH {NUMBERED} SELECT transcript_id, e_start, e_end, number FROM ex",
     "win_splice_windows": f"WITH {NUMBERED}, {SPLICE} SELECT * FROM sp",
@@ -177,8 +198,7 @@ SQL = {
     "agg_exact_duplicates": f"WITH {SHEET} SELECT lower(category) AS category, lower(gene) AS gene, lower(rsids) AS rsids, lower(effect) AS effect, count(*) AS n FROM cs2 GROUP BY ALL HAVING count(*) > 1",
     "agg_canon_metadata": f"WITH {META} SELECT * FROM md",
     "cls_canon_status": f"WITH {META} SELECT CASE WHEN n_rows = 0 OR with_rsid = 0 THEN 'invalid' WHEN manual > 0 OR repeated > 0 THEN 'warning' ELSE 'valid' END AS status, 'invalid' AS no_ids, 'valid' AS clean FROM md",
-    "cls_canon_warnings": """WITH c AS (SELECT DISTINCT gene_id FROM canon_rows), t AS (SELECT gene_id, max(is_mane_select) AS mane, count(*) FILTER (WHERE biotype = 'protein_coding') AS coding FROM transcripts GROUP BY gene_id)
- SELECT c.gene_id, 'unresolved' AS warning FROM c WHERE gene_id % 11 = 0 UNION ALL SELECT c.gene_id, 'no_mane_select' FROM c LEFT JOIN t ON c.gene_id = t.gene_id WHERE coalesce(mane, 0) = 0 UNION ALL SELECT c.gene_id, 'no_protein_coding' FROM c LEFT JOIN t ON c.gene_id = t.gene_id WHERE coalesce(coding, 0) = 0""",
+    "cls_canon_warnings": WARNED,
     "join_symbol_cascade": f"WITH {CASCADE} SELECT symbol, gene_id, status FROM rr",
     "cls_resolution_status": f"WITH {CASCADE} SELECT symbol, resolution FROM rr",
     "agg_resolution_counts": f"WITH {CASCADE} SELECT resolution, count(*) AS n FROM rr GROUP BY resolution",
