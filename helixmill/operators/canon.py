@@ -127,6 +127,15 @@ def canon_status(rows: Column, with_rsid: Column, manual: Column, repeated: Colu
     return F.when((rows == 0) | (with_rsid == 0), "invalid").when((manual > 0) | (repeated > 0) | (columns > 4), "warning").otherwise("valid")
 
 
+def module_metadata(rows: DataFrame) -> DataFrame:
+    """One row of figures of a canon of modules. rows: symbol ('' for a module without a gene), module_id, module_status."""
+    c = F.col
+    per_symbol = rows.where("symbol <> ''").groupBy("symbol").agg(F.count("*").alias("n")).agg(F.count("*").alias("unique_gene_symbols"), F.count(F.when(c("n") > 1, 1)).alias("duplicate_gene_symbols"))
+    n = lambda cond, name: F.count(F.when(cond, 1)).alias(name)
+    one = rows.agg(F.count("*").alias("rows_total"), n(c("symbol") != "", "rows_with_gene"), n(c("symbol") == "", "rows_non_gene_module"), n(F.lower("module_status") == "draft", "draft_rows"), F.count_distinct(F.nullif("module_id", F.lit(""))).alias("module_count"))
+    return one.crossJoin(per_symbol)  # one row by one row
+
+
 # Kind, severity, what is said before and after a name, and what to do.
 ROW_WARNINGS = {
     "non_gene_module": ("info", "Row ", " has no gene symbol and is kept as a non-gene module.", "No VCF matching will be performed for this row."),

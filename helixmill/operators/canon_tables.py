@@ -40,7 +40,11 @@ def canon_tables(version: str, assembly: str, rows: DataFrame, genes: DataFrame,
     named = own.select("gene_id", "approved_symbol", "chrom", "strand")
     flag = lambda c: F.col(c) if c in transcripts.columns else F.lit(0)
     tier = transcript_tier(flag("is_mane_select"), flag("is_mane_plus_clinical"), flag("is_ensembl_canonical"), F.col("biotype"))
-    warned = canon_warnings(rows, transcripts, genes)
+    known = rows.join(genes.select("gene_id", "approved_symbol"), "gene_id", "left")
+    found = F.col("approved_symbol").isNotNull()
+    symbol = F.when(F.col("gene_id").isNull(), "").otherwise(F.coalesce("approved_symbol", F.col("gene_id").cast("string")))
+    status = F.when(found, "resolved_exact_symbol").otherwise("unresolved_symbol")
+    warned = canon_warnings(known.select("canon_row_id", symbol.alias("symbol"), status.alias("resolution_status"), F.lit("").alias("resolution_notes"), F.when(found, F.col("gene_id")).alias("gene_id"), "approved_symbol"), kept)
     return {
         "canon_versions": spark.createDataFrame([(version, assembly)], "canon_version_id string, assembly string"),
         "canon_rows": rows.withColumns({"canon_version_id": of, "row_status": F.when(F.col("gene_id").isNull(), "non_gene_module").otherwise("active_gene_row"), "is_draft": (F.lower("module_status") == "draft").cast("int")}),
@@ -51,7 +55,7 @@ def canon_tables(version: str, assembly: str, rows: DataFrame, genes: DataFrame,
         "feature_intervals": features.join(named, "gene_id").withColumnRenamed("transcript_id", "transcript_db_id").withColumns({"feature_id": F.concat_ws(":", "transcript_db_id", "feature_type", "feature_number", F.col("start").cast("string"), F.col("end").cast("string")), "derived_feature": (~F.col("feature_type").isin("transcript_body", "exon_interval")).cast("int")}),
         "merged_feature_intervals": merged.join(named, "gene_id").withColumn("merged_feature_id", F.concat_ws(":", F.col("gene_id").cast("string"), "merged_feature_type", F.col("start").cast("string"))),
         "local_priority_rules": priority_rules(spark),
-        "preprocessing_warnings": warned.select(F.concat_ws(":", F.col("gene_id").cast("string"), "warning").alias("warning_id"), of.alias("canon_version_id"), F.when(F.col("warning") != "unresolved", F.col("gene_id")).alias("gene_id"), F.col("warning").alias("warning_type")),
+        "preprocessing_warnings": warned.select(F.concat_ws(":", F.coalesce(F.col("gene_id").cast("string"), "canon_row_id"), "warning").alias("warning_id"), of.alias("canon_version_id"), "canon_row_id", "gene_id", F.col("warning").alias("warning_type"), "severity", "message", "action"),
     }
 
 

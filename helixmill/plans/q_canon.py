@@ -105,7 +105,7 @@ QUERIES = {
     "agg_rsid_master": lambda s, d: c.rsid_master(c.rsid_long(structured(s, d))),
     "agg_rsid_duplicates": lambda s, d: c.flag_duplicate_rsids(structured(s, d)).select("row_id", "first_rsid", "n_same", "source_group", "reason"),
     "agg_exact_duplicates": lambda s, d: c.exact_duplicates(structured(s, d)),
-    "agg_canon_metadata": metadata,
+    "agg_canon_metadata": lambda s, d: metadata(s, d).crossJoin(c.module_metadata(view(s, d, "canon_rows").select(F.when(C("gene_id") % 7 == 0, "").otherwise(F.concat(F.lit("G"), C("gene_id").cast("string"))).alias("symbol"), "module_id", "module_status"))),  # one row by one row
     "cls_canon_status": lambda s, d: metadata(s, d).select(c.canon_status(C("n_rows"), C("with_rsid"), C("manual"), C("repeated"), F.lit(4)).alias("status"), c.canon_status(C("n_rows"), F.lit(0), C("manual"), C("repeated"), F.lit(4)).alias("no_ids"), c.canon_status(C("n_rows"), C("with_rsid"), F.lit(0), F.lit(0), F.lit(4)).alias("clean")),
     "cls_canon_warnings": lambda s, d: c.canon_warnings(curated(s, d), spread_transcripts(s, d)),
     "join_symbol_cascade": lambda s, d: c.resolve_symbols(symbols(s, d), view(s, d, "symbols_approved"), view(s, d, "symbols_alias"), view(s, d, "symbols_prev")).select("symbol", "gene_id", "status"),
@@ -196,7 +196,7 @@ SQL = {
     "agg_rsid_master": f"WITH {LONG} SELECT rsid, count(*) AS n_source_rows, array_to_string(list_sort(list(row_id)), ',') AS source_rows, array_to_string(list_sort(list(DISTINCT source_group)), ' | ') AS source_tables, coalesce(array_to_string(list_sort(list(DISTINCT category) FILTER (WHERE category <> '')), ' | '), '') AS categories, coalesce(array_to_string(list_sort(list(DISTINCT gene) FILTER (WHERE gene <> '')), ' | '), '') AS genes FROM lo GROUP BY rsid",
     "agg_rsid_duplicates": f"WITH {DUP} SELECT row_id, first_rsid, n_same, CASE WHEN {TWICE} THEN 'rsids_repetidos' ELSE source_group END AS source_group, CASE WHEN {TWICE} THEN 'duplicate_rsid' ELSE reason END AS reason FROM fd",
     "agg_exact_duplicates": f"WITH {SHEET} SELECT lower(category) AS category, lower(gene) AS gene, lower(rsids) AS rsids, lower(effect) AS effect, count(*) AS n FROM cs2 GROUP BY ALL HAVING count(*) > 1",
-    "agg_canon_metadata": f"WITH {META} SELECT * FROM md",
+    "agg_canon_metadata": f"WITH {META}, v AS (SELECT count(*) AS rows_total, count(*) FILTER (WHERE gene_id % 7 <> 0) AS rows_with_gene, count(*) FILTER (WHERE gene_id % 7 = 0) AS rows_non_gene_module, count(*) FILTER (WHERE lower(module_status) = 'draft') AS draft_rows, count(DISTINCT module_id) AS module_count, count(DISTINCT gene_id) FILTER (WHERE gene_id % 7 <> 0) AS unique_gene_symbols, (SELECT count(*) FROM (SELECT gene_id FROM canon_rows WHERE gene_id % 7 <> 0 GROUP BY gene_id HAVING count(*) > 1)) AS duplicate_gene_symbols FROM canon_rows) SELECT * FROM md, v",
     "cls_canon_status": f"WITH {META} SELECT CASE WHEN n_rows = 0 OR with_rsid = 0 THEN 'invalid' WHEN manual > 0 OR repeated > 0 THEN 'warning' ELSE 'valid' END AS status, 'invalid' AS no_ids, 'valid' AS clean FROM md",
     "cls_canon_warnings": WARNED,
     "join_symbol_cascade": f"WITH {CASCADE} SELECT symbol, gene_id, status FROM rr",
