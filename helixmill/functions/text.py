@@ -190,8 +190,10 @@ def plain_letters(values: pd.Series) -> pd.Series:
     return values.map(plain, na_action="ignore")
 
 
-def ascii_text(c: Column) -> Column:
-    """Plain ASCII. Most text is that already and only loses blanks at its ends; Python sees the rest alone."""
+def ascii_text(c: Column | str) -> Column:
+    """Plain ASCII of a column or the column of a name. Most text is that already and only loses blanks at its ends; Python
+    sees the rest alone."""
+    c = F.col(c) if isinstance(c, str) else c
     plain = F.octet_length(text(c)) == F.char_length(text(c))
     bare = F.regexp_replace(text(c), r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     return F.when(plain, bare).otherwise(plain_letters(F.when(~plain, c)))
