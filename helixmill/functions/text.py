@@ -115,7 +115,18 @@ def compact_number(c: Column) -> Column:
     digits = F.greatest(F.lit(0), F.lit(5) - F.floor(F.log10(F.abs(x))).cast("int"))
     fixed = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", F.bround(x * F.pow(F.lit(10.0), digits), 0) / F.pow(F.lit(10.0), digits)), "0+$", ""), r"\.$", "")
     small = (F.abs(x) < 0.001) | (F.abs(x) >= 1e5)
-    return F.when(x.isNull(), t).when(x == 0, "0").when(small, F.format_string("%.3e", x)).otherwise(fixed)
+    return F.when(x.isNull(), t).when(x == 0, "0").when(small, scientific(x)).otherwise(fixed)
+
+
+def scientific(x: Column) -> Column:
+    """x as C's %.3e has it: the exact binary value decides, and a tie goes to the even digit. format_string would round the
+    shortest decimal form, and ties up. format_number is exact but for whole numbers, whose ties are set right before."""
+    whole = F.when((F.abs(x) >= 1e5) & (F.abs(x) < float(1 << 63)) & (x == F.rint(x)), F.abs(x).cast("bigint"))
+    step = F.pow(F.lit(10.0), F.length(whole.cast("string")) - 4).cast("bigint")
+    even = F.floor(whole / step) % 2 == 0
+    aside = F.when(whole % step * 2 == step, F.signum(x) * F.when(even, -step / 4).otherwise(step / 4)).otherwise(0.0)
+    exact = F.call_function("format_number", x + aside, F.lit("0.000E00"))
+    return F.when(F.abs(x) < float("inf"), F.replace(F.replace(exact, F.lit("E"), F.lit("e+")), F.lit("e+-"), F.lit("e-"))).otherwise(F.format_string("%.3e", x))
 
 
 def sorted_json(values: dict[str, Column]) -> Column:
