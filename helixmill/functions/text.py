@@ -216,7 +216,8 @@ def word_list(c: Column) -> Column:
 
 def shorten_sentence(c: Column, language: str = "en") -> Column:
     """At most 45 words and 300 letters as it is; else what stands before a separator, if that is 18 to 42 words; else the
-    first 42 words. Words are looked for once."""
+    first 42 words. No more than the first 46 words of a longer text are looked at, as they decide all of it: a separator
+    that leaves 42 words before it is over before the 46th begins."""
     def dotted(t: Column) -> Column:
         return F.when(t.rlike(r"[.!?]$"), t).otherwise(F.concat(t, F.lit(".")))
 
@@ -224,10 +225,14 @@ def shorten_sentence(c: Column, language: str = "en") -> Column:
         heads = [F.when(F.contains(x["o"], F.lit(s)), F.trim(F.substring_index(x["o"], s, 1))) for s in SEPARATORS[language]]
         fitting = [let(h, lambda t: F.when(F.size(word_list(t)).between(18, 42), dotted(t))) for h in heads]
         cut = dotted(F.array_join(F.slice(x["w"], 1, 42), " "))
-        return F.when((F.size(x["w"]) <= 45) & (F.length(x["o"]) <= 300), x["o"]).otherwise(F.coalesce(*fitting, F.when(F.size(x["w"]) == 0, x["o"]), cut))
+        return F.when((F.size(x["w"]) <= 45) & (x["n"] <= 300), x["o"]).otherwise(F.coalesce(*fitting, F.when(F.size(x["w"]) == 0, x["o"]), cut))
+
+    def upto(o: Column) -> Column:
+        head = F.regexp_extract(o, r"^(?:\W*+\w++){0,46}+", 0)
+        return let(F.struct(head.alias("o"), word_list(head).alias("w")), lambda h: F.struct(F.when(F.size(h["w"]) < 46, o).otherwise(h["o"]).alias("o"), h["w"].alias("w"), F.length(o).alias("n")))
 
     original = clean_str(c, "nbsp")
-    return let(original, lambda o: let(F.struct(o.alias("o"), word_list(o).alias("w")), short))
+    return let(original, lambda o: let(upto(o), short))
 
 
 def lower_blob(*columns: Column) -> Column:
