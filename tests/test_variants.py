@@ -7,7 +7,7 @@ from helixmill.functions import genotype as g
 from helixmill.functions import text as t
 from helixmill.operators import canon, interpret, match, normalize
 from helixmill.operators.intervals import _placed, merge_intervals, overlap_join
-from helixmill.plans import q_match, registry
+from helixmill.plans import fixtures, q_match, registry
 from helixmill.sources import files, vcf
 from helixmill.streaming import streams
 
@@ -455,3 +455,28 @@ def test_shortening_looks_at_the_first_words_only(spark):
     # the whole text's words are never listed
     plan = spark.range(1).select(t.shorten_sentence(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
     assert "{0,46}" in plan
+
+
+@pytest.fixture()
+def plain_joins(spark):
+    """Plans as they are before Spark looks at sizes: every join a shuffle, every partition as dealt."""
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in fixed}
+    for k, v in fixed.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def shares(df):
+    """Rows of each partition that has any."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+
+
+def test_lines_are_numbered_in_more_tasks_than_groups(plain_joins, monkeypatch):
+    monkeypatch.setattr(fixtures, "BLOCK", 100)
+    lines = fixtures.view(plain_joins, SF, "fx_line")
+    plain = plain_joins.sql(fixtures.VIEWS["fx_line"])
+    assert lines.schema == plain.schema and lines.exceptAll(plain).isEmpty() and plain.exceptAll(lines).isEmpty()
+    assert len(shares(lines)) > 16
