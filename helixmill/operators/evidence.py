@@ -18,7 +18,7 @@ TRANSCRIPT_TEXTS = (
 )
 TRANSCRIPT = "struct<" + ",".join(f"{n}:string" for n in TRANSCRIPT_TEXTS) + ",consequence_terms:array<string>,domains:array<struct<db:string,name:string>>>"
 COLOCATED = "struct<id:string,allele_string:string,seq_region_name:string,start:string,end:string,minor_allele_freq:string>"
-VEP = f"struct<input:string,most_severe_consequence:string,variant_class:string,colocated_variants:array<{COLOCATED}>,transcript_consequences:array<{TRANSCRIPT}>>"
+VEP = f"struct<input:string,most_severe_consequence:string,variant_class:string,colocated_variants:array<{COLOCATED}>,transcript_consequences:array<{TRANSCRIPT}>,vrs:string>"
 #: Columns of the picked transcript: the first field that has a value, or two places with a dash between.
 PICKED = {
     "canonical": ("canonical",), "mane_select": ("mane_select",), "hgvsc": ("hgvsc",), "hgvsp": ("hgvsp",), "protein_id": ("protein_id",), "exon": ("exon",), "intron": ("intron",), "amino_acids": ("amino_acids",), "sift_prediction": ("sift_prediction", "sift_pred"), "sift_score": ("sift_score",),
@@ -43,12 +43,22 @@ def transcript_summary(x: Column) -> Column:
     return told(gene=x["gene_symbol"], tx=x["transcript_id"], consequence=terms, impact=x["impact"], biotype=x["biotype"], hgvsc=x["hgvsc"], hgvsp=x["hgvsp"], cadd_phred=x["cadd_phred"], revel=first("revel_score", "revel"), spliceai=x["spliceai"])
 
 
+def answer(df: DataFrame, payload: str) -> Column:
+    """The parsed payload: what ``with_answer`` left in df, else parsed here."""
+    return F.col("_answer") if "_answer" in df.columns else F.from_json(payload, VEP)
+
+
+def with_answer(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """df with its payload parsed, for several readers of it."""
+    return df.withColumn("_answer", F.from_json(payload, VEP))
+
+
 def parse_vep(df: DataFrame, payload: str = "payload", gene: str = "target_gene") -> DataFrame:
     """Flat columns of a payload, parsed once: status, the target gene's best transcript (else that of any gene) by PICKED
     and PLACES, summaries of the gene's first ten transcripts (else of the first five of any), colocated records, domains."""
     c = F.col
     none = F.array().cast(f"array<{TRANSCRIPT}>")
-    parsed = df.withColumn("_v", F.from_json(payload, VEP)).withColumn("_t", F.coalesce("_v.transcript_consequences", none))
+    parsed = df.withColumn("_v", answer(df, payload)).withColumn("_t", F.coalesce("_v.transcript_consequences", none))
     parsed = parsed.withColumn("_own", F.filter("_t", lambda x: F.upper(F.trim(text(x["gene_symbol"]))) == F.upper(F.trim(text(c(gene))))))
     parsed = parsed.withColumn("_some", F.when(F.size("_own") > 0, c("_own")).otherwise(c("_t"))).withColumn("_best", pick_transcript(c("_some")))
     best = c("_best")
@@ -91,7 +101,7 @@ def resolve_rsid(df: DataFrame, payload: str = "payload", chrom: str = "contig",
     how many records and identifiers the place has."""
     c = F.col
     none = F.array().cast(f"array<{COLOCATED}>")
-    out = df.withColumn("_all", F.coalesce(F.from_json(payload, VEP)["colocated_variants"], none))
+    out = df.withColumn("_all", F.coalesce(answer(df, payload)["colocated_variants"], none))
     out = out.withColumn("_all", F.transform("_all", lambda x: F.struct(normalize_rsid(x["id"]).alias("id"), colocated_match(x, c(chrom), c(pos).try_cast("bigint"), c("ref"), c("alt")).alias("kind"))))
     out = out.withColumn("_ids", F.array_distinct(F.filter(F.transform("_all", lambda x: x["id"]), lambda x: x != "")))
     out = out.withColumn("_hits", F.filter("_all", lambda x: (x["id"] != "") & (x["kind"] != "")))
@@ -107,13 +117,22 @@ def vep_only_class(error: Column, status: Column, functional: Column) -> Column:
     return F.when(error, "vep_error").when(status == "vep_colocated_allele_mismatch", "colocated_rsid_allele_mismatch").when(status == "ambiguous_multiple_exact_rsids", status).when(functional, "functional_annotation_without_exact_rsid").otherwise("no_usable_vep_annotation")
 
 
-def variant_master(variants: DataFrame) -> DataFrame:
+def variant_master(variants: DataFrame, *facts: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
     """One audit row a variant: key, place and alleles, how its identifier was resolved, what class it has without one, the
     main consequence and scores. variants: variant_key, assembly, contig, pos, ref, alt, id, target_gene, payload,
-    module_row_count, populations, errors (names of sources that failed). Both parses read the payload once each."""
+    module_row_count, populations, errors (names of sources that failed). The payload is parsed once. What variants lack of
+    these may come from facts, frames whose first column is a column of variants and has each value once, with what their
+    other columns are where a variant is not in them: they are joined when the payloads are gone, so that no payload goes
+    through a shuffle."""
     c = F.col
-    rows = parse_vep(resolve_rsid(variants))
-    functional = (c("vep_hgvsc") != "") | (c("vep_hgvsp") != "") | (text(F.get_json_object("payload", "$.vrs")) != "")
+    rows = parse_vep(resolve_rsid(with_answer(variants)))
+    functional = (c("vep_hgvsc") != "") | (c("vep_hgvsp") != "") | (text(c("_answer.vrs")) != "")
+    kept = ["variant_key", "assembly", "contig", "pos", "ref", "alt", "id", "target_gene", "errors", *[n for n in ("module_row_count", "populations") if n in variants.columns]]
+    found = ["resolved_rsid", "rsid_status", "rsid_reason", "colocated_count", "colocated_rsid_count", "vep_status", "vep_most_severe_consequence", "vep_genes", "vep_hgvsc", "vep_hgvsp", "vep_cadd_phred", "vep_revel_score", "vep_spliceai"]
+    rows = rows.select(*kept, *found, functional.alias("_functional"))
+    for fact, absent in facts:
+        rows = join_fact(rows, fact, absent)
+    functional = c("_functional")
     fixed = {"chrom_vcf": c("contig"), "pos_vcf": c("pos"), "ref_vcf": c("ref"), "alt_vcf": c("alt"), "id_vcf": text(c("id"))}
     resolved = {
         "resolved_rsid": c("resolved_rsid"), "rsid_resolution_status": c("rsid_status"), "resolution_reason": c("rsid_reason"), "vep_only_class": vep_only_class(F.array_contains("errors", "vep"), c("rsid_status"), functional),
@@ -124,6 +143,16 @@ def variant_master(variants: DataFrame) -> DataFrame:
     return rows.select("variant_key", "assembly", *[v.alias(n) for n, v in {**fixed, **resolved}.items()], "module_row_count", "vep_status", "vep_most_severe_consequence", *scores, *[v.alias(n) for n, v in told_by.items()])
 
 
+def join_fact(rows: DataFrame, fact: DataFrame, absent: dict[str, Column]) -> DataFrame:
+    """rows with the columns of fact, whose first column is their key. Identifiers of no meaning ('' and '.') and nulls,
+    which most rows may have, name nothing: each such row has a key of its own, so they are dealt to all tasks."""
+    key = fact.columns[0]
+    named = fact.where(~text(F.col(key)).isin("", ".")).withColumnRenamed(key, "_key")
+    own = F.when(text(F.col(key)).isin("", "."), F.concat(F.lit("\t"), "variant_key")).otherwise(F.col(key))
+    out = rows.withColumn("_key", own).join(named, "_key", "left").drop("_key")
+    return out.withColumns({n: F.coalesce(n, v) for n, v in absent.items()})
+
+
 PGX_NOTES = "struct<data:array<struct<alleleGenotype:string,sentence:string,score:double,relatedChemicals:array<struct<name:string>>,literature:struct<crossReferences:array<struct<resource:string,resourceId:string>>>>>>"
 
 

@@ -480,3 +480,9 @@ def test_lines_are_numbered_in_more_tasks_than_groups(plain_joins, monkeypatch):
     plain = plain_joins.sql(fixtures.VIEWS["fx_line"])
     assert lines.schema == plain.schema and lines.exceptAll(plain).isEmpty() and plain.exceptAll(lines).isEmpty()
     assert len(shares(lines)) > 16
+
+
+def test_variants_without_identifier_do_not_meet_in_one_task(plain_joins):
+    rows = registry.QUERIES["cls_variant_master"](plain_joins, SF)
+    found = shares(rows)
+    assert max(found) * 4 < sum(found)
