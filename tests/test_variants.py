@@ -486,3 +486,11 @@ def test_variants_without_identifier_do_not_meet_in_one_task(plain_joins):
     rows = registry.QUERIES["cls_variant_master"](plain_joins, SF)
     found = shares(rows)
     assert max(found) * 4 < sum(found)
+
+
+def test_sentences_are_shortened_before_they_are_dealt(plain_joins):
+    """No exchange of the chain carries a text that is not asked for; the six module names never gather the lines."""
+    plan = registry.QUERIES["cls_normalized_interp"](plain_joins, SF)._jdf.queryExecution()
+    left = next(x for x in plan.optimizedPlan().toString().split("Join LeftOuter")[1].split("\n") if "Project" in x)
+    assert "AS interpretation_one_sentence_en" in left and "technical_notes_en" not in left
+    assert not [x for x in plan.executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x and "% 6" in x]
