@@ -494,3 +494,13 @@ def test_sentences_are_shortened_before_they_are_dealt(plain_joins):
     left = next(x for x in plan.optimizedPlan().toString().split("Join LeftOuter")[1].split("\n") if "Project" in x)
     assert "AS interpretation_one_sentence_en" in left and "technical_notes_en" not in left
     assert not [x for x in plan.executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x and "% 6" in x]
+
+
+def test_rows_without_identifier_or_place_are_dealt_to_all_tasks(plain_joins):
+    canon = plain_joins.range(400).selectExpr("'u' AS upload_id", "id AS row_id", "CASE WHEN id = 7 THEN 'rs1' WHEN id % 2 = 0 THEN '' ELSE 'rs9' || id END AS rsid", "'df_ok' AS source_group")
+    ready = plain_joins.createDataFrame([("u", "rs1", "1", "5", "A", "G", 1)], "upload_id string, rsid string, chrom string, pos string, exp_ref string, exp_alt string, seq long")
+    called = plain_joins.createDataFrame([("u", "1", "5", "A", "G", "0/1", 3)], "upload_id string, chrom string, pos string, ref string, alt string, gt string, line_no long")
+    out = match.consolidate(canon, ready, called)
+    found = shares(out)
+    assert sum(found) == 400 and max(found) < 100
+    assert {r.match_status: r["count"] for r in out.groupBy("match_status").count().collect()} == {"match_strict": 1, "no_rsid_detected": 200, "rsid_without_coordinates": 199}
