@@ -504,3 +504,16 @@ def test_rows_without_identifier_or_place_are_dealt_to_all_tasks(plain_joins):
     found = shares(out)
     assert sum(found) == 400 and max(found) < 100
     assert {r.match_status: r["count"] for r in out.groupBy("match_status").count().collect()} == {"match_strict": 1, "no_rsid_detected": 200, "rsid_without_coordinates": 199}
+
+
+def test_lines_are_cut_once_and_rules_on_labels_run_once_a_label(plain_joins):
+    records = vcf.parse_records(fixtures.view(plain_joins, SF, "vcf_lines"))
+    assert records._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert "l_partkey" not in vcf.contig_labels(records)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_label_is_the_first_plain_one_of_its_contig(spark):
+    row = lambda chrom: (chrom, "150", ".", "A", "G", ".", "PASS", ".", "GT", "0/1")
+    text = lines(spark, row("chr 1"), row("1"), row("chr1"), row("HLA"), row("#1"), row("MT"), row("1"), ("chr2", "5"), row("chrM"))
+    labels = vcf.contig_labels(vcf.parse_records(text.unionByName(spark.createDataFrame([("u", 99, None), ("u", 100, "")], LINE))))
+    assert sorted(map(tuple, labels.collect())) == [("u", "chr1", "1"), ("u", "chrM", "MT")]
