@@ -11,8 +11,8 @@ Stages: anchors are counted (pre-aggregated); those met once end there. Pieces m
 once, however many copies there are. Only one representative of each different piece goes, with its words, into a
 block. The windows of an anchor with more than HOT different pieces are dealt again, by their smallest 8-gram in another
 order, and what is still too much by the whole window, so no task meets an unbounded group; every dealing goes through
-the same counting, indexing and parsing. Texts are shuffled once to spell the representatives, once more for each further
-dealing of hot anchors, and once to remove words.
+the same counting, indexing and parsing. Texts are shuffled once to spell the representatives and once to remove words;
+for each further dealing, twice those of documents with hot anchors, which a sieve of fixed size finds.
 
 A document is known by a 64-bit hash of (doc_id, text); rows that repeat both lose the same words, and as each repeats
 the other, all their windows. Null texts and texts of fewer words lose nothing. Ties cannot occur; empty tables give
@@ -41,6 +41,8 @@ TEXTS = "h long, fp long, body binary"
 FOUND = "h long, fp long, first array<int>, many array<int>"
 #: How windows are dealt: by their smallest 8-gram, by the smallest in another order, by all of their words.
 DEALINGS = 3
+#: Bits of the sieve through which documents are read for a further dealing.
+SIEVE = 1 << 23
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -218,6 +220,16 @@ def parse_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(pa.Table.from_batches(held))
 
 
+def sifted(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs whose rlz_key is among keys (k), and a few others. The sieve, SIEVE bits in words of 64, goes to the documents, so
+    that the rest is not shuffled; it does not grow with the keys."""
+    at = lambda c: F.pmod(F.col(c), F.lit(SIEVE))
+    word, bit = lambda c: F.shiftright(at(c), 6), lambda c: at(c).bitwiseAND(F.lit(63)).cast("int")
+    sieve = stage(keys.groupBy(word("k").alias("rlz_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit("k"))).alias("rlz_bits")), "sieve")
+    let_through = docs.join(F.broadcast(sieve), word("rlz_key") == F.col("rlz_w")).where(F.getbit("rlz_bits", bit("rlz_key")) == 1)
+    return let_through.select(docs.columns)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs(rlz_key, text) -> rlz_key, at, n: windows at .. at + n - 1 of the document also start elsewhere."""
     n_parts = partitions(docs.sparkSession)
@@ -240,7 +252,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         found.append(mixed.join(stage(kinds.where("c > 1").select("h", "fp"), "copied"), ["h", "fp"]).select("rlz_key", "at", "n"))
         if dealing == DEALINGS - 1 or hot.isEmpty():
             break
-        lists = mixed.join(hot, "h").groupBy(F.col("rlz_key").alias("k")).agg(F.collect_list(F.struct("h", "at", "n")).alias("wanted"))
+        lists = stage(mixed.join(hot, "h").groupBy(F.col("rlz_key").alias("k")).agg(F.collect_list(F.struct("h", "at", "n")).alias("wanted")), "lists")
+        dealt = sifted(docs, lists.select("k")).repartition(n_parts, "rlz_key")  # all that the next dealings need
         again = dealt.join(lists.hint("shuffle_hash"), F.col("rlz_key") == F.col("k")).select("rlz_key", "text", "wanted")
         occurrences = stage(again.mapInArrow(dealt_again(dealing + 1), PIECES), "again")
     return reduce(DataFrame.unionByName, found)

@@ -146,6 +146,22 @@ def test_substring_dedup(docs, rows, none, monkeypatch, hot):
     assert substring_dedup.without_repeats(none).count() == 0
 
 
+def test_further_dealings_shuffle_only_documents_with_hot_anchors(spark, monkeypatch):
+    """Two hundred texts share one passage, and with it an anchor; two thousand share nothing."""
+    word = lambda *of: f"concat_ws(' ', transform(sequence(0, 59), k -> md5(concat_ws('-', {', '.join(of)}, k))))"
+    docs = spark.range(2200).selectExpr("id AS doc_id", f"concat_ws(' ', {word('id')}, IF(id < 200, {word(repr('x'))}, 'end'), {word('id + 10000')}) AS text")
+    monkeypatch.setattr(substring_dedup, "HOT", 1)
+    dealt, cut = [], substring_dedup.sifted
+    monkeypatch.setattr(substring_dedup, "sifted", lambda d, keys: dealt.append((cut(d, keys), keys)) or dealt[-1][0])
+    out = substring_dedup.without_repeats(docs, digest=True)
+    assert out.where("rlz_removed > 0").count() == 200 and out.agg(F.min(F.when(F.col("rlz_removed") > 0, F.col("rlz_removed")))).first()[0] == 60
+    kept = {r.rlz_key for r in dealt[0][0].collect()}
+    wanted = {r.k for r in dealt[0][1].collect()}
+    assert len(wanted) == 200 and wanted <= kept and len(kept) < 220
+    monkeypatch.setattr(substring_dedup, "SIEVE", 64)  # a full sieve lets others through, and loses none
+    assert wanted <= {r.rlz_key for r in cut(dealt[0][0], dealt[0][1]).collect()}
+
+
 def test_jaccard_groups(docs, rows, none):
     sets = []
     for _, t, *_ in rows:
