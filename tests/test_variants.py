@@ -546,3 +546,29 @@ def test_texts_are_made_plain_before_they_meet_their_lines(plain_joins):
     assert 0 < shape.index("Join Inner") < shape.index("ArrowEvalPython")
     direct = fixtures.view(plain_joins, SF, "interp").select("row_id", t.ascii_text("interpretation_one_sentence_en").alias("plain"))
     assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_the_chain_joins_sentences_after_its_groups(plain_joins):
+    """With sentences by key the chain gives what it gives with texts in its rows, and its shuffle holds none."""
+    rows = plain_joins.range(40).selectExpr("id AS row_id", "concat('g', id % 7) AS gene", "'rs1' AS rsid", "'AG' AS observed_genotype", "'het' AS zygosity", "'A/G' AS ref_alt", "elt(1 + int(id % 3), 'High', 'Low', 'odd') AS final_confidence_level", "'false' AS gene_or_locus_ambiguity_flag", "if(id % 9 = 0, ' ', 'é') AS family_notes_en", "'nota' AS family_notes_es", "id % 4 AS k", *[f"'' AS {n}" for n in interpret.EVIDENCE])
+    said = plain_joins.createDataFrame([(0, "Short é.", ""), (1, "w " * 20 + "; " + "x " * 40, "a" * 301), (2, None, "dos " * 50), (3, " y ", "z")], "k long, interpretation_one_sentence_en string, interpretation_one_sentence_es string")
+    direct = interpret.normalise_interpretations(rows.join(said, "k").drop("k"))
+    keyed = interpret.normalise_interpretations(rows, interpret.short_sentences(said), ("k",))
+    assert sorted(map(str, keyed.select(*sorted(direct.columns)).collect())) == sorted(map(str, direct.select(*sorted(direct.columns)).collect()))
+    shape = registry.QUERIES["cls_normalized_interp"](plain_joins, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "{0,46}" not in shape and " y que sigue" not in shape and "text#" not in shape
+
+
+def test_compact_variants_work_out_a_sentence_once(plain_joins):
+    found = registry.QUERIES["prj_compact_variant"](plain_joins, SF)
+    shape = found._jdf.queryExecution().optimizedPlan().toString()
+    assert shape.index("Join Inner") < shape.index(" y que sigue")
+    whole = fixtures.view(plain_joins, SF, "interp").select(F.col("row_id").cast("string"), q_text.letters().alias("l"), (120 + F.col("row_id") % 200).cast("int").alias("at"))
+    direct = whole.select("row_id", t.ascii_text(t.clean_str(F.concat(F.left("l", F.col("at")), F.lit(" y que sigue"), F.substr("l", F.col("at") + 1)), "nbsp")))
+    assert sorted(map(tuple, found.select("row_id", "interpretation_one_sentence").collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_columns_are_made_plain_together(spark):
+    df = spark.createDataFrame([("a ", "b", None), ("é", "ß– ", ""), (None, " \x1cx", " ñ ")], "a string, b string, c string")
+    found = df.select(t.ascii_texts([F.col(n) for n in "abc"]).alias("x"), *[t.ascii_text(n).alias(n) for n in "abc"]).collect()
+    assert [r.x for r in found] == [[r.a, r.b, r.c] for r in found] == [["a", "b", ""], ["e", "-", ""], ["", "x", "n"]]
