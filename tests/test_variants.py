@@ -572,3 +572,11 @@ def test_columns_are_made_plain_together(spark):
     df = spark.createDataFrame([("a ", "b", None), ("é", "ß– ", ""), (None, " \x1cx", " ñ ")], "a string, b string, c string")
     found = df.select(t.ascii_texts([F.col(n) for n in "abc"]).alias("x"), *[t.ascii_text(n).alias(n) for n in "abc"]).collect()
     assert [r.x for r in found] == [[r.a, r.b, r.c] for r in found] == [["a", "b", ""], ["e", "-", ""], ["", "x", "n"]]
+
+
+def test_counters_make_the_lines_once(spark, monkeypatch):
+    made = []
+    deal = fixtures.dealt_lines
+    monkeypatch.setattr(fixtures, "dealt_lines", lambda lineitem: made.append(1) or deal(lineitem))
+    registry.QUERIES["agg_source_counters"](spark, SF)
+    assert len(made) == 1
