@@ -580,3 +580,10 @@ def test_counters_make_the_lines_once(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "dealt_lines", lambda lineitem: made.append(1) or deal(lineitem))
     registry.QUERIES["agg_source_counters"](spark, SF)
     assert len(made) == 1
+
+
+def test_physical_variants_are_one_aggregate(spark):
+    rows = spark.createDataFrame([("u", "k", 2, "b"), ("u", "k", 1, "c"), ("v", "k", 3, "a"), ("u", None, 4, "d"), ("u", None, 5, None)], "upload_id string, variant_key string, line_no int, x string")
+    found = match.physical_variants(rows, ["line_no"])
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("u", "k", 1, "c", 2), ("v", "k", 3, "a", 1), ("u", None, 4, "d", 2)]))
