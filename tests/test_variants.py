@@ -587,3 +587,13 @@ def test_physical_variants_are_one_aggregate(spark):
     found = match.physical_variants(rows, ["line_no"])
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("u", "k", 1, "c", 2), ("v", "k", 3, "a", 1), ("u", None, 4, "d", 2)]))
+
+
+def test_triage_split_writes_what_it_reads(spark, monkeypatch):
+    from helixmill.plans import q_match as q
+
+    written = []
+    monkeypatch.setattr(q, "triaged", lambda s, d: spark.range(6).selectExpr("'u' AS upload_id", "id AS line_no", "1 AS alt_index", "'c' AS canon_row_id", "if(id < 2, 'include_ai', 'exclude_x') AS triage_decision", "'long' AS triage_reason"))
+    monkeypatch.setattr(files, "staged", lambda df: written.extend(df.columns) or df)
+    found = {r.side: r["count"] for r in q.QUERIES["set_triage_split"](spark, SF).groupBy("side").count().collect()}
+    assert found == {"include": 2, "exclude": 4} and "triage_reason" not in written
